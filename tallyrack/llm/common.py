@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,7 +58,7 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about most_bytes of text at most (one longer text may stand alone)."""
     for batch in batches:
         at, held = 0, 0
@@ -69,15 +72,24 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes:
             yield batch.slice(at)
 
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_TAIL = re.compile(rb"(?<=[a-z0-9])[,.!]+(?=[\x20\x09-\x0D]|\Z)")
+
+
+def lower(text: bytes) -> bytes:
+    """A-Z in lower case."""
+    return text.translate(_LOWER)
+
+
 class WordIds:
-    """Ids of the public word-BPE tokenizer as little-endian unsigned 32-bit bytes, remembered by word.
+    """Ids of the public word-BPE tokenizer as unsigned 32-bit bytes (of a little-endian machine), remembered by word.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     ASCII-white-space words one after another (tests compare with the tokenizer on whole texts).  The memory is emptied
-    when it holds `most` words or `most_bytes` of keys and ids; a word over 256 bytes is never kept.
+    after a call that leaves it with more than `most` words or `most_bytes` of keys and ids.
     """
 
-    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 48 << 20) -> None:
+    def __init__(self, path: str, most: int = 900_000, most_bytes: int = 64 << 20) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -89,24 +101,24 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.most, self.most_bytes, self.held, self.known = most, most_bytes, 0, {}
 
-    def encode(self, words: list[bytes]) -> bytes:
-        import numpy as np
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """Words to remember: in lower case, as the tokenizer has them anyway, and without final marks, which the
+        tokenizer splits from an ASCII letter or digit before them; so there are fewer different ones."""
+        return _TAIL.sub(rb" \g<0>", text.translate(_LOWER)).split()
 
+    def encode(self, lists: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of words; words that aren't known yet are coded in one call."""
         known = self.known
-        missing = {w for w in words if w not in known}
-        if not missing:
-            return b"".join(map(known.__getitem__, words))
-        new = list(missing)
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: np.array(c.ids, dtype="<u4").tobytes() for w, c in zip(new, coded, strict=True)}
-        out = b"".join([known[w] if w in known else fresh[w] for w in words])
+        new = list(set(chain.from_iterable(lists)).difference(known))
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        fresh = {w: array("I", c.ids).tobytes() for w, c in zip(new, coded, strict=True)}
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, words)) for words in lists]
+        self.held += sum(map(len, fresh)) + sum(map(len, fresh.values()))
         if len(known) > self.most or self.held > self.most_bytes:
             known.clear()
             self.held = 0
-        for w, ids in fresh.items():
-            if len(w) <= 256:
-                known[w] = ids
-                self.held += len(w) + len(ids)
         return out
 
 

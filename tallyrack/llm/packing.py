@@ -38,8 +38,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
         coder, end, size = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for part in slices(batches):
             rows = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True):
-                coded = coder.encode(text.split()) + end
+            coded_all = coder.encode([coder.split(x) for x in texts(part.column("text"))])
+            for doc, coded in zip(part.column("doc_id").to_pylist(), coded_all, strict=True):
+                coded += end
                 for k, at in enumerate(range(0, len(coded), size)):
                     one = coded[at : at + size]
                     rows.append((doc, k, at // 4, len(one) // 4, zlib.crc32(one), *[one] * ids))
