@@ -26,10 +26,8 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(df[f"`{c}`"] for c in columns))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names, so that a lost executor
-    costs a read and not a recomputation.  Only a local master may fall back on a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Only a local master may fall back on one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage, so that a lost executor costs a read and not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
