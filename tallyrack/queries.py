@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import clean as C
+from .plans import offers as O
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"clean_offers": lambda spark, sf_dir: C.valid(C.normalize(O.offers(spark, sf_dir), "idx")), "clean_offers_dedupe": lambda spark, sf_dir: C.clean(O.offers(spark, sf_dir), "idx")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"clean_offers": C.oracle(O.duck_source(), "idx", False), "clean_offers_dedupe": C.oracle(O.duck_source(), "idx", True)}
