@@ -5,14 +5,190 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import records as R
+from .functions import urls as U
+from .functions.dialect import DUCK, SPARK, Dialect
 from .operators import clean as C
+from .operators import export as E
+from .operators import identity as I
+from .operators import labels as A
+from .operators import metrics as M
+from .operators import store as S
 from .plans import offers as O
+from .plans.tables import derived, sql_of
+from .streaming import limits as T
 
+Query = Callable[[SparkSession, str], DataFrame]
+CATALOG = ["idx", "brand", "category", "product_family", "model", "sku"]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"clean_offers": lambda spark, sf_dir: C.valid(C.normalize(O.offers(spark, sf_dir), "idx")), "clean_offers_dedupe": lambda spark, sf_dir: C.clean(O.offers(spark, sf_dir), "idx")}
+
+def _scalars(columns: Callable[[Dialect], dict[str, str]], key: str, source: str, table: str) -> tuple[Query, str]:
+    """A projection of scalar functions over a table or a derived one, with its SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = O.offers(spark, sf_dir) if table == "offers" else spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return df.select(key, *(F.expr(sql).alias(c) for c, sql in columns(SPARK).items()))
+
+    return run, f"SELECT {key}, " + ", ".join(f"{sql} AS {c}" for c, sql in columns(DUCK).items()) + f" FROM ({source})"
+
+
+def _offer_fields(d: Dialect) -> dict[str, str]:
+    return {"clean_title": R.title(d, "title"), "price_inr": R.price(d, "price"), "rating": R.rating(d, "rating"), "rating_in": R.rating_in(d, "title"), "reviews": R.review_count(d, "review_count"), "reviews_in": R.reviews_in(d, "title"), "availability": R.availability(d, "availability", "description"), "os": R.system(d, "cast(NULL AS varchar(10))", "description"), "display": R.display(d, "cast(NULL AS varchar(10))", "title"), "processor": R.processor(d, "title"), "category": R.category(d, "category", "title", "description")}
+
+
+def _url_fields(d: Dialect) -> dict[str, str]:
+    return {"domain": U.domain(d, "url"), "canonical": U.canonical(d, "url"), "link": U.product_link(d, "url"), "last_slug": U.slug(d, "url"), "first_slug": U.slug(d, "url", False), "is_product": U.looks_like_product(d, "url"), "valid_link": U.is_product_page(d, "url"), "next_url": U.next_page(d, "url"), "joined": U.join(d, "url", "'/next?page=2'"), "relative": U.join(d, "url", "'more.html'")}
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = O.offers(spark, sf_dir).select("idx", F.expr(R.memory_text(SPARK, "title")).alias("m"))
+    df = df.select("*", F.expr(R.memory_list(SPARK, "m")).alias("sizes"))
+    ram, storage = R.memory_specs(SPARK, "m", "sizes")
+    return df.select("*", F.expr(ram).alias("ram"), F.expr(storage).alias("s")).select("idx", "ram", F.expr(R.with_medium(SPARK, "s", "m")).alias("storage"))
+
+
+def _memory_sql() -> str:
+    ram, storage = R.memory_specs(DUCK, "m", "sizes")
+    return f"WITH a AS (SELECT idx, {R.memory_text(DUCK, 'title')} AS m FROM ({O.OFFERS})), b AS (SELECT *, {R.memory_list(DUCK, 'm')} AS sizes FROM a), c AS (SELECT *, {ram} AS ram, {storage} AS s FROM b) SELECT idx, ram, {R.with_medium(DUCK, 's', 'm')} AS storage FROM c"
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of one project's finished jobs, newest first, with the total."""
+    own = derived(spark, sf_dir, "jobs").filter("project_id = 3 AND status = 'success'")
+    total, rows = S.page(own, [F.desc("created_at"), F.asc("job_id")], 10, 20)
+    return rows.withColumn("total", F.lit(total).cast("long"))
+
+
+def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda name: derived(spark, sf_dir, name)
+    templates = of("templates").withColumn("updated_at", F.expr("timestamp_ntz'1995-01-01' + make_interval(0, 0, 0, cast(updated_at AS int))"))
+    return S.cleanup(of("jobs"), of("job_rows"), of("exports"), of("usage"), templates, F.expr("timestamp_ntz'1996-06-01'"))[1]
+
+
+def _dup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text")
+    return I.duplicate_ratio(docs, "source", "doc_id", ["text"])
+
+
+def _limited(kind: type) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        log = derived(spark, sf_dir, "request_log").select(F.col("user_key").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("id"))
+        return T.decide(log.withColumn("ts", F.col("ts") / 1e6), kind, 3, 36_000.0).select("id", "key", "allowed", "remaining")
+
+    return run
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of the clean path merged by variant (rows alone keep their prices as they are)."""
+    cat = derived(spark, sf_dir, "catalog").withColumn("list_price_inr", F.col("price_inr") + F.col("idx") % 9 * 1000).withColumn("effective_price_inr", F.when(F.col("idx") % 3 > 0, F.col("price_inr"))).withColumn("discount_percent", F.lit(None).cast("double"))
+    return I.merge_variants(cat, "idx")
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = spark.sql("SELECT * FROM VALUES ('title', 1), ('price text', 2), ('Stars', 3), ('link', 4) AS t(source, position)")
+    labels = spark.sql("SELECT * FROM VALUES ('title', 1, 'Product Name', 'text', 0.9D), ('title', 2, 'other', 'url', 0.1D), ('Stars', 3, 'Product name', 'nonsense', 4.0D), ('nowhere', 4, 'x', 'text', 1.0D) AS t(source, position, name, kind, confidence)")
+    done = A.validate_labels(fields, labels)
+    return done.join(A.rename_map(done).select("source", "target"), "source")
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, "job_rows").filter("job_id < 200").select("job_id", "row_index", "flag", "part")
+    return E.array_of(E.json_rows(rows, "job_id", "row_index"), "job_id", "row_index")
+
+
+def _table() -> dict[str, tuple[Query, str | None]]:
+    of = lambda name, then: lambda spark, sf_dir: then(derived(spark, sf_dir, name))
+    two = lambda one, other, then: lambda spark, sf_dir: then(derived(spark, sf_dir, one), derived(spark, sf_dir, other))
+    out: dict[str, tuple[Query, str | None]] = {
+        "clean_offers": (lambda spark, sf_dir: C.valid(C.normalize(O.offers(spark, sf_dir), "idx")), C.oracle(O.duck_source(), "idx", False)),
+        "clean_offers_dedupe": (lambda spark, sf_dir: C.clean(O.offers(spark, sf_dir), "idx"), C.oracle(O.duck_source(), "idx", True)),
+        "offer_fields": _scalars(_offer_fields, "idx", O.OFFERS, "offers"),
+        "url_fields": _scalars(_url_fields, "page_id", "SELECT * FROM pages", "pages"),
+        "memory_specs": (_memory, _memory_sql()),
+        "url_domain_counts": (
+            lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(F.expr(U.domain(SPARK, "url")).alias("domain")).agg(F.count(F.lit(1)).alias("n")),
+            f"SELECT {U.domain(DUCK, 'url')} AS domain, count(*) AS n FROM pages GROUP BY 1",
+        ),
+        "catalog_entities": (lambda spark, sf_dir: I.catalog_entities(derived(spark, sf_dir, "catalog"), "idx").drop("sku_confidence", "ram", "storage", "processor", "display", "os_family", "os_version", "price_inr", "product_url", "name_source", "is_canonical_name"), I.catalog_oracle(sql_of("catalog")[1:-1], "idx", CATALOG)),
+        "variant_merge": (_merged, None),
+        "doc_signature_dedupe": (
+            lambda spark, sf_dir: I.dedupe_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").select("doc_id", "lang"),
+            "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(coalesce(text, ''))), lower(trim(coalesce(lang, ''))) ORDER BY doc_id) AS k FROM documents) WHERE k = 1",
+        ),
+        "duplicate_ratio_by_source": (
+            _dup_ratio,
+            "SELECT source, count(*) AS rows, count(*) FILTER (k > 1) AS duplicates, avg(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS ratio FROM (SELECT source, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY source, doc_id) AS k FROM documents) GROUP BY source",
+        ),
+        "jobs_page": (_page, f"SELECT *, count(*) OVER () AS total FROM {sql_of('jobs')} WHERE project_id = 3 AND status = 'success' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 10"),
+        "jobs_by_status": (
+            of("jobs", lambda df: df.groupBy("status", S.status_bucket(F.col("status")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 2).alias("cost"))),
+            f"SELECT status, CASE WHEN status IN ('success', 'partial_success', 'failed', 'cancelled') THEN 'terminal' ELSE 'active' END AS bucket, count(*) AS n, round(sum(cost), 2) AS cost FROM {sql_of('jobs')} GROUP BY 1, 2",
+        ),
+        "job_transitions": (
+            of("jobs", lambda df: df.select("job_id", S.transition(F.col("status"), "retry").alias("retry"), S.transition(F.col("status"), "cancel").alias("cancel"))),
+            f"SELECT job_id, CASE WHEN status IN ('failed', 'cancelled') THEN 'queued' END AS retry, CASE WHEN status = 'queued' THEN 'cancelled' END AS cancel FROM {sql_of('jobs')}",
+        ),
+        "visible_exports": (
+            lambda spark, sf_dir: S.visible_exports(derived(spark, sf_dir, "exports"), derived(spark, sf_dir, "jobs"), spark.range(2, 5).select(F.col("id").cast("string").alias("project_id"))),
+            f"SELECT * FROM {sql_of('exports')} WHERE job_id IN (SELECT job_id FROM {sql_of('jobs')} WHERE project_id IN (2, 3, 4))",
+        ),
+        "exportable_jobs": (
+            two("jobs", "job_rows", S.exportable),
+            f"SELECT * FROM {sql_of('jobs')} WHERE status IN ('success', 'partial_success') AND job_id IN (SELECT job_id FROM {sql_of('job_rows')})",
+        ),
+        "template_match": (
+            two("template_pages", "templates", S.match_templates),
+            f"SELECT page_id, domain, template_id, exact FROM (SELECT p.page_id, p.domain, t.template_id, coalesce(t.page_fingerprint = p.fingerprint, false) AS exact, row_number() OVER (PARTITION BY p.page_id ORDER BY coalesce(t.page_fingerprint = p.fingerprint, false) DESC, t.success_rate DESC, t.version DESC, t.updated_at DESC) AS k FROM {sql_of('template_pages')} p LEFT JOIN (SELECT * FROM {sql_of('templates')} WHERE NOT invalidated) t ON t.domain = p.domain) WHERE k = 1",
+        ),
+        "template_versions": (
+            of("templates", lambda df: S.version_templates(df.drop("version"), "updated_at").select("template_id", "version", "parent_template_id")),
+            f"SELECT template_id, row_number() OVER w AS version, lag(template_id) OVER w AS parent_template_id FROM {sql_of('templates')} WINDOW w AS (PARTITION BY domain, page_type, page_fingerprint ORDER BY updated_at)",
+        ),
+        "template_health": (
+            of("outcomes", lambda df: S.template_health(df, "template_id", "event_id")),
+            f"SELECT template_id, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count, round(count(*) FILTER (success) / count(*), 4) AS success_rate, NOT arg_max(success, event_id) AND count(*) FILTER (NOT success) >= 3 AS invalidated FROM {sql_of('outcomes')} GROUP BY 1",
+        ),
+        "latest_versions": (
+            of("usage", lambda df: S.latest(df, "user_id", "event_id")),
+            f"SELECT user_id, event_id, event_type, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {sql_of('usage')}) WHERE k = 1",
+        ),
+        "usage_ids": (
+            of("usage", lambda df: S.with_ids(df.drop("event_type", "user_id"), ["created_at", "event_id"])),
+            f"SELECT event_id, created_at, row_number() OVER (ORDER BY created_at, event_id) AS id FROM {sql_of('usage')}",
+        ),
+        "retention_counts": (
+            _retention,
+            f"WITH j AS (SELECT job_id FROM {sql_of('jobs')} WHERE created_at < TIMESTAMP '1996-06-01') SELECT (SELECT count(*) FROM j) AS jobs_deleted, (SELECT count(*) FROM {sql_of('job_rows')} WHERE job_id IN (SELECT job_id FROM j)) AS rows_deleted, (SELECT count(*) FROM {sql_of('exports')} WHERE job_id IN (SELECT job_id FROM j)) AS exports_deleted, (SELECT count(*) FROM {sql_of('usage')} WHERE created_at < TIMESTAMP '1996-06-01') AS events_deleted, (SELECT count(*) FROM {sql_of('templates')} WHERE invalidated AND TIMESTAMP '1995-01-01' + to_days(cast(updated_at AS int)) < TIMESTAMP '1996-06-01') AS templates_deleted",
+        ),
+        "request_metrics": (of("request_log", M.request_metrics), f"SELECT method, path, status, count(*) AS requests, round(sum(duration_ms), 4) AS duration_ms_sum FROM {sql_of('request_log')} GROUP BY 1, 2, 3"),
+        "request_blocks": (of("request_log", M.blocked), f"SELECT path, count(*) FILTER (status = 429) AS rate_limited, count(*) FILTER (status = 401) AS auth_failed FROM {sql_of('request_log')} GROUP BY 1 HAVING count(*) FILTER (status IN (401, 429)) > 0"),
+        "metrics_exposition": (
+            of("request_log", lambda df: M.exposition(M.request_metrics(df))),
+            f"SELECT 'http_requests_total{{method=\"' || method || '\",path=\"' || path || '\",status=\"' || status || '\"}} ' || count(*) AS line FROM {sql_of('request_log')} GROUP BY method, path, status",
+        ),
+        "label_counts": (of("labelled", M.label_counts), f"SELECT coalesce(nullif(trim(label), ''), 'unclassified') AS label, count(*) AS n FROM {sql_of('labelled')} GROUP BY 1"),
+        "label_validate": (
+            _validated,
+            "SELECT * FROM (VALUES ('title', 1, 'product_name', 'text', 0.9, 'product_name'), ('price text', 2, 'price_text', 'money', 0.65, 'price_text'), ('Stars', 3, 'product_name', 'text', 1.0, 'product_name_2'), ('link', 4, 'link', 'url', 0.65, 'link')) t(source, position, name, kind, confidence, target)",
+        ),
+        "export_json_rows": (
+            _export,
+            f"WITH x AS (SELECT job_id, row_index, '{{\"flag\":\"' || flag || '\",\"part\":' || part || '}}' AS j FROM {sql_of('job_rows')} WHERE job_id < 200) SELECT job_id, '[' || string_agg(j, ',' ORDER BY row_index, j) || ']' AS json FROM x GROUP BY job_id",
+        ),
+        "rate_limit_log": (_limited(T.SlidingLog), None),
+        "rate_limit_fixed": (
+            _limited(T.FixedWindow),
+            f"WITH RECURSIVE h AS (SELECT id, user_key AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_key ORDER BY ts, id) AS k FROM {sql_of('request_log')}), r AS (SELECT id, key, t, k, t AS s, 1 AS n FROM h WHERE k = 1 UNION ALL SELECT h.id, h.key, h.t, h.k, CASE WHEN h.t >= r.s + 36000 THEN h.t ELSE r.s END, CASE WHEN h.t >= r.s + 36000 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1) SELECT id, key, n <= 3 AS allowed, greatest(0, 3 - n) AS remaining FROM r",
+        ),
+    }
+    return out
+
+
+def queries() -> dict[str, Query]:
+    return {name: run for name, (run, _) in _table().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"clean_offers": C.oracle(O.duck_source(), "idx", False), "clean_offers_dedupe": C.oracle(O.duck_source(), "idx", True)}
+    return {name: sql for name, (_, sql) in _table().items() if sql}
