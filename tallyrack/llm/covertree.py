@@ -22,7 +22,7 @@ from .common import checkpoint, documents, table
 from .components import components
 
 THRESHOLD = 0.93
-#: Classes in a block, about; pivots for a large label, and large labels that have pivots (the rest go by hash alone).
+#: Classes in a block, about; pivots for a large label at most (one for each block's worth of classes), and large labels that have pivots (the rest go by hash alone).
 BLOCK, PIVOTS, PIVOT_LABELS = 1024, 64, 256
 #: What rounding may take from a distance: bounds are kept this far from what they decide.
 SLACK = 1e-6
@@ -180,14 +180,15 @@ def _valid() -> F.Column:
 def _cells(nodes: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """nodes with `cell`: the nearest pivot for labels that have them, else 0.  At most PIVOT_LABELS * PIVOTS pivots
     are collected, whatever the input's size."""
-    large = [(r.label, r.dim) for r in sizes.filter(F.col("n") > 2 * block).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_LABELS).collect()]
+    large = [(r.label, r.dim, min(PIVOTS, -(-r.n // block))) for r in sizes.filter(F.col("n") > 2 * block).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_LABELS).collect()]
     if not large:
         return nodes.withColumn("cell", F.lit(0)).withColumn("away", F.lit(2.0))
     first = Window.partitionBy("label", "dim").orderBy(F.xxhash64("node"), "node")
-    chosen = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(large, nodes.select("label", "dim").schema)), ["label", "dim"])
-    rows = chosen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= PIVOTS).select("label", "dim", "k", "embedding").collect()
+    chosen = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(large, "label int, dim int, pivots int")), ["label", "dim"])
+    rows = chosen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= F.col("pivots")).select("label", "dim", "k", "embedding").collect()
     pivots: dict[tuple, np.ndarray] = {}
-    for key in large:
+    for *key, _ in large:
+        key = tuple(key)
         mine = sorted((r for r in rows if (r.label, r.dim) == key), key=lambda r: r.k)
         pivots[key] = unit([r.embedding for r in mine])
     names = [f for f in nodes.schema.fields]
