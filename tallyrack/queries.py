@@ -11,13 +11,18 @@ from .functions import records as R
 from .functions import urls as U
 from .functions.dialect import DUCK, SPARK, Dialect
 from .operators import clean as C
+from .operators import extract as X
+from .operators import paginate as P
+from .operators import structured as G
 from .operators import export as E
 from .operators import identity as I
 from .operators import labels as A
 from .operators import metrics as M
 from .operators import store as S
 from .plans import offers as O
+from .plans.lineage import settle
 from .plans.tables import derived, sql_of
+from .sources import dom
 from .streaming import limits as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +91,25 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_variants(cat, "idx")
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers as listing rows."""
+    return O.offers(spark, sf_dir).select("idx", "title", F.regexp_replace("price", "Rs[.] ", "₹").alias("price"), "rating", F.lit(None).cast("string").alias("review_count"), "availability", "product_url", F.concat_ws(" ", "title", "description").alias("raw_text"), F.lit("https://example.com/list").alias("url"))
+
+
+def _pages(then: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query over pages and their parse, which is written once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+        return then(pages, settle(dom.parse_pages(pages)))
+
+    return run
+
+
+def _fingerprints(pages: DataFrame, parsed: DataFrame) -> DataFrame:
+    return X.fingerprint(parsed).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = spark.sql("SELECT * FROM VALUES ('title', 1), ('price text', 2), ('Stars', 3), ('link', 4) AS t(source, position)")
     labels = spark.sql("SELECT * FROM VALUES ('title', 1, 'Product Name', 'text', 0.9D), ('title', 2, 'other', 'url', 0.1D), ('Stars', 3, 'Product name', 'nonsense', 4.0D), ('nowhere', 4, 'x', 'text', 1.0D) AS t(source, position, name, kind, confidence)")
@@ -113,6 +137,13 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         ),
         "catalog_entities": (lambda spark, sf_dir: I.catalog_entities(derived(spark, sf_dir, "catalog"), "idx").drop("sku_confidence", "ram", "storage", "processor", "display", "os_family", "os_version", "price_inr", "product_url", "name_source", "is_canonical_name"), I.catalog_oracle(sql_of("catalog")[1:-1], "idx", CATALOG)),
         "variant_merge": (_merged, None),
+        "structured_catalog": (lambda spark, sf_dir: G.catalog(_listing(spark, sf_dir), "idx", stamp="2024-01-01T00:00:00Z"), None),
+        "structured_rows": (lambda spark, sf_dir: G.catalog_rows(_listing(spark, sf_dir), "idx", stamp="2024-01-01T00:00:00Z"), None),
+        "js_shell_flags": (_pages(X.js_shell), None),
+        "next_page_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages)), None),
+        "page_fingerprint_groups": (_pages(_fingerprints), None),
+        "listing_rows": (_pages(lambda pages, parsed: X.listing_rows(parsed)), None),
+        "template_values": (lambda spark, sf_dir: dom.template_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"), "article", {"title": "h1", "first": "p"}, 5).select("page_id", "idx", F.col("values")["title"].alias("title"), F.length(F.col("values")["first"]).alias("n"), "warning"), None),
         "doc_signature_dedupe": (
             lambda spark, sf_dir: I.dedupe_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").select("doc_id", "lang"),
             "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(coalesce(text, ''))), lower(trim(coalesce(lang, ''))) ORDER BY doc_id) AS k FROM documents) WHERE k = 1",
