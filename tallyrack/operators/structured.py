@@ -138,6 +138,38 @@ def _sku() -> Column:
     )
 
 
+def _recovered() -> Column:
+    """Part numbers in the text, the link and its adjacent path tokens, scored, the first of the best; beside a
+    known one only its extensions count."""
+    cur, base = F.col("found.sku"), F.col("found.confidence")
+    left = F.substring_index(cur, "-", 1)
+    right = F.expr("substring(found.sku, length(substring_index(found.sku, '-', 1)) + 2)")
+    pattern = F.lit(r"\b([A-Z0-9]{4,}-[A-Z0-9]{1,16})\b")
+    text = F.upper(squeeze(F.concat_ws(" ", "title", "source_text")))
+    link = F.upper(F.coalesce(F.try_url_decode(F.regexp_replace("raw_url", "[+]", "%2B")), "raw_url"))
+    of = lambda items, points, sure: F.transform(items, lambda c: F.struct(c.alias("c"), F.lit(points).alias("points"), F.lit(sure).alias("sure")))
+    tokens = F.regexp_extract_all(F.upper(F.expr(U.path(SPARK, "raw_url"))), F.lit("[A-Z0-9]+"), F.lit(0))
+    pairs = F.filter(F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: cur.isNotNull() | (F.length(p["b"]) >= 3))
+    joined = F.transform(pairs, lambda p: F.concat(p["a"], F.lit("-"), p["b"]))
+    found = F.concat(of(F.regexp_extract_all(text, pattern, F.lit(1)), 2.5, 0.95), of(F.regexp_extract_all(link, pattern, F.lit(1)), 2.0, 0.92), of(joined, 2.0, 0.92))
+    first_part, last_part = lambda c: F.substring_index(c, "-", 1), lambda c: F.substring_index(c, "-", -1)
+
+    def fits(x: Column) -> Column:
+        a, b = first_part(x["c"]), last_part(x["c"])
+        plausible = (F.length(a) >= 4) & a.rlike("[A-Z]") & a.rlike("[0-9]")
+        return plausible & (cur.isNull() | ((a == left) & (F.length(b) > F.length(right)) & F.startswith(b, right)))
+
+    def rated(x: Column, i: Column) -> Column:
+        a, b = first_part(x["c"]), last_part(x["c"])
+        short = (F.length(b) <= 2) & (F.length(a) >= 8)
+        more = F.when(cur.isNotNull(), 1.8).otherwise(0.0)
+        sure = F.when(cur.isNotNull(), F.greatest(x["sure"], F.lit(0.95))).otherwise(x["sure"])
+        return F.struct((x["points"] + F.least(F.length(b), F.lit(12)) / 12.0 + more - F.when(short, 0.8).otherwise(0.0)).alias("score"), (-i).alias("at"), x["c"].alias("c"), (sure - F.when(short, 0.08).otherwise(0.0)).alias("sure"))
+
+    best = F.array_max(F.transform(F.filter(found, fits), rated))
+    return F.when(best.isNull(), F.struct(cur.alias("sku"), base.alias("confidence"))).otherwise(F.struct(best["c"].alias("sku"), F.round(F.least(F.lit(0.99), F.greatest(base, best["sure"])), 2).alias("confidence")))
+
+
 def _model_parts() -> list[tuple[str, Column]]:
     """X26, in steps."""
     starts = F.lower("brand").isin("apple", "samsung", "lenovo", "dell", "hp", "asus", "acer", "msi", "motorola") & F.startswith(F.lower("title"), F.concat(F.lower("brand"), F.lit(" ")))
@@ -191,14 +223,14 @@ def _canonicality() -> Column:
 
 def _calibrated() -> Column:
     """The sku's confidence by what the text and the link say; null below 0.4."""
-    sku, bare = F.col("found.sku"), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    sku, bare = F.col("recovered.sku"), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
     own, after = bare(sku), bare(F.regexp_replace(sku, "^[^-]*-", ""))
     given = sku.rlike("^(PID|PART)-")
     target = F.when(given, after).otherwise(own)
     blob = bare(F.concat_ws(" ", "title", "source_text", "slug", "raw_url", "brand", "model", "product_family"))
     path = F.lower(F.expr(U.path(SPARK, "raw_url")))
     pid = bare(first(F.col("raw_url"), r"[?&](?:pid|product_id)=([^&#]+)", 1))
-    c = F.col("found.confidence")
+    c = F.col("recovered.confidence")
     missing = F.when(~F.contains(blob, target), F.when(c < 0.8, 0.35).otherwise(0.2)).otherwise(0.0)
     kind = F.when(F.startswith(sku, F.lit("PID-")), F.when((pid != "") & F.contains(after, pid), 0.05).otherwise(-0.25)).when(F.startswith(sku, F.lit("PART-")), F.when(F.concat_ws(" ", "source_text", "title").rlike(PART_LABEL), 0.0).otherwise(-0.2)).otherwise(F.when(F.contains(bare(path), own), 0.0).otherwise(-0.1))
     words = F.slice(F.concat(F.slice(F.filter(F.split(F.expr(model_signature(SPARK, "model")), "-"), lambda t: t != ""), 1, 3), F.slice(F.filter(F.split(F.lower(F.coalesce("product_family", F.lit(""))), " "), lambda t: t != ""), 1, 2)), 1, 4)
@@ -244,15 +276,13 @@ def _prices() -> list[tuple[str, Column]]:
 
 def catalog_rows(rows: DataFrame, order: str, page_url: str = "url", stamp: str | None = None) -> DataFrame:
     """Listing rows (title, price, rating, review_count, availability, product_url, raw_text, url) -> the catalog's
-    columns without the ids, and `order`.  `stamp` is the time that goes with review counts, given for reruns to agree.
-    Part numbers are taken from the text, labels, the slug and the link; longer ones are not pieced together from
-    several places of a page."""
+    columns without the ids, and `order`.  `stamp` is the time that goes with review counts, given for reruns to agree."""
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in rows.columns else F.lit("")
     df = rows.select(order, text("title").alias("raw_title"), text("raw_text").alias("source_text"), text("product_url").alias("raw_url"), *(F.col(c).cast("string").alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("price", "rating", "review_count", "availability")), text(page_url).alias("page_url"))
     steps: list[tuple[str, Column]] = [
         ("title", product_title(F.col("raw_title"))), ("product_url", F.expr(U.canonical(SPARK, "raw_url"))), ("slug", F.expr(U.slug(SPARK, "product_url", False))), ("said", F.coalesce(F.nullif(F.col("source_text"), F.lit("")), "raw_title")),
         ("price_given", digits(F.col("price"))), ("rating_given", rating_text(F.col("rating")).cast("double")), ("brand", _brand()), ("category", _category(F.lower(F.concat_ws(" ", "title", "slug", "page_url")))), ("spoken", F.concat_ws(" ", "source_text", "title", F.regexp_replace("slug", "-", " "))),
-        ("processor", _processor()), ("found", _sku()), *_model_parts(), ("product_family", _family()), ("sure", _calibrated()), ("named", _canonicality()), *_memory(),
+        ("processor", _processor()), ("found", _sku()), *_model_parts(), ("product_family", _family()), ("recovered", _recovered()), ("sure", _calibrated()), ("named", _canonicality()), *_memory(),
         ("display", F.coalesce(F.concat(first(F.col("spoken"), r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*(?:inch|inches|in|\"|'')\b", 1), F.lit(" inch")), F.concat(first(F.col("spoken"), r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*cm\b", 1), F.lit(" cm")))),
         ("heard", F.lower(F.concat_ws(" ", "source_text", "title", "slug"))), ("os_family", _os(F.col("heard"))[0]), ("os_version", _os(F.col("heard"))[1]), *_prices(),
         ("rating_", F.coalesce("rating_given", *(rating_text(first(F.col("said"), p, 1)).cast("double") for p in RATINGS))), ("reviews", F.coalesce(digits(F.col("review_count")), digits(first(F.col("said"), REVIEWS, 1)))),

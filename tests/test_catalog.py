@@ -53,10 +53,10 @@ def test_urls(spark):
 
 
 def test_structured_row(spark):
-    rows = [(1, "Add to Compare Apple MacBook Air M4 - (16 GB/512 GB SSD/macOS Sequoia) MC6T4HN/A 4.7 2,835 Ratings", "₹89,990", "https://shop.example.com/apple-macbook-air-m4-mc6t4hn-a/p/itm1?pid=COMH9ZWQ", "Apple MacBook Air M4 (16 GB/512 GB SSD) MC6T4HN/A ₹89,990 ₹99,900 4.7 2,835 Ratings & 210 Reviews in stock"), (2, "Laptops", None, "https://shop.example.com/laptops/pr?sid=1", ""), (3, None, None, None, None)]
+    rows = [(1, "Add to Compare Apple MacBook Air M4 - (16 GB/512 GB SSD/macOS Sequoia) MC6T4HN/A 4.7 2,835 Ratings", "₹89,990", "https://shop.example.com/apple-macbook-air-m4-mc6t4hn-a/p/itm1?pid=COMH9ZWQ", "Apple MacBook Air M4 (16 GB/512 GB SSD) MC6T4HN/A ₹89,990 ₹99,900 4.7 2,835 Ratings & 210 Reviews in stock"), (2, "Laptops", None, "https://shop.example.com/laptops/pr?sid=1", ""), (3, None, None, None, None), (4, "Samsung Galaxy Book NP750XGJ-K", "₹50,000", "https://x.example.com/samsung-np750xgj-kg1in/p/2", "")]
     df = spark.createDataFrame(rows, "idx long, title string, price string, product_url string, raw_text string")
     got = {r.idx: r for r in S.catalog_rows(df, "idx").collect()}
-    assert got.keys() == {1, 3}
+    assert got.keys() == {1, 3, 4} and got[4].sku == "NP750XGJ-KG1IN"
     r = got[1]
     assert (r.brand, r.category, r.model, r.sku, r.ram, r.storage, r.processor, r.os, r.name_source) == ("Apple", "laptop", "MacBook Air M4", "MC6T4HN-A", "16 GB", "512 GB SSD", "Apple M4", "macOS Sequoia", "catalog_pattern")
     assert (r.list_price_inr, r.effective_price_inr, r.discount_percent, r.rating, r.review_count, r.review_scope, r.availability) == (99900, 89990, 9.92, 4.7, 210, "variant", "in stock")

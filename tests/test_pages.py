@@ -49,3 +49,15 @@ def test_template_rows(spark):
     got = dom.template_rows(pages, "article.card", {"name": "h2", "link": "h2 > a@href", "cls": "@class", "no": ".none"}, 5).orderBy("page_id", "idx").collect()
     assert got[0]["values"] == {"name": "Fine Desk Lamp 1", "link": "/p/1", "cls": "card", "no": None}
     assert got[2].warning == "template_container_not_found" and len(got) == 3
+
+
+def test_preview_and_run(spark):
+    from tallyrack.plans import runs
+
+    data = [(1, "https://s.example.com/a?page=1", page([1, 2], '<a class="more" href="/a?page=2">Load more</a>')), (2, "https://s.example.com/a?page=2", page([2, 3]))]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    rows, summary = runs.preview(pages, "title and price please", 10)
+    assert rows.columns == ["page_id", "idx", "title", "price"] and rows.count() == 4
+    assert {r.page_id: (r.rows, r.page_type) for r in summary.collect()} == {1: (2, "listing"), 2: (2, "listing")}
+    got = runs.run(spark.createDataFrame([(7, data[0][1])], "job_id long, url string"), pages, "title, price").orderBy("row_index").collect()
+    assert [(r.row_index, r.title[-1], r.pages, r.partial) for r in got] == [(1, "1", 2, False), (2, "2", 2, False), (3, "3", 2, False)]
