@@ -20,7 +20,7 @@ STATES = ("pre order", "currently unavailable", "coming soon", "out of stock", "
 PRICE_CLASS, RATING_CLASS, STATE_CLASS = r"(?i)price|amount|cost|mrp|sale", r"(?i)rating|stars?|score|review", r"(?i)availability|stock|status"
 NAV_WORDS = r"^(home|about|contact|privacy|terms|login|sign in|signup|register|menu|categories?)$"
 TITLE_NOISE = ("add to compare", "currently unavailable", "coming soon", "pre order", "trending", "bestseller")
-SHELL = ("enable javascript", r"<noscript>[^<]*javascript", r"id=[\"'](root|app|__next)[\"']>\s*</div>")
+SHELL = ("enable javascript", "javascript is required", r"loading\.\.\.")
 FIELDS = ("title", "price", "rating", "review_count", "availability", "seller", "company", "product_url", "raw_text")
 
 
@@ -201,4 +201,4 @@ def fingerprint(parsed: DataFrame) -> DataFrame:
 def placeholder_rows(spark, host: str, count: int, page: int = 1) -> DataFrame:
     """Made-up rows, only ever on request."""
     i = F.col("id") + 1 + (page - 1) * count
-    return spark.range(count).select(i.alias("idx"), F.format_string(f"Item %d from {host}", i).alias("title"), (999 + 5 * i).cast("string").alias("price"), F.round(3.8 + (i % 10) / 10, 1).alias("rating"), F.format_string("Seller %d", i % 7).alias("seller"), F.format_string("Company %d", i % 9).alias("company"))
+    return spark.range(count).select(i.alias("idx"), F.format_string(f"Item %d from {host}", i).alias("title"), (999 + 5 * i).cast("string").alias("price"), F.round(3.8 + (i % 10) / 10, 1).alias("rating"), F.format_string(f"https://{host}/item/%d", i).alias("product_url"), F.format_string("Seller %d", (i - 1) % 7 + 1).alias("seller"), F.format_string("Company %d", (i - 1) % 9 + 1).alias("company"))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 # Kinds of a field.
 KINDS = ("text", "money", "rating", "url", "number", "date", "email", "phone", "boolean")
 
+# Words in a field's name that tell its kind, in order.
+KIND_WORDS = {
+    "url": ("url", "link", "href", "website"), "money": ("price", "amount", "cost", "mrp"), "rating": ("rating", "score", "stars", "review"),
+    "date": ("date", "time", "published", "created"), "email": ("email", "mail"), "phone": ("phone", "mobile", "contact"),
+}
+
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
@@ -37,8 +43,9 @@ def field_name(name: Column) -> Column:
 def kind_of(name: Column) -> Column:
     """A field's kind by its name."""
     n, out = F.lower(name), F.lit("text")
-    for pattern, kind in reversed([("price|cost|amount|salary|fee", "money"), ("rating|score|stars", "rating"), ("url|link|href", "url"), ("date|time", "date"), ("email", "email"), ("phone|mobile", "phone"), ("count|qty|quantity|number", "number"), ("^is_|^has_", "boolean")]):
-        out = F.when(n.rlike(pattern), kind).otherwise(out)
+    for kind, words in reversed(KIND_WORDS.items()):
+        for w in words:
+            out = F.when(F.contains(n, F.lit(w)), kind).otherwise(out)
     return out
 
 

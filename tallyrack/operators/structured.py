@@ -31,13 +31,17 @@ def wants_catalog(prompt: str) -> bool:
     return sum(w in p for w in ("brand", "category", "model", "ram", "storage")) >= 3 and bool(re.search(r"price\s*_?\s*inr", p)) and ("product_url" in p or "product url" in p)
 
 
+# Words of a prompt and the fields that they ask for, in order.
+ASKED = {"title": "title", "name": "title", "price": "price", "rating": "rating", "review_count": "review_count", "review count": "review_count", "reviews": "review_count", "url": "product_url", "link": "product_url", "availability": "availability", "unavailable": "availability", "stock": "availability", "seller": "seller", "company": "company"}
+DEFAULT_FIELDS = ["title", "price", "rating", "product_url"]
+
+
 def fields_of(prompt: str) -> list[str]:
-    """The fields that a prompt asks for, in order; four by default."""
-    if wants_catalog(prompt):
-        return ["title", "price", "rating", "review_count", "availability", "product_url", "raw_text"]
-    p = (prompt or "").lower()
-    words = {"title": ("title", "name", "product"), "price": ("price", "cost", "amount"), "rating": ("rating", "stars"), "review_count": ("review",), "availability": ("availab", "stock"), "seller": ("seller",), "company": ("company",), "product_url": ("url", "link")}
-    return [f for f, ws in words.items() if any(w in p for w in ws)] or ["title", "price", "rating", "product_url"]
+    """The fields that a prompt asks for, in order; four by default, seven for the catalog."""
+    if prompt and wants_catalog(prompt):
+        return [*DEFAULT_FIELDS, "review_count", "availability", "raw_text"]
+    chosen = dict.fromkeys(field for word, field in ASKED.items() if word in (prompt or "").lower())
+    return list(chosen) or list(DEFAULT_FIELDS)
 
 
 def digits(x: Column) -> Column:

@@ -20,7 +20,8 @@ HEADINGS = ("h1", "h2", "h3", "h4")
 ITEMS = ("article", "li", "div", "tr", "section")
 COLLECTIONS = ("main", "section", "div", "ul", "ol", "tbody")
 # Attributes with the next page's address.
-NEXT_ATTRIBUTES = ("data-next-url", "data-next", "data-next-page", "data-load-more-url", "data-url", "data-href")
+NEXT_ATTRIBUTES = ("data-next-url", "data-next", "data-url", "data-href", "data-load-more-url", "data-page-url")
+NEXT_SCRIPT = r'"(?:next|nextUrl|next_url|nextPage|next_page)"\s*:\s*"([^"]+)"'
 
 
 class Node:
@@ -183,7 +184,8 @@ def page_row(page_id: int, url: str, html: str) -> dict:
         boxes.append({"ord": n.order, "parent": n.parent.order if inside else None, "parent_tag": n.parent.tag, "tag": n.tag, "cls": ".".join(classes(n)[:2]), "kids": [c.tag for c in n.children if isinstance(c, Node)][:6], "nav": bool(nav), "text": text(n), "links": own, "n_headings": len(heads), "headings": heads, "blocks": blocks, "hinted": hinted})
     rel = lambda tag: next((n.attrs["href"] for n in tree.nodes if n.tag == tag and "href" in n.attrs and "next" in n.attrs.get("rel", "").lower().split()), None)
     data = next((n.attrs[k] for n in tree.nodes for k in NEXT_ATTRIBUTES if n.attrs.get(k, "").strip()), None)
-    script = re.search(r"""["']?next["']?[^{}]{0,80}?["']?url["']?\s*:\s*["']([^"']+)["']""", html or "", re.I)
+    scripts = ("".join(c for c in n.children if isinstance(c, str)) for n in tree.nodes if n.tag == "script")
+    script = next((m for m in (re.search(NEXT_SCRIPT, s) for s in scripts) if m), None)
     return {
         "page_id": page_id, "url": url, "n_scripts": sum(n.tag == "script" for n in tree.nodes), "n_anchors": len([n for n in tree.nodes if n.tag == "a"]), "n_forms": sum(n.tag == "form" for n in tree.nodes), "n_headings": len(headings), "text": text(tree.root),
         "tags": [n.tag for n in tree.nodes[:400]], "classes": [c for n in tree.nodes[:300] for c in classes(n)[:2]], "rel_next": rel("a"), "link_rel_next": rel("link"), "links": list(links.values()), "data_next": data, "script_next": script[1] if script else None, "boxes": boxes,
