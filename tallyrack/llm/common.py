@@ -56,6 +56,15 @@ def uniform(*parts: Column | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
+def bounded_sample(df: DataFrame, population: int, most: int, *key: str) -> list:
+    """At most `most` rows, the least by a hash of the key.  Rows are first thinned by that hash to about half as many
+    again, so that all partitions together, however many, send the driver no more than that.  `population` is the
+    number of rows, or somewhat more; where it is much more, the sample is smaller."""
+    least = F.xxhash64(*key, F.lit("sample"))
+    thin = uniform(*map(F.col, key), -7) < min(1.0, (1.5 * most + 50) / max(1, population))
+    return df.filter(thin).orderBy(least, *df.columns).limit(most).collect()
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     for value in column.cast(pa.binary()):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, slices, table, texts
+from .common import bounded_sample, documents, held_out, slices, table, texts
 from .convnet import ByteConvNet
 
 #: The network learns from at most this many labelled documents, least by hash, and this many windows of each.
@@ -53,18 +53,19 @@ def has_letter(text: bytes) -> bool:
     return text.upper() != text.lower()
 
 
-def training_windows(docs: DataFrame) -> DataFrame:
+def training_windows(docs: DataFrame) -> list:
     """(lang, pieces): texts cut at repeatable places anywhere in the whole text, of a bounded sample."""
     spread = F.greatest(F.length("text") - LENGTH, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), spread).cast("int") + 1 for k in range(SAMPLE_WINDOWS)]
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "") & ~held_out(F.col("doc_id"), 4, 2))
-    pieces = known.select("lang", F.xxhash64("doc_id", F.lit("langid")).alias("h"), "doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(LENGTH)) for p in places)).alias("pieces"))
-    return pieces.orderBy("h", "doc_id", "pieces").limit(SAMPLE_DOCS).select("lang", "pieces")
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+    known = labelled.filter(F.col("text").isNotNull() & (F.trim("text") != ""))
+    pieces = known.select("lang", "doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(LENGTH)) for p in places)).alias("pieces"))
+    return bounded_sample(pieces, labelled.count(), SAMPLE_DOCS, "doc_id")
 
 
 def train(docs: DataFrame) -> LanguageModel:
     """Learns from text and lang of the documents that aren't held out; without any, it knows no language."""
-    rows = training_windows(documents(docs, "doc_id", "text", "lang")).collect()
+    rows = training_windows(documents(docs, "doc_id", "text", "lang"))
     languages = sorted({r.lang for r in rows})
     net = ByteConvNet(max(1, len(languages)), LENGTH)
     pairs = [(languages.index(r.lang), p.encode()) for r in rows for p in r.pieces if has_letter(p.encode())]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, held_out, slices, table, texts
+from .common import bounded_sample, checkpoint, documents, held_out, slices, table, texts
 
 #: At most so many labelled documents, least by hash, and preference pairs of them.
 SAMPLE_DOCS, SAMPLE_PAIRS, BINS = 8000, 60_000, 12
@@ -106,7 +106,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Ranker:
     """rows: feature_rows; labels: (doc_id, quality).  Labels of held-out documents are not read; a document with
     several labels has their largest."""
     known = documents(labels, "doc_id", "quality").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    least = rows.join(known, "doc_id").select("x", "quality", F.xxhash64("doc_id", F.lit("quality")).alias("h"), "doc_id").orderBy("h", "doc_id", "x").limit(SAMPLE_DOCS).collect()
+    least = bounded_sample(rows.join(known, "doc_id").select("x", "quality", "doc_id"), known.count(), SAMPLE_DOCS, "doc_id")
     x = np.array([np.frombuffer(r.x, "<f4") for r in least], np.float32).reshape(-1, FEATURES)
     return fit(x, np.array([int(r.quality > 0) for r in least]))
 
