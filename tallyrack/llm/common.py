@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from array import array
 from collections.abc import Iterable, Iterator
@@ -86,7 +85,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes:
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TAIL = re.compile(rb"(?<=[a-z0-9])[,.!]+(?=[\x20\x09-\x0D]|\Z)")
+_TAIL = b",.!"
 
 
 def lower(text: bytes) -> bytes:
@@ -116,17 +115,27 @@ class WordIds:
 
     @staticmethod
     def split(text: bytes) -> list[bytes]:
-        """Words to remember: in lower case, as the tokenizer has them anyway, and without final marks, which the
-        tokenizer splits from an ASCII letter or digit before them; so there are fewer different ones."""
-        return _TAIL.sub(rb" \g<0>", text.translate(_LOWER)).split()
+        """Words to code, in lower case, as the tokenizer has them anyway."""
+        return text.translate(_LOWER).split()
 
     def encode(self, lists: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of words; words that aren't known yet are coded in one call."""
+        """The ids of each list of words; words that aren't known yet are coded in one call.  Final marks after an
+        ASCII letter or digit are coded apart, as the tokenizer splits them there, so that their words are often known."""
         known = self.known
-        new = list(set(chain.from_iterable(lists)).difference(known))
+        whole, cut = set(), {}
+        for w in set(chain.from_iterable(lists)).difference(known):
+            stem = w.rstrip(_TAIL) if w[-1] in _TAIL else b""
+            if stem and (97 <= stem[-1] <= 122 or 48 <= stem[-1] <= 57):
+                cut[w] = stem, w[len(stem) :]
+                whole.update(x for x in cut[w] if x not in known)
+            else:
+                whole.add(w)
+        new = list(whole)
         coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         fresh = {w: array("I", c.ids).tobytes() for w, c in zip(new, coded, strict=True)}
         known.update(fresh)
+        fresh |= {w: known[stem] + known[tail] for w, (stem, tail) in cut.items()}
+        known.update(fresh)
         out = [b"".join(map(known.__getitem__, words)) for words in lists]
         self.held += sum(map(len, fresh)) + sum(map(len, fresh.values()))
         if len(known) > self.most or self.held > self.most_bytes:
