@@ -5,11 +5,14 @@ number, go to every task; a document's other words are joined to the table as (d
 
 Model.  log10 P(text) = sum over subword ids and one end id of log10 P(class | context) + log10 P(id | class).  One
 layer of masked self-attention in numpy predicts the class; ids within a class are counted over all training
-documents.  Texts are cut into windows of 16 inputs that overlap by 4: each token is scored once.
+documents.  Texts are cut into windows of 16 inputs that overlap by 4: each token is scored once.  The attention
+starts from a bounded sample and then learns from every window of every training document, once, in rounds: each
+partition goes on from the round's model, and the partitions' changes are averaged by how much text speaks for them.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +20,7 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,10 @@ from .common import bounded_sample, checkpoint, documents, held_out, lower, slic
 
 #: Words that every task is sent, each of HEAD_BYTES at most.
 HEAD, HEAD_BYTES = 131_072, 64
-#: The attention's weights are learned from at most this many documents, least by hash, and pieces of each.
+#: The attention's start is learned from at most this many documents, least by hash, and pieces of each.
 SAMPLE_DOCS, SAMPLE_PIECES, PIECE = 1500, 2, 400
+#: After it each training document is learned from in one of the rounds; a round's rate, and ids in a summed block.
+RATES, BLOCK = (0.02, 0.01), 4096
 WINDOW, OVERLAP, DIM, CLASSES = 16, 4, 16, 32
 STEP = WINDOW - OVERLAP
 END = 49407
@@ -99,6 +105,23 @@ def id_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
     return out
 
 
+def laid_out(items: list[np.ndarray], ended: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' ids one after another with their starts and ends, where each window of WINDOW + 1 begins, and how many of
+    its STEP targets are real: all ids and, unless the text was cut off, the end id."""
+    flats, starts, real, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for x, end in zip(items, ended or [True] * len(items), strict=True):
+        targets = len(x) + end
+        n = -(-targets // STEP)
+        flat = np.full(n * STEP + OVERLAP + 1, END, np.int32)
+        flat[OVERLAP + 1 : OVERLAP + 1 + len(x)] = x
+        first = np.arange(n) * STEP
+        flats.append(flat)
+        starts.append(at + first)
+        real.append(np.minimum(STEP, targets - first))
+        at += len(flat)
+    return np.concatenate(flats), np.concatenate(starts), np.concatenate(real)
+
+
 class AttentionModel:
     """P(id | ids before it) by classes; all arrays are of the vocabulary's size or smaller."""
 
@@ -116,6 +139,7 @@ class AttentionModel:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.rel = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         self.mask = np.where(self.rel >= 0, 0, -1e9).astype(np.float32)
+        self.g2 = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         self.tables = None
 
     def freeze(self) -> AttentionModel:
@@ -170,27 +194,31 @@ class AttentionModel:
             at = to
         return out / np.log(10)
 
-    def fit(self, pieces: list[np.ndarray], epochs: int = 3, batch: int = 96, rate: float = 0.02, seed: int = 8) -> AttentionModel:
-        rows = [np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(OVERLAP + 1, END), x]), WINDOW + 1)[::STEP] for x in pieces if len(x) + OVERLAP >= WINDOW]
-        if not rows:
-            return self
-        seen = np.concatenate(rows)
-        r, g2, step = np.random.default_rng(seed), {k: np.full_like(v, 1e-6) for k, v in self.p.items()}, 0
-        total = epochs * -(-len(seen) // batch)
+    def fit(self, pieces: list[np.ndarray], ended: list[bool] | None = None, epochs: int = 3, batch: int = 96, rate: float = 0.02, seed: int = 8) -> AttentionModel:
+        """Short pieces too; a piece that isn't cut off (`ended`, all by default) has the end id as its last target."""
+        flat, starts, real = laid_out(pieces, ended)
+        r, step = np.random.default_rng(seed), 0
+        total = epochs * -(-len(starts) // batch)
         for _ in range(epochs):
-            order = r.permutation(len(seen))
+            order = r.permutation(len(starts))
             for at in range(0, len(order), batch):
-                w = seen[order[at : at + batch]]
+                pick = order[at : at + batch]
                 lr, step = rate * (1 - step / total) * 3, step + 1
-                rows_e, grad_e, grads = self._gradients(w[:, :WINDOW], self.classes[w[:, OVERLAP + 1 :]])
-                for k, g in grads.items():
-                    g2[k] += g * g
-                    self.p[k] -= (lr * g / np.sqrt(g2[k])).astype(np.float32)
-                g2["E"][rows_e] += grad_e * grad_e
-                self.p["E"][rows_e] -= (lr * grad_e / np.sqrt(g2["E"][rows_e])).astype(np.float32)
+                self.step(flat, starts[pick], real[pick], lr)
         return self
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    def step(self, flat: np.ndarray, starts: np.ndarray, real: np.ndarray, lr: float) -> np.ndarray:
+        """One step on some windows of laid_out texts.  The ids that were read."""
+        w = flat[starts[:, None] + np.arange(WINDOW + 1)]
+        rows_e, grad_e, grads = self._gradients(w[:, :WINDOW], self.classes[w[:, OVERLAP + 1 :]], np.arange(STEP) < real[:, None])
+        for k, g in grads.items():
+            self.g2[k] += g * g
+            self.p[k] -= (lr * g / np.sqrt(self.g2[k])).astype(np.float32)
+        self.g2["E"][rows_e] += grad_e * grad_e
+        self.p["E"][rows_e] -= (lr * grad_e / np.sqrt(self.g2["E"][rows_e])).astype(np.float32)
+        return rows_e
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         p, root = self.p, np.float32(1 / np.sqrt(DIM))
         e = p["E"][x]
         late = e[:, OVERLAP:]
@@ -204,7 +232,10 @@ class AttentionModel:
         d = np.exp(z - z.max(axis=2, keepdims=True))
         d /= d.sum(axis=2, keepdims=True)
         np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) - 1, 2)
-        d /= y.size
+        if real is None:
+            d /= y.size
+        else:
+            d *= (real / np.float32(real.sum()))[:, :, None].astype(d.dtype)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         dz = (d @ p["U"].T) * (1 - h * h)
         dm = dz @ p["O"].T
@@ -222,17 +253,77 @@ class AttentionModel:
 
 
 def train(docs: DataFrame, counts: DataFrame, tokenizer: str) -> AttentionModel:
-    """Ids within classes from all of the counts; the attention from pieces of a bounded sample of the documents."""
+    """Ids within classes from all of the counts; the attention from a bounded sample, then from all of the documents."""
     known = documents(docs, "doc_id", "text").filter(F.length("text") > 0)
     spread = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), spread).cast("int") + 1 for k in range(SAMPLE_PIECES)]
-    rows = known.select("doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(PIECE)) for p in places)).alias("pieces"))
+    rows = known.select("doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(PIECE)) for p in places)).alias("pieces"), (F.length("text") <= PIECE).alias("whole"))
     rows = bounded_sample(rows, docs.count(), SAMPLE_DOCS, "doc_id")
     coder = word_ids(tokenizer)
     coded = coder.encode([coder.split(p.encode()) for r in rows for p in r.pieces])
     tokens = [coder.tokenizer.id_to_token(i) or "" for i in range(END + 1)]
     model = AttentionModel(id_counts(counts, tokenizer), tokens)
-    return model.fit([np.frombuffer(x, "<u4").astype(np.int64) for x in coded]).freeze()
+    model.fit([np.frombuffer(x, "<u4") for x in coded], [r.whole for r in rows for _ in r.pieces])
+    for k, rate in enumerate(RATES):
+        learn(documents(docs, "doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(len(RATES))) == k), model, tokenizer, rate)
+    return model.freeze()
+
+
+def learn(docs: DataFrame, model: AttentionModel, tokenizer: str, rate: float, batch: int = 512) -> None:
+    """A round: each partition takes steps over every window of its documents; the changes are averaged, a token's
+    vector by how many steps of a partition read it, all else by windows.  What a partition sends is of the model's
+    size and is summed by blocks before it reaches the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = sorted(k for k in model.p if k != "E")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        own = copy.copy(start)
+        own.p, own.g2 = ({k: v.copy() for k, v in of.items()} for of in (start.p, start.g2))
+        coder, r, read, seen = word_ids(tokenizer), np.random.default_rng(9), np.zeros(END + 1), 0
+        for part in slices(batches):
+            flat, starts, real = laid_out([np.frombuffer(x, "<u4") for x in coder.encode([coder.split(x) for x in texts(part.column("text"))])])
+            order = r.permutation(len(starts))
+            for at in range(0, len(order), batch):
+                pick = order[at : at + batch]
+                read[own.step(flat, starts[pick], real[pick], rate)] += 1
+            seen += len(starts)
+        if not seen:
+            return
+        vectors = np.hstack([(own.p["E"] - start.p["E"]) * read[:, None], read[:, None]])
+        blocks = [vectors[i : i + BLOCK] for i in range(0, len(vectors), BLOCK)] + [np.concatenate([*((own.p[k] - start.p[k]).reshape(-1) * float(seen) for k in names), [float(seen)]])]
+        who = TaskContext.get().partitionId()
+        for i, x in enumerate(blocks):
+            yield pa.record_batch({"block": pa.array([i], pa.int32()), "who": pa.array([who], pa.int32()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        row = lambda: pa.record_batch({"block": pa.array([at], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
+        for one in batches:
+            for i, x in zip(one.column("block").to_pylist(), one.column("x"), strict=True):
+                more = np.frombuffer(x.as_buffer(), np.float32).astype(float)
+                if i == at:
+                    total += more
+                    continue
+                if at is not None:
+                    yield row()
+                at, total = i, more
+        if at is not None:
+            yield row()
+
+    parts = docs.mapInArrow(run, "block int, who int, x binary").repartition("block").sortWithinPartitions("block", "who")
+    sums = {r.block: np.frombuffer(r.x, float) for r in parts.mapInArrow(add, "block int, x binary").collect()}
+    shared.unpersist()
+    if not sums:
+        return
+    rest = sums.pop(max(sums))
+    vectors = np.concatenate([sums[i] for i in sorted(sums)]).reshape(-1, DIM + 1)
+    model.p["E"] += (vectors[:, :DIM] / np.maximum(vectors[:, DIM:], 1)).astype(np.float32)
+    at = 0
+    for k in names:
+        size = model.p[k].size
+        model.p[k] += (rest[at : at + size] / rest[-1]).reshape(model.p[k].shape).astype(np.float32)
+        at += size
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:

@@ -8,6 +8,7 @@ from math import log10
 import numpy as np
 
 from tallyrack.llm.lmscore import CLASSES, DIM, END, OVERLAP, STEP, WINDOW, AttentionModel, score
+from tallyrack.llm.lmscore import laid_out as lmscore_windows
 
 
 def small(seed=1):
@@ -100,3 +101,31 @@ def test_the_model_learns(spark):
 
 def test_empty_table(spark):
     assert score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_training_text_teaches_the_attention(spark, monkeypatch):
+    """Ids that only occur outside the sample, in texts of one word too, get trained vectors."""
+    from tallyrack.llm import lmscore
+    from tallyrack.llm.common import tokenizer_path, word_ids
+
+    path = tokenizer_path("word_bpe_49k.json")
+    monkeypatch.setattr(lmscore, "SAMPLE_DOCS", 1)
+    words = ["lamp", "river", "green", "stone", "window", "paper", "seven", "music", "garden", "winter"]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(50, None), (51, "")], "doc_id long, text string").repartition(3)
+    counts = lmscore.word_counts(docs, path)
+    model = lmscore.train(docs, counts, path)
+    coder = word_ids(path)
+    start = AttentionModel(lmscore.id_counts(counts, path), [coder.tokenizer.id_to_token(i) or "" for i in range(END + 1)])
+    ids = np.unique(np.frombuffer(b"".join(coder.encode([[w.encode()] for w in words])), "<u4"))
+    assert (model.p["E"][ids] != start.p["E"][ids]).any(axis=1).all()
+
+
+def test_short_texts_and_the_end_are_learned():
+    model = small()
+    before = small().freeze().score([np.array([5, 6])])[0]
+    assert model.fit([np.array([5, 6])] * 50).freeze().score([np.array([5, 6])])[0] > before + 0.5
+    items = [np.arange(n) for n in (0, 1, 11, 12, 30)]
+    flat, starts, real = lmscore_windows(items)
+    seen = [flat[s + OVERLAP + 1 + j] for s, n in zip(starts, real) for j in range(n)]
+    assert seen == [y for x in items for y in [*x, END]]
+    assert lmscore_windows(items, [False] * 5)[2].sum() == sum(map(len, items))
