@@ -353,7 +353,7 @@ def score(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> Da
     under = n + 1 * (v + 1)
     top = most_frequent(counts.filter(_is_word() & (F.length("key") <= HEAD_BYTES)), head)
     common = docs.sparkSession.sparkContext.broadcast(({bytes(r.key): r.c for r in top}, train(learned, counts, tokenizer)))
-    end = next((r.c for r in top if bytes(r.key) == _END_KEY), 0)
+    end = counts.filter(F.col("key") == F.lit(_END_KEY)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     schema = "rid long, key binary, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,3 +129,16 @@ def test_short_texts_and_the_end_are_learned():
     seen = [flat[s + OVERLAP + 1 + j] for s, n in zip(starts, real) for j in range(n)]
     assert seen == [y for x in items for y in [*x, END]]
     assert lmscore_windows(items, [False] * 5)[2].sum() == sum(map(len, items))
+
+
+def test_the_end_is_counted_whatever_the_head(spark):
+    """No word is sent to the tasks, and one long text whose words are all as rare as the end."""
+    for texts, head in ((["a b", "b", None], 0), ([" ".join(f"w{i}" for i in range(500))], 100)):
+        got = score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), head=head).collect()
+        lists = [(t or "").split() + ["\n"] for t in texts]
+        count = Counter(w for i, x in enumerate(lists) if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+        n, v = sum(count.values()), len(count)
+        for g in got:
+            own = lists[g.doc_id]
+            assert g.n_tokens == len(own) and g.n_known == sum(count[w] > 0 for w in own)
+            assert abs(g.base_score - sum(log10((count[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
