@@ -118,7 +118,7 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir, "job_rows").filter("job_id < 200").select("job_id", "row_index", "flag", "part")
+    rows = derived(spark, sf_dir, "job_rows").select("job_id", "row_index", "flag", "part")
     return E.array_of(E.json_rows(rows, "job_id", "row_index"), "job_id", "row_index")
 
 

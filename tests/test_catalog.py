@@ -116,3 +116,15 @@ def test_export(spark, tmp_path):
     assert E.array_of(E.json_rows(rows.select("job", "i", "a", "b"), "job", "i"), "job", "i").first().json == '[{"a":"x","b":2.5},{"a":"say \\"hi\\", é","b":null}]'
     token = E.sign("e", 99, "s")
     assert E.verify("e", 99, token, "s", 98) and not E.verify("e", 99, token, "s", 100) and not E.verify("f", 99, token, "s", 1)
+
+
+def test_every_job_is_exported(spark):
+    from tallyrack.plans.tables import derived
+    from tallyrack.queries import queries
+
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for r in derived(spark, sf, "job_rows").select("job_id", "row_index", "flag", "part").collect():
+        want.setdefault(r.job_id, []).append((r.row_index, f'{{"flag":"{r.flag}","part":{r.part}}}'))
+    got = {r.job_id: r.json for r in queries()["export_json_rows"](spark, sf).collect()}
+    assert max(want) >= 200 and got == {k: "[" + ",".join(j for _, j in sorted(v)) + "]" for k, v in want.items()}
