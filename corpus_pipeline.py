@@ -25,17 +25,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays; of rows that repeat a doc_id, the
-    least row.  Only the rows of repeated ids are aggregated; ordinarily there are none."""
-    groups = checkpoint(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    stay = groups.groupBy("doc_id").agg(F.max(own.cast("int")).alias("stays"), F.count(F.lit(1)).alias("rows")).filter("stays = 1").withColumnRenamed("doc_id", "id")
-    of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
-    repeated = checkpoint(stay.filter("rows > 1"))
+    """Of each group of near-duplicates one row stays, the one with the least doc_id (null last) and, among rows that
+    share it, the least digest.  Rows are told apart by a digest of all their columns, so that different texts with
+    equal or null ids never drop each other; only rows that repeat wholly are aggregated."""
+    values = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+    digest = F.unhex(F.md5(F.concat_ws("\n", values, F.when(F.col("text").isNull(), "0").otherwise(F.concat(F.lit("1"), "text")))))
+    keyed = docs.withColumn("row_digest", digest)
+    groups = checkpoint(simhash.near_duplicates(keyed, more=("row_digest",)).select("doc_id", "root", "row_digest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "row_digest"))
+    stay = groups.groupBy("root").agg(first["row_digest"].alias("digest"))
+    rows = groups.groupBy("row_digest").agg(F.count(F.lit(1)).alias("rows"))
+    stay = checkpoint(stay.join(rows, F.col("digest") == F.col("row_digest")).select("digest", "rows"))
+    of = lambda some: keyed.join(some, F.col("row_digest") == F.col("digest"), "left_semi")
+    repeated = stay.filter("rows > 1")
     if repeated.isEmpty():
-        return of(stay)
-    least = of(repeated).groupBy("doc_id").agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row"))
-    return of(stay.filter("rows = 1")).unionByName(least.select("row.*"))
+        return of(stay).select(*docs.columns)
+    least = of(repeated).groupBy("row_digest").agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row"))
+    return of(stay.filter("rows = 1")).select(*docs.columns).unionByName(least.select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

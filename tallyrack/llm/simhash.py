@@ -46,15 +46,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long.  Null text counts as empty."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp, more): fp is the 64-bit fingerprint as a signed long, more are binary columns carried along.  Null
+    text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = np.array([fingerprint(x) for x in texts(part.column("text"))], dtype=np.uint64)
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": pa.array(found.view(np.int64))})
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": pa.array(found.view(np.int64)), **{c: part.column(c).cast(pa.binary()) for c in more}})
 
-    return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return documents(docs, "doc_id", "text", *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} binary" for c in more)]))
 
 
 def _forest(group: np.ndarray, bit: int, side: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -150,20 +151,21 @@ def _signature(i: Column) -> Column:
     return F.col("v").bitwiseAND(F.lit((1 << 32) - 1) - bit) * 64 + F.col("half") * 32 + i
 
 
-def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
-    """documents -> (doc_id, fp, component_id): the smallest doc_id among the documents reachable over links.
+def near_duplicates(docs: DataFrame, most: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> (doc_id, fp, component_id) and, with `more` columns to carry along, these and root, which names
+    the component whatever its ids: the smallest doc_id among the documents reachable over links.
 
     Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows stay; a null doc_id is
     never a component's name unless all its documents have none.  No tables of documents reach the driver.
     """
-    prints = checkpoint(fingerprints(docs))
+    prints = checkpoint(fingerprints(docs, *more))
     classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(classes.select("fp"), most))
     named = classes.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = checkpoint(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = named.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(names, "fp").select("doc_id", "fp", "component_id", *more, *(["root"] if more else []))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

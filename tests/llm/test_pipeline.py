@@ -38,3 +38,19 @@ def test_run(spark):
 def test_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["langid", "simhash", "secrets", "mixture", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    texts = [w.text for w in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' AND n_chars > 400").dropDuplicates(["text"]).orderBy("doc_id").limit(60).collect()]
+    from tallyrack.llm.simhash import fingerprint
+
+    apart = []
+    for t in texts:
+        if all((fingerprint(t.encode()) ^ fingerprint(x.encode())).bit_count() > 8 for x in apart):
+            apart.append(t)
+    a, b, c, d, e = apart[:5]
+    rows = [(None, a), (None, b), (None, b), (7, a), (8, c), (8, d), (3, c), (9, e), (9, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted([(7, a), (0, b), (3, c), (8, d), (9, e)])
