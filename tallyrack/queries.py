@@ -143,7 +143,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "next_page_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages)), None),
         "page_fingerprint_groups": (_pages(_fingerprints), None),
         "listing_rows": (_pages(lambda pages, parsed: X.listing_rows(parsed)), None),
-        "template_values": (lambda spark, sf_dir: dom.template_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"), "article", {"title": "h1", "first": "p"}, 5).select("page_id", "idx", F.col("values")["title"].alias("title"), F.length(F.col("values")["first"]).alias("n"), "warning"), None),
+        "template_values": (lambda spark, sf_dir: dom.template_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"), "article", {"title": "h1", "first": "p"}, 5000).select("page_id", "idx", F.col("values")["title"].alias("title"), F.length(F.col("values")["first"]).alias("n"), "warning"), None),
         "doc_signature_dedupe": (
             lambda spark, sf_dir: I.dedupe_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").select("doc_id", "lang"),
             "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(coalesce(text, ''))), lower(trim(coalesce(lang, ''))) ORDER BY doc_id) AS k FROM documents) WHERE k = 1",

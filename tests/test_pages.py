@@ -61,3 +61,11 @@ def test_preview_and_run(spark):
     assert {r.page_id: (r.rows, r.page_type) for r in summary.collect()} == {1: (2, "listing"), 2: (2, "listing")}
     got = runs.run(spark.createDataFrame([(7, data[0][1])], "job_id long, url string"), pages, "title, price").orderBy("row_index").collect()
     assert [(r.row_index, r.title[-1], r.pages, r.partial) for r in got] == [(1, "1", 2, False), (2, "2", 2, False), (3, "3", 2, False)]
+
+
+def test_template_values_past_the_tenth_container(spark, tmp_path):
+    from tallyrack.queries import queries
+
+    html = "".join(f"<article><h1>t{i}</h1><p>x</p></article>" for i in range(30))
+    spark.createDataFrame([(1, "https://a.com", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.idx for r in queries()["template_values"](spark, str(tmp_path)).collect()) == list(range(30))
