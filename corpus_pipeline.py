@@ -19,9 +19,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (null and empty texts too) and those whose language no window settles."""
+    """Rejects documents without a letter (null and empty texts too), those that op1 calls undetermined."""
     found = langid.identify(docs, langid.train(docs))
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= langid.LEAST_SCORE)).select(*docs.columns)
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

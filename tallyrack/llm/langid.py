@@ -15,8 +15,6 @@ from .convnet import ByteConvNet
 #: The network learns from at most this many labelled documents, least by hash, and this many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS, LENGTH = 3000, 3, 128
 UNDETERMINED = "und"
-#: A document whose best language is less probable than this is rejected by the filtering stage.
-LEAST_SCORE = 0.5
 
 
 class LanguageModel:
@@ -24,12 +22,14 @@ class LanguageModel:
         self.languages, self.net, self.tables = languages, net, net.tables()
 
     def predict(self, items: list[bytes]) -> list[tuple[str, float]]:
-        """Every whole text in fixed-length windows, the last one padded with zeros; a text's probabilities are
-        its windows' means, weighed by their bytes."""
+        """Every whole text in fixed-length windows, the last one padded with zeros and followed by an empty one, so that
+        no filter reads the next text; a text's probabilities are its windows' means, weighed by their bytes."""
         step, ahead = self.net.length, self.net.ahead
         counts = np.array([-(-len(x) // step) for x in items], np.int64)
-        data = np.frombuffer(b"".join(x + b"\0" * (-len(x) % step) for x in items) + b"\0" * ahead, np.uint8)
-        found = self.net.predict(data, int(counts.sum()), self.tables)
+        data = np.frombuffer(b"".join(x + b"\0" * (-len(x) % step + step) for x in items) + b"\0" * ahead, np.uint8)
+        own = np.ones(int(counts.sum()) + len(items), bool)
+        own[np.cumsum(counts + 1) - 1] = False
+        found = self.net.predict(data, len(own), self.tables)[own]
         weight = np.full(len(found), float(step))
         ends = np.cumsum(counts)
         some = counts > 0

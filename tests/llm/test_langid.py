@@ -31,3 +31,26 @@ def test_no_labels_and_no_rows(spark):
     model = train(nothing)
     assert identify(nothing, model).collect() == []
     assert identify(spark.createDataFrame([(1, "words")], "doc_id long, text string"), model).first().lang_pred == "und"
+
+
+def test_no_text_reads_its_neighbour():
+    import numpy as np
+
+    from tallyrack.llm.convnet import ByteConvNet
+    from tallyrack.llm.langid import LanguageModel
+
+    model = LanguageModel(["a", "b"], ByteConvNet(2, 128))
+    for text in (b"x" * 128, b"xy" * 64, b"short one", b"z" * 127):
+        alone = model.predict([text])[0]
+        assert all(model.predict([text, after, b"", text])[0] == alone for after in (b"QQQQ", bytes(range(128, 256)), b"\xff" * 9))
+    assert np.isclose(model.predict([b"", b"abc"])[1][1], model.predict([b"abc"])[0][1])
+
+
+def test_the_pipeline_keeps_mixed_languages(spark, monkeypatch):
+    import corpus_pipeline
+    from tallyrack.llm import langid
+
+    monkeypatch.setattr(langid, "train", lambda docs: None)
+    monkeypatch.setattr(langid, "identify", lambda docs, model: docs.selectExpr("*", "if(doc_id = 1, 'und', 'en') AS lang_pred", "if(doc_id = 1, 0D, 0.3D) AS score"))
+    docs = spark.createDataFrame([(1, "1 2"), (2, "one zwei trois")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [2]
