@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +28,28 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(df[f"`{c}`"] for c in columns))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column of the table needs to be called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table but for columns of these names, in any case of letters."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """16 bytes that tell rows apart by all their columns; only rows that repeat wholly share them."""
+    values = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")), {"ignoreNullFields": "false"})
+    return F.unhex(F.md5(F.concat_ws("\n", values, F.when(F.col("text").isNull(), "0").otherwise(F.concat(F.lit("1"), "text")))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.  Only a local master may fall back on one of its own."""
     context = spark.sparkContext
@@ -85,7 +110,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes:
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TAIL = b",.!"
+#: ASCII marks but the apostrophe, which the tokenizer may join to letters after it.
+_TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+_MARKS = frozenset(_TAIL)
+_MARK, _JOIN = b"\x01", b" \x01 "
+#: a-z and the small letters of Latin-1.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def lower(text: bytes) -> bytes:
@@ -93,6 +123,16 @@ def lower(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
+def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, A-Z in lower case, one after another, and how many each text has; null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    there = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(there, min_count=0).as_py():
+        words, owner = words.filter(there), owner.filter(there)
+    return words.cast(pa.binary()), np.bincount(owner.to_numpy(), minlength=len(column)).astype(np.int64)
+
+
 class WordIds:
     """Ids of the public word-BPE tokenizer as unsigned 32-bit bytes (of a little-endian machine), remembered by word.
 
@@ -101,59 +141,117 @@ class WordIds:
     after a call that leaves it with more than `most` words or `most_bytes` of keys and ids.
     """
 
-    def __init__(self, path: str, most: int = 900_000, most_bytes: int = 64 << 20) -> None:
+    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 48 << 20) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.most, self.most_bytes, self.held, self.known = most, most_bytes, 0, {}
+        self.mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids[0]
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.no_truncation()
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.final = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
 
     @staticmethod
     def split(text: bytes) -> list[bytes]:
         """Words to code, in lower case, as the tokenizer has them anyway."""
         return text.translate(_LOWER).split()
 
-    def encode(self, lists: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of words; words that aren't known yet are coded in one call.  Final marks after an
-        ASCII letter or digit are coded apart, as the tokenizer splits them there, so that their words are often known."""
+    def _shared(self, words: list[bytes], tokenizer, join: bytes) -> list[np.ndarray]:
+        """Ids of up to 256 words at a time that share a string."""
+        strings = [join.join(words[i : i + 256]).decode("utf-8", "replace") for i in range(0, len(words), 256)]
+        return [np.array(c.ids, np.uint32) for c in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _code(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word.  Words of small Latin letters alone need no normalising and are one piece for the model:
+        their last ids end a word.  Others share strings with a mark between them that is never joined to a word."""
+        out: dict[bytes, bytes] = {}
+        plain, rest, alone = [], [], []
+        for w in words:
+            (plain if _PLAIN(w) else alone if _MARK in w else rest).append(w)
+        for w, c in zip(alone, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False), strict=True):
+            out[w] = array("I", c.ids).tobytes()
+        for own, shared, ends in ((plain, self._shared(plain, self.bare, b" "), True), (rest, self._shared(rest, self.tokenizer, _JOIN), False)):
+            for i, ids in enumerate(shared):
+                raw, at, group = ids.tobytes(), 0, own[i * 256 : i * 256 + 256]
+                stops = np.flatnonzero(self.final[ids] if ends else ids == self.mark)
+                to = ((stops + 1) * 4).tolist() if ends else [*(stops * 4).tolist(), len(raw)]
+                for w, stop in zip(group, to, strict=True):
+                    out[w] = raw[at:stop]
+                    at = stop + 4 * (not ends)
+        return [out[w] for w in words]
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Final marks after a small Latin letter or ASCII digit are coded apart, as the tokenizer splits them there,
+        so that their words are often known."""
         known = self.known
         whole, cut = set(), {}
-        for w in set(chain.from_iterable(lists)).difference(known):
-            stem = w.rstrip(_TAIL) if w[-1] in _TAIL else b""
-            if stem and (97 <= stem[-1] <= 122 or 48 <= stem[-1] <= 57):
-                cut[w] = stem, w[len(stem) :]
-                whole.update(x for x in cut[w] if x not in known)
+        for w in words:
+            if w[-1] in _MARKS and (stem := w.rstrip(_TAIL)) and (97 <= stem[-1] <= 122 or 48 <= stem[-1] <= 57 or _PLAIN(stem[-2:])):
+                tail = w[len(stem) :]
+                cut[w] = stem, tail
+                if stem not in known:
+                    whole.add(stem)
+                if tail not in known:
+                    whole.add(tail)
             else:
                 whole.add(w)
         new = list(whole)
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: array("I", c.ids).tobytes() for w, c in zip(new, coded, strict=True)}
+        fresh = dict(zip(new, self._code(new), strict=True))
         known.update(fresh)
         fresh |= {w: known[stem] + known[tail] for w, (stem, tail) in cut.items()}
         known.update(fresh)
-        out = [b"".join(map(known.__getitem__, words)) for words in lists]
         self.held += sum(map(len, fresh)) + sum(map(len, fresh.values()))
-        if len(known) > self.most or self.held > self.most_bytes:
-            known.clear()
+
+    def _bound(self) -> None:
+        if len(self.known) > self.most or self.held > self.most_bytes:
+            self.known.clear()
             self.held = 0
+
+    def encode(self, lists: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of words; words that aren't known yet are coded in one call."""
+        self._learn(set(chain.from_iterable(lists)).difference(self.known))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        self._bound()
+        return out
+
+    def pieces(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        out = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, out, strict=True) if ids is None]
+        if new:
+            self._learn(new)
+            rest = map(self.known.__getitem__, new)
+            out = [next(rest) if ids is None else ids for ids in out]
+        self._bound()
         return out
 
 
 _word_ids: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, **bounds: int) -> WordIds:
     """One coder for each Python worker, which serves the tasks that follow as well."""
     if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
+        _word_ids[path] = WordIds(path, **bounds)
     return _word_ids[path]
 
 
+def release() -> None:
+    """Gives back what the worker holds of earlier tasks: coders, and memory that Arrow keeps for the next batch."""
+    _word_ids.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

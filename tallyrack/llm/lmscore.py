@@ -1,397 +1,426 @@
 """Language-model scoring (operator 8): add-one word counts, and a causal self-attention model on subword ids.
 
 Base score.  Word counts of all training documents stay a distributed table.  The most frequent words, a bounded
-number, go to every task; a document's other words are joined to the table as (document, word, times) rows and summed.
+number, go to every task; a document's other words are joined to the table as (document, word) rows and summed.
 
-Model.  log10 P(text) = sum over subword ids and one end id of log10 P(class | context) + log10 P(id | class).  One
-layer of masked self-attention in numpy predicts the class; ids within a class are counted over all training
-documents.  Texts are cut into windows of 16 inputs that overlap by 4: each token is scored once.  The attention
-starts from a bounded sample and then learns from every window of every training document, once, in rounds: each
-partition goes on from the round's model, and the partitions' changes are averaged by how much text speaks for them.
+Model.  log10 P(text) = sum over subword ids and one end id of log10 P(class | context) + log10 P(id | class, class of
+the id before).  P(class | context) is masked self-attention over the ids before: queries and keys are learned vectors
+of an id's class, each distance has a learned bias, and an id's value is a distribution, that of the classes which
+follow it, so that what the attention mixes is a probability.  Texts are cut into windows of 9 inputs that overlap by
+3: each token is scored once.
+
+All of it is learned from every training document.  Classes come from how ids stand beside each other, values and ids
+within classes from counts, which partitions sum by blocks.  Queries, keys and biases are learned by gradient steps in
+numpy over every window, in rounds: each partition goes on from the round's model, and changes are averaged by windows.
 """
 
 from __future__ import annotations
 
 import copy
 import hashlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, documents, held_out, lower, slices, table, texts, tokenizer_path, word_ids
+from .common import checkpoint, documents, held_out, release, shared_folder, slices, table, tokenizer_path, word_ids, word_lists
 
-#: Words that every task is sent, each of HEAD_BYTES at most.
-HEAD, HEAD_BYTES = 131_072, 64
-#: The attention's start is learned from at most this many documents, least by hash, and pieces of each.
-SAMPLE_DOCS, SAMPLE_PIECES, PIECE = 1500, 2, 400
-#: After it each training document is learned from in one of the rounds; a round's rate, and ids in a summed block.
-RATES, BLOCK = (0.02, 0.01), 4096
-WINDOW, OVERLAP, DIM, CLASSES = 16, 4, 16, 32
+#: Words that every task is sent.  A key has LONG bytes at most: longer words are counted by their digest.
+HEAD, LONG = 131_072, 64
+#: A count's key is the word itself; what no word can be starts with white space: the end token, digests of long words.
+_END_KEY, _LONG = b"\n", b"\t"
+#: Inputs of a window, those before its first target, width of queries and keys.
+WINDOW, OVERLAP, DIM = 9, 3, 16
 STEP = WINDOW - OVERLAP
+CLASSES, BUCKETS = 64, 32
 END = 49407
-#: A count's key is the word itself; what no word can be starts with white space: the end token, ids of long words, digests of long words, rows without a word.
-_END_KEY, _ID, _LONG, _ROW = b"\n", b" ", b"\t", b"\x0b"
-LONG = 256
+IDS = END + 1
+#: Each training document is learned from in one of the rounds; a round's rate, and windows a step.
+RATES, BATCH = (0.1, 0.03), 1024
+#: How many sightings a class's distribution counts for beside an id's own, and cells of a summed block.
+BACKOFF, BLOCK, FAN_IN = 8.0, 1 << 18, 64
 
 
 def _key(word: bytes) -> bytes:
     return word if len(word) <= LONG else _LONG + hashlib.sha256(word).digest()
 
 
-def word_counts(docs: DataFrame, tokenizer: str, most: int = 250_000) -> DataFrame:
-    """training documents -> (key, c), every word's count; also the end token's, and ids' of words over LONG bytes."""
+def _keys(words: pa.Array) -> pa.Array:
+    """Keys of some words; almost always the words themselves."""
+    if (pc.max(pc.binary_length(words)).as_py() or 0) <= LONG:
+        return words
+    return pa.array([_key(w) for w in words.to_pylist()], pa.binary())
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """training documents -> (key, c), every word's count; also the end token's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        for part in slices(batches, most_bytes=8 << 20, most_rows=1 << 20):
+            found = _keys(word_lists(part.column("text"))[0]).value_counts()
+            yield pa.record_batch({"key": found.field("values"), "c": found.field("counts")})
+            yield pa.record_batch({"key": pa.array([_END_KEY], pa.binary()), "c": pa.array([part.num_rows], pa.int64())})
+
+    return documents(docs, "text").mapInArrow(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent keys, `most` of them or somewhat fewer: those above a count that a small histogram of counts
+    gives, so that no partition sends more than belongs to them."""
+    step = F.floor(F.log("c") * 16).cast("int")
+    left, least = most, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    return [] if least is None else counts.filter(step >= least).collect()
 
-        def out() -> pa.RecordBatch:
-            rows = pa.record_batch({"key": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
-            held.clear()
-            return rows
 
-        for part in slices(batches):
-            for text in texts(part.column("text")):
-                words = lower(text).split()
-                held[_END_KEY] += 1
-                if max(map(len, words), default=0) > LONG:
-                    coder = word_ids(tokenizer)
-                    for w in words:
-                        if len(w) > LONG:
-                            held.update(_ID + i.tobytes() for i in np.frombuffer(coder.encode([coder.split(w)])[0], "<u4"))
-                    words = list(map(_key, words))
-                held.update(words)
-            if len(held) > most:
-                yield out()
-        if held:
-            yield out()
+# ---- windows -------------------------------------------------------------------------------------------------------
 
-    rows = documents(docs, "text").mapInArrow(run, "key binary, c long")
-    return rows.groupBy("key").agg(F.sum("c").alias("c"))
 
+def id_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Coded texts (unsigned 16-bit ids) one after another, and how many ids each has."""
+    data = column.cast(pa.binary())
+    return np.frombuffer(b"".join(data.to_pylist()), "<u2").astype(np.int64), pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 2
 
-def _is_word(key: str = "key") -> F.Column:
-    return F.hex(F.substring(key, 1, 1)) != _ID.hex().upper()
 
+def laid_out(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' ids one after another, each with OVERLAP + 1 ends before it and ends after it, where each window of
+    WINDOW + 1 begins, and how many of its STEP targets are real: all ids of a text and one end."""
+    windows = -(-(lengths + 1) // STEP)
+    ends = np.cumsum(windows * STEP + OVERLAP + 1)
+    begins = ends - (windows * STEP + OVERLAP + 1)
+    flat = np.full(int(ends[-1]) if len(ends) else 0, END, np.int64)
+    flat[np.arange(len(ids)) + np.repeat(begins + OVERLAP + 1 - (np.cumsum(lengths) - lengths), lengths)] = ids
+    nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    return flat, np.repeat(begins, windows) + nth * STEP, np.minimum(STEP, np.repeat(lengths + 1, windows) - nth * STEP)
 
-def id_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
-    """How often each subword id is in the training documents, from the words' counts; the end id once for each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = word_ids(tokenizer), np.zeros(END + 1, np.int64)
+def targets(starts: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Where the real targets of some windows are."""
+    places = starts[:, None] + np.arange(OVERLAP + 1, WINDOW + 1)
+    return places[np.arange(STEP) < real[:, None]]
+
+
+# ---- sums over partitions ------------------------------------------------------------------------------------------
+
+
+def summed(rows: DataFrame, parts: int, kind: str = "<f8") -> dict[int, np.ndarray]:
+    """(block, who, at, x) rows -> the sum of each block; at: the cells (32 bits) of a sparse x, else null.  Rows are
+    added up FAN_IN at a time before the next exchange, so that no task reads what all partitions send.  What the
+    driver gets is of `kind`."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(0)
+
+        def row() -> pa.RecordBatch:
+            return pa.record_batch({"block": pa.array([key[0]], pa.int32()), "who": pa.array([key[1]], pa.int32()), "at": pa.nulls(1, pa.binary()), "x": pa.array([total.astype(kind if last else "<f8").tobytes()], pa.binary())})
+
         for batch in batches:
-            keys, c = batch.column("key").to_pylist(), batch.column("c").to_numpy()
-            for at in range(0, len(keys), 4096):
-                some, weigh = keys[at : at + 4096], c[at : at + 4096]
-                coded = coder.encode([[] if k[:1] in (_END_KEY, _ID, _LONG) else coder.split(k) for k in some])
-                ids = np.frombuffer(b"".join(coded), "<u4")
-                total += np.bincount(ids, np.repeat(weigh, [len(x) // 4 for x in coded]), END + 1).astype(np.int64)
-                for k, n in zip(some, weigh.tolist(), strict=True):
-                    if k[:1] == _ID:
-                        total[int.from_bytes(k[1:], "little")] += n
-                    elif k == _END_KEY:
-                        total[END] += n
-        there = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(there, pa.int32()), "c": pa.array(total[there], pa.int64())})
-
-    out = np.zeros(END + 1, np.int64)
-    for r in counts.mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
-        out[r.id] = r.c
-    return out
-
-
-def laid_out(items: list[np.ndarray], ended: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts' ids one after another with their starts and ends, where each window of WINDOW + 1 begins, and how many of
-    its STEP targets are real: all ids and, unless the text was cut off, the end id."""
-    flats, starts, real, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for x, end in zip(items, ended or [True] * len(items), strict=True):
-        targets = len(x) + end
-        n = -(-targets // STEP)
-        flat = np.full(n * STEP + OVERLAP + 1, END, np.int32)
-        flat[OVERLAP + 1 : OVERLAP + 1 + len(x)] = x
-        first = np.arange(n) * STEP
-        flats.append(flat)
-        starts.append(at + first)
-        real.append(np.minimum(STEP, targets - first))
-        at += len(flat)
-    return np.concatenate(flats), np.concatenate(starts), np.concatenate(real)
+            for block, who, at, x in zip(*(batch.column(n).to_pylist() for n in ("block", "who", "at", "x")), strict=True):
+                more = np.frombuffer(x, float)
+                if at is not None:
+                    cells = np.frombuffer(at, "<u4")
+                    spread = np.zeros(BLOCK)
+                    spread[cells] = more
+                    more = spread
+                if (block, who) != key:
+                    if key is not None:
+                        yield row()
+                    key, total = (block, who), np.array(more)
+                else:
+                    total += more
+        if key is not None:
+            yield row()
 
+    while True:
+        parts = -(-parts // FAN_IN)
+        last = parts <= 1
+        dealt = rows.withColumn("part", F.col("who")).withColumn("who", F.pmod("who", F.lit(max(1, parts)))).repartition("block", "who").sortWithinPartitions("block", "who", "part").select("block", "who", "at", "x")
+        rows = dealt.mapInArrow(add, "block int, who int, at binary, x binary")
+        if last:
+            return {r.block: np.frombuffer(r.x, kind) for r in rows.collect()}
 
-class AttentionModel:
-    """P(id | ids before it) by classes; all arrays are of the vocabulary's size or smaller."""
-
-    def __init__(self, counts: np.ndarray, tokens: list[str], seed: int = 7) -> None:
-        n, r = len(counts), np.random.default_rng(seed)
-        order = np.array(sorted(range(n), key=lambda i: (tokens[i].endswith("</w>"), tokens[i], i)))
-        mass = np.cumsum(counts[order] + 0.1)
-        self.classes = np.zeros(n, np.int64)
-        self.classes[order] = np.minimum(CLASSES - 1, (mass - (counts[order] + 0.1) / 2) / mass[-1] * CLASSES).astype(np.int64)
-        self.classes = np.unique(self.classes, return_inverse=True)[1]
-        total = np.bincount(self.classes, counts + 0.1)
-        self.within = np.log((counts + 0.1) / total[self.classes])
-        k = len(total)
-        self.p = {"E": r.normal(0, 0.3, (n, DIM)), "Q": r.normal(0, 0.3, (DIM, DIM)), "K": r.normal(0, 0.3, (DIM, DIM)), "V": r.normal(0, 0.3, (DIM, DIM)), "O": r.normal(0, 0.3, (DIM, DIM)), "U": r.normal(0, 0.1, (DIM, k)), "R": np.zeros(WINDOW), "b": np.log(total / total.sum())}
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.rel = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        self.mask = np.where(self.rel >= 0, 0, -1e9).astype(np.float32)
-        self.g2 = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
-        self.tables = None
-
-    def freeze(self) -> AttentionModel:
-        """Queries, keys and values are linear in a token's vector: look-ups from here on."""
-        p = self.p
-        self.tables = [np.ascontiguousarray(p["E"] @ (p["Q"] / np.sqrt(DIM))), np.ascontiguousarray(p["E"] @ p["K"]), np.ascontiguousarray(p["E"] @ (p["V"] @ p["O"]))]
-        return self
 
-    def _bias(self) -> np.ndarray:
-        return self.p["R"][np.maximum(self.rel, 0)] + self.mask
-
-    def logs(self, inputs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """inputs (n, WINDOW), wanted (n, STEP): the natural log of each wanted id's probability."""
-        q, k, v = self.tables
-        late = inputs[:, OVERLAP:]
-        s = q.take(late, axis=0, mode="clip") @ k.take(inputs, axis=0, mode="clip").transpose(0, 2, 1)
-        s += self._bias()
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        z = s @ v.take(inputs, axis=0, mode="clip")
-        z += self.p["E"].take(late, axis=0, mode="clip")
-        np.tanh(z, out=z)
-        logits = z.reshape(-1, DIM) @ self.p["U"]
-        logits += self.p["b"]
-        classes = self.classes[wanted].reshape(-1)
-        own = logits[np.arange(len(logits)), classes]
-        np.exp(logits, out=logits)
-        return (own - np.log(logits @ np.ones(logits.shape[1], np.float32))).reshape(wanted.shape) + self.within[wanted]
-
-    def score(self, items: list[np.ndarray]) -> np.ndarray:
-        """log10 of the probability of each list of ids and an end id."""
-        counts = np.array([-(-(len(x) + 1) // STEP) for x in items])
-        out = np.zeros(len(items))
-        ends = np.cumsum(counts)
-        at = 0
-        while at < len(items):  # a bounded number of windows at a time, or one text's
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4096, side="right")))
-            inputs = np.full((int(counts[at:to].sum()), WINDOW), END, np.int64)
-            wanted = np.full((len(inputs), STEP), END, np.int64)
-            real = np.zeros(wanted.shape, bool)
-            row = 0
-            for x, n in zip(items[at:to], counts[at:to].tolist(), strict=True):
-                flat = np.full(n * STEP + WINDOW, END, np.int64)
-                flat[OVERLAP + 1 : OVERLAP + 1 + len(x)] = x
-                inputs[row : row + n] = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[: n * STEP : STEP]
-                wanted[row : row + n].reshape(-1)[: len(x)] = x
-                real[row : row + n].reshape(-1)[: len(x) + 1] = True
-                row += n
-            logs = np.concatenate([self.logs(inputs[i : i + 128], wanted[i : i + 128]) for i in range(0, len(inputs), 128)])
-            sums = (logs * real).sum(axis=1, dtype=np.float64)
-            out[at:to] = np.add.reduceat(sums, ends[at:to] - counts[at:to] - (ends[at - 1] if at else 0))
-            at = to
-        return out / np.log(10)
-
-    def fit(self, pieces: list[np.ndarray], ended: list[bool] | None = None, epochs: int = 3, batch: int = 96, rate: float = 0.02, seed: int = 8) -> AttentionModel:
-        """Short pieces too; a piece that isn't cut off (`ended`, all by default) has the end id as its last target."""
-        flat, starts, real = laid_out(pieces, ended)
-        r, step = np.random.default_rng(seed), 0
-        total = epochs * -(-len(starts) // batch)
-        for _ in range(epochs):
-            order = r.permutation(len(starts))
-            for at in range(0, len(order), batch):
-                pick = order[at : at + batch]
-                lr, step = rate * (1 - step / total) * 3, step + 1
-                self.step(flat, starts[pick], real[pick], lr)
+def counted(coded: DataFrame, cells: int, of) -> np.ndarray:
+    """Cells that of(flat, places of targets) names, counted over all windows of all coded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        total = np.zeros(cells, np.int32)
+        for part in slices(batches, "ids", 2 << 20, 1 << 20):
+            flat, starts, real = laid_out(*id_lists(part.column("ids")))
+            places = targets(starts, real)
+            for first, size, found in of(flat, places):
+                np.add(total[first : first + size], np.bincount(found, minlength=size), out=total[first : first + size], casting="unsafe")
+        who = TaskContext.get().partitionId()
+        for block, first in enumerate(range(0, cells, BLOCK)):
+            own = total[first : first + BLOCK]
+            there = np.flatnonzero(own)
+            if len(there):
+                yield pa.record_batch({"block": pa.array([block], pa.int32()), "who": pa.array([who], pa.int32()), "at": pa.array([there.astype("<u4").tobytes()], pa.binary()), "x": pa.array([own[there].astype(float).tobytes()], pa.binary())})
+
+    out = np.zeros(-(-cells // BLOCK) * BLOCK, np.float32)
+    for block, x in summed(coded.mapInArrow(run, "block int, who int, at binary, x binary"), coded.rdd.getNumPartitions(), "<f4").items():
+        out[block * BLOCK : block * BLOCK + BLOCK] = x
+    return out[:cells]
+
+
+# ---- the model -----------------------------------------------------------------------------------------------------
+
+
+def bucket(ids: np.ndarray) -> np.ndarray:
+    """A number below BUCKETS by a multiplicative hash."""
+    return (ids.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(32 - 5)).astype(np.int64)
+
+
+def beside(flat: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """How often ids of each bucket come after an id, and before it."""
+    before, after = flat[places - 1], flat[places]
+    yield 0, IDS * BUCKETS, before * BUCKETS + bucket(after)
+    yield IDS * BUCKETS, IDS * BUCKETS, after * BUCKETS + bucket(before)
+
+
+def classes(counts: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Ids in CLASSES classes of a like distribution of neighbours: k-means weighted by count, begun at the most frequent
+    ids.  A rare id is drawn to the mean of all."""
+    counts = counts.reshape(IDS, BUCKETS)
+    weights = counts.sum(axis=1)
+    mean = (counts.sum(axis=0) + 1) / (weights.sum() + BUCKETS)
+    points = np.sqrt((counts + 4 * mean) / (weights[:, None] + 4)).astype(np.float32)
+    centres = points[np.argsort(-weights, kind="stable")[:CLASSES]]
+    for _ in range(rounds):
+        near = (points @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+        mass = np.bincount(near, weights, CLASSES)
+        sums = np.stack([np.bincount(near, weights * points[:, i], CLASSES) for i in range(BUCKETS)], axis=1)
+        centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centres).astype(np.float32)
+    return (points @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+
+
+class AttentionModel:
+    """P(id | ids before it).  context: an id's class as a source, by what comes after it; target: by what comes before."""
+
+    def __init__(self, context: np.ndarray, target: np.ndarray, seed: int = 7) -> None:
+        r = np.random.default_rng(seed)
+        self.context, self.target = context.astype(np.int64), target.astype(np.int64)
+        self.p = {"Q": r.normal(0, 0.3, (CLASSES, DIM)), "K": r.normal(0, 0.3, (CLASSES, DIM)), "R": -0.7 * np.arange(WINDOW)}
+        self.g2 = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
+        self.distance = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+
+    def cells(self, flat: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """What is counted: classes after an id, classes two to four places after it, ids after a class."""
+        own, wanted, size = flat[places], self.target[flat[places]], IDS * CLASSES
+        yield 0, size, flat[places - 1] * CLASSES + wanted
+        for back in (2, 3, 4):
+            yield size, size, flat[places - back] * CLASSES + wanted
+        yield 2 * size, size, self.context[flat[places - 1]] * IDS + own
+
+    def tables(self, counts: np.ndarray) -> AttentionModel:
+        """Values and ids within classes, of counts of cells(), which they take the place of.  An id's rare sightings are
+        filled up with its class's."""
+        near, far, within = counts.astype(np.float32, copy=False).reshape(3, -1)
+        near, far, within = near.reshape(IDS, CLASSES), far.reshape(IDS, CLASSES), within.reshape(CLASSES, IDS)
+        seen = within.sum(axis=0, dtype=float) + 0.1
+        mass = np.bincount(self.target, seen, CLASSES)
+        prior = (mass + 1e-3) / (mass + 1e-3).sum()
+        for of in (near, far):
+            mean = np.stack([np.bincount(self.context, of[:, k], CLASSES) for k in range(CLASSES)], axis=1)
+            mean = (mean + BACKOFF * prior) / (mean.sum(axis=1, keepdims=True) + BACKOFF)
+            size = of.sum(axis=1, keepdims=True)
+            of += (BACKOFF * mean).astype(np.float32)[self.context]
+            of /= size + np.float32(BACKOFF)
+        alone = BACKOFF * seen / mass[self.target]
+        for c in range(CLASSES):
+            after = np.bincount(self.target, within[c], CLASSES) + BACKOFF
+            within[c] = np.log((within[c] + alone) / after[self.target])
+        self.near, self.far, self.within = near, far, within
         return self
 
-    def step(self, flat: np.ndarray, starts: np.ndarray, real: np.ndarray, lr: float) -> np.ndarray:
-        """One step on some windows of laid_out texts.  The ids that were read."""
-        w = flat[starts[:, None] + np.arange(WINDOW + 1)]
-        rows_e, grad_e, grads = self._gradients(w[:, :WINDOW], self.classes[w[:, OVERLAP + 1 :]], np.arange(STEP) < real[:, None])
-        for k, g in grads.items():
-            self.g2[k] += g * g
-            self.p[k] -= (lr * g / np.sqrt(self.g2[k])).astype(np.float32)
-        self.g2["E"][rows_e] += grad_e * grad_e
-        self.p["E"][rows_e] -= (lr * grad_e / np.sqrt(self.g2["E"][rows_e])).astype(np.float32)
-        return rows_e
-
-    def _gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-        p, root = self.p, np.float32(1 / np.sqrt(DIM))
-        e = p["E"][x]
-        late = e[:, OVERLAP:]
-        q, k, v = late @ p["Q"], e @ p["K"], e @ p["V"]
-        s = q @ k.transpose(0, 2, 1) * root + self._bias()
-        a = np.exp(s - s.max(axis=2, keepdims=True))
+    def mix(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (n, WINDOW) and targets (n, STEP): pairs of classes, attention and values by (window, target, input),
+        and the probability of each target's class.  The mask takes what comes after; exponents are bounded, so that no
+        weight or sum of weights leaves the range of its type."""
+        weights = np.exp(np.clip(self.p["Q"] @ self.p["K"].T / np.sqrt(DIM), -25, 25)).astype(np.float32)
+        bias = np.where(self.distance >= 0, np.exp(np.clip(self.p["R"], -25, 25)[np.maximum(self.distance, 0)]), 0).astype(np.float32)
+        c, t = self.context.take(x), self.target.take(y)
+        pairs = (c[:, OVERLAP:] * CLASSES)[:, :, None] + c[:, None, :]
+        a = weights.take(pairs)
+        a *= bias
         a /= a.sum(axis=2, keepdims=True)
-        m = a @ v
-        h = np.tanh(late + m @ p["O"])
-        z = h @ p["U"] + p["b"]
-        d = np.exp(z - z.max(axis=2, keepdims=True))
-        d /= d.sum(axis=2, keepdims=True)
-        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) - 1, 2)
-        if real is None:
-            d /= y.size
-        else:
-            d *= (real / np.float32(real.sum()))[:, :, None].astype(d.dtype)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        dz = (d @ p["U"].T) * (1 - h * h)
-        dm = dz @ p["O"].T
-        da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q * root
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, OVERLAP:] += dz + dq @ p["Q"].T
-        grads = {"U": flat(h).T @ flat(d), "b": flat(d).sum(axis=0), "O": flat(m).T @ flat(dz), "Q": flat(late).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv)}
-        grads["R"] = np.bincount(np.maximum(self.rel, 0).reshape(-1), (ds.sum(axis=0) * (self.rel >= 0)).reshape(-1), WINDOW)
-        rows, at = np.unique(x, return_inverse=True)
-        total = np.zeros((len(rows), DIM), np.float32)
-        np.add.at(total, at.reshape(-1), flat(de))
-        return rows, total, grads
-
-
-def train(docs: DataFrame, counts: DataFrame, tokenizer: str) -> AttentionModel:
-    """Ids within classes from all of the counts; the attention from a bounded sample, then from all of the documents."""
-    known = documents(docs, "doc_id", "text").filter(F.length("text") > 0)
-    spread = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
-    places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), spread).cast("int") + 1 for k in range(SAMPLE_PIECES)]
-    rows = known.select("doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(PIECE)) for p in places)).alias("pieces"), (F.length("text") <= PIECE).alias("whole"))
-    rows = bounded_sample(rows, docs.count(), SAMPLE_DOCS, "doc_id")
-    coder = word_ids(tokenizer)
-    coded = coder.encode([coder.split(p.encode()) for r in rows for p in r.pieces])
-    tokens = [coder.tokenizer.id_to_token(i) or "" for i in range(END + 1)]
-    model = AttentionModel(id_counts(counts, tokenizer), tokens)
-    model.fit([np.frombuffer(x, "<u4") for x in coded], [r.whole for r in rows for _ in r.pieces])
+        v = self.far.take((x * CLASSES)[:, None, :] + t[:, :, None])
+        own = np.arange(STEP)
+        v[:, own, own + OVERLAP] = self.near.take(x[:, OVERLAP:] * CLASSES + t)
+        return pairs, a, v, np.einsum("nst,nst->ns", a, v)
+
+    def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, rate: float) -> None:
+        """A gradient step (by Adagrad) on some windows."""
+        for k, g in self.gradients(x, y, real).items():
+            self.g2[k] += g * g
+            self.p[k] = self.p[k] - rate * g / np.sqrt(self.g2[k])
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean of -log P(class): a score's is a (1 - v / P)."""
+        pairs, a, v, p = self.mix(x, y)
+        v /= p[:, :, None]
+        np.subtract(1, v, out=v)
+        v *= a
+        v *= (real / np.float32(max(1, real.sum())))[:, :, None]
+        by_class = np.bincount(pairs.reshape(-1), v.reshape(-1), CLASSES * CLASSES).reshape(CLASSES, CLASSES) / np.sqrt(DIM)
+        by_place = np.bincount(np.maximum(self.distance, 0).reshape(-1), (v.sum(axis=0) * (self.distance >= 0)).reshape(-1), WINDOW)
+        return {"Q": by_class @ self.p["K"], "K": by_class.T @ self.p["Q"], "R": by_place}
+
+    def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each text and its end."""
+        flat, starts, real = laid_out(ids, lengths)
+        sums, ten = np.zeros(len(starts)), np.log(10)
+        for at in range(0, len(starts), 256):
+            w = flat[starts[at : at + 256, None] + np.arange(WINDOW + 1)]
+            x, y = w[:, :WINDOW], w[:, OVERLAP + 1 :]
+            logs = np.log(self.mix(x, y)[3]) + self.within.take(self.context[x[:, OVERLAP:]] * IDS + y)
+            logs *= np.arange(STEP) < real[at : at + 256, None]
+            sums[at : at + 256] = logs.sum(axis=1, dtype=float) / ten
+        windows = -(-(lengths + 1) // STEP)
+        return np.add.reduceat(sums, np.cumsum(windows) - windows) if len(windows) else np.zeros(0)
+
+
+class _Classes:
+    """What cells() reads of a model."""
+
+    def __init__(self, context: np.ndarray, target: np.ndarray) -> None:
+        self.context, self.target = context, target
+
+
+def train(coded: DataFrame) -> tuple[AttentionModel, Broadcast]:
+    """The model of some coded texts: classes, then values, then attention, each from all of them.  Its tables, which no
+    longer change, are sent to the executors once."""
+    context = coded.sparkSession.sparkContext
+    sides = counted(coded, 2 * IDS * BUCKETS, beside).reshape(2, -1)
+    model = AttentionModel(classes(sides[0]), classes(sides[1]))
+    known = context.broadcast(_Classes(model.context, model.target))
+    model.tables(counted(coded, 3 * IDS * CLASSES, lambda flat, places: AttentionModel.cells(known.value, flat, places)))
+    known.destroy()
+    shared = context.broadcast(model)
     for k, rate in enumerate(RATES):
-        learn(documents(docs, "doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(len(RATES))) == k), model, tokenizer, rate)
-    return model.freeze()
+        learn(coded.filter(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(len(RATES))) == k), model, shared, rate)
+    return model, shared
 
 
-def learn(docs: DataFrame, model: AttentionModel, tokenizer: str, rate: float, batch: int = 512) -> None:
-    """A round: each partition takes steps over every window of its documents; the changes are averaged, a token's
-    vector by how many steps of a partition read it, all else by windows.  What a partition sends is of the model's
-    size and is summed by blocks before it reaches the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = sorted(k for k in model.p if k != "E")
+def learn(coded: DataFrame, model: AttentionModel, shared: Broadcast, rate: float) -> None:
+    """A round: each partition takes steps over every window of its texts; changes are averaged by windows."""
+    names, start, squares = sorted(model.p), model.p, model.g2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = shared.value
-        own = copy.copy(start)
-        own.p, own.g2 = ({k: v.copy() for k, v in of.items()} for of in (start.p, start.g2))
-        coder, r, read, seen = word_ids(tokenizer), np.random.default_rng(9), np.zeros(END + 1), 0
-        for part in slices(batches):
-            flat, starts, real = laid_out([np.frombuffer(x, "<u4") for x in coder.encode([coder.split(x) for x in texts(part.column("text"))])])
+        release()
+        own, r, seen = copy.copy(shared.value), np.random.default_rng(9), 0
+        own.p, own.g2 = dict(start), {k: v.copy() for k, v in squares.items()}
+        for part in slices(batches, "ids", 1 << 20, 1 << 20):
+            flat, starts, real = laid_out(*id_lists(part.column("ids")))
             order = r.permutation(len(starts))
-            for at in range(0, len(order), batch):
-                pick = order[at : at + batch]
-                read[own.step(flat, starts[pick], real[pick], rate)] += 1
+            for at in range(0, len(order), BATCH):
+                pick = order[at : at + BATCH]
+                w = flat[starts[pick, None] + np.arange(WINDOW + 1)]
+                own.step(w[:, :WINDOW], w[:, OVERLAP + 1 :], np.arange(STEP) < real[pick, None], rate)
             seen += len(starts)
-        if not seen:
-            return
-        vectors = np.hstack([(own.p["E"] - start.p["E"]) * read[:, None], read[:, None]])
-        blocks = [vectors[i : i + BLOCK] for i in range(0, len(vectors), BLOCK)] + [np.concatenate([*((own.p[k] - start.p[k]).reshape(-1) * float(seen) for k in names), [float(seen)]])]
-        who = TaskContext.get().partitionId()
-        for i, x in enumerate(blocks):
-            yield pa.record_batch({"block": pa.array([i], pa.int32()), "who": pa.array([who], pa.int32()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
+        change = np.concatenate([*((own.p[k] - start[k]).reshape(-1) * seen for k in names), [float(seen)]])
+        if seen:
+            yield pa.record_batch({"block": pa.array([0], pa.int32()), "who": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.nulls(1, pa.binary()), "x": pa.array([change.tobytes()], pa.binary())})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
-        row = lambda: pa.record_batch({"block": pa.array([at], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
-        for one in batches:
-            for i, x in zip(one.column("block").to_pylist(), one.column("x"), strict=True):
-                more = np.frombuffer(x.as_buffer(), np.float32).astype(float)
-                if i == at:
-                    total += more
-                    continue
-                if at is not None:
-                    yield row()
-                at, total = i, more
-        if at is not None:
-            yield row()
+    for x in summed(coded.mapInArrow(run, "block int, who int, at binary, x binary"), coded.rdd.getNumPartitions()).values():
+        at = 0
+        for k in names:
+            size = model.p[k].size
+            model.p[k] = model.p[k] + (x[at : at + size] / x[-1]).reshape(model.p[k].shape)
+            at += size
 
-    parts = docs.mapInArrow(run, "block int, who int, x binary").repartition("block").sortWithinPartitions("block", "who")
-    sums = {r.block: np.frombuffer(r.x, float) for r in parts.mapInArrow(add, "block int, x binary").collect()}
-    shared.unpersist()
-    if not sums:
-        return
-    rest = sums.pop(max(sums))
-    vectors = np.concatenate([sums[i] for i in sorted(sums)]).reshape(-1, DIM + 1)
-    model.p["E"] += (vectors[:, :DIM] / np.maximum(vectors[:, DIM:], 1)).astype(np.float32)
-    at = 0
-    for k in names:
-        size = model.p[k].size
-        model.p[k] += (rest[at : at + size] / rest[-1]).reshape(model.p[k].shape).astype(np.float32)
-        at += size
 
+# ---- scores --------------------------------------------------------------------------------------------------------
 
-def most_frequent(counts: DataFrame, most: int) -> list:
-    """The most frequent keys, `most` of them or somewhat fewer: those above a count that a small histogram of counts
-    gives, so that no partition sends more than belongs to them."""
-    step = F.floor(F.log("c") * 16).cast("int")
-    left, least = most, None
-    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r.step
-    return [] if least is None else counts.filter(step >= least).collect()
+_CODED = "rid long, key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids binary"
+
+
+def coded_texts(docs: DataFrame, head: list, end: int, under: int, tokenizer: str) -> DataFrame:
+    """Two kinds of rows, written to the shared folder: a document's, with its subword ids and the base score of its
+    words among `head`, and one for each of its other words, with the word's key."""
+    common = docs.sparkSession.sparkContext.broadcast((pa.array([bytes(r.key) for r in head], pa.binary()), np.array([r.c for r in head] + [0], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (frequent, counts), coder = common.value, word_ids(tokenizer, most=300_000, most_bytes=28 << 20)
+        logs = np.log10((counts + 1) / under)
+        logs[-1] = 0
+        for part in slices(batches, most_bytes=2 << 20):
+            m = part.num_rows
+            words, have = word_lists(part.column("text"))
+            different = words.dictionary_encode()
+            which = different.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = _keys(different.dictionary)
+            found = pc.fill_null(pc.index_in(keys, value_set=frequent), len(frequent)).to_numpy(zero_copy_only=False)[which] if len(keys) else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(m), have)
+            known, base = np.bincount(owner, found < len(frequent), m).astype(np.int64) + (end > 0), np.bincount(owner, logs[found], m) + np.log10((end + 1) / under)
+            parts = coder.pieces(different.dictionary.to_pylist())
+            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            flat, begin = np.frombuffer(b"".join(parts), "<u4").astype("<u2"), np.cumsum(size) - size
+            each = size[which]
+            ids = flat[np.arange(int(each.sum())) + np.repeat(begin[which] - (np.cumsum(each) - each), each)]
+            to = np.cumsum(np.bincount(owner, each, m).astype(np.int64)) * 2
+            raw = memoryview(ids.tobytes())
+            rid, rare = part.column("rid").to_numpy(), np.flatnonzero(found == len(frequent))
+            blank = lambda n, t: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([part.column("rid"), blank(m, pa.binary()), part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(have + 1), pa.array(known), pa.array(base), pa.array([bytes(raw[a:b]) for a, b in zip([0, *to.tolist()[:-1]], to.tolist(), strict=True)], pa.binary())], names=_NAMES)
+            if len(rare):
+                k = len(rare)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[owner[rare]]), keys.take(pa.array(which[rare])), blank(k, pa.int64()), blank(k, pa.bool_()), blank(k, pa.int64()), blank(k, pa.int64()), blank(k, pa.float64()), blank(k, pa.binary())], names=_NAMES)
+            pa.default_memory_pool().release_unused()
+
+    out = f"{shared_folder(docs.sparkSession)}/coded-{uuid.uuid4()}"
+    docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "text").mapInArrow(run, _CODED).write.parquet(out)
+    return docs.sparkSession.read.schema(_CODED).parquet(out)
+
+
+_NAMES = ["rid", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids"]
 
 
 def score(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> DataFrame:
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row.
 
-    Null and empty texts are one end token.  Without training documents every count is 0 and the model is uniform
-    but for its start.  Documents whose crc32 leaves 2 of 7 are not learned from; all are scored.
+    Null and empty texts are one end token.  Without training documents every count is 0 and the model knows no more
+    than its start.  Documents whose crc32 leaves 2 of 7 are not learned from; all are scored.  Repeated rows, and rows
+    with a null or equal doc_id, are scored each by itself.  The coded texts stay in the shared folder.
     """
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     own = documents(docs, "doc_id", "text")
-    learned = own.filter(~held_out(F.col("doc_id"), 7, 2))
-    counts = checkpoint(word_counts(learned, tokenizer))
-    n, v = counts.filter(_is_word()).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    under = n + 1 * (v + 1)
-    top = most_frequent(counts.filter(_is_word() & (F.length("key") <= HEAD_BYTES)), head)
-    common = docs.sparkSession.sparkContext.broadcast(({bytes(r.key): r.c for r in top}, train(learned, counts, tokenizer)))
+    counts = checkpoint(word_counts(own.filter(~held_out(F.col("doc_id"), 7, 2))))
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end = counts.filter(F.col("key") == F.lit(_END_KEY)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    schema = "rid long, key binary, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    under = n + 1 * (v + 1)
+    words = counts.filter(F.col("key") != F.lit(_END_KEY))
+    rows = coded_texts(own, most_frequent(words, head), end, under, tokenizer)
+    texts = rows.filter(F.col("ids").isNotNull())
+    model, shared = train(texts.filter("not held_out").select("doc_id", "n_tokens", "ids"))
+    weights = model.p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, model = common.value
-        coder = word_ids(tokenizer)
-        for part in slices(batches):
-            items = [lower(x) for x in texts(part.column("text"))]
-            lists = [x.split() for x in items]
-            logs = model.score([np.frombuffer(x, "<u4") for x in coder.encode(lists)])
-            rids, keys, times, sums = [], [], [], []
-            for rid, words in zip(part.column("rid").to_pylist(), lists, strict=True):
-                c = np.fromiter(map(counted.get, words, repeat(0)), np.int64, len(words))
-                there = c[c > 0]
-                sums.append((len(words) + 1, len(there) + (end > 0), float(np.log10((there + 1) / under).sum()) + float(np.log10((end + 1) / under))))
-                rare = Counter(compress(words, (c == 0).tolist()))
-                keys += map(_key, rare)
-                times += rare.values()
-                rids += [rid] * len(rare)
-            k = len(keys)
-            blank = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(keys, pa.binary()), pa.array(times, pa.int64()), blank, pa.nulls(k, pa.bool_()), blank, blank, pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], names=_NAMES)
-            m = part.num_rows
-            marks = [_ROW + r.to_bytes(8, "little", signed=True) for r in part.column("rid").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(marks, pa.binary()), pa.array([0] * m, pa.int64()), part.column("doc_id").cast(pa.int64()), part.column("held_out"), *(pa.array([s[i] for s in sums], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))), pa.array(logs, pa.float64())], names=_NAMES)
-
-    rows = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "text").mapInArrow(run, schema)
+        release()
+        own = copy.copy(shared.value)
+        own.p = weights
+        for part in slices(batches, "ids", 1 << 20, 1 << 20):
+            scores = own.score(*id_lists(part.column("ids")))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "base")), pa.array(scores, pa.float64())], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    kept = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    scored = texts.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids").mapInArrow(run, kept)
     c = F.coalesce("c", F.lit(0))
-    joined = rows.join(counts, "key", "left")
-    out = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(c > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(under))))).alias("base_score"), F.max("score").alias("score"),
-    )
+    rare = rows.filter(F.col("ids").isNull()).select("rid", "key").join(words, "key", "left")
+    rare = rare.select("rid", F.when(c > 0, 1).otherwise(0).cast("long").alias("n_known"), F.log10((c + 1) / F.lit(float(under))).alias("base"))
+    out = scored.unionByName(rare, allowMissingColumns=True).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-_NAMES = ["rid", "key", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-
-
 def op8_lmscore(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
