@@ -1,7 +1,7 @@
 """Embedding near-duplicates by dual traversal of cover trees (operator 7).
 
-Vectors of equal values under one label are one class.  Classes are dealt into bounded blocks: those of a large label
-by their nearest pivot, the top level of its tree, then by hash; the others by hash alone.  Pairs of blocks of a label
+Vectors of equal values under one label are one class.  Classes are dealt into bounded blocks by the upper levels of
+their label's tree: a large cell's members go to the nearest of its pivots, level by level.  Pairs of cells of a label
 that their pivots' covering radii can't rule out are units of work.  In a unit a cover tree is built over each block,
 nested levels with halving radii, and the two are traversed together: a pair of nodes is dropped if their covering
 radii keep all their points apart, counted whole if these keep all of them together, and else split.  Points that are
@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, table
+from .common import checkpoint, documents, table, uniform
 from .components import components
 
 THRESHOLD = 0.93
-#: Classes in a block, about; pivots for a large label at most (one for each block's worth of classes), and large labels that have pivots (the rest go by hash alone).
-BLOCK, PIVOTS, PIVOT_LABELS = 1024, 64, 256
+#: Classes in a block, about, and pivots of a cell at most.
+BLOCK, PIVOTS = 1024, 64
 #: What rounding may take from a distance: bounds are kept this far from what they decide.
 SLACK = 1e-6
 
@@ -177,37 +177,81 @@ def _valid() -> F.Column:
     return F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0)
 
 
-def _cells(nodes: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """nodes with `cell`: the nearest pivot for labels that have them, else 0.  At most PIVOT_LABELS * PIVOTS pivots
-    are collected, whatever the input's size."""
-    large = [(r.label, r.dim, min(PIVOTS, -(-r.n // block))) for r in sizes.filter(F.col("n") > 2 * block).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_LABELS).collect()]
-    if not large:
-        return nodes.withColumn("cell", F.lit(0)).withColumn("away", F.lit(2.0))
-    first = Window.partitionBy("label", "dim").orderBy(F.xxhash64("node"), "node")
-    chosen = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(large, "label int, dim int, pivots int")), ["label", "dim"])
-    rows = chosen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= F.col("pivots")).select("label", "dim", "k", "embedding").collect()
-    pivots: dict[tuple, np.ndarray] = {}
-    for *key, _ in large:
-        key = tuple(key)
-        mine = sorted((r for r in rows if (r.label, r.dim) == key), key=lambda r: r.k)
-        pivots[key] = unit([r.embedding for r in mine])
-    names = [f for f in nodes.schema.fields]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cell, away = np.zeros(len(f), np.int32), np.full(len(f), 2.0)
-            for key, at in f.groupby(["label", "dim"]).indices.items():
-                if key in pivots:
-                    dots = unit(f.embedding.iloc[at].tolist()) @ pivots[key].T
-                    cell[at] = dots.argmax(axis=1)
-                    away[at] = np.sqrt(np.maximum(0.0, 2 - 2 * dots.max(axis=1)))
-            yield f.assign(cell=cell, away=away)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", cell int, away double"
-    out = nodes.mapInPandas(run, schema)
-    held = [(*key, c, (2 - 2 * row).clip(0).tolist()) for key, p in pivots.items() for c, row in enumerate(p @ p.T)]
-    apart = nodes.sparkSession.createDataFrame(held, "label int, dim int, cell int, apart array<double>")
-    return out.join(F.broadcast(apart.select("label", "dim", "cell", F.transform("apart", F.sqrt).alias("apart"))), ["label", "dim", "cell"], "left")
+_KEYS = ["label", "dim", "cell"]
+
+
+def _nearest(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Members of a cell, a share of them, with the number of their nearest pivot and the distance to it."""
+    if not len(rows) or not len(pivots):
+        return rows.assign(k=0, away=0.0).head(0)[["label", "dim", "cell", "node", "weight", "embedding", "k", "away"]]
+    pivots = pivots.sort_values("k")
+    dots = unit(rows.embedding.tolist()) @ unit(pivots["pivot"].tolist()).T
+    best = dots.argmax(axis=1)
+    away = np.sqrt(np.maximum(0.0, 2 - 2 * dots[np.arange(len(rows)), best]))
+    return rows.assign(k=pivots.k.to_numpy()[best], away=away)[["label", "dim", "cell", "node", "weight", "embedding", "k", "away"]]
+
+
+def _children(frame: pd.DataFrame, reach: float) -> pd.DataFrame:
+    """The children of a pair of cells (side 0, 1) -> their pairs that covering radii can't rule out."""
+    one, two = (frame[frame.side == k] for k in (0, 1))
+    if not len(two):
+        two = one
+    away = np.sqrt(np.maximum(0.0, 2 - 2 * unit(one["pivot"].tolist()) @ unit(two["pivot"].tolist()).T))
+    i, j = np.nonzero(away <= one.radius.to_numpy()[:, None] + two.radius.to_numpy()[None, :] + reach + SLACK)
+    a, b = one.cell.to_numpy()[i], two.cell.to_numpy()[j]
+    out = pd.DataFrame({"cell0": np.where(a <= b, a, b), "cell1": np.where(a <= b, b, a)}).drop_duplicates()
+    return out.assign(label=frame.label.iloc[0], dim=frame.dim.iloc[0])[["label", "dim", "cell0", "cell1"]]
+
+
+def dealt(nodes: DataFrame, block: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Classes (label, dim, node, weight, embedding) -> the same with `cell`, and pairs (label, dim, cell0, cell1) of
+    cells that may hold links, a cell with itself too.
+
+    A label's classes are one cell at first.  A cell of more than two blocks is dealt out to the nearest of its pivots,
+    as many as it has blocks or PIVOTS, and these cells in turn, until none is larger: the upper levels of the label's
+    tree.  Pairs go down with them: the children of a pair meet unless their pivots are further apart than their
+    covering radii and `reach`.  No table of cells or pivots reaches the driver.  A cell that its pivots don't divide,
+    one child having three quarters of it, is left to be cut by hash.
+    """
+    schema = "label int, dim int, cell string, node long, weight long, embedding array<float>, k int, away double"
+    live = nodes.withColumn("cell", F.lit(""))
+    sizes = checkpoint(live.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")))
+    pairs = sizes.select("label", "dim", F.col("cell").alias("cell0"), F.col("cell").alias("cell1"))
+    balls = sizes.select(*_KEYS, F.lit(None).cast("array<float>").alias("pivot"), F.lit(2.0).alias("radius"))
+    large, level, members, done = sizes.filter(F.col("n") > 2 * block), 0, [], []
+    while not large.isEmpty():
+        large = large.select(*_KEYS, "n", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / block)).cast("int").alias("pivots"), F.ceil(F.col("n") / (16 * block)).cast("int").alias("shares"))
+        chosen = checkpoint(live.join(large, _KEYS))
+        members.append(live.join(large, _KEYS, "left_anti"))
+        thin = chosen.filter(uniform(F.col("node"), level) * F.col("n") < 4 * F.col("pivots") + 64)
+        first = Window.partitionBy(*_KEYS).orderBy(F.xxhash64("node", F.lit(level)), "node")
+        pivots = thin.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= F.col("pivots"))
+        pivots = checkpoint(pivots.select(*_KEYS, "k", F.col("embedding").alias("pivot"), "shares"))
+        shared = pivots.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        rows = chosen.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("n", "pivots", "shares")
+        moved = rows.groupBy(*_KEYS, "share").cogroup(shared.groupBy(*_KEYS, "share")).applyInPandas(_nearest, schema)
+        moved = checkpoint(moved.withColumnRenamed("cell", "parent").withColumn("cell", F.concat("parent", F.lit("/"), "k")))
+        grown = moved.groupBy("label", "dim", "parent", "cell", "k").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
+        centres = pivots.select("label", "dim", F.col("cell").alias("parent"), "k", "pivot")
+        grown = checkpoint(grown.join(centres, ["label", "dim", "parent", "k"]).join(large.select("label", "dim", F.col("cell").alias("parent"), F.col("n").alias("whole")), ["label", "dim", "parent"]))
+        lasting = balls.join(large, _KEYS, "left_anti")
+        ends = grown.select("label", "dim", "parent", "cell", "pivot", "radius").unionByName(lasting.select("label", "dim", F.col("cell").alias("parent"), "cell", "pivot", "radius"))
+        divided = large.select("label", "dim", F.col("cell").alias("c"), F.lit(True).alias("divided"))
+        of = lambda k: divided.withColumnRenamed("c", f"cell{k}").withColumnRenamed("divided", f"divided{k}")
+        marked = pairs.join(of(0), ["label", "dim", "cell0"], "left").join(of(1), ["label", "dim", "cell1"], "left")
+        open_ = F.coalesce("divided0", "divided1", F.lit(False))
+        done.append(marked.filter(~open_).select("label", "dim", "cell0", "cell1"))
+        sides = F.when(F.col("cell0") == F.col("cell1"), F.array(F.struct(F.lit(0).alias("side"), F.col("cell0").alias("parent")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("cell0").alias("parent")), F.struct(F.lit(1).alias("side"), F.col("cell1").alias("parent"))))
+        met = marked.filter(open_).select("label", "dim", "cell0", "cell1", F.explode(sides).alias("e")).select("label", "dim", "cell0", "cell1", "e.*").join(ends, ["label", "dim", "parent"])
+        pairs = checkpoint(met.groupBy("label", "dim", "cell0", "cell1").applyInPandas(lambda f: _children(f, reach), "label int, dim int, cell0 string, cell1 string"))
+        balls = checkpoint(ends.select(*_KEYS, "pivot", "radius"))
+        live = moved.select("label", "dim", "cell", "node", "weight", "embedding")
+        large, level = grown.filter((F.col("n") > 2 * block) & (F.col("n") < 0.75 * F.col("whole"))).select(*_KEYS, "n"), level + 1
+    for more in members:
+        live = live.unionByName(more)
+    for more in done:
+        pairs = pairs.unionByName(more)
+    return live, pairs
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -221,25 +265,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     good = own.filter(_valid())
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     classes = checkpoint(classes).withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding"))
-    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    celled = checkpoint(_cells(classes.select("label", "dim", "node", "weight", "embedding"), sizes, block))
-    if "apart" not in celled.columns:
-        celled = celled.withColumn("apart", F.lit(None).cast("array<double>"))
-    cells = celled.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.max("away").alias("radius"), F.first("apart").alias("apart"))
-    cells = checkpoint(cells)
-    left, right = (cells.select("label", "dim", *(F.col(c).alias(f"{c}{k}") for c in ("cell", "parts", "radius", "apart"))) for k in (0, 1))
-    far = F.coalesce(F.element_at("apart0", F.col("cell1") + 1) > F.col("radius0") + F.col("radius1") + sqrt(max(0.0, 2 - 2 * threshold)) + SLACK, F.lit(False))
-    pairs = left.join(right, ["label", "dim"]).filter((F.col("cell0") <= F.col("cell1")) & ~far)
+    celled, pairs = dealt(classes.select("label", "dim", "node", "weight", "embedding"), block, sqrt(max(0.0, 2 - 2 * threshold)))
+    celled = checkpoint(celled)
+    cells = checkpoint(celled.groupBy(*_KEYS).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    of = lambda k: cells.select("label", "dim", F.col("cell").alias(f"cell{k}"), F.col("parts").alias(f"parts{k}"))
+    pairs = pairs.join(of(0), ["label", "dim", "cell0"]).join(of(1), ["label", "dim", "cell1"])
     parts = lambda k: F.explode(F.sequence(F.lit(0), F.col(f"parts{k}") - 1))
     pairs = pairs.withColumn("part0", parts(0)).withColumn("part1", parts(1)).filter((F.col("cell0") < F.col("cell1")) | (F.col("part0") <= F.col("part1")))
     same = (F.col("cell0") == F.col("cell1")) & (F.col("part0") == F.col("part1"))
     ends = [F.struct(F.lit(k).alias("side"), F.col(f"cell{k}").alias("cell"), F.col(f"part{k}").alias("part")) for k in (0, 1)]
     units = pairs.select("label", "dim", "cell0", "part0", "cell1", "part1", same.alias("own"), F.explode(F.when(same, F.array(ends[0])).otherwise(F.array(*ends))).alias("e"))
     units = units.select("label", "dim", "cell0", "part0", "cell1", "part1", "own", "e.*")
-    sized = celled.drop("apart", "away").join(cells.select("label", "dim", "cell", "parts"), ["label", "dim", "cell"])
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(units, ["label", "dim", "cell", "part"])
+    sized = celled.join(cells, _KEYS)
+    dealt_out = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(units, [*_KEYS, "part"])
     keys = ["label", "dim", "cell0", "part0", "cell1", "part1"]
-    found = dealt.select(*keys, "own", "side", "node", "weight", "embedding").groupBy(*keys).applyInPandas(lambda f: _unit_of_work(f, threshold), "a long, b long, n long")
+    found = dealt_out.select(*keys, "own", "side", "node", "weight", "embedding").groupBy(*keys).applyInPandas(lambda f: _unit_of_work(f, threshold), "a long, b long, n long")
     found = checkpoint(found)
     joined = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
