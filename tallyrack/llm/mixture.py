@@ -16,6 +16,8 @@ from .common import WORD, checkpoint, documents, table, uniform
 
 #: Documents in a leaf block, on average, and residuals in an inner one, at most.
 BRANCHES = 64
+#: Rows that repeat more often than this are made anew in several tasks.
+CHUNK = 65_536
 #: A source gives each document at most this many times.
 MOST_COPIES = 3
 #: A fraction this close to an integer is one: sums of doubles.
@@ -88,25 +90,39 @@ def _trade(rows: DataFrame, level: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """documents -> (doc_id, source, size, source_size, target, copies): how often the mix takes each document.
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Rows that repeat told apart by a number `nth`, without bringing them together: they are counted, and as many are
+    made anew; those that repeat very often in chunks that are dealt out again."""
+    once = checkpoint(sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("repeats")))
+    few, many = once.filter(F.col("repeats") <= CHUNK), once.filter(F.col("repeats") > CHUNK)
+    few = few.select(*sizes.columns, F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("nth"))
+    many = many.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("repeats") - 1) / CHUNK)))).repartition("row", "chunk")
+    last = F.least(F.col("repeats"), (F.col("chunk") + 1) * CHUNK)
+    return few.unionByName(many.select(*sizes.columns, F.explode(F.sequence(F.col("chunk") * CHUNK + 1, last)).alias("nth")))
+
+
+def mix(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
+    """documents -> (doc_id, source, size, source_size, target, copies, row): how often the mix takes each document.
+    `row` names a binary column that tells rows apart; without it, their texts do.
 
     One output row for each row, repeated rows too.  Null and empty texts have size 0 and are never taken; a null
     source is a source of its own, the last.  An empty table gives an empty result.  Reruns agree: randomness is a
-    hash of doc_id, size and seed, whichever task holds the row.
+    hash of the row and seed, whichever task holds it; of rows that repeat it is a hash of their number.
     """
-    sizes = checkpoint(sized(documents(docs, "doc_id", "source", "text")).select("doc_id", "source", "size"))
+    own = documents(docs, "doc_id", "source", "text", *([row] if row else []))
+    told = F.col(f"`{row}`") if row else F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    sizes = numbered(sized(own).select("doc_id", "source", "size", told.alias("row")))
     plan = checkpoint(targets(sizes))
     most = plan.agg(F.max("n")).first()[0] or 1
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.floor(wanted + EPSILON)).otherwise(0).cast("int"))
     rows = rows.withColumn("part", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), wanted - F.col("whole"))).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("hash", F.xxhash64("doc_id", "size", F.lit(seed)))
-    kept = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "size", "row", "nth", F.lit(seed)))
+    kept = ["doc_id", "source", "size", "row", "source_size", "target", "whole"]
     settled = [rows.filter(F.col("part") <= EPSILON).select(*kept, F.lit(False).alias("won"))]
     leaves = F.ceil(F.col("n") / BRANCHES)
-    live = rows.filter(F.col("part") > EPSILON).withColumn("block", F.pmod(F.col("hash"), leaves).cast("long")).drop("n")
+    live = rows.filter(F.col("part") > EPSILON).withColumn("block", F.pmod(F.col("hash"), leaves).cast("long")).drop("n", "nth")
     level, width = 0, -(-most // BRANCHES)
     while True:
         done = checkpoint(_trade(live, level))
@@ -120,7 +136,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("won").cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("won").cast("int")).alias("copies"), "row")
 
 
 def op2_mixture(spark, sf_dir: str) -> DataFrame:

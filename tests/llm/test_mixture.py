@@ -70,3 +70,21 @@ def test_rounding_is_unbiased(spark):
 
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
+
+
+def test_repeated_rows_are_numbered_apart(spark, monkeypatch):
+    """Rows that repeat, with null ids too, don't share a block, whether they are made anew in one task or several."""
+    from tallyrack.llm import mixture
+
+    rows = [(None, "a", "one two")] * 500 + [(1, "a", "x")] * 3 + [(None, "a", "other words")] * 2 + [(i, "b", "w " * 9) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = [mix(frame).collect()]
+    monkeypatch.setattr(mixture, "CHUNK", 64)
+    got.append(mix(frame.repartition(2)).collect())
+    key = lambda g: (str(g.doc_id), g.source, g.size, bytes(g.row), g.copies)
+    assert sorted(map(key, got[0])) == sorted(map(key, got[1])) and len(got[0]) == len(rows)
+    for source in ("a", "b"):
+        own = [g for g in got[0] if g.source == source]
+        assert abs(sum(g.size * g.copies for g in own) - own[0].target) <= 9
+    own = mixture.numbered(mixture.sized(frame).select("doc_id", "source", "size").withColumn("row", F.lit(b"x")))
+    assert own.filter("doc_id IS NULL AND size = 2").agg(F.count_distinct("nth")).first()[0] == 502
