@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import checkpoint, documents, slices, table, texts, tokenizer_path, word_ids
+from .common import checkpoint, documents, slices, table, texts, tokenizer_path, unused, without, word_ids
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -135,42 +135,45 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (length and any other columns) -> the same with sequence_id and offset.
+    """Pieces (length and any other columns) -> the same with sequence_id and offset; columns of these names are replaced.
 
     Every piece is placed, repeated rows too; sequences have no gaps.  The histogram (at most `capacity` rows) is all
-    that the driver reads.  Ranks are dealt out by length and, for frequent lengths, by hash.
+    that the driver reads.  Ranks are dealt out by length and, for frequent lengths, by hash; the hash has a row's
+    partition in it, so that rows which repeat very often don't meet in one task.
     """
-    cut = checkpoint(cut)
-    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
-    if any(not 0 < n <= capacity for n in counts):
+    cut = without(cut, "sequence_id", "offset")
+    names = cut.columns
+    salt, own, first, rank, ways, place, n = unused(cut, "salt", "own", "first", "rank", "ways", "place", "n")
+    cut = checkpoint(cut.withColumn(place, F.spark_partition_id()))
+    counts = {r.length: r[n] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias(n)).collect()}
+    if any(not 0 < k <= capacity for k in counts):
         raise ValueError("a piece is longer than the capacity, or empty")
-    ways = {n: isqrt(c) for n, c in counts.items() if c > RANKED}
-    salts = F.coalesce(F.create_map(*(F.lit(x) for pair in ways.items() for x in pair))[F.col("length")], F.lit(1)) if ways else F.lit(1)
-    hashed = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    salted = cut.withColumn("salt", F.pmod(hashed, salts).cast("int"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("own", F.row_number().over(own) - 1)
-    ranked = ranked.join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("own")).drop("salt", "own", "first")
+    session, key = cut.sparkSession, [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in names]
+    roots = session.createDataFrame([(k, isqrt(c) if c > RANKED else 1) for k, c in counts.items()], f"length int, `{ways}` int")
+    hashed = F.xxhash64("length", place, *key)
+    salted = cut.join(F.broadcast(roots), "length").withColumn(salt, F.pmod(hashed, F.col(ways)).cast("int"))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias(n)).select("length", salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    ranked = salted.withColumn(own, F.row_number().over(Window.partitionBy("length", salt).orderBy(*(key or [place]))) - 1)
+    ranked = ranked.join(firsts, ["length", salt]).withColumn(rank, F.col(first) + F.col(own))
     rows = plan(counts, capacity)
-    names = cut.columns
-    schema = StructType(list(cut.schema)).add("sequence_id", LongType()).add("offset", LongType())
+    ranked = ranked.select(*(F.col(f"`{c}`") for c in names), rank)
+    schema = StructType(list(ranked.schema)[:-1]).add("sequence_id", LongType()).add("offset", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {int(n): (lo, hi) for n, lo, hi in zip(*_runs(rows[:, 0]), strict=True)}
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            found = np.empty(len(rank), np.int64)
+            length, ranks = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
+            found = np.empty(len(ranks), np.int64)
             for n in np.unique(length).tolist():
                 mine = length == n
                 lo, hi = at[n]
-                found[mine] = lo + np.searchsorted(rows[lo:hi, 1], rank[mine], side="right") - 1
+                found[mine] = lo + np.searchsorted(rows[lo:hi, 1], ranks[mine], side="right") - 1
             hit = rows[found]
-            more = [pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=[*names, "sequence_id", "offset"])
+            more = [pa.array(hit[:, 3] + ranks - hit[:, 1]), pa.array(hit[:, 4])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

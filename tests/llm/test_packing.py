@@ -65,3 +65,22 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    """Columns of any name stay; rows that repeat more often than a group is large are placed one by one."""
+    from tallyrack.llm import packing
+
+    names = ["salt", "own", "first", "rank", "ways", "place", "n", "Offset", "count"]
+    rows = [(None, 0, 0, 5, 1, *range(8), "c")] * 900 + [(i, 0, 0, 4096 - i % 50, 1, *range(8), "c") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length int, ids_crc32 long, " + ", ".join(f"{c} int" for c in names[:-1]) + ", count string").repartition(4)
+    got = packing.pack(frame).collect()
+    assert len(got) == 960 and all((g.salt, g.own, g.first, g.rank, g.ways, g.place, g.n, g["count"]) == (0, 1, 2, 3, 4, 5, 6, "c") for g in got)
+    filled = {}
+    for g in got:
+        filled.setdefault(g.sequence_id, []).append((g.offset, g.length))
+    for items in filled.values():
+        items.sort()
+        assert items[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(items, items[1:])) and sum(items[-1]) <= 4096
+    bare = packing.pack(frame.select("length").limit(3))
+    assert bare.columns == ["length", "sequence_id", "offset"] and bare.count() == 3
