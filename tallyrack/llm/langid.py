@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import bounded_sample, documents, held_out, slices, table, texts
+from .common import documents, held_out, slices, table, texts, uniform, without
 from .convnet import ByteConvNet
 
-#: The network learns from at most this many labelled documents, least by hash, and this many windows of each.
+#: The network learns from at most this many labelled documents, shared among the languages, least by hash, and this
+#: many windows of each; a language has LEAST_DOCS at least, and LANGUAGES of them are learned, the most frequent.
 SAMPLE_DOCS, SAMPLE_WINDOWS, LENGTH = 3000, 3, 128
+LEAST_DOCS, LANGUAGES = 50, 256
 UNDETERMINED = "und"
 
 
@@ -54,13 +57,21 @@ def has_letter(text: bytes) -> bool:
 
 
 def training_windows(docs: DataFrame) -> list:
-    """(lang, pieces): texts cut at repeatable places anywhere in the whole text, of a bounded sample."""
+    """(lang, pieces): texts cut at repeatable places anywhere in the whole text, of a bounded sample: as many documents
+    of each language, so that a rare one is learned too; of very many languages, the most frequent."""
     spread = F.greatest(F.length("text") - LENGTH, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), spread).cast("int") + 1 for k in range(SAMPLE_WINDOWS)]
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     known = labelled.filter(F.col("text").isNotNull() & (F.trim("text") != ""))
     pieces = known.select("lang", "doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(LENGTH)) for p in places)).alias("pieces"))
-    return bounded_sample(pieces, labelled.count(), SAMPLE_DOCS, "doc_id")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    most = max(LEAST_DOCS, SAMPLE_DOCS // len(counts))
+    shares = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, (1.5 * most + 50) / r["count"])) for r in counts], "own string, share double")
+    thin = pieces.join(F.broadcast(shares), F.col("lang") == F.col("own")).filter(uniform(F.col("doc_id"), -7) < F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "pieces"))
+    return thin.select("lang", "doc_id", "pieces", nth.alias("k")).filter(F.col("k") <= most).orderBy("lang", "k").collect()
 
 
 def train(docs: DataFrame) -> LanguageModel:
@@ -83,20 +94,20 @@ def train(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages, net)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred and score to documents, whatever their other columns.  `und` with score 0 where the text is null or has no letter."""
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([f for f in docs.schema if f.name not in ("lang_pred", "score")]).add("lang_pred", StringType()).add("score", DoubleType())
-    names = [f.name for f in schema][:-2]
+def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds lang_pred and score (or as they are to be called) to documents, whatever their other columns; columns of
+    these names are replaced.  `und` with score 0 where the text is null or has no letter.  Very long texts are read
+    whole, repeated rows stay, an empty table gives none."""
+    docs = without(docs, lang, score)
+    schema = StructType(list(docs.schema)).add(lang, StringType()).add(score, DoubleType())
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = model.predict(list(texts(part.column("text"))))
-            arrays = [part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, lang, score])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:

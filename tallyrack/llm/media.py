@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructType
 
-from .common import documents, slices, table, texts
+from .common import documents, slices, table, texts, without
 
 #: The width of the grey pictures that payloads are stored as; a payload is a multiple of it.
 WIDTH = 64
@@ -137,8 +137,10 @@ def tile(pixels: np.ndarray, size: int = 16) -> bytes:
 def tiles(media: DataFrame, column: str = "media", size: int = 16) -> DataFrame:
     """Adds height, width, dhash and npy (the tile) to a table with a binary column of Netpbm or BMP files.
 
-    Null, empty or undecodable media have null in all four; rows, their other columns and repeats stay.
+    Null, empty or undecodable media have null in all four; rows, their other columns and repeats stay.  Columns of
+    these four names are replaced.
     """
+    media = without(media, "height", "width", "dhash", "npy")
     schema = StructType(list(media.schema)).add("height", IntegerType()).add("width", IntegerType()).add("dhash", StringType()).add("npy", BinaryType())
     names = media.columns
 
@@ -164,7 +166,8 @@ def payload(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, n_bytes, media): each whole text (null: empty) as a PGM picture of WIDTH columns."""
+    """documents -> (doc_id, n_bytes, media): each whole text (null: empty), however long, as a PGM picture of WIDTH
+    columns.  Repeated rows stay, an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -176,8 +179,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> checksums of the stored file and of the payload decoded from it, and features."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+    """(doc_id, n_bytes, media) -> checksums of the stored file and of the payload decoded from it, and features: the
+    difference hash and the NPY tile.  One row for each, repeated ones too; an empty table gives none.  Media that
+    can't be decoded raise: store() writes none."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media"):
@@ -185,10 +190,10 @@ def read_back(media: DataFrame) -> DataFrame:
             for data in texts(part.column("media")):
                 pixels = decode(data)
                 raw = pixels.tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(pixels), hashlib.sha256(tile(pixels)).hexdigest()))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(pixels), tile(pixels)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             more = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *more], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *more], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
     return media.mapInArrow(run, schema)
 

@@ -22,11 +22,22 @@ QUERIES = {
 }
 
 
+#: What SQL can say of operators that it can't express as a whole: the query's own result, these columns of it.
+PARTS = {
+    "mixture_targets": ("op2_mixture", ["doc_id", "size", "source_size", "round(target, 3) AS target", "taken % greatest(size, 1) = 0 AND taken <= 3 * size AS whole"]),
+    "media_payloads": ("op4_media", ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256"]),
+    "secrets_base": ("op6_secrets", ["doc_id", "n_assign", "n_access", "n_hex"]),
+    "lmscore_base": ("op8_lmscore", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 4) AS base_score"]),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(name: str, module: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: getattr(import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
 
-    return {name: of(name, module) for name, module in QUERIES.items()}
+    found = {name: of(name, module) for name, module in QUERIES.items()}
+    part = lambda whole, columns: lambda spark, sf_dir: found[whole](spark, sf_dir).selectExpr(*columns)
+    return found | {name: part(whole, columns) for name, (whole, columns) in PARTS.items()}
 
 
 #: Links by all pairs of a label, components by reachability: for small tables.
@@ -45,5 +56,48 @@ FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: Targets stop at three times their source's size; the level at which the rest meets is found over the sorted sources.
+TARGETS_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size FROM documents),
+t AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM t),
+k AS (SELECT *, (SELECT sum(source_size) FROM w) AS total, 3.0 * source_size / weight AS brim FROM w),
+l AS (SELECT a.source, (any_value(a.total) - coalesce(sum(3.0 * b.source_size) FILTER (b.brim < a.brim), 0)) / sum(b.weight) FILTER (b.brim >= a.brim) AS level, any_value(a.brim) AS brim FROM k a CROSS JOIN k b GROUP BY a.source),
+v AS (SELECT max(level) FILTER (level < brim) AS level FROM l)
+SELECT d.doc_id, d.size, CAST(k.source_size AS BIGINT) AS source_size, round(CASE WHEN v.level IS NULL THEN 3.0 * k.source_size ELSE least(3.0 * k.source_size, v.level * k.weight) END, 3) AS target, true AS whole
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source CROSS JOIN v
+"""
+PAYLOADS_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64) AS size, raw FROM b),
+m AS (SELECT *, raw || repeat('\x00'::BLOB, size - n) AS payload, encode('P5' || chr(10) || '64 ' || (size // 64) || chr(10) || '255' || chr(10)) AS head FROM p)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(head) + size AS media_bytes, sha256(head || payload) AS media_sha256 FROM m
+"""
+SECRETS_SQL = r"""
+SELECT doc_id,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 2), lambda v: len(v) >= 6)) AS n_assign,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: len(v) >= 20)) AS n_access,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: len(v) >= 24)) AS n_hex
+FROM documents
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: xor(d >> 1, (d & 1) * 3988292384))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {byte}))"
+
+
+LMSCORE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 2, false) AS held_out, list_append({WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS words FROM documents),
+t AS (SELECT rid, held_out, unnest(words) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+a AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT t.rid, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1) / (a.n + 1 * (a.v + 1)))) AS base_score FROM t LEFT JOIN c USING (w) CROSS JOIN a GROUP BY t.rid)
+SELECT d.doc_id, d.held_out, s.n_tokens, s.n_known, CAST(a.n AS BIGINT) AS train_tokens, round(s.base_score, 4) AS base_score FROM d JOIN s USING (rid) CROSS JOIN a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_covertree": LINKED_SQL}
+    return {"op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}

@@ -120,7 +120,7 @@ _counters: dict[str, TrieCounter] = {}
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """documents -> (doc_id, n_bytes, n_pretokens, n_tokens) of every whole text; null and empty texts count 0.
-    One output row for each row, repeated ones too."""
+    One output row for each row, repeated ones too; none for an empty table."""
     path = vocabulary or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,52 @@ def test_the_pipeline_keeps_mixed_languages(spark, monkeypatch):
     from tallyrack.llm import langid
 
     monkeypatch.setattr(langid, "train", lambda docs: None)
-    monkeypatch.setattr(langid, "identify", lambda docs, model: docs.selectExpr("*", "if(doc_id = 1, 'und', 'en') AS lang_pred", "if(doc_id = 1, 0D, 0.3D) AS score"))
+    monkeypatch.setattr(langid, "identify", lambda docs, model, *names: docs.selectExpr("*", "if(doc_id = 1, 'und', 'en') AS lang_pred", "if(doc_id = 1, 0D, 0.3D) AS score"))
     docs = spark.createDataFrame([(1, "1 2"), (2, "one zwei trois")], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [2]
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    from tallyrack.llm import langid
+
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 60)
+    rows = [(i, "the and of that with from " * 3, "en") for i in range(3000)] + [(i, "ßä öü ñandú ğı " * 3, "zz") for i in range(10_000, 10_012)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.training_windows(docs)
+    assert 6 <= sum(r.lang == "zz" for r in found) <= 12 and sum(r.lang == "en" for r in found) == 50
+    assert langid.identify(docs.filter("doc_id = 10003").select("doc_id", "text"), train(docs)).first().lang_pred == "zz"
+
+
+def test_the_network_against_plain_loops():
+    """Pooling, softmax and every gradient, against the definition and differences."""
+    import numpy as np
+
+    from tallyrack.llm.convnet import ByteConvNet
+
+    net = ByteConvNet(3, 10, (2, 3), 4, 5, seed=3)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    r = np.random.default_rng(1)
+    windows, labels = r.integers(0, 256, (4, 10 + net.ahead)).astype(np.uint8), np.array([0, 2, 1, 2])
+
+    def plain(window):
+        pools = []
+        for w in net.widths:
+            for f in range(net.filters):
+                answers = [sum(net.p["E"][window[i + k]] @ net.p[f"W{w}"][k][:, f] for k in range(w)) for i in range(net.length)]
+                pools.append(max(0.0, max(answers) + net.p[f"c{w}"][f]))
+        z = np.array(pools) @ net.p["V"] + net.p["b"]
+        return np.exp(z) / np.exp(z).sum()
+
+    loss = lambda: -np.mean([np.log(plain(x)[y]) for x, y in zip(windows, labels, strict=True)])
+    for x in windows:
+        assert np.allclose(net.predict(x, 1)[0], plain(x), atol=1e-5)
+    grads = net._gradients(windows, labels)
+    under = int(windows[1, 3])
+    for name, at in [("V", (1, 2)), ("b", (0,)), ("c2", (1,)), ("c3", (0,)), ("W2", (1, 2, 3)), ("W3", (2, 0, 1)), ("E", (under, 1))]:
+        keep, h = net.p[name][at], 1e-6
+        net.p[name][at] = keep + h
+        up = loss()
+        net.p[name][at] = keep - h
+        down = loss()
+        net.p[name][at] = keep
+        assert np.isclose((up - down) / (2 * h), grads[name][at], rtol=1e-3, atol=1e-7), name

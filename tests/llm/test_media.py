@@ -75,3 +75,14 @@ def test_tiles_of_any_media(spark):
     got = {(g.id, g.height, g.width, g.dhash) for g in tiles(spark.createDataFrame(rows, "id int, media binary, source string")).collect()}
     assert got == {(1, 3, 4, "0" * 16), (2, None, None, None), (3, None, None, None), (4, None, None, None)}
     assert tiles(spark.createDataFrame([], "media binary")).collect() == []
+
+
+def test_clashing_columns_and_no_rows(spark):
+    frame = spark.createDataFrame([(1, bytearray(encode_pgm(np.zeros((2, 2), np.uint8))), "h", "w", 1.0, "n"), (1, None, "h", "w", 1.0, "n")], "id long, media binary, height string, Width string, dhash double, npy string")
+    got = tiles(frame).collect()
+    assert [(g.height, g.width) for g in got] == [(2, 2), (None, None)] and tiles(frame).columns == ["id", "media", "height", "width", "dhash", "npy"]
+    assert tiles(frame.filter("false")).collect() == []
+    nothing = store(spark.createDataFrame([], "doc_id long, text string"))
+    assert nothing.collect() == [] and read_back(nothing).collect() == []
+    twice = read_back(store(spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, text string"))).collect()
+    assert len(twice) == 3 and len({bytes(g.tile) for g in twice}) == 1 and np.load(io.BytesIO(bytes(twice[0].tile))).shape == (16, 16)

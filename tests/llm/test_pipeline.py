@@ -54,3 +54,40 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     got = corpus_pipeline.one_of_each(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted([(7, a), (0, b), (3, c), (8, d), (9, e)])
+
+
+CLASHES = ["id", "score", "lang_pred", "copies", "copy", "taken", "taken_id", "salt", "rank", "height", "row_digest", "stays", "n", "row", "rid", "first", "own", "place", "digest", "root", "fp", "secret", "findings", "size", "Score_"]
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    """Every stage keeps columns of any name as they are, with null ids, repeated rows and very long texts."""
+    words = [w.text for w in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' AND n_chars > 300").dropDuplicates(["text"]).orderBy("doc_id").limit(4).collect()]
+    long = " ".join(words * 200)
+    rows = [(i, t) for i, t in enumerate([*words, None, "", "1 2", long])] + [(None, words[0] + " one more"), (3, words[3]), (3, words[3]), (None, None)]
+    more = [f"v{k}" for k in range(len(CLASHES))]
+    docs = spark.createDataFrame([(i, t, "en", "a" if (i or 0) % 2 else None, len(t or ""), *more) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all([g[c] for c in CLASHES] == more for g in got), name
+        if name == "secrets":
+            assert len(got) == len(rows)
+        if name == "langid":
+            assert len(got) == 8 and max(len(g.text) for g in got) == len(long)
+        if name == "simhash":
+            assert len({(g.doc_id, g.text) for g in got}) == len(got) <= 7
+    assert corpus_pipeline.packed(spark, docs, SF).count() >= len(rows)
+
+
+def test_the_mixture_takes_repeated_rows_together(spark):
+    rows = [(1, "a b c", "x")] * 6 + [(2, "d e", "x"), (None, "f", "x"), (None, "g", "x"), (4, "h " * 50, "y")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    from tallyrack.llm.mixture import mix
+
+    wanted = sum(r.copies for r in mix(docs, row=None).collect() if r.doc_id == 1)
+    got = corpus_pipeline.mixed(spark, docs, SF).collect()
+    assert abs(sum(g.doc_id == 1 for g in got) - wanted) <= 6
+    again = corpus_pipeline.mixed(spark, docs.repartition(2), SF).collect()
+    key = lambda g: (str(g.doc_id), g.text)
+    assert sorted(map(key, got)) == sorted(map(key, again))
