@@ -11,6 +11,13 @@ from .dialect import Dialect
 # Words that say nothing about a model.
 STOPWORDS = ("laptop", "notebook", "computer", "pc", "with", "and", "full", "metal", "oled", "display")
 
+# What is left out of a model's name, families of models, and what each known part adds to a confidence.
+MODEL_NOISE = (r"[\(\)\[\]/,]", r"\b20\d{2}\b", r"\b\d{1,2}(?:\.\d+)?\s*(?:inch|inches|in)\b", r"\b(?:laptop|notebook|computer|pc)\b")
+MACBOOKS = ("macbook neo", "macbook air", "macbook pro", "macbook")
+MACBOOK, CHIP_M, CHIP_A, CHIP_A_PRO = r"\bmacbook\s+(neo|air|pro)\b", r"\bm([1-9])\b", r"\ba(\d{1,2})(?:\s*pro)?\b", r"\ba\d{1,2}\s*pro\b"
+GALAXY_BOOK, MOTOBOOK, MOTOBOOK_PRO = r"\bgalaxy\s+book(\d+)\b", r"\bmotobook\s+(\d+)\b", r"\bmotobook\s+(\d+)(?:\s+pro)?\b"
+POINTS = {"k_brand": 0.2, "k_product_family": 0.12, "k_signature": 0.2, "k_ram": 0.08, "k_storage": 0.08, "k_processor": 0.12, "k_display": 0.05, "k_band": 0.03}
+
 
 def part(d: Dialect, x: str) -> str:
     """Clean, lower, '' for null."""
@@ -43,23 +50,23 @@ def _words(d: Dialect, x: str, n: int) -> str:
 
 def parent_family(d: Dialect, x: str, brand: str) -> str:
     n = d.squeeze(d.sub(x, "[^a-z0-9 ]+", " "))
-    mac = [(f"{brand} = 'apple' AND contains({n}, '{w}')", f"'{w}'") for w in ("macbook neo", "macbook air", "macbook pro", "macbook")]
-    galaxy, moto = d.find(n, r"\bgalaxy\s+book(\d+)\b", 1), d.find(n, r"\bmotobook\s+(\d+)\b", 1)
+    mac = [(f"{brand} = 'apple' AND contains({n}, '{w}')", f"'{w}'") for w in MACBOOKS]
+    galaxy, moto = d.find(n, GALAXY_BOOK, 1), d.find(n, MOTOBOOK, 1)
     return d.case((f"{x} = ''", "''"), *mac, (f"{galaxy} IS NOT NULL", f"'galaxy book' || {galaxy}"), (f"{moto} IS NOT NULL", f"'motobook ' || {moto}"), other=_words(d, n, 3))
 
 
 def model_text(d: Dialect, x: str) -> str:
     n = x
-    for p in (r"[\(\)\[\]/,]", r"\b20\d{2}\b", r"\b\d{1,2}(?:\.\d+)?\s*(?:inch|inches|in)\b", r"\b(?:laptop|notebook|computer|pc)\b"):
+    for p in MODEL_NOISE:
         n = d.sub(n, p, " ")
     return d.squeeze(n)
 
 
 def parent_model(d: Dialect, x: str, n: str, family: str, brand: str) -> str:
     """x: the model, n: its model_text."""
-    kind, m, a = d.find(n, r"\bmacbook\s+(neo|air|pro)\b", 1), d.find(n, r"\bm([1-9])\b", 1), d.find(n, r"\ba(\d{1,2})(?:\s*pro)?\b", 1)
-    chip = d.case((f"{m} IS NOT NULL", f"' m' || {m}"), (f"{a} IS NOT NULL", f"' a' || {a} || CASE WHEN {d.match(n, r'\ba\d{1,2}\s*pro\b')} THEN ' pro' ELSE '' END"), other="''")
-    galaxy, moto = d.find(n, r"\bgalaxy\s+book(\d+)\b", 1), d.find(n, r"\bmotobook\s+(\d+)(?:\s+pro)?\b", 1)
+    kind, m, a = d.find(n, MACBOOK, 1), d.find(n, CHIP_M, 1), d.find(n, CHIP_A, 1)
+    chip = d.case((f"{m} IS NOT NULL", f"' m' || {m}"), (f"{a} IS NOT NULL", f"' a' || {a} || CASE WHEN {d.match(n, CHIP_A_PRO)} THEN ' pro' ELSE '' END"), other="''")
+    galaxy, moto = d.find(n, GALAXY_BOOK, 1), d.find(n, MOTOBOOK_PRO, 1)
     return d.case(
         (f"{x} = ''", family), (f"{brand} = 'apple' AND {kind} IS NOT NULL", f"'macbook ' || {kind} || {chip}"), (f"{galaxy} IS NOT NULL", f"'galaxy book' || {galaxy}"),
         (f"{moto} IS NOT NULL", f"'motobook ' || {moto} || CASE WHEN contains({n}, ' pro') THEN ' pro' ELSE '' END"), other=_words(d, n, 6),
@@ -88,8 +95,7 @@ def key_steps(d: Dialect) -> list[dict[str, str]]:
     none = "k_ram || k_storage || k_processor || k_display || k_os_family || k_os_version || s = ''"
     exact = "k_brand <> '' AND k_signature <> '' AND k_ram <> '' AND k_storage <> ''"
     odd = "CASE WHEN NOT is_canonical_name THEN 0.05 ELSE 0.0 END"
-    points = {"k_brand": 0.2, "k_product_family": 0.12, "k_signature": 0.2, "k_ram": 0.08, "k_storage": 0.08, "k_processor": 0.12, "k_display": 0.05, "k_band": 0.03}
-    score = " + ".join(f"CASE WHEN {c} <> '' THEN {v} ELSE 0.0 END" for c, v in points.items()) + f" + CASE WHEN s <> '' THEN 0.18 WHEN k_sku <> '' THEN 0.07 ELSE 0.0 END + CASE WHEN name_source = 'catalog_pattern' THEN 0.05 ELSE 0.0 END - {odd}"
+    score = " + ".join(f"CASE WHEN {c} <> '' THEN {v} ELSE 0.0 END" for c, v in POINTS.items()) + f" + CASE WHEN s <> '' THEN 0.18 WHEN k_sku <> '' THEN 0.07 ELSE 0.0 END + CASE WHEN name_source = 'catalog_pattern' THEN 0.05 ELSE 0.0 END - {odd}"
     cluster = f"CASE WHEN s <> '' THEN CASE WHEN name_source = 'catalog_pattern' THEN 0.99 ELSE 0.95 END WHEN {exact} THEN 0.94 + CASE WHEN k_processor || k_display <> '' THEN 0.03 ELSE 0.0 END - {odd} ELSE 0.72 + CASE WHEN k_brand <> '' AND k_signature <> '' THEN 0.08 ELSE 0.0 END + CASE WHEN k_ram || k_storage <> '' THEN 0.05 ELSE 0.0 END - {odd} END"
     five = {
         "variant_key": f"CASE WHEN s <> '' THEN parent_key || '|sku|' || s WHEN {none} THEN parent_key || '|' || k_signature || '|' || k_band || '|' || k_band ELSE parent_key || '|' || {specs} || '|' || k_band END",

@@ -14,6 +14,14 @@ PROCESSORS = (r"\bA\d{1,2}\s*Pro\b", r"\bA\d{1,2}\b", r"\bM[1-5](?:\s*Pro|\s*Max
 OUTPUT = ("brand", "category", "model", "variant", "ram", "storage", "processor", "display", "os", "price_inr", "rating", "review_count", "availability", "product_url")
 PRICE_BOUNDS = {"laptop": (10_000, 1_000_000), "smartphone": (2_000, 300_000), "tablet": (3_000, 300_000), None: (100, 10_000_000)}
 MEDIUM = "ssd|hdd|ufs|rom|emmc"
+TITLE_TAILS = (r"\b\d+(?:\.\d+)?\s*\d[\d,]*\s*ratings?\b.*$", r"\b\d+(?:\.\d+)?\s*ratings?\b.*$", r"\b\d[\d,]*\s*reviews?\b.*$", r"\bno\s+cost\s+emi\b.*$", r"\bbank\s+offer\b.*$")
+MEMORY_SIGNAL = r"\b\d{1,4}\s*(gb|tb)\s*(ram|rom|ssd|hdd|ufs|emmc)?\b"
+OWN_STORAGE = r"(\d{2,4})\s*(GB|TB)(?:\s*(SSD|HDD|UFS|ROM|eMMC))?"
+DISPLAY_INCH, DISPLAY_CM = r"\b(\d{1,2}(?:\.\d+)?)\s*(?:inch\b|inches\b|\"\b)", r"\b(\d{1,2}(?:\.\d+)?)\s*cm\b"
+SYSTEMS = ((("macos", "mac os"), "macOS"), (("windows",), "Windows"), (("chrome os", "chromeos"), "ChromeOS"), (("linux", "ubuntu"), "Linux"), (("android",), "Android"), (("ios",), "iOS"))
+STATES = ((("unavailable",), "unavailable"), (("out of stock", "sold out"), "out_of_stock"), (("pre order", "pre-order", "coming soon", "preorder"), "preorder"), (("in stock", "available now"), "in_stock"))
+MODEL_PARENS, MODEL_SIZES, MODEL_SCREENS = r"\([^)]*\)", r"\b\d{1,4}\s*(?:GB|TB)\b(?:\s*(?:RAM|ROM|SSD|HDD|UFS|eMMC))?", r"\b\d+(?:\.\d+)?\s*(?:inch|inches|cm)\b"
+MODEL_RATINGS, MODEL_CODES = r"\b\d+(?:\.\d+)?\s*ratings?\b.*$", r"\b\d+[A-Za-z0-9\-]{6,}\b"
 
 
 def _raw(x: str) -> str:
@@ -33,7 +41,7 @@ def title(d: Dialect, x: str) -> str:
     x = _raw(x)
     for p in NOISE:
         x = d.sub(d.sub(x, rf"^\s*{p}\s*[:|\-]?\s*", ""), rf"\b{p}\b", " ")
-    for p in (r"\b\d+(?:\.\d+)?\s*\d[\d,]*\s*ratings?\b.*$", r"\b\d+(?:\.\d+)?\s*ratings?\b.*$", r"\b\d[\d,]*\s*reviews?\b.*$", r"\bno\s+cost\s+emi\b.*$", r"\bbank\s+offer\b.*$"):
+    for p in TITLE_TAILS:
         x = d.sub(x, p, "")
     return d.strip(d.squeeze(x), " ,;|-")
 
@@ -150,8 +158,7 @@ def own_ram(d: Dialect, x: str) -> str:
 
 
 def own_storage(d: Dialect, x: str) -> str:
-    p = r"(\d{2,4})\s*(GB|TB)(?:\s*(SSD|HDD|UFS|ROM|eMMC))?"
-    return _with(f"{d.find(x, p, 1)} || ' ' || upper({d.find(x, p, 2)})", d.find(x, p, 3))
+    return _with(f"{d.find(x, OWN_STORAGE, 1)} || ' ' || upper({d.find(x, OWN_STORAGE, 2)})", d.find(x, OWN_STORAGE, 3))
 
 
 def processor(d: Dialect, x: str) -> str:
@@ -161,21 +168,18 @@ def processor(d: Dialect, x: str) -> str:
 
 def display(d: Dialect, x: str, text: str) -> str:
     """C15."""
-    inch = d.find(text, r"\b(\d{1,2}(?:\.\d+)?)\s*(?:inch\b|inches\b|\"\b)", 1)
-    return d.either(f"nullif({_raw(x)}, '')", f"{inch} || ' inch'", f"{d.find(text, r'\b(\d{1,2}(?:\.\d+)?)\s*cm\b', 1)} || ' cm'")
+    return d.either(f"nullif({_raw(x)}, '')", f"{d.find(text, DISPLAY_INCH, 1)} || ' inch'", f"{d.find(text, DISPLAY_CM, 1)} || ' cm'")
 
 
 def system(d: Dialect, x: str, text: str) -> str:
     t = f"lower({_raw(x)} || ' ' || {text})"
-    names = ((("macos", "mac os"), "macOS"), (("windows",), "Windows"), (("chrome os", "chromeos"), "ChromeOS"), (("linux", "ubuntu"), "Linux"), (("android",), "Android"), (("ios",), "iOS"))
-    return d.case(*((" OR ".join(f"contains({t}, '{w}')" for w in words), f"'{n}'") for words, n in names), other=f"nullif({_raw(x)}, '')")
+    return d.case(*((" OR ".join(f"contains({t}, '{w}')" for w in words), f"'{n}'") for words, n in SYSTEMS), other=f"nullif({_raw(x)}, '')")
 
 
 def availability(d: Dialect, x: str, text: str) -> str:
     raw = f"lower({_raw(x)})"
     t = f"({raw} || ' ' || lower({text}))"
-    ways = ((("unavailable",), "unavailable"), (("out of stock", "sold out"), "out_of_stock"), (("pre order", "pre-order", "coming soon", "preorder"), "preorder"), (("in stock", "available now"), "in_stock"))
-    return d.case(*((" OR ".join(f"contains({t}, '{w}')" for w in words), f"'{n}'") for words, n in ways), (f"{raw} IN ('in_stock', 'out_of_stock', 'unavailable', 'preorder')", raw))
+    return d.case(*((" OR ".join(f"contains({t}, '{w}')" for w in words), f"'{n}'") for words, n in STATES), (f"{raw} IN ('in_stock', 'out_of_stock', 'unavailable', 'preorder')", raw))
 
 
 def model_text(d: Dialect, x: str, name: str) -> str:
@@ -189,11 +193,9 @@ def model_text(d: Dialect, x: str, name: str) -> str:
 def model(d: Dialect, m: str, brand_: str) -> str:
     begins = f"lower(substring({m}, 1, length({brand_}) + 1)) = lower({brand_}) || ' '"
     m = f"CASE WHEN {begins} THEN trim(substring({m}, length({brand_}) + 1)) ELSE {m} END"
-    m = d.sub(m, r"\([^)]*\)", " ")
-    m = d.sub(m, r"\b\d{1,4}\s*(?:GB|TB)\b(?:\s*(?:RAM|ROM|SSD|HDD|UFS|eMMC))?", " ")
-    m = d.sub(m, r"\b\d+(?:\.\d+)?\s*(?:inch|inches|cm)\b", " ")
-    m = d.sub(m, r"\b\d+(?:\.\d+)?\s*ratings?\b.*$", "")
-    m = d.sub(m, r"\b\d+[A-Za-z0-9\-]{6,}\b", " ", False)
+    for p in (MODEL_PARENS, MODEL_SIZES, MODEL_SCREENS):
+        m = d.sub(m, p, " ")
+    m = d.sub(d.sub(m, MODEL_RATINGS, ""), MODEL_CODES, " ", False)
     m = d.sub(d.sub(m, r"\s*/\s*", " "), r"\bmacbook\b", "MacBook")
     return d.strip(d.squeeze(m), ' ,;|-')
 
@@ -212,4 +214,4 @@ def placeholder(d: Dialect, x: str) -> str:
 
 def memory_signal(d: Dialect, x: str) -> str:
     """F8."""
-    return d.match(x, r"\b\d{1,4}\s*(gb|tb)\s*(ram|rom|ssd|hdd|ufs|emmc)?\b")
+    return d.match(x, MEMORY_SIGNAL)

@@ -5,7 +5,7 @@ Projections only until the one exchange of the duplicate removal; every function
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
@@ -104,10 +104,10 @@ def completeness() -> str:
 
 def dedupe(df: DataFrame, order: str) -> DataFrame:
     """Of each key the fullest record, the earliest of equals; `order` becomes the key's first place."""
-    key = [F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in KEY]
-    rank = Window.partitionBy(*key).orderBy(F.expr(completeness()).desc(), F.col(order))
-    first = F.min(order).over(Window.partitionBy(*key))
-    return df.withColumn("_rank", F.row_number().over(rank)).withColumn("_first", first).filter("_rank = 1").withColumn(order, F.col("_first")).drop("_rank", "_first")
+    key = [F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(f"_{c}") for c in KEY]
+    others = [c for c in df.columns if c != order]
+    best = F.max_by(F.struct(*others), F.struct(F.expr(completeness()).alias("full"), (-F.col(order)).alias("early")))
+    return df.groupBy(*key).agg(F.min(order).alias(order), best.alias("_r")).select(order, *(F.col(f"_r.{c}").alias(c) for c in others)).select(*df.columns)
 
 
 def clean(df: DataFrame, order: str) -> DataFrame:

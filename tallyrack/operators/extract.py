@@ -1,4 +1,4 @@
-"""Listing rows from parsed pages (D1-D25, S2-S4, S8, F1, F2): native columns over what the DOM pass emits."""
+"""Listing rows from parsed pages (D1-D22, S2-S4, S8, F1, F2): native columns over what the DOM pass emits."""
 
 from __future__ import annotations
 
@@ -47,7 +47,8 @@ def product_title(x: Column) -> Column:
     for p in TITLE_NOISE:
         t = F.regexp_replace(t, rf"(?i)\b{p}\b", " ")
     t = squeeze(t)
-    t = squeeze(F.regexp_replace(t, r"(?i)\b\d(?:\.\d)?\b(?=\s*[\d,]+\s+Ratings?\b).*$|\b\d(?:\.\d)?\b(?=\s*Ratings?\b).*$", ""))
+    counted = t.rlike(RATINGS[0])
+    t = squeeze(F.when(counted, F.regexp_replace(t, f"{RATINGS[0]}.*$", "")).otherwise(F.regexp_replace(t, f"{RATINGS[1]}.*$", "")))
     t = F.regexp_replace(t, r"(?i)\b\d{1,2}(?:\.\d{1,2})?\s*cm\b.*$", "")
     t = F.regexp_replace(t, r"(?i)\b(?:ratings?|reviews?|gb\s*rom|display|camera|processor|battery|ram|rom)\b.*$", "")
     t = F.btrim(squeeze(t), F.lit(" ,;|-"))
@@ -146,12 +147,34 @@ def probable_product() -> Column:
     return (title != "") & ~nav_text(title) & ((F.col("price") != "") | (F.col("rating") != "") | F.expr(U.looks_like_product(SPARK, "lower(product_url)")) | (F.size(F.split(squeeze(title), " ")) >= 3))
 
 
+def generic_field(name: str) -> Column:
+    """A field of another name: its title or address if it is called so, else the start of its text."""
+    low = name.lower()
+    if "title" in low or "name" in low:
+        return F.col("title")
+    if "url" in low or "link" in low:
+        return F.col("product_url")
+    return F.substring(squeeze(F.col("raw_text")), 1, 160)
+
+
+def with_defaults(fields: list[str]) -> tuple[str, ...]:
+    """The named fields after those that every row has."""
+    return FIELDS + tuple(f for f in fields if f not in FIELDS)
+
+
+def container_pages(parsed: DataFrame) -> DataFrame:
+    """page_id of pages where repeated containers are found (D20 falls back on links for the others)."""
+    return containers(settle(boxes(settle(parsed)))).select("page_id").distinct()
+
+
 def listing_rows(parsed: DataFrame, max_rows: int = 100, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(page_id, idx, fields).  Containers are capped at twice max_rows a page, filtered, capped, made distinct;
     pages without any give a row for each of their first links that looks like a product.  The caps are the
     request's own limit on a page."""
     parsed = settle(parsed)
     found = settle(boxes(parsed))
+    others = {f: generic_field(f) for f in fields if f not in FIELDS}
+    found = found.withColumns(others) if others else found
     chosen = settle(containers(found))
     nth = Window.partitionBy("page_id").orderBy("ord")
     capped = chosen.withColumn("_k", F.row_number().over(nth)).filter(F.col("_k") <= 2 * max_rows).filter(has_substance(list(fields)) & probable_product())
@@ -159,7 +182,8 @@ def listing_rows(parsed: DataFrame, max_rows: int = 100, fields: tuple[str, ...]
     bare = parsed.join(chosen.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "url", F.posexplode(F.slice("links", 1, max_rows)).alias("_p", "a"))
     bare = bare.filter((F.col("a.text") != "") & ~nav_text(F.col("a.text"))).select("page_id", "url", F.col("a.ord").alias("ord"), F.col("a.text").alias("t"), F.trim("a.href").alias("h"), F.col("a.parent").alias("box"))
     inside = bare.join(found.select("page_id", F.col("ord").alias("box"), *fields), ["page_id", "box"])
-    blank = {f: F.lit("") for f in FIELDS} | {"title": F.col("t"), "product_url": F.expr(U.join(SPARK, "url", "h")), "review_count": F.lit(None).cast("bigint")}
+    blank = {f: F.lit("") for f in fields} | {"title": F.col("t"), "product_url": F.expr(U.join(SPARK, "url", "h")), "review_count": F.lit(None).cast("bigint")}
+    blank |= {f: blank["title"] for f in fields if f == "name"} | {f: blank["product_url"] for f in fields if f in ("url", "link")}
     outside = bare.join(found.select("page_id", F.col("ord").alias("box")), ["page_id", "box"], "left_anti").select("page_id", "ord", *(blank[f].alias(f) for f in fields))
     rows = own.unionByName(inside.select("page_id", "ord", *fields).filter(probable_product())).unionByName(outside.filter(probable_product()))
     rows = rows.withColumn("idx", F.row_number().over(nth)).filter(F.col("idx") <= max_rows)
@@ -198,7 +222,13 @@ def fingerprint(parsed: DataFrame) -> DataFrame:
     return out.select("page_id", F.sha1(F.to_json(F.struct("top_tags", "top_classes", "n_anchors", "n_headings", "n_forms"))).alias("fingerprint"))
 
 
-def placeholder_rows(spark, host: str, count: int, page: int = 1) -> DataFrame:
-    """Made-up rows, only ever on request."""
-    i = F.col("id") + 1 + (page - 1) * count
-    return spark.range(count).select(i.alias("idx"), F.format_string(f"Item %d from {host}", i).alias("title"), (999 + 5 * i).cast("string").alias("price"), F.round(3.8 + (i % 10) / 10, 1).alias("rating"), F.format_string(f"https://{host}/item/%d", i).alias("product_url"), F.format_string("Seller %d", (i - 1) % 7 + 1).alias("seller"), F.format_string("Company %d", (i - 1) % 9 + 1).alias("company"))
+def placeholders(pages: DataFrame, count: int, fields: list[str], page: int = 1) -> DataFrame:
+    """Made-up rows of each page (page_id, url), only ever on request."""
+    host = F.expr(U.domain(SPARK, "url"))
+    i = F.col("idx")
+    known = {
+        "title": F.concat(F.lit("Item "), i, F.lit(" from "), host), "price": (999 + 5 * i).cast("string"), "rating": F.round(3.8 + (i % 10) / 10, 1).cast("string"), "product_url": F.concat(F.lit("https://"), host, F.lit("/item/"), i),
+        "seller": F.concat(F.lit("Seller "), (i - 1) % 7 + 1), "company": F.concat(F.lit("Company "), (i - 1) % 9 + 1), "review_count": F.lit(None).cast("bigint"),
+    }
+    numbered = pages.select("page_id", "url", F.explode(F.sequence(F.lit(1 + (page - 1) * count), F.lit(page * count))).alias("idx"))
+    return numbered.select("page_id", "idx", *(known.get(f, F.lit("")).alias(f) for f in fields))

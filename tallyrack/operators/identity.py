@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -54,16 +56,30 @@ def discount(list_price: Column, effective: Column) -> Column:
     return F.when((list_price > effective) & (percent > 0) & (percent <= 95), F.round(percent, 2))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value made once: in a lambda each mention of an expression is evaluated by itself."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def reconciled(row: Column, names: list[str]) -> Column:
     """List, effective and plain price fill each other, within the category's bounds; the discount anew."""
-    listed, first = row["list_price_inr"], F.coalesce(row["effective_price_inr"], row["price_inr"], row["list_price_inr"])
-    plain = F.coalesce(row["price_inr"], first)
-    category = F.coalesce(row["category"], F.lit("product"))
-    low, high = price_in_bounds(category, first), price_in_bounds(category, listed)
-    high = F.when(low.isNull() | ((high >= low) & (high <= low * 5)), high)
-    low = F.coalesce(low, plain)
-    new = {"list_price_inr": high, "effective_price_inr": low, "price_inr": plain, "discount_percent": discount(high, low)}
-    return F.struct(*((new[c] if c in new else row[c]).alias(c) for c in names))
+
+    def filled(x: Column) -> Column:
+        first = F.coalesce(x["effective_price_inr"], x["price_inr"], x["list_price_inr"])
+        return F.struct(F.coalesce(x["category"], F.lit("product")).alias("category"), x["list_price_inr"].alias("listed"), first.alias("first"), F.coalesce(x["price_inr"], first).alias("plain"))
+
+    def bounded(p: Column) -> Column:
+        return F.struct(price_in_bounds(p["category"], p["first"]).alias("low"), price_in_bounds(p["category"], p["listed"]).alias("high"), p["plain"].alias("plain"))
+
+    def agreed(p: Column) -> Column:
+        high = F.when(p["low"].isNull() | ((p["high"] >= p["low"]) & (p["high"] <= p["low"] * 5)), p["high"])
+        return F.struct(F.coalesce(p["low"], p["plain"]).alias("low"), high.alias("high"), p["plain"].alias("plain"))
+
+    def whole(x: Column, p: Column) -> Column:
+        new = {"list_price_inr": p["high"], "effective_price_inr": p["low"], "price_inr": p["plain"], "discount_percent": discount(p["high"], p["low"])}
+        return F.struct(*((new[c] if c in new else x[c]).alias(c) for c in names))
+
+    return _let(row, lambda x: _let(_let(_let(filled(x), bounded), agreed), lambda p: whole(x, p)))
 
 
 def merge_variants(df: DataFrame, order: str) -> DataFrame:
@@ -98,6 +114,26 @@ def merge_variants(df: DataFrame, order: str) -> DataFrame:
     return merged.select(order, *(F.col(f"m.{c}").alias(c) for c in names))
 
 
+def merge_oracle(source: str, order: str, columns: dict[str, str]) -> str:
+    """merge_variants() as DuckDB SQL over a query: the rows of a variant folded one after another.  columns: names but
+    for `order`, and whether each is text, flag, sure or other."""
+    key = ", ".join(f"lower(trim(coalesce({c}, ''))) AS k_{c}" for c in VARIANT)
+    keys = [f"k_{c}" for c in VARIANT]
+    first = {"text": "coalesce(nullif(trim(f.{0}), ''), k.{0})", "flag": "CASE WHEN f.{0} OR k.{0} THEN true ELSE coalesce(f.{0}, k.{0}) END", "sure": "greatest(f.{0}, k.{0})", "other": "coalesce(f.{0}, k.{0})"}
+    merged = ", ".join(f"{first[kind].format(c)} AS {c}" for c, kind in columns.items())
+    bounds = lambda price: "CASE " + " ".join(f"WHEN category_ = '{name}' AND {price} BETWEEN {low} AND {high} THEN {price} WHEN category_ = '{name}' THEN null" for name, (low, high) in BOUNDS.items()) + f" WHEN {price} BETWEEN {ANY_BOUNDS[0]} AND {ANY_BOUNDS[1]} THEN {price} END"
+    new = {"list_price_inr": "high", "effective_price_inr": "low", "price_inr": "plain", "discount_percent": "CASE WHEN high > low AND (high - low) * 100.0 / high > 0 AND (high - low) * 100.0 / high <= 95 THEN round((high - low) * 100.0::DOUBLE / high, 2) END"}
+    out = ", ".join(f"{new.get(c, c)} AS {c}" for c in columns)
+    names = ", ".join(columns)
+    return f"""WITH RECURSIVE s AS ({source}), k AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(keys)} ORDER BY {order}) AS n, min({order}) OVER (PARTITION BY {", ".join(keys)}) AS first_ FROM (SELECT *, {key} FROM s)),
+    f AS (SELECT {", ".join(keys)}, n, first_, {names} FROM k WHERE n = 1 UNION ALL SELECT {", ".join(keys)}, n, first_, {out} FROM (
+        SELECT * REPLACE (coalesce(low, plain) AS low, CASE WHEN low IS NULL OR (high >= low AND high <= low * 5) THEN high END AS high) FROM (
+            SELECT *, {bounds("first__")} AS low, {bounds("list_price_inr")} AS high FROM (
+                SELECT *, coalesce(category, 'product') AS category_, coalesce(effective_price_inr, price_inr, list_price_inr) AS first__, coalesce(price_inr, effective_price_inr, list_price_inr) AS plain FROM (
+                    SELECT {", ".join(f"k.{c}" for c in keys)}, k.n, k.first_, {merged} FROM f JOIN k ON {" AND ".join(f"f.{c} = k.{c}" for c in keys)} AND k.n = f.n + 1)))))
+    SELECT first_ AS {order}, {names} FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(keys)} ORDER BY n DESC) AS last_ FROM f) WHERE last_ = 1"""
+
+
 def normalized_value(column: Column, kind: str) -> Column:
     """Null as '', fractions with four places, else trimmed lower text."""
     if kind in ("double", "float"):
@@ -110,14 +146,24 @@ def signature(df: DataFrame, columns: list[str]) -> Column:
     return F.array(*(normalized_value(F.col(c), kinds[c]) for c in columns))
 
 
+def _sign(df: DataFrame, columns: list[str]) -> Column:
+    return F.sha2(F.to_json(signature(df, columns)), 256)
+
+
 def dedupe_rows(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
-    """The first row of each signature of all columns but `order`."""
+    """The first row of each signature of all columns but `order`.  A row is carried to its signature's least
+    place by an aggregate, which tasks combine before the exchange, so that a frequent row is no hot key."""
     columns = columns or [c for c in df.columns if c != order]
-    seen = Window.partitionBy(F.sha2(F.to_json(signature(df, columns)), 256)).orderBy(order)
-    return df.withColumn("_k", F.row_number().over(seen)).filter("_k = 1").drop("_k")
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(F.col(order).isNull(), order))
+    return df.groupBy(_sign(df, columns).alias("_s")).agg(first.alias("_r")).select("_r.*")
 
 
 def duplicate_ratio(df: DataFrame, page: str, order: str, columns: list[str]) -> DataFrame:
-    """Per page, rows seen on an earlier page or before on the same one, over all its rows."""
-    seen = Window.partitionBy(F.sha2(F.to_json(signature(df, columns)), 256)).orderBy(page, order)
-    return df.withColumn("_dup", F.row_number().over(seen) > 1).groupBy(page).agg(F.count(F.lit(1)).alias("rows"), F.count_if("_dup").alias("duplicates"), F.avg(F.col("_dup").cast("int")).alias("ratio"))
+    """Per page, rows seen on an earlier page or before on the same one, over all its rows: each signature has one
+    row that isn't, on the first page that it is on."""
+    counts = df.groupBy(_sign(df, columns).alias("_s"), F.col(page)).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = counts.groupBy("_s").agg(F.min(F.struct(F.col(page).isNotNull().alias("_there"), page)).alias("_first"))
+    own = counts.groupBy(page).agg(F.sum("_n").alias("rows"))
+    new = firsts.groupBy(F.col(f"_first.{page}").alias("_page")).agg(F.count(F.lit(1)).alias("_new"))
+    both = own.join(new, F.col(page).eqNullSafe(F.col("_page")), "left").withColumn("duplicates", F.col("rows") - F.coalesce("_new", F.lit(0)))
+    return both.select(page, "rows", "duplicates", (F.col("duplicates") / F.col("rows")).alias("ratio"))

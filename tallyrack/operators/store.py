@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settle
+
 EXPORTABLE = ("success", "partial_success")
 TERMINAL = ("success", "partial_success", "failed", "cancelled")
 
@@ -55,22 +57,37 @@ def list_templates(templates: DataFrame, domain: str | None = None, page_type: s
     return templates.orderBy(F.desc("success_rate"), F.desc("version"), F.desc("updated_at"))
 
 
-def match_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """For each page (page_id, domain, fingerprint) the template: an exact fingerprint beats another, then the
-    better success rate, version and update.  Best templates are reduced to one for each fingerprint and one for each
-    domain first, so that a page meets two rows and not all its domain's templates."""
+def match_templates(pages: DataFrame, templates: DataFrame, page_type: str | None = None) -> DataFrame:
+    """For each page (page_id, domain, fingerprint; template_id if one was asked for) the template: the one asked
+    for or none, else an exact fingerprint beats another, then the better success rate, version and update.  Templates
+    that are invalidated, or of another page type where one is given, never match.  Best templates are reduced to one
+    for each fingerprint and one for each domain first, so that a page meets two rows and not all its domain's
+    templates."""
     good = templates.filter("NOT invalidated")
+    typed = good.filter(F.col("page_type") == page_type) if page_type else good
     best = F.max_by("template_id", F.struct("success_rate", "version", "updated_at", "template_id"))
-    exact = good.filter("page_fingerprint IS NOT NULL").groupBy("domain", F.col("page_fingerprint").alias("fingerprint")).agg(best.alias("exact_id"))
-    other = good.groupBy("domain").agg(best.alias("domain_id"))
+    exact = typed.filter("page_fingerprint IS NOT NULL").groupBy("domain", F.col("page_fingerprint").alias("fingerprint")).agg(best.alias("exact_id"))
+    other = typed.groupBy("domain").agg(best.alias("domain_id"))
     out = pages.join(exact, ["domain", "fingerprint"], "left").join(other, "domain", "left")
-    return out.select("page_id", "domain", F.coalesce("exact_id", "domain_id").alias("template_id"), F.col("exact_id").isNotNull().alias("exact"))
+    found, sure = F.coalesce("exact_id", "domain_id"), F.col("exact_id").isNotNull()
+    if "template_id" in pages.columns:
+        out = out.withColumnRenamed("template_id", "_asked").join(good.select(F.col("template_id").alias("_own")), F.col("_asked") == F.col("_own"), "left")
+        found, sure = F.when(F.col("_asked").isNotNull(), F.col("_own")).otherwise(found), F.col("_asked").isNull() & sure
+    return out.select("page_id", "domain", found.alias("template_id"), sure.alias("exact"))
 
 
 def version_templates(templates: DataFrame, order: str) -> DataFrame:
-    """Version and parent within (domain, page_type, fingerprint), nulls equal, in the order saved."""
+    """Version and parent within (domain, page_type, fingerprint), nulls equal, in the order saved.  A version that
+    was given is kept if it is above the next one: v(k) = max(given(k), v(k-1) + 1), in closed form the running maximum
+    of given(k) - k, plus k."""
     lineage = Window.partitionBy("domain", "page_type", "page_fingerprint").orderBy(order)
-    return templates.withColumn("version", F.row_number().over(lineage)).withColumn("parent_template_id", F.lag("template_id").over(lineage))
+    k = F.row_number().over(lineage)
+    numbered = templates.withColumn("_k", k)
+    if "version" in templates.columns:
+        numbered = numbered.withColumn("version", (F.greatest(F.max(F.col("version") - F.col("_k")).over(lineage), F.lit(0)) + F.col("_k")).cast("int"))
+    else:
+        numbered = numbered.withColumn("version", F.col("_k"))
+    return numbered.withColumn("parent_template_id", F.lag("template_id").over(lineage)).drop("_k")
 
 
 def template_health(events: DataFrame, key: str, order: str) -> DataFrame:
@@ -98,8 +115,9 @@ def latest(log: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def with_ids(events: DataFrame, order: list[str], start: int = 1, key: str = "id") -> DataFrame:
-    """Increasing ids in the given order without gathering it in one task: ranges, their counts, then ranks within."""
-    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    """Increasing ids in the given order without gathering it in one task: ranges, their counts, then ranks within.
+    The ranges are written, so that counts and rows agree."""
+    ranged = settle(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.join(F.broadcast(counts.select("_p", "_first", before.alias("_before"))), "_p").withColumn(key, F.col("_i") - F.col("_first") + F.col("_before") + start).drop("_p", "_i", "_first", "_before")
@@ -118,8 +136,16 @@ def cleanup(jobs: DataFrame, rows: DataFrame, exports: DataFrame, events: DataFr
     return kept, counts.crossJoin(one(events.filter(F.col("created_at") < cutoff), "events_deleted")).crossJoin(one(templates.filter(stale), "templates_deleted"))
 
 
+def valid_email(email: Column) -> Column:
+    """something before the first @, and a dot after it."""
+    return F.coalesce(email.rlike(r"(?s)^[^@]+@.*\."), F.lit(False))
+
+
 def accounts(users: DataFrame, credentials: DataFrame, workspaces: DataFrame, projects: DataFrame) -> DataFrame:
-    """User, credential, earliest workspace and its earliest project."""
+    """User, credential, earliest workspace and its earliest project.  Of users with one email, however written, the
+    first counts; malformed emails have no account (F13)."""
+    users = users.withColumn("email", F.lower(F.trim("email"))).filter(valid_email(F.col("email")))
+    users = users.groupBy("email").agg(F.min_by(F.struct(*(c for c in users.columns if c != "email")), "user_id").alias("_u")).select("email", "_u.*")
     space = workspaces.groupBy("user_id").agg(F.min_by("workspace_id", F.struct("created_at", "workspace_id")).alias("workspace_id"))
     project = projects.groupBy("workspace_id").agg(F.min_by("project_id", F.struct("created_at", "project_id")).alias("project_id"))
-    return users.withColumn("email", F.lower(F.trim("email"))).join(credentials, "user_id").join(space, "user_id", "left").join(project, "workspace_id", "left")
+    return users.join(credentials, "user_id").join(space, "user_id", "left").join(project, "workspace_id", "left")

@@ -1,4 +1,4 @@
-"""Listing rows to catalog rows of 36 columns."""
+"""Listing rows to catalog rows of 36 columns."""
 
 from __future__ import annotations
 
@@ -25,6 +25,24 @@ FIXED_BRANDS = {"apple": "Apple", "samsung": "Samsung", "lenovo": "Lenovo", "del
 SLUG_STOPS = ("windows", "macos", "intel", "core", "ultra", "series", "ssd", "hdd", "display", "home", "pro")
 
 
+# Patterns of processors, systems, memory, displays and models.
+CORE_ULTRA = r"(?i)\b(?:intel\s+)?core\s+ultra\s+([3579])\s+(\d{3,4}[a-z]?)\b"
+CORE_SERIES = r"(?i)\b(?:intel\s+)?core\s+([3579])\s+series\s+(\d+)\s+(\d{3,4}[a-z]?)\b"
+CHIP_A, CHIP_M = r"(?i)\bA(\d{1,2})(\s*Pro)?\b", r"(?i)\bM([1-5])(\s*(?:Pro|Max|Ultra))?\b"
+CORE_I, RYZEN = r"(?i)\b(?:Intel\s+)?Core\s+i([3579])\b", r"(?i)\b(?:AMD\s+)?Ryzen\s+(\d{3,5})\b"
+WINDOWS = r"\bwindows\s*(11|10)(?:\s*(home|pro|s))?\b"
+MACOS = r"\bmac\s*os(?:\s*(sequoia|sonoma|ventura|monterey|big\s*sur))?\b"
+MEMORY_PAIR = r"(?i)\b(\d{1,3})\s*gb\s*/\s*(\d{2,4})\s*(gb|tb)(?:\s*(ssd|hdd|ufs|rom|emmc))?\b"
+DISPLAY_INCH, DISPLAY_CM = r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*(?:inch|inches|in|\"|'')\b", r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*cm\b"
+MODEL_SPECS = (r"(?i)\((?:[^)]*\b(?:gb|tb|ram|rom|ssd|hdd|ufs|emmc|windows|macos|display|inch|cm)\b[^)]*)\)", r"\(\s*\d{4}\s*\)", r"(?i)\b\d+\s*(?:gb|tb)\b(?:\s*(?:ram|rom|ssd|hdd|ufs|emmc))?", r"(?i)\b\d+(?:\.\d+)?\s*(?:inch|inches|cm)\b")
+MODEL_TAILS = (r"(?i)\bwith\b.*$", r"(?i)\b\d{3,5}\s*mAh\b.*$", r"(?i)\b\d{2,3}\s*W\b.*$", r"(?i)\b(?:supervooc|charger|in[-\s]?the[-\s]?box)\b.*$", r"\s*[-|:]\s*\(\s*$", r"\([^()]*$", r"[-|:/\s(]+$")
+MACBOOK, MACBOOK_NEO = r"(?i)\bMacBook\s+(Air|Pro)\b", r"(?i)\bMacBook\s+Neo\b"
+GALAXY_BOOK, MOTOBOOK, MOTOBOOK_PRO = r"(?i)\bGalaxy\s+Book\d+\b", r"(?i)\bMotobook\s+\d+\b", r"(?i)\bMotobook\s+\d+(?:\s+Pro)?\b"
+CANONICAL = r"(?i)^(MacBook (Air|Pro)(?: M[1-9])?|Galaxy Book\d+|Motobook \d+(?: Pro)?)$"
+NOISY = ("add to compare", "currently unavailable", "coming soon", "trending", "pre order", "http://", "https://", "pid=")
+MODEL_BRANDS = ("apple", "samsung", "lenovo", "dell", "hp", "asus", "acer", "msi", "motorola")
+
+
 def wants_catalog(prompt: str) -> bool:
     """F11."""
     p = (prompt or "").lower().replace("-", "_")
@@ -94,19 +112,18 @@ def _category(x: Column) -> Column:
 def _processor() -> Column:
     """X18, over `spoken`."""
     x, apple = F.col("spoken"), F.when(F.lower("brand") == "apple", "Apple ").otherwise("")
-    ultra, series = r"(?i)\b(?:intel\s+)?core\s+ultra\s+([3579])\s+(\d{3,4}[a-z]?)\b", r"(?i)\b(?:intel\s+)?core\s+([3579])\s+series\s+(\d+)\s+(\d{3,4}[a-z]?)\b"
-    a, m = r"(?i)\bA(\d{1,2})(\s*Pro)?\b", r"(?i)\bM([1-5])(\s*(?:Pro|Max|Ultra))?\b"
+    ultra, series, a, m = CORE_ULTRA, CORE_SERIES, CHIP_A, CHIP_M
     pro = F.when(squeeze(first(x, a, 2)) != "", " Pro").otherwise("")
     return F.coalesce(
         F.concat(F.lit("Intel Core Ultra "), first(x, ultra, 1), F.lit(" "), F.upper(first(x, ultra, 2))), F.concat(F.lit("Intel Core "), first(x, series, 1), F.lit(" Series "), first(x, series, 2), F.lit(" "), F.upper(first(x, series, 3))),
         F.concat(apple, F.lit("A"), first(x, a, 1), pro), F.concat(apple, F.rtrim(F.concat(F.lit("M"), first(x, m, 1), F.lit(" "), squeeze(first(x, m, 2))))),
-        F.concat(F.lit("Intel Core i"), first(x, r"(?i)\b(?:Intel\s+)?Core\s+i([3579])\b", 1)), F.concat(F.lit("AMD Ryzen "), first(x, r"(?i)\b(?:AMD\s+)?Ryzen\s+(\d{3,5})\b", 1)),
+        F.concat(F.lit("Intel Core i"), first(x, CORE_I, 1)), F.concat(F.lit("AMD Ryzen "), first(x, RYZEN, 1)),
     )
 
 
 def _os(x: Column) -> tuple[Column, Column]:
     """Family and version, over lower text."""
-    windows, mac = r"\bwindows\s*(11|10)(?:\s*(home|pro|s))?\b", r"\bmac\s*os(?:\s*(sequoia|sonoma|ventura|monterey|big\s*sur))?\b"
+    windows, mac = WINDOWS, MACOS
     is_windows, is_mac, chrome, linux = x.rlike(windows), x.rlike(mac), _has(x, "chrome os", "chromeos"), _has(x, "linux", "ubuntu")
     android, ios = F.contains(x, F.lit("android")), F.contains(x, F.lit("ios"))
     apple = (F.lower("brand") == "apple") & (F.col("category") == "laptop")
@@ -176,23 +193,23 @@ def _recovered() -> Column:
 
 def _model_parts() -> list[tuple[str, Column]]:
     """X26, in steps."""
-    starts = F.lower("brand").isin("apple", "samsung", "lenovo", "dell", "hp", "asus", "acer", "msi", "motorola") & F.startswith(F.lower("title"), F.concat(F.lower("brand"), F.lit(" ")))
+    starts = F.lower("brand").isin(*MODEL_BRANDS) & F.startswith(F.lower("title"), F.concat(F.lower("brand"), F.lit(" ")))
     m = F.when(starts, F.trim(F.expr("substring(title, length(brand) + 1)"))).otherwise(F.col("title"))
-    for p in (r"(?i)\((?:[^)]*\b(?:gb|tb|ram|rom|ssd|hdd|ufs|emmc|windows|macos|display|inch|cm)\b[^)]*)\)", r"\(\s*\d{4}\s*\)", r"(?i)\b\d+\s*(?:gb|tb)\b(?:\s*(?:ram|rom|ssd|hdd|ufs|emmc))?", r"(?i)\b\d+(?:\.\d+)?\s*(?:inch|inches|cm)\b"):
+    for p in MODEL_SPECS:
         m = F.regexp_replace(m, p, "")
     literal = lambda c: F.concat(F.lit(r"(?i)\Q"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("\u0001")), F.lit(r"\E"))
     m2 = F.regexp_replace(F.col("m1"), literal("found.sku"), F.lit(""))
     m2 = F.regexp_replace(F.regexp_replace(m2, SKU, ""), TRAIL, "")
     m2 = F.regexp_replace(m2, literal("processor"), F.lit(""))
-    for p in (r"(?i)\bwith\b.*$", r"(?i)\b\d{3,5}\s*mAh\b.*$", r"(?i)\b\d{2,3}\s*W\b.*$", r"(?i)\b(?:supervooc|charger|in[-\s]?the[-\s]?box)\b.*$", r"\s*[-|:]\s*\(\s*$", r"\([^()]*$", r"[-|:/\s(]+$"):
+    for p in MODEL_TAILS:
         m2 = F.regexp_replace(m2, p, "")
     for word in ("MacBook", "Air", "Pro"):
         m2 = F.regexp_replace(m2, rf"(?i)\b{word}\b", word)
     m2 = F.btrim(squeeze(m2), F.lit(" ,;|-"))
     x = F.col("m2")
     chip = F.coalesce(first(x, r"(?i)\bM([1-9])\b", 1), first(F.col("processor"), r"(?i)\bM([1-9])\b", 1))
-    mac = _title_case(first(x, r"(?i)\bMacBook\s+(Air|Pro)\b", 1))
-    galaxy, moto = squeeze(first(x, r"(?i)\bGalaxy\s+Book\d+\b")), squeeze(first(x, r"(?i)\bMotobook\s+\d+(?:\s+Pro)?\b"))
+    mac = _title_case(first(x, MACBOOK, 1))
+    galaxy, moto = squeeze(first(x, GALAXY_BOOK)), squeeze(first(x, MOTOBOOK_PRO))
     mac_name = F.concat(F.lit("MacBook "), mac)
     name = F.coalesce(F.concat(mac_name, F.lit(" M"), chip), mac_name, F.regexp_replace(F.regexp_replace(galaxy, "galaxy", "Galaxy"), "book", "Book"), F.regexp_replace(moto, "motobook", "Motobook"), x)
     return [("m1", m), ("m2", m2), ("model", name)]
@@ -201,11 +218,11 @@ def _model_parts() -> list[tuple[str, Column]]:
 def _family() -> Column:
     """X27."""
     x, apple = F.col("model"), F.lower("brand") == "apple"
-    mac = F.concat(F.lit("MacBook "), _title_case(first(x, r"(?i)\bMacBook\s+(Air|Pro)\b", 1)))
+    mac = F.concat(F.lit("MacBook "), _title_case(first(x, MACBOOK, 1)))
     words = F.split(squeeze(x), " ")
     return F.when(x != "", F.coalesce(
-        F.when(apple & x.rlike(r"(?i)\bMacBook\s+Neo\b"), "MacBook Neo"), F.when(apple, mac), F.when(apple & x.rlike(r"(?i)\bMacBook\b"), "MacBook"),
-        F.regexp_replace(F.regexp_replace(squeeze(first(x, r"(?i)\bGalaxy\s+Book\d+\b")), "galaxy", "Galaxy"), "book", "Book"), F.regexp_replace(squeeze(first(x, r"(?i)\bMotobook\s+\d+\b")), "motobook", "Motobook"), F.array_join(F.slice(words, 1, 2), " "),
+        F.when(apple & x.rlike(MACBOOK_NEO), "MacBook Neo"), F.when(apple, mac), F.when(apple & x.rlike(r"(?i)\bMacBook\b"), "MacBook"),
+        F.regexp_replace(F.regexp_replace(squeeze(first(x, GALAXY_BOOK)), "galaxy", "Galaxy"), "book", "Book"), F.regexp_replace(squeeze(first(x, MOTOBOOK)), "motobook", "Motobook"), F.array_join(F.slice(words, 1, 2), " "),
     ))
 
 
@@ -214,10 +231,10 @@ def _canonicality() -> Column:
     m = squeeze(F.col("model"))
     blob = F.lower(F.concat_ws(" ", "title", m))
     of = lambda ok, source: F.struct(F.lit(ok).alias("is_canonical_name"), F.lit(source).alias("name_source"))
-    noisy = _has(blob, "add to compare", "currently unavailable", "coming soon", "trending", "pre order", "http://", "https://", "pid=") | m.rlike(r"[?=&]|[(-]$")
+    noisy = _has(blob, *NOISY) | m.rlike(r"[?=&]|[(-]$")
     return (
         F.when(F.coalesce(m, F.lit("")) == "", F.struct(F.lit(None).cast("boolean").alias("is_canonical_name"), F.lit(None).cast("string").alias("name_source")))
-        .when(m.rlike(r"(?i)^(MacBook (Air|Pro)(?: M[1-9])?|Galaxy Book\d+|Motobook \d+(?: Pro)?)$"), of(True, "catalog_pattern"))
+        .when(m.rlike(CANONICAL), of(True, "catalog_pattern"))
         .when(noisy, of(False, "marketplace_title"))
         .when((F.lower("brand") == "apple") & m.rlike(r"(?i)\bmacbook\s+neo\b"), of(False, "marketplace_naming"))
         .when((F.col("brand") != "") & F.startswith(F.lower(m), F.concat(F.lower("brand"), F.lit(" "))), of(True, "brand_prefixed"))
@@ -246,7 +263,7 @@ def _calibrated() -> Column:
 
 def _memory() -> list[tuple[str, Column]]:
     """A pair in the text, else sizes in the slug."""
-    blob, pair = F.concat_ws(" ", "source_text", "title"), r"(?i)\b(\d{1,3})\s*gb\s*/\s*(\d{2,4})\s*(gb|tb)(?:\s*(ssd|hdd|ufs|rom|emmc))?\b"
+    blob, pair = F.concat_ws(" ", "source_text", "title"), MEMORY_PAIR
     medium = lambda k: F.when(F.lower(k) == "emmc", "eMMC").otherwise(F.upper(k))
     sizes = F.regexp_extract_all(F.col("slug"), F.lit(r"(?<![a-z0-9])\d{1,4}-?(?:gb|tb)(?![a-z0-9])(?:-(?:ssd|hdd|ufs|rom|emmc)(?![a-z0-9]))?"), F.lit(0))
     label = lambda s: F.concat(first(s, r"^\d+"), F.lit(" "), F.upper(first(s, "gb|tb")))
@@ -283,16 +300,28 @@ def catalog_rows(rows: DataFrame, order: str, page_url: str = "url", stamp: str
     columns without the ids, and `order`.  `stamp` is the time that goes with review counts, given for reruns to agree."""
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in rows.columns else F.lit("")
     df = rows.select(order, text("title").alias("raw_title"), text("raw_text").alias("source_text"), text("product_url").alias("raw_url"), *(F.col(c).cast("string").alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("price", "rating", "review_count", "availability")), text(page_url).alias("page_url"))
-    steps: list[tuple[str, Column]] = [
-        ("title", product_title(F.col("raw_title"))), ("product_url", F.expr(U.canonical(SPARK, "raw_url"))), ("slug", F.expr(U.slug(SPARK, "product_url", False))), ("said", F.coalesce(F.nullif(F.col("source_text"), F.lit("")), "raw_title")),
-        ("price_given", digits(F.col("price"))), ("rating_given", rating_text(F.col("rating")).cast("double")), ("brand", _brand()), ("category", _category(F.lower(F.concat_ws(" ", "title", "slug", "page_url")))), ("spoken", F.concat_ws(" ", "source_text", "title", F.regexp_replace("slug", "-", " "))),
-        ("processor", _processor()), ("found", _sku()), *_model_parts(), ("product_family", _family()), ("recovered", _recovered()), ("sure", _calibrated()), ("named", _canonicality()), *_memory(),
-        ("display", F.coalesce(F.concat(first(F.col("spoken"), r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*(?:inch|inches|in|\"|'')\b", 1), F.lit(" inch")), F.concat(first(F.col("spoken"), r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*cm\b", 1), F.lit(" cm")))),
-        ("heard", F.lower(F.concat_ws(" ", "source_text", "title", "slug"))), ("os_family", _os(F.col("heard"))[0]), ("os_version", _os(F.col("heard"))[1]), *_prices(),
-        ("rating_", F.coalesce("rating_given", *(rating_text(first(F.col("said"), p, 1)).cast("double") for p in RATINGS))), ("reviews", F.coalesce(digits(F.col("review_count")), digits(first(F.col("said"), REVIEWS, 1)))),
+    # each step's columns read those of the steps before
+    memory, prices, model = dict(_memory()), dict(_prices()), dict(_model_parts())
+    some = lambda of, *names: {n: of[n] for n in names}
+    family, version = _os(F.col("heard"))
+    steps: list[dict[str, Column]] = [
+        {"title": product_title(F.col("raw_title")), "product_url": F.expr(U.canonical(SPARK, "raw_url")), "said": F.coalesce(F.nullif(F.col("source_text"), F.lit("")), "raw_title"), "price_given": digits(F.col("price")), "rating_given": rating_text(F.col("rating")).cast("double")},
+        {"slug": F.expr(U.slug(SPARK, "product_url", False))},
+        {"brand": _brand(), "category": _category(F.lower(F.concat_ws(" ", "title", "slug", "page_url"))), "spoken": F.concat_ws(" ", "source_text", "title", F.regexp_replace("slug", "-", " ")), "heard": F.lower(F.concat_ws(" ", "source_text", "title", "slug"))},
+        {
+            "processor": _processor(), "found": _sku(), **some(memory, "sizes"), **some(prices, "sums", "h0"),
+            "display": F.coalesce(F.concat(first(F.col("spoken"), DISPLAY_INCH, 1), F.lit(" inch")), F.concat(first(F.col("spoken"), DISPLAY_CM, 1), F.lit(" cm"))),
+            "rating_": F.coalesce("rating_given", *(rating_text(first(F.col("said"), p, 1)).cast("double") for p in RATINGS)), "reviews": F.coalesce(digits(F.col("review_count")), digits(first(F.col("said"), REVIEWS, 1))),
+        },
+        {**some(model, "m1"), "os_family": family, "os_version": version, **some(prices, "e0"), **some(memory, "ram", "storage"), "recovered": _recovered()},
+        {**some(model, "m2"), **some(prices, "l0")},
+        {**some(model, "model"), **some(prices, "e1", "l1")},
+        {"product_family": _family(), "named": _canonicality(), **some(prices, "list_price_inr", "price_inr")},
+        {"sure": _calibrated(), **some(prices, "discount_percent", "effective_price_inr")},
+        some(prices, "price_confidence"),
     ]
-    for name, column in steps:
-        df = df.withColumn(name, column)
+    for step in steps:
+        df = df.withColumns(step)
     path = F.lower(F.regexp_replace(F.expr(U.path(SPARK, "product_url")), "/+$", ""))
     generic = F.lower("title").rlike(r"^(mobiles?|mobile phones?|computers?|laptops?|electronics?|tablets?)(?:\s*&\s*[a-z ]+)?$")
     specs = F.lower("source_text").rlike(r"\b(\d+\s*(gb|tb|mah|inch|cm)|\d+\s*w|ratings?|reviews?)\b")
@@ -317,5 +346,3 @@ def catalog(rows: DataFrame, order: str, stamp: str | None = None) -> DataFrame:
 
     merged = settle(I.merge_variants(settle(catalog_rows(rows, order, stamp=stamp)), order))
     return I.catalog_entities(merged, order).select(order, *COLUMNS)
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .tables import query
+
 #: Raw records from part: noisy titles, several spellings of each field, some invalid.
 OFFERS = """
 SELECT p_partkey AS idx,
@@ -29,5 +31,5 @@ def duck_source() -> str:
 
 
 def offers(spark, sf_dir: str):
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
-    return spark.sql(OFFERS)
+    """A row costs much more than it weighs: the few files of `part` are dealt out to all cores."""
+    return query(spark, sf_dir, OFFERS, ("part",)).repartition(spark.sparkContext.defaultParallelism)

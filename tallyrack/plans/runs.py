@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import paginate as P
 from ..operators import structured as S
+from ..operators import template as T
 from ..sources import dom
 from .lineage import settle
 
@@ -28,25 +29,64 @@ class Limits:
             raise ValueError("max_rows is 1 to 5000, max_pages 1 to 100")
 
 
-def preview(pages: DataFrame, prompt: str, max_rows: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Rows of each page, and one summary a page (rows, listing or detail).  max_rows is 1 to 100."""
+def preview(pages: DataFrame, prompt: str, max_rows: int = 20, rendered: DataFrame | None = None, placeholders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of each page, and one summary a page (rows, listing or detail, warnings).  max_rows is 1 to 100.  Pages
+    without rows are read again as `rendered` (page_id, html) has them; made-up rows only come on request."""
     if not 1 <= max_rows <= 100:
         raise ValueError("max_rows is 1 to 100")
-    rows = settle(X.listing_rows(dom.parse_pages(pages), max_rows))
-    counts = pages.select("page_id").join(rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left")
-    summary = counts.select("page_id", F.coalesce("n", F.lit(0)).alias("rows"), F.when(F.col("n") > 1, "listing").otherwise("detail").alias("page_type"))
-    return rows.select("page_id", "idx", *S.fields_of(prompt)), summary
+    asked = S.fields_of(prompt)
+    rows = settle(X.listing_rows(dom.parse_pages(pages), max_rows, fields=X.with_defaults(asked)))
+    some = F.array().cast("array<string>")
+    state = pages.select("page_id", "url").join(rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left").withColumn("warnings", some)
+    if rendered is not None:
+        again = settle(pages.select("page_id", "url").join(rows.select("page_id"), "page_id", "left_anti").join(rendered.select("page_id", "html"), "page_id"))
+        more = settle(X.listing_rows(dom.parse_pages(again), max_rows, fields=X.with_defaults(asked)))
+        tried = again.select("page_id", F.lit("playwright_retry_after_extraction_empty").alias("_w")).join(more.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")), "page_id", "left")
+        state = state.join(tried, "page_id", "left").select("page_id", "url", F.coalesce("n", "_n").alias("n"), F.when(F.col("_w").isNotNull(), F.array("_w")).otherwise(some).alias("warnings"))
+        rows = rows.unionByName(more)
+    empty = F.coalesce("n", F.lit(0)) == 0
+    said = ["extraction_empty", "fallback_generated_rows"] if placeholders else ["extraction_empty"]
+    state = state.withColumn("warnings", F.concat("warnings", F.when(empty, F.array(*map(F.lit, said))).otherwise(some)))
+    if placeholders:
+        rows = rows.unionByName(X.placeholders(state.filter(empty).select("page_id", "url"), min(max_rows, 10), [c for c in rows.columns if c not in ("page_id", "idx")]))
+        state = state.withColumn("n", F.when(empty, F.lit(min(max_rows, 10))).otherwise(F.col("n")))
+    summary = state.select("page_id", F.coalesce("n", F.lit(0)).alias("rows"), F.when(F.col("n") > 1, "listing").otherwise("detail").alias("page_type"), "warnings")
+    return rows.select("page_id", "idx", *asked), summary
 
 
-def run(jobs: DataFrame, pages: DataFrame, prompt: str, limits: Limits = Limits(), stamp: str | None = None) -> DataFrame:
-    """Jobs (job_id, url) over stored pages.  Each job's chain of next pages is followed and its pages' rows are
-    folded with the cut-offs.  If the prompt asks for the catalog's columns, the rows of all these jobs become one
-    catalog; `order` is then job_id * 100000 + row_index of a variant's first row."""
+def visits_of(jobs: DataFrame, pages: DataFrame, parsed: DataFrame, found: DataFrame, max_pages: int) -> DataFrame:
+    """jobs (job_id, url) -> the pages each crawl comes to, in order, with what crawl_jobs() reads of them.  A page that
+    isn't stored has a null page_id."""
+    known = found.select("url", "next_url", "warnings", "page_id").join(parsed.select("page_id", F.substring("text", 1, 1200).alias("text")), "page_id")
+    return P.chains(jobs, found, max_pages).join(known, "url", "left")
+
+
+def run_jobs(jobs: DataFrame, pages: DataFrame, prompt: str, limits: Limits = Limits(), template: T.Template | None = None) -> DataFrame:
+    """Jobs (job_id, url) over stored pages -> one row a job: (job_id, rows, pages, partial, stop, warnings).
+    With a template rows and next pages are its own; where it finds no next page, the general rules do."""
     pages = settle(pages.select("page_id", "url", "html"))
     parsed = settle(dom.parse_pages(pages))
-    visits = P.chains(jobs, P.next_pages(parsed, pages), limits.max_pages).join(pages.select("url", "page_id"), "url")
+    found = P.with_warning(P.next_pages(parsed, pages))
+    if template is None:
+        fields = list(X.with_defaults(S.fields_of(prompt)))
+        rows = settle(X.listing_rows(parsed, limits.max_rows, fields=tuple(fields)))
+        bare = parsed.select("page_id").join(X.container_pages(parsed), "page_id", "left_anti").select("page_id", F.array(F.lit("container_detection_fallback")).alias("found"))
+    else:
+        fields = list(template.fields)
+        made = settle(T.template_rows(pages, template, limits.max_rows))
+        rows = made.filter("idx IS NOT NULL").select("page_id", "idx", *(F.col("values")[f].alias(f) for f in fields))
+        bare = made.filter("warning IS NOT NULL").select("page_id", F.array("warning").alias("found"))
+        found = P.template_next_pages(found, T.template_next(pages, template))
+    visits = visits_of(jobs, pages, parsed, settle(found), limits.max_pages).join(bare, "page_id", "left")
+    return P.crawl_jobs(visits, rows, fields, limits.max_rows, limits.max_pages, limits.duplicate_cutoff, limits.max_low_yield, template is not None)
+
+
+def run(jobs: DataFrame, pages: DataFrame, prompt: str, limits: Limits = Limits(), stamp: str | None = None) -> DataFrame:
+    """The rows of run_jobs().  If the prompt asks for the catalog's columns, the rows of all these jobs become
+    one catalog; `order` is then job_id * 100000 + row_index of a variant's first row."""
     fields = S.fields_of(prompt)
-    rows = P.crawl(visits, X.listing_rows(parsed, limits.max_rows), fields, limits.max_rows, limits.duplicate_cutoff, limits.max_low_yield)
+    done = run_jobs(jobs, pages, prompt, limits).select("job_id", F.posexplode("rows").alias("_k", "_r"), "pages", "partial", "stop")
+    rows = done.select("job_id", (F.col("_k") + 1).alias("row_index"), *(F.col(f"_r.{f}").alias(f) for f in fields), "pages", "partial", "stop")
     if not S.wants_catalog(prompt):
         return rows
     ordered = rows.join(jobs.select("job_id", "url"), "job_id").withColumn("order", F.col("job_id") * 100_000 + F.col("row_index"))

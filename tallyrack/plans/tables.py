@@ -5,6 +5,8 @@ Each is SQL that Spark and DuckDB both run; SPARK-only spellings are avoided.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (SQL, tables that it reads)
@@ -40,11 +42,15 @@ TABLES = {
 }
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql, tables = TABLES[name]
+def query(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
+    """SQL over the driver's tables; their names mean nothing outside it."""
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return query(spark, sf_dir, *TABLES[name])
 
 
 def sql_of(name: str) -> str:

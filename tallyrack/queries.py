@@ -19,11 +19,14 @@ from .operators import identity as I
 from .operators import labels as A
 from .operators import metrics as M
 from .operators import store as S
+from .operators import template as T
+from .plans import listings as L
 from .plans import offers as O
+from .plans import runs as N
 from .plans.lineage import settle
 from .plans.tables import derived, sql_of
 from .sources import dom
-from .streaming import limits as T
+from .streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG = ["idx", "brand", "category", "product_family", "model", "sku"]
@@ -80,34 +83,61 @@ def _dup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _limited(kind: type) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = derived(spark, sf_dir, "request_log").select(F.col("user_key").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("id"))
-        return T.decide(log.withColumn("ts", F.col("ts") / 1e6), kind, 3, 36_000.0).select("id", "key", "allowed", "remaining")
+        return limits.decide(log.withColumn("ts", F.col("ts") / 1e6), kind, 3, 36_000.0).select("id", "key", "allowed", "remaining", "reset_seconds")
 
     return run
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of the clean path merged by variant (rows alone keep their prices as they are)."""
-    cat = derived(spark, sf_dir, "catalog").withColumn("list_price_inr", F.col("price_inr") + F.col("idx") % 9 * 1000).withColumn("effective_price_inr", F.when(F.col("idx") % 3 > 0, F.col("price_inr"))).withColumn("discount_percent", F.lit(None).cast("double"))
+    cat = derived(spark, sf_dir, "catalog").withColumn("sku_confidence", F.col("sku_confidence").cast("double")).withColumn("list_price_inr", F.col("price_inr") + F.col("idx") % 9 * 1000).withColumn("effective_price_inr", F.when(F.col("idx") % 3 > 0, F.col("price_inr"))).withColumn("discount_percent", F.lit(None).cast("double"))
     return I.merge_variants(cat, "idx")
 
 
+#: The same in SQL, and how each of its columns is merged.
+PRICED = f"SELECT * REPLACE (CAST(sku_confidence AS DOUBLE) AS sku_confidence), price_inr + idx % 9 * 1000 AS list_price_inr, CASE WHEN idx % 3 > 0 THEN price_inr END AS effective_price_inr, CAST(NULL AS DOUBLE) AS discount_percent FROM {sql_of('catalog')}"
+MERGED = {c: "text" for c in ("brand", "category", "product_family", "model", "sku")} | {"sku_confidence": "sure"} | {c: "text" for c in ("ram", "storage", "processor", "display", "os_family", "os_version")} | {"price_inr": "other"} | {c: "text" for c in ("product_url", "name_source")} | {"is_canonical_name": "flag", "list_price_inr": "other", "effective_price_inr": "other", "discount_percent": "other"}
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers as listing rows."""
     return O.offers(spark, sf_dir).select("idx", "title", F.regexp_replace("price", "Rs[.] ", "₹").alias("price"), "rating", F.lit(None).cast("string").alias("review_count"), "availability", "product_url", F.concat_ws(" ", "title", "description").alias("raw_text"), F.lit("https://example.com/list").alias("url"))
 
 
-def _pages(then: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+def _pages(then: Callable[[DataFrame, DataFrame], DataFrame], of: Query = L.listing_pages) -> Query:
     """A query over pages and their parse, which is written once."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+        pages = settle(of(spark, sf_dir))
         return then(pages, settle(dom.parse_pages(pages)))
 
     return run
 
 
+#: A template of the listing pages.
+CARD = T.Template("article.card", {"name": "h2 a", "link": "h2 > a@href", "price": "span.price", "rating": "div.stars", "none": ".none"}, next_selector="div.pager a.next", next_type="next")
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.template_rows(L.listing_pages(spark, sf_dir), CARD, 5000)
+    return rows.select("page_id", F.regexp_extract(F.col("values")["link"], r"(\d+)$", 1).cast("long").alias("k"), *(F.col("values")[f].alias(f) for f in CARD.fields))
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.run(L.crawl_starts(spark, sf_dir), L.listing_pages(spark, sf_dir), "title, price and link", N.Limits(5000, 100))
+
+
+def _crawl_jobs(template: T.Template | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        jobs = N.run_jobs(L.crawl_starts(spark, sf_dir), L.listing_pages(spark, sf_dir), "title, price and link", N.Limits(5000, 100), template)
+        said = F.element_at("warnings", -1).alias("last_warning") if template else F.array_join("warnings", ",").alias("warnings")
+        return jobs.select("job_id", F.size("rows").alias("rows"), "pages", "partial", said)
+
+    return run
+
+
 def _fingerprints(pages: DataFrame, parsed: DataFrame) -> DataFrame:
-    return X.fingerprint(parsed).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+    return X.fingerprint(parsed).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page")).drop("fingerprint")
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +152,10 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.array_of(E.json_rows(rows, "job_id", "row_index"), "job_id", "row_index")
 
 
+#: Hits of each key in order.
+HITS = f"WITH RECURSIVE h AS (SELECT id, user_key AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_key ORDER BY ts, id) AS k FROM {sql_of('request_log')})"
+
+
 def _table() -> dict[str, tuple[Query, str | None]]:
     of = lambda name, then: lambda spark, sf_dir: then(derived(spark, sf_dir, name))
     two = lambda one, other, then: lambda spark, sf_dir: then(derived(spark, sf_dir, one), derived(spark, sf_dir, other))
@@ -136,14 +170,17 @@ def _table() -> dict[str, tuple[Query, str | None]]:
             f"SELECT {U.domain(DUCK, 'url')} AS domain, count(*) AS n FROM pages GROUP BY 1",
         ),
         "catalog_entities": (lambda spark, sf_dir: I.catalog_entities(derived(spark, sf_dir, "catalog"), "idx").drop("sku_confidence", "ram", "storage", "processor", "display", "os_family", "os_version", "price_inr", "product_url", "name_source", "is_canonical_name"), I.catalog_oracle(sql_of("catalog")[1:-1], "idx", CATALOG)),
-        "variant_merge": (_merged, None),
+        "variant_merge": (_merged, I.merge_oracle(PRICED, "idx", MERGED)),
         "structured_catalog": (lambda spark, sf_dir: G.catalog(_listing(spark, sf_dir), "idx", stamp="2024-01-01T00:00:00Z"), None),
         "structured_rows": (lambda spark, sf_dir: G.catalog_rows(_listing(spark, sf_dir), "idx", stamp="2024-01-01T00:00:00Z"), None),
-        "js_shell_flags": (_pages(X.js_shell), None),
-        "next_page_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages)), None),
-        "page_fingerprint_groups": (_pages(_fingerprints), None),
-        "listing_rows": (_pages(lambda pages, parsed: X.listing_rows(parsed)), None),
-        "template_values": (lambda spark, sf_dir: dom.template_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"), "article", {"title": "h1", "first": "p"}, 5000).select("page_id", "idx", F.col("values")["title"].alias("title"), F.length(F.col("values")["first"]).alias("n"), "warning"), None),
+        "js_shell_flags": (_pages(X.js_shell, L.shell_pages), L.SHELLS),
+        "next_page_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages)), L.NEXT),
+        "page_fingerprint_groups": (_pages(_fingerprints), L.FINGERPRINTS),
+        "listing_rows": (_pages(lambda pages, parsed: X.listing_rows(parsed).drop("seller", "company", "raw_text")), L.LISTED),
+        "template_values": (_values, L.VALUES),
+        "crawl_rows": (_crawled, L.CRAWLED),
+        "crawl_jobs": (_crawl_jobs(None), L.JOBS),
+        "template_crawl_jobs": (_crawl_jobs(CARD), L.TEMPLATE_JOBS),
         "doc_signature_dedupe": (
             lambda spark, sf_dir: I.dedupe_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").select("doc_id", "lang"),
             "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(coalesce(text, ''))), lower(trim(coalesce(lang, ''))) ORDER BY doc_id) AS k FROM documents) WHERE k = 1",
@@ -206,12 +243,15 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         ),
         "export_json_rows": (
             _export,
-            f"WITH x AS (SELECT job_id, row_index, '{{\"flag\":\"' || flag || '\",\"part\":' || part || '}}' AS j FROM {sql_of('job_rows')} WHERE job_id < 200) SELECT job_id, '[' || string_agg(j, ',' ORDER BY row_index, j) || ']' AS json FROM x GROUP BY job_id",
+            f"WITH x AS (SELECT job_id, row_index, '{{\"flag\":\"' || flag || '\",\"part\":' || part || '}}' AS j FROM {sql_of('job_rows')}) SELECT job_id, '[' || string_agg(j, ',' ORDER BY row_index, j) || ']' AS json FROM x GROUP BY job_id",
+        ),
+        "rate_limit_log": (
+            _limited(limits.SlidingLog),
+            f"{HITS}, r AS (SELECT id, key, t, k, [t] AS log, true AS allowed, 2 AS remaining, 36000 AS reset FROM h WHERE k = 1 UNION ALL SELECT id, key, t, k, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, greatest(0, 2 - len(live)), CASE WHEN len(live) < 3 THEN 36000 ELSE greatest(1, cast(round_even(live[1] + 36000 - t, 0) AS bigint)) END FROM (SELECT h.id, h.key, h.t, h.k, list_filter(r.log, lambda x: x > h.t - 36000) AS live FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1)) SELECT id, key, allowed, remaining, reset AS reset_seconds FROM r",
         ),
-        "rate_limit_log": (_limited(T.SlidingLog), None),
         "rate_limit_fixed": (
-            _limited(T.FixedWindow),
-            f"WITH RECURSIVE h AS (SELECT id, user_key AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_key ORDER BY ts, id) AS k FROM {sql_of('request_log')}), r AS (SELECT id, key, t, k, t AS s, 1 AS n FROM h WHERE k = 1 UNION ALL SELECT h.id, h.key, h.t, h.k, CASE WHEN h.t >= r.s + 36000 THEN h.t ELSE r.s END, CASE WHEN h.t >= r.s + 36000 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1) SELECT id, key, n <= 3 AS allowed, greatest(0, 3 - n) AS remaining FROM r",
+            _limited(limits.FixedWindow),
+            f"{HITS}, r AS (SELECT id, key, t, k, t AS s, 1 AS n FROM h WHERE k = 1 UNION ALL SELECT h.id, h.key, h.t, h.k, CASE WHEN floor(r.s + 36000 - h.t + 0.5) <= 0 THEN h.t ELSE r.s END, CASE WHEN h.t >= r.s + 36000 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1) SELECT id, key, n <= 3 AS allowed, greatest(0, 3 - n) AS remaining, cast(floor(s + 36000 - t + 0.5) AS bigint) AS reset_seconds FROM r",
         ),
     }
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,7 +107,7 @@ def select(tree: Tree, scope: Node, selector: str) -> list[Node]:
     found: dict[int, Node] = {}
     for one in selector.split(","):
         steps = re.findall(r">|[^\s>]+", one.strip())
-        if not steps:
+        if not steps or steps[-1] == ">" or not all(s == ">" or _STEP.fullmatch(s) for s in steps):
             raise ValueError(f"bad selector: {selector!r}")
         for node in tree.under(scope) if scope.tag else tree.nodes:
             if _matches(node, steps, scope):
@@ -127,6 +128,8 @@ def _matches(node: Node, steps: list[str], scope: Node) -> bool:
 
 _PART = re.compile(r"""([.#]?[\w-]+|\*)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*["']?([^"'\]]*)["']?\s*)?\]""")
 
+_STEP = re.compile(f"(?:{_PART.pattern})+")
+
 
 def _simple(node: Node, step: str) -> bool:
     at = 0
@@ -204,27 +207,60 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
 
 
-def template_rows(pages: DataFrame, container: str, fields: dict[str, str], most: int) -> DataFrame:
-    """(page_id, url, html) -> (page_id, idx, values map, warning): one row a container, values by selector
-    expressions (`sel`, `sel@attr`, `@attr`); a page without containers gives one row with a warning."""
+#: Attributes that hold a list, which reads as a list's text.
+LISTS = ("class", "rel", "rev", "accept-charset", "headers", "accesskey")
+
 
-    def value(tree: Tree, node: Node, expression: str) -> str | None:
-        css, _, attr = expression.rpartition("@") if "@" in expression else (expression, "", "")
+def _selected(tree: Tree, node: Node, expression: str, base: str) -> str | None:
+    """`sel`, `sel@attr` or `@attr`; an `@href` is joined to the page's address."""
+    css, _, attr = expression.strip().rpartition("@") if "@" in expression else (expression.strip(), "", "")
+    try:
         found = (select(tree, node, css) or [None])[0] if css.strip() else node
-        if found is None:
-            return None
-        return found.attrs.get(attr.strip()) if attr else text(found)
+    except ValueError:
+        return None
+    attr = attr.strip()
+    if found is None or (attr and attr not in found.attrs):
+        return None
+    value = text(found) if not attr else str(found.attrs[attr].split()) if attr in LISTS else found.attrs[attr].strip()
+    return urljoin(base or "", value) if attr == "href" else value
+
+
+def template_values(pages: DataFrame, container: str, fields: dict[str, str], most: int) -> DataFrame:
+    """(page_id, url, html) -> (page_id, idx, values map, warning): one row for each of a page's first `most`
+    containers; a page without any gives one row with a warning."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for page_id, html in zip(frame.page_id, frame.html, strict=True):
+            for page_id, url, html in zip(frame.page_id, frame.url, frame.html, strict=True):
                 tree = Tree(html or "")
                 try:
-                    boxes = select(tree, tree.root, container)[: 2 * most]
-                    out += [(page_id, k, {f: value(tree, b, e) for f, e in fields.items()}, None) for k, b in enumerate(boxes)] or [(page_id, None, None, "template_container_not_found")]
+                    boxes = select(tree, tree.root, container)[:most]
+                    out += [(page_id, k, {f: _selected(tree, b, e, url) for f, e in fields.items()}, None) for k, b in enumerate(boxes)] or [(page_id, None, None, "template_container_not_found")]
                 except ValueError:
                     out.append((page_id, None, None, "template_selector_invalid"))
             yield pd.DataFrame(out, columns=["page_id", "idx", "values", "warning"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, idx int, values map<string,string>, warning string")
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, idx int, values map<string,string>, warning string")
+
+
+def template_links(pages: DataFrame, selector: str) -> DataFrame:
+    """(page_id, url, html) -> (page_id, next_url, warning): where the selector's first node leads."""
+
+    def one(url: str, html: str) -> tuple[str | None, str | None]:
+        tree = Tree(html or "")
+        try:
+            found = select(tree, tree.root, selector)
+        except ValueError:
+            return None, "template_pagination_selector_invalid"
+        if not found:
+            return None, "template_pagination_not_found"
+        ref = next((v for k in ("href", "data-next-url", "data-url", "data-href") if (v := found[0].attrs.get(k, "").strip())), None)
+        return (urljoin(url or "", ref), None) if ref else (None, "template_pagination_no_url")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(i, *one(u, h)) for i, u, h in zip(frame.page_id, frame.url, frame.html, strict=True)]
+            yield pd.DataFrame(out, columns=["page_id", "next_url", "warning"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, next_url string, warning string")

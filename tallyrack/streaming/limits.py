@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from math import floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,33 +19,37 @@ class SlidingLog:
     """Allowed hits of the last `window` seconds; blocked ones are not kept."""
 
     def __init__(self, limit: int, window: float, state: list[float] | None = None) -> None:
-        self.limit, self.window, self.log = limit, window, deque(state or [])
+        self.limit, self.window, self.log = max(1, int(limit)), max(1, int(window)), deque(state or [])
 
     def hit(self, now: float) -> tuple[bool, int, int]:
+        """Allowed, hits left, and the seconds to wait: a whole window after an allowed hit, else until the oldest goes."""
         while self.log and self.log[0] <= now - self.window:
             self.log.popleft()
-        allowed = len(self.log) < self.limit
-        if allowed:
-            self.log.append(now)
-        reset = max(1, int(self.window - (now - self.log[0]))) if self.log else int(self.window)
-        return allowed, self.limit - len(self.log), reset
+        if len(self.log) >= self.limit:
+            return False, 0, max(1, round(self.log[0] + self.window - now))
+        self.log.append(now)
+        return True, self.limit - len(self.log), self.window
 
     def state(self) -> list[float]:
         return list(self.log)
 
 
 class FixedWindow:
-    """A window that the first hit opens; blocked hits count too."""
+    """A window that the first hit opens; blocked hits count too.  What is left of it is known in whole seconds,
+    rounded: a hit that finds none left opens another window but goes on with the count."""
 
     def __init__(self, limit: int, window: float, state: list[float] | None = None) -> None:
-        self.limit, self.window = limit, window
+        self.limit, self.window = max(1, int(limit)), max(1, int(window))
         self.start, self.count = state or [float("-inf"), 0]
 
     def hit(self, now: float) -> tuple[bool, int, int]:
         if now >= self.start + self.window:
             self.start, self.count = now, 0
         self.count += 1
-        return self.count <= self.limit, max(0, self.limit - int(self.count)), max(1, int(self.start + self.window - now))
+        left = floor(self.start + self.window - now + 0.5)
+        if left <= 0:
+            self.start, left = now, self.window
+        return self.count <= self.limit, max(0, self.limit - int(self.count)), left
 
     def state(self) -> list[float]:
         return [self.start, self.count]
@@ -86,8 +91,6 @@ def decide_stream(hits: DataFrame, kind: type, limit: int, window: float) -> Dat
         out = [limiter.hit(t) for t in rows.ts]
         state.update((limiter.state(),))
         state.setTimeoutDuration(int(window * 1000))
-        yield pd.DataFrame({"key": key[0], "id": rows.id.to_numpy(), "allowed": [o[0] for o in out], "remaining": [o[1] for o in out]})
-
-    return hits.groupBy("key").applyInPandasWithState(step, "key string, id long, allowed boolean, remaining long", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
+        yield pd.DataFrame({"key": key[0], "id": rows.id.to_numpy(), "allowed": [o[0] for o in out], "remaining": [o[1] for o in out], "reset_seconds": [o[2] for o in out]})
 
+    return hits.groupBy("key").applyInPandasWithState(step, "key string, id long, allowed boolean, remaining long, reset_seconds long", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -83,11 +83,12 @@ def test_labels(spark):
 
 
 def test_rate_limits(spark):
-    hits = spark.createDataFrame([("k", float(t), i) for i, t in enumerate((0, 1, 2, 3, 11, 12, 13))], "key string, ts double, id long")
-    log = {r.id: r.allowed for r in T.decide(hits, T.SlidingLog, 2, 10).collect()}
-    assert log == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
-    fixed = {r.id: r.allowed for r in T.decide(hits, T.FixedWindow, 2, 10).collect()}
-    assert fixed == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
+    hits = spark.createDataFrame([("k", float(t), i) for i, t in enumerate((0, 1, 2, 3.5, 11, 12, 13))], "key string, ts double, id long")
+    of = lambda kind: {r.id: (r.allowed, r.remaining, r.reset_seconds) for r in T.decide(hits, kind, 2, 10).collect()}
+    assert of(T.SlidingLog) == {0: (True, 1, 10), 1: (True, 0, 10), 2: (False, 0, 8), 3: (False, 0, 6), 4: (True, 1, 10), 5: (True, 0, 10), 6: (False, 0, 8)}
+    assert of(T.FixedWindow) == {0: (True, 1, 10), 1: (True, 0, 9), 2: (False, 0, 8), 3: (False, 0, 7), 4: (True, 1, 10), 5: (True, 0, 9), 6: (False, 0, 8)}
+    late = T.FixedWindow(1, 10)
+    assert [late.hit(t) for t in (0.0, 9.8, 19.7, 19.8)] == [(True, 0, 10), (False, 0, 10), (False, 0, 10), (False, 0, 10)] and late.count == 4
 
 
 def test_streams(spark, tmp_path):

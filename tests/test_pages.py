@@ -2,6 +2,7 @@
 
 from tallyrack.operators import extract as X
 from tallyrack.operators import paginate as P
+from tallyrack.operators import template as T
 from tallyrack.sources import dom
 
 CARD = '<article class="card"><h2><a href="/p/{0}">Fine Desk Lamp {0}</a></h2><span class="price">$1,{0}9.99</span><div class="stars">Rated 4.{0}/5</div><p>12 reviews. In stock now</p></article>'
@@ -45,10 +46,112 @@ def test_next_pages_and_crawl(spark):
 
 
 def test_template_rows(spark):
-    pages = spark.createDataFrame([(1, page([1, 2])), (2, "<p></p>")], "page_id long, html string")
-    got = dom.template_rows(pages, "article.card", {"name": "h2", "link": "h2 > a@href", "cls": "@class", "no": ".none"}, 5).orderBy("page_id", "idx").collect()
-    assert got[0]["values"] == {"name": "Fine Desk Lamp 1", "link": "/p/1", "cls": "card", "no": None}
-    assert got[2].warning == "template_container_not_found" and len(got) == 3
+    base = "https://s.example.com/x/list"
+    twice = '<article class="card big"><h2><a href="../q/2">B</a></h2><i class="mrp">now EUR 5.50 each</i><b>Rated 4,5 stars</b></article>'
+    pages = spark.createDataFrame([(1, base, page([1, 2])), (2, base, "<p></p>"), (3, base, twice + twice.upper().replace("ARTICLE CLASS", "article class").replace("CARD BIG", "card big")), (4, base, '<article class="card"></article>'), (5, None, None)], "page_id long, url string, html string")
+    fields = {"name": "h2", "link": "h2 > a@href", "cls": "@class", "no": ".none", "bad": "a:hover", "price": ".mrp", "stars": "b"}
+    got = {}
+    for r in T.template_rows(pages, T.Template("article.card", fields), 5).orderBy("page_id", "idx").collect():
+        got.setdefault(r.page_id, []).append((r["values"], r.warning))
+    one = got[1][0][0]
+    assert one == {"name": "Fine Desk Lamp 1", "link": "https://s.example.com/p/1", "cls": "['card']", "no": "", "bad": "", "price": "", "stars": ""} and len(got[1]) == 2
+    assert (got[3][0][0]["link"], got[3][0][0]["price"], got[3][0][0]["stars"], got[3][0][0]["cls"]) == ("https://s.example.com/q/2", "EUR 5.50", "4.5", "['card', 'big']")
+    warned = {k: v[0][1] for k, v in got.items() if v[0][1]}
+    assert warned == {2: "template_container_not_found", 5: "template_container_not_found"}
+    bare = T.template_rows(pages, T.Template("article.card", {"no": ".none"}), 5).collect()
+    assert {r.page_id: r.warning for r in bare} == {1: "template_rows_empty", 2: "template_container_not_found", 3: "template_rows_empty", 4: "template_rows_empty", 5: "template_container_not_found"}
+    assert {r.warning for r in T.template_rows(pages, T.Template("a[", {"x": "b"}), 5).collect()} == {"template_selector_invalid"}
+    assert {r.warning for r in T.template_rows(pages, T.Template(" ", {"x": "b"}), 5).collect()} == {"template_invalid_structure"}
+    assert T.Template(None, {}, " li ").container == "li"
+    many = spark.createDataFrame([(1, base, "".join(f"<li>{i // 2}</li>" for i in range(40)))], "page_id long, url string, html string")
+    assert [r.idx for r in T.template_rows(many, T.Template("li", {"v": "@x"} | {"t": ""}), 10).orderBy("idx").collect()] == [0, 2, 4, 6, 8]
+    assert T.field_infos(T.Template("a", {"product_url": "", "MRP": "", "stars": "", "name": ""})) == [("product_url", "url", 0.95), ("MRP", "money", 0.95), ("stars", "rating", 0.95), ("name", "text", 0.9)]
+
+
+def test_template_next(spark):
+    base = "https://s.example.com/x/list?p=1"
+    htmls = ['<a class="n" href="../y">go</a>', '<button class="n" data-url=" ?p=2 ">', '<b class="n">', "<p>", None]
+    pages = spark.createDataFrame([(i, base, h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    of = lambda **k: {r.page_id: (r.next_url, r.warning) for r in T.template_next(pages, T.Template("a", {"a": "a"}, **k)).collect()}
+    used, lost, none = "template_pagination_next_used", "template_pagination_not_found", (None, "template_pagination_no_url")
+    assert of(next_selector=".n", next_type="Next") == {0: ("https://s.example.com/y", used), 1: ("https://s.example.com/x/list?p=2", used), 2: none, 3: (None, lost), 4: (None, lost)}
+    assert of(next_selector=".n")[0] == ("https://s.example.com/y", None)
+    assert set(of(next_selector="a[").values()) == {(None, "template_pagination_selector_invalid")}
+    assert set(of().values()) == {(None, None)}
+
+
+def listing(rows, tag="article", cls="product-card", money="price", words="{} out of 5 stars", head="h2", tail=""):
+    cards = "".join(f'<{tag} class="{cls}"><a href="{href}"><{head}>{title}</{head}></a><p class="{money}">{price}</p><p class="rating">{words.format(rating)}</p></{tag}>' for title, href, price, rating in rows)
+    top = '<header><nav><a href="/deals">Deals</a><a href="/account">Account</a></nav></header>'
+    return f"<html><body>{top}<main><section class='results'>{cards}</section>{tail}</main></body></html>"
+
+
+def test_golden_listings(spark):
+    """The reference's three listing shapes with products of our own: symbol prices, code prices in a class that hints
+    at nothing, Indian grouping; ratings out of five in three spellings."""
+    shop = [(f"Harbor Boots {i}", f"/item/boots-{i}", f"${i}9.50", f"4.{i}") for i in (1, 2, 3)]
+    jobs = [("Senior Rust Developer", "/jobs/r-1", "USD 130,000", "4.2"), ("Data Platform Lead", "/jobs/r-2", "USD 99,500", "4.0"), ("Cloud Build Engineer", "/jobs/r-3", "USD 101,000", "4.5")]
+    homes = [("2 BHK Villa - Lakeside", "/listing/v-1", "INR 75,00,000", "4.5"), ("Studio - Old Town", "/listing/v-2", "INR 1,12,00,000", "4.1"), ("Loft - Harbor Road", "/listing/v-3", "INR 48,00,000", "4.3")]
+    cases = {
+        "https://shop.example.com/search?q=x": (shop, listing(shop)),
+        "https://jobs.example.com/rust": (jobs, listing(jobs, cls="job-card", money="salary", words="Rated {}/5 by applicants")),
+        "https://homes.example.in/search?city=x": (homes, listing(homes, "li", "property-card", words="{}/5 neighborhood rating", head="h3").replace("<section", "<ul").replace("</section", "</ul")),
+    }
+    pages = spark.createDataFrame([(i, url, html) for i, (url, (_, html)) in enumerate(cases.items())], "page_id long, url string, html string")
+    got = {}
+    for r in X.listing_rows(dom.parse_pages(pages), 10).orderBy("page_id", "idx").collect():
+        got.setdefault(r.page_id, []).append((r.title, r.price, r.rating, r.product_url))
+    for i, (url, (rows, _)) in enumerate(cases.items()):
+        host = "/".join(url.split("/")[:3])
+        assert got[i] == [(t, p, r.removesuffix(".0"), host + h) for t, h, p, r in rows]
+
+
+def test_golden_crawls(spark):
+    """The reference's two crawls: a load-more link, and a next button whose second page has a single card."""
+    from tallyrack.plans import runs
+
+    tents = [(f"Summit Tarp {i}", f"/product/{200 + i}", f"${i}29.00", f"4.{i}") for i in (1, 2, 3, 4)]
+    data = [
+        (1, "https://shop.example.com/catalog?page=1", listing(tents[:2], tail='<a class="load-more" href="/catalog?page=2">Load more</a>')), (2, "https://shop.example.com/catalog?page=2", listing(tents[2:])),
+        (3, "https://market.example.com/browse?page=1", listing(tents[:2], tail='<div class="pagination"><a class="next" href="/browse?page=2">Next</a></div>')), (4, "https://market.example.com/browse?page=2", listing(tents[2:3])),
+        (5, "https://loop.example.com/a", listing(tents[:2], tail='<a href="/b">Next</a>')), (6, "https://loop.example.com/b", listing(tents[2:], tail='<a href="/a">Next</a>')),
+        (7, "https://gone.example.com/a", listing(tents[:2], tail='<a href="/none">Next</a>')),
+        (8, "https://same.example.com/a", listing(tents[:2], tail='<a href="/b">Next</a>')), (9, "https://same.example.com/b", listing(tents[:2])),
+    ]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    starts = spark.createDataFrame([(k, data[i][1]) for k, i in (("more", 0), ("next", 2), ("loop", 4), ("gone", 6), ("same", 7))], "job_id string, url string")
+    got = {r.job_id: r for r in runs.run_jobs(starts, pages, "title, price, rating and url", runs.Limits(20, 5)).collect()}
+    row = lambda r: (r.title, r.price, r.rating, r.product_url.split("/")[-1])
+    want = [(t, p, s, h.split("/")[-1]) for t, h, p, s in tents]
+    state = {k: (len(r.rows), r.pages, r.partial, r.warnings) for k, r in got.items()}
+    assert [row(r) for r in got["more"].rows] == want and state["more"] == (4, 2, False, ["pagination_load_more_detected"])
+    assert [row(r) for r in got["next"].rows] == want[:3] and state["next"][1:3] == (2, False) and "pagination_next_detected" in state["next"][3]
+    assert state["loop"] == (4, 2, False, ["pagination_next_detected", "repeated_page_detected"])
+    assert state["gone"] == (2, 1, True, ["pagination_next_detected", "page_load_failed"])
+    assert state["same"] == (2, 1, True, ["pagination_next_detected", "repeated_page_signature_detected"])
+
+
+def test_template_crawl(spark):
+    """A template's next page first; the general rules where it finds none; a repeated page makes it partial."""
+    from tallyrack.plans import runs
+
+    li = lambda *names: "".join(f"<li><b>{n}</b></li>" for n in names)
+    data = [(1, "https://t.example.com/1", li("a", "b") + '<a id="on" href="/2">x</a>'), (2, "https://t.example.com/2", li("c") + '<a href="/3">Next</a>'), (3, "https://t.example.com/3", li("d") + '<a id="on" href="/1">x</a>'), (4, "https://t.example.com/4", "<p>nothing</p>")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    starts = spark.createDataFrame([(1, data[0][1]), (2, data[3][1])], "job_id int, url string")
+    template = T.Template("li", {"name": "b"}, next_selector="#on", next_type="next")
+    got = {r.job_id: r for r in runs.run_jobs(starts, pages, "", runs.Limits(20, 5), template).collect()}
+    used = "template_pagination_next_used"
+    assert [r.name for r in got[1].rows] == ["a", "b", "c", "d"] and (got[1].pages, got[1].partial) == (3, True)
+    assert got[1].warnings == [used, "template_pagination_not_found", "template_pagination_fallback_used", "pagination_next_detected", used, "repeated_page_detected"]
+    assert got[2].rows == [] and got[2].warnings == ["template_container_not_found", "page_yield_low", "template_pagination_not_found", "template_rows_empty"]
+
+
+def test_other_fields(spark):
+    """A field that has no rule of its own is the title, the address or the start of the text, by its name."""
+    pages = spark.createDataFrame([(1, "https://s.example.com/a", page([1, 2]))], "page_id long, url string, html string")
+    got = X.listing_rows(dom.parse_pages(pages), 10, X.with_defaults(["name", "deep_link", "colour"])).orderBy("idx").first()
+    assert (got.name, got.deep_link) == ("Fine Desk Lamp 1", "https://s.example.com/p/1") and got.colour.startswith("Fine Desk Lamp 1 $1,19.99")
 
 
 def test_preview_and_run(spark):
@@ -63,9 +166,7 @@ def test_preview_and_run(spark):
     assert [(r.row_index, r.title[-1], r.pages, r.partial) for r in got] == [(1, "1", 2, False), (2, "2", 2, False), (3, "3", 2, False)]
 
 
-def test_template_values_past_the_tenth_container(spark, tmp_path):
-    from tallyrack.queries import queries
-
+def test_template_values_past_the_tenth_container(spark):
     html = "".join(f"<article><h1>t{i}</h1><p>x</p></article>" for i in range(30))
-    spark.createDataFrame([(1, "https://a.com", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert sorted(r.idx for r in queries()["template_values"](spark, str(tmp_path)).collect()) == list(range(30))
+    pages = spark.createDataFrame([(1, "https://a.com", html)], "page_id long, url string, html string")
+    assert sorted(r.idx for r in T.template_rows(pages, T.Template("article", {"title": "h1", "first": "p"}), 5000).collect()) == list(range(30))
