@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,5 +48,19 @@ def sign(export_id: str, expires: int, secret: str) -> str:
     return hmac.new(secret.encode(), f"{export_id}:{expires}".encode(), hashlib.sha256).hexdigest()
 
 
+def export_path(root: str, job_id: str, export_id: str, kind: str) -> str:
+    """K3: where an export lies."""
+    kind = kind.strip().lower()
+    if kind not in ("csv", "json"):
+        raise ValueError(f"unsupported export format: {kind}")
+    return f"{root.rstrip('/')}/{job_id}/{export_id}.{kind}"
+
+
+def signed_url(base: str, export_id: str, secret: str, now: int, ttl: int) -> str:
+    """K3: a download link that holds for `ttl` seconds, a minute at least."""
+    expires = now + max(60, int(ttl))
+    return f"{base.rstrip('/')}/api/v1/exports/{quote(export_id)}/download?expires={expires}&token={sign(export_id, expires, secret)}"
+
+
 def verify(export_id: str, expires: int, token: str, secret: str, now: int) -> bool:
     return expires >= now and hmac.compare_digest(sign(export_id, expires, secret), token)

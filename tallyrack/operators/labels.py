@@ -88,6 +88,21 @@ def row_labels(labels: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     return first.select(key, "row_index", F.trim("l.label").alias("label"), clamp(F.coalesce("l.confidence", F.lit(0.7))).alias("confidence"))
 
 
+def label_plan(jobs: DataFrame, cache: DataFrame, model: str, most_tokens: int, prefix: str = "ai_planner", has_key: bool = True, supported: bool = True) -> DataFrame:
+    """A1, A5: jobs (job_id, context) and known answers (cache_key) -> (job_id, cache_key, hit, warnings): whose labels are
+    known already, and why a job gets none: no key, another provider, a context over the budget."""
+    known = cache.select("cache_key").distinct().withColumn("_hit", F.lit(True))
+    keyed = jobs.select("job_id", "context", F.sha1(F.concat(F.lit(f"{model}|"), "context")).alias("cache_key")).join(known, "cache_key", "left")
+    why = F.lit("skipped_no_api_key") if not has_key else F.lit("provider_unsupported") if not supported else F.when(estimated_tokens(F.col("context")) > most_tokens, "skipped_input_budget").when(F.col("_hit"), "cache_hit")
+    said = F.when(why.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(f"{prefix}_"), why)))
+    return keyed.select("job_id", "cache_key", F.coalesce(why == "cache_hit", F.lit(False)).alias("hit"), said.alias("warnings"))
+
+
+def insight_summary(given: Column, heuristic: Column) -> Column:
+    """A5: the summary that was given, unless it is blank; else the heuristic one (G16), or that there is nothing."""
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), heuristic, F.lit("No rows available for summarization/classification."))
+
+
 def recover_json(text: Column, schema: str) -> Column:
     """The object between the outermost braces of a reply; null if there is none."""
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)

@@ -34,4 +34,12 @@ def label_counts(labels: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, key: str, page_type: Column, columns: list[str]) -> DataFrame:
     """One sentence a job."""
     fields = ", ".join(columns[:8])
-    return rows.groupBy(key, page_type.alias("page_type")).agg(F.count(F.lit(1)).alias("n")).select(key, F.format_string(f"Extracted %d %s rows with fields: {fields}", "n", "page_type").alias("summary"))
+    return rows.groupBy(key, page_type.alias("page_type")).agg(F.count(F.lit(1)).alias("n")).select(key, F.format_string(f"Extracted %d %s rows with fields: {fields}.", "n", "page_type").alias("summary"))
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """(request_id, method, path, status, duration_ms and, where they are known, trace_id, workspace_id, user_id) ->
+    one compact JSON line a request; blank ids are left out."""
+    others = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("trace_id", "workspace_id", "user_id") if c in log.columns]
+    body = F.struct("request_id", "method", "path", F.col("status").alias("status_code"), F.round("duration_ms", 3).alias("duration_ms"), *others)
+    return log.select("request_id", F.to_json(body).alias("line"))

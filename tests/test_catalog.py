@@ -129,3 +129,84 @@ def test_every_job_is_exported(spark):
         want.setdefault(r.job_id, []).append((r.row_index, f'{{"flag":"{r.flag}","part":{r.part}}}'))
     got = {r.job_id: r.json for r in queries()["export_json_rows"](spark, sf).collect()}
     assert max(want) >= 200 and got == {k: "[" + ",".join(j for _, j in sorted(v)) + "]" for k, v in want.items()}
+
+
+def test_cleaning_values_worked_out_by_hand(spark):
+    """C5-C8, C12 and F5 on values of the record format, without the second dialect."""
+    from tallyrack.functions import records as R
+
+    def of(function, *values):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+        return [r.y for r in df.select("i", F.expr(function(SPARK, "x")).alias("y")).orderBy("i").collect()]
+
+    assert of(R.price, "₹1,79,900", "Rs. 69,900", "free", "0", None) == [179900, 69900, None, None, None]
+    assert of(R.rating, "4,2 out of 5", "5", "9.9", "good") == [4.2, 5.0, None, None]
+    assert of(R.review_count, "2.5k", "1m", "1,024 reviews", "none") == [2500, 1_000_000, 1024, None]
+    assert of(R.rating_in, "Fine lamp 4.3 1,204 Ratings", "3.9 ratings", "a lamp") == [4.3, 3.9, None]
+    assert of(R.reviews_in, "Fine lamp 1,204 Reviews & more", "a lamp") == [1204, None]
+    assert of(R.placeholder, "Unknown", " N/A ", "", None, "Nova") == [True, True, True, True, False]
+    texts = ["nova book (8 GB/256 GB SSD)", "nova-pro-8-gb-512-gb-ssd-x", "16 GB RAM 1 TB HDD", "no size", "6 GB RAM"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.expr(R.memory_text(SPARK, "t")).alias("m")).select("*", F.expr(R.memory_list(SPARK, "m")).alias("sizes"))
+    ram, storage = R.memory_specs(SPARK, "m", "sizes")
+    assert [(r.ram, r.storage) for r in df.select("i", F.expr(ram).alias("ram"), F.expr(storage).alias("storage")).orderBy("i").collect()] == [("8 GB", "256 GB SSD"), ("8 GB", "512 GB SSD"), ("16 GB", "1 TB HDD"), (None, None), ("6 GB", None)]
+
+
+def test_near_duplicate_offers_become_one_record_a_variant(spark):
+    """Five offers of a laptop in two variants, with noise in their titles, sizes in their links alone and several prices."""
+    link = "https://shop.example.com/acer-orbit-m7-2026-pro-8-gb-{}-gb-ssd-{}/p/itm{}?pid=C{}&srno=s"
+    offers = [("Acer Orbit M7 Pro(2026) laptop", "₹69,900", 256), ("Trending Pre Order Acer Orbit M7 Pro(2026) laptop", "₹79,900", 512), ("Pre Order Acer Orbit M7 Pro(2026) laptop", "₹79,900", 512), ("Pre Order Acer Orbit M7 Pro(2026) laptop", "₹69,900", 256), ("Coming soon Acer Orbit M7 Pro(2026) laptop", "₹79,900", 512)]
+    rows = [(i, t, p, link.format(size, f"k{i}x", i, i)) for i, (t, p, size) in enumerate(offers)]
+    got = C.clean(spark.createDataFrame(rows, "idx int, title string, price string, product_url string"), "idx").orderBy("idx").collect()
+    assert [(r.idx, r.ram, r.storage, r.price_inr) for r in got] == [(0, "8 GB", "256 GB SSD", 69900), (1, "8 GB", "512 GB SSD", 79900)]
+
+
+def test_identity_keys_worked_out_by_hand(spark):
+    """A parent's key keeps a slot for each part; a strong sku names the variant."""
+    from hashlib import sha1
+
+    schema = "idx int, brand string, category string, product_family string, model string, sku string, sku_confidence double, ram string, storage string, processor string, display string, os_family string, os_version string, price_inr long, product_url string, name_source string, is_canonical_name boolean"
+    rows = [(1, "Apple", "laptop", "MacBook Air", "MacBook Air 13 inch (2024) M3", "AB-1", 0.95, "8 GB", None, None, None, None, None, 61_000, "u1", "catalog_pattern", True), (2, None, None, None, None, None, None, None, None, None, None, None, None, None, "U2", None, None), (3, " acer ", "laptop", None, "Orbit with oled", None, None, None, None, None, None, None, None, 61_000, "u3", None, None)]
+    got = {r.idx: r for r in I.catalog_entities(spark.createDataFrame(rows, schema), "idx").collect()}
+    name = lambda prefix, key: f"{prefix}_{sha1(key.encode()).hexdigest()[:16]}"
+    parent = "apple|laptop|macbook air|macbook air m3"
+    assert got[1].parent_product_id == name("pp", parent) and got[1].variant_id == name("var", parent + "|sku|ab-1") and got[1].cluster_id == name("vclu", "sku|apple|ab-1")
+    assert got[2].parent_product_id == name("pp", "unknown|u2")
+    assert got[3].parent_product_id == name("pp", "acer|laptop|orbit with oled|orbit with oled") and got[3].cluster_id == name("vclu", "fuzzy|acer|orbit|||60k-69k")
+
+
+def test_templates_by_id_type_and_version(spark):
+    from tallyrack.operators import store as S
+
+    templates = spark.createDataFrame([(1, "d", None, "listing", 0.9, 1, 1, False), (2, "d", "f", "listing", 0.2, 1, 2, False), (3, "d", None, "detail", 1.0, 1, 3, False), (4, "d", "f", "listing", 1.0, 1, 4, True)], "template_id long, domain string, page_fingerprint string, page_type string, success_rate double, version int, updated_at int, invalidated boolean")
+    pages = spark.createDataFrame([(1, "d", "f", None), (2, "d", "g", None), (3, "d", "f", 3), (4, "d", "f", 4), (5, "x", "f", None)], "page_id long, domain string, fingerprint string, template_id long")
+    assert {r.page_id: (r.template_id, r.exact) for r in S.match_templates(pages, templates).collect()} == {1: (2, True), 2: (3, False), 3: (3, False), 4: (None, False), 5: (None, False)}
+    assert {r.page_id: r.template_id for r in S.match_templates(pages.drop("template_id"), templates, "listing").collect()} == {1: 2, 2: 1, 3: 2, 4: 2, 5: None}
+    saved = spark.createDataFrame([(1, "d", "p", None, 1, 1), (2, "d", "p", None, 7, 2), (3, "d", "p", None, 2, 3), (4, "d", "q", None, None, 4)], "template_id long, domain string, page_type string, page_fingerprint string, version int, at int")
+    assert {r.template_id: (r.version, r.parent_template_id) for r in S.version_templates(saved, "at").collect()} == {1: (1, None), 2: (7, 1), 3: (8, 2), 4: (1, None)}
+    users = spark.createDataFrame([(1, " A@x.org"), (2, "a@X.org "), (3, "nobody"), (4, "b@x.org")], "user_id long, email string")
+    keys = spark.createDataFrame([(i, "h") for i in range(1, 5)], "user_id long, hash string")
+    spaces, projects = spark.createDataFrame([(1, 9, 1)], "user_id long, workspace_id long, created_at int"), spark.createDataFrame([(9, 5, 1)], "workspace_id long, project_id long, created_at int")
+    assert sorted((r.user_id, r.email, r.project_id or 0) for r in S.accounts(users, keys, spaces, projects).collect()) == [(1, "a@x.org", 5), (4, "b@x.org", 0)]
+
+
+def test_plans_lines_and_links(spark):
+    from hashlib import sha1
+
+    from tallyrack.operators import metrics as M
+
+    key = sha1(b"m|abcd").hexdigest()
+    jobs, cache = spark.createDataFrame([(1, "abcd"), (2, "x" * 60), (3, "other")], "job_id int, context string"), spark.createDataFrame([(key,), (key,)], "cache_key string")
+    got = {r.job_id: (r.hit, r.warnings) for r in A.label_plan(jobs, cache, "m", 10).collect()}
+    assert got == {1: (True, ["ai_planner_cache_hit"]), 2: (False, ["ai_planner_skipped_input_budget"]), 3: (False, [])}
+    assert {tuple(r.warnings) for r in A.label_plan(jobs, cache, "m", 10, "ai_insights", has_key=False).collect()} == {("ai_insights_skipped_no_api_key",)}
+    pair = spark.createDataFrame([(" ", "h"), ("given", "h"), (None, None)], "a string, b string").select(A.insight_summary(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in pair] == ["h", "given", "No rows available for summarization/classification."]
+    log = spark.createDataFrame([("r", "GET", "/x", 200, 1.23456, "", "w")], "request_id string, method string, path string, status int, duration_ms double, trace_id string, workspace_id string")
+    assert M.log_lines(log).first().line == '{"request_id":"r","method":"GET","path":"/x","status_code":200,"duration_ms":1.235,"workspace_id":"w"}'
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "job_id int, title string")
+    assert M.summary(rows, "job_id", F.lit("listing"), ["title", "price"]).first().summary == "Extracted 2 listing rows with fields: title, price."
+    assert E.export_path("/e/", "j", "x", " CSV") == "/e/j/x.csv"
+    with pytest.raises(ValueError, match="unsupported"):
+        E.export_path("/e", "j", "x", "xml")
+    url = E.signed_url("https://a.org/", "x y", "s", 100, 5)
+    assert url == f"https://a.org/api/v1/exports/x%20y/download?expires=160&token={E.sign('x y', 160, 's')}"
