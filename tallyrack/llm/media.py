@@ -25,6 +25,21 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(pixels, np.uint8).tobytes()
 
 
+def encode_ppm(pixels: np.ndarray) -> bytes:
+    """An 8-bit colour array as binary PPM."""
+    height, width, _ = pixels.shape
+    return b"P6\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(pixels, np.uint8).tobytes()
+
+
+def encode_bmp(pixels: np.ndarray) -> bytes:
+    """An 8-bit colour array as BMP of 24 bits a pixel, the lowest row first."""
+    height, width, _ = pixels.shape
+    rows = np.zeros((height, -(-width * 3 // 4) * 4), np.uint8)
+    rows[:, : width * 3] = pixels[::-1, :, ::-1].reshape(height, -1)
+    size = 54 + rows.size
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 0, 0, 0, 0) + rows.tobytes()
+
+
 def _header(data: bytes, fields: int) -> tuple[list[int], int]:
     """The header's numbers, comments skipped, and where the raster begins."""
     at, numbers = 2, []
@@ -160,9 +175,9 @@ def tiles(media: DataFrame, column: str = "media", size: int = 16) -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
-def payload(text: bytes) -> bytes:
-    """The text and zeros up to a positive multiple of WIDTH."""
-    return text + b"\0" * (-len(text) % WIDTH if text else WIDTH)
+def payload(text: bytes, unit: int = WIDTH) -> bytes:
+    """The text and zeros up to a positive multiple of a unit."""
+    return text + b"\0" * (-len(text) % unit if text else unit)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -198,5 +213,39 @@ def read_back(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
+#: Formats that store_formats deals out, by what a text's length leaves.
+FORMATS = ("pgm", "ppm", "bmp")
+
+
+def store_formats(docs: DataFrame) -> DataFrame:
+    """documents -> (doc_id, format, media): whole texts as grey PGM, colour PPM or BMP pictures, by what the number of
+    their bytes leaves of three.  Null is empty; repeated rows stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            items = list(texts(part.column("text")))
+            kinds = [FORMATS[len(x) % 3] for x in items]
+            grey = lambda x: encode_pgm(np.frombuffer(payload(x), np.uint8).reshape(-1, WIDTH))
+            colour = lambda x: np.frombuffer(payload(x, 3 * WIDTH), np.uint8).reshape(-1, WIDTH, 3)
+            media = [grey(x) if k == "pgm" else encode_ppm(colour(x)) if k == "ppm" else encode_bmp(colour(x)) for x, k in zip(items, kinds, strict=True)]
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "format": pa.array(kinds, pa.string()), "media": pa.array(media, pa.binary())})
+
+    return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, format string, media binary")
+
+
+def media_formats(spark, sf_dir: str) -> DataFrame:
+    """Every text in one of three formats, read back: (doc_id, format, height, payload_bytes, payload_sha256, dhash_there)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "media"):
+            raw = [decode(x).tobytes() for x in texts(part.column("media"))]
+            more = {"payload_bytes": pa.array(list(map(len, raw)), pa.int64()), "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())}
+            yield pa.record_batch({c: part.column(c) for c in ("doc_id", "format", "height", "dhash_there")} | more)
+
+    seen = tiles(store_formats(table(spark, sf_dir, "documents")))
+    seen = seen.selectExpr("doc_id", "format", "height", "length(dhash) = 16 AND length(npy) = CASE format WHEN 'pgm' THEN 384 ELSE 896 END AS dhash_there", "media")
+    return seen.mapInArrow(run, "doc_id long, format string, height int, dhash_there boolean, payload_bytes long, payload_sha256 string")
+
+
 def op4_media(spark, sf_dir: str) -> DataFrame:
     return read_back(store(table(spark, sf_dir, "documents")))

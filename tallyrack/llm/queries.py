@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: getattr(import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
 
     found = {name: of(name, module) for name, module in QUERIES.items()}
+    found["media_formats"] = of("media_formats", "media")
     part = lambda whole, columns: lambda spark, sf_dir: found[whole](spark, sf_dir).selectExpr(*columns)
     return found | {name: part(whole, columns) for name, (whole, columns) in PARTS.items()}
 
@@ -74,6 +75,12 @@ p AS (SELECT doc_id, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 6
 m AS (SELECT *, raw || repeat('\x00'::BLOB, size - n) AS payload, encode('P5' || chr(10) || '64 ' || (size // 64) || chr(10) || '255' || chr(10)) AS head FROM p)
 SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(head) + size AS media_bytes, sha256(head || payload) AS media_sha256 FROM m
 """
+FORMATS_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+f AS (SELECT *, octet_length(raw) AS n, CASE octet_length(raw) % 3 WHEN 0 THEN 64 ELSE 192 END AS unit FROM b),
+p AS (SELECT *, greatest(unit, (n + unit - 1) // unit * unit) AS size FROM f)
+SELECT doc_id, CASE n % 3 WHEN 0 THEN 'pgm' WHEN 1 THEN 'ppm' ELSE 'bmp' END AS format, CAST(size // unit AS INTEGER) AS height, true AS dhash_there, size AS payload_bytes, sha256(raw || repeat('\x00'::BLOB, size - n)) AS payload_sha256 FROM p
+"""
 SECRETS_SQL = r"""
 SELECT doc_id,
     len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 2), lambda v: len(v) >= 6)) AS n_assign,
@@ -100,4 +107,4 @@ SELECT d.doc_id, d.held_out, s.n_tokens, s.n_known, CAST(a.n AS BIGINT) AS train
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}
+    return {"op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "media_formats": FORMATS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}

@@ -63,7 +63,7 @@ def test_operator(spark):
     rows += [(2106, [float("nan")] * 6, 0), (2107, [float("inf"), 1.0], 0), (2108, [None, 1.0], 0), (2109, [1.0, 2.0], 0), (2110, [1.0, 2.0], 0), (2111, [1e-30] * 6, 1), (2112, [1e30] * 6, 1)]
     frame = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, node int").repartition(3)
     want = brute(rows)
-    for block in (1024, 24, 3):
+    for block in (1024, 12):
         assert sorted(tuple(g) for g in near_duplicates(frame, block=block).collect()) == want
     assert near_duplicates(frame.filter("false")).collect() == []
 
@@ -73,20 +73,20 @@ def test_units_grow_in_proportion_on_separated_clusters(spark):
     from tallyrack.llm.covertree import dealt
 
     found = []
-    for n in (600, 2400):
+    for n in (250, 1000):
         r = np.random.default_rng(7)
         centres = unit(r.normal(size=(n // 5, 3)).tolist())
         x = centres[np.arange(n) % len(centres)] + 0.002 * r.normal(size=(n, 3))
         frame = spark.createDataFrame([(1, 3, i, 1, v) for i, v in enumerate(x.astype(np.float32).tolist())], "label int, dim int, node long, weight long, embedding array<float>")
-        members, pairs = dealt(frame, 2, 0.02)
+        members, pairs = dealt(frame, 3, 0.02)
         sizes = [r["count"] for r in members.groupBy("cell").count().collect()]
         assert sum(sizes) == n and sorted(r.node for r in members.select("node").collect()) == list(range(n))
         assert max(c.cell.count("/") for c in members.select("cell").distinct().collect()) >= 2
         found.append(pairs.count())
         rows = [(i, v, 1) for i, v in enumerate(x.astype(np.float32).tolist())]
-        if n == 600:
+        if n == 250:
             want = brute(rows)
-            assert sorted(tuple(g) for g in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=2).collect()) == want
+            assert sorted(tuple(g) for g in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=12).collect()) == want
     assert found[1] < 4 * 1.6 * found[0], found
 
 
@@ -96,7 +96,7 @@ def test_dense_vectors_and_repeated_nulls(spark):
     x = (np.ones(6) + 0.05 * r.normal(size=(90, 6))).astype(np.float32).tolist()
     rows = [(i, v, 0) for i, v in enumerate(x)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    assert sorted(tuple(g) for g in near_duplicates(frame, block=4).collect()) == brute(rows)
+    assert sorted(tuple(g) for g in near_duplicates(frame, block=8).collect()) == brute(rows)
     nulls = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (5, [1.0, 0.01], 1), (None, None, 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(((g.vec_id or 0, g.n_links, g.component_id or 0, g.kept) for g in near_duplicates(nulls).collect()))
     assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 2, 5, False), (0, 2, 5, False), (5, 2, 5, True)]

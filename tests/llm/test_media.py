@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyrack.llm.media import area_resize, decode, difference_hash, encode_pgm, read_back, store, tile, tiles
+from tallyrack.llm.media import area_resize, decode, difference_hash, encode_bmp, encode_pgm, encode_ppm, read_back, store, tile, tiles
 
 
 def bmp(pixels, depth=24, top_down=False):
@@ -77,6 +77,13 @@ def test_tiles_of_any_media(spark):
     assert tiles(spark.createDataFrame([], "media binary")).collect() == []
 
 
+def test_encoders_round_trip():
+    r = np.random.default_rng(5)
+    for h, w in ((1, 1), (3, 5), (4, 64)):
+        colour = r.integers(0, 256, (h, w, 3), np.uint8)
+        assert (decode(encode_ppm(colour)) == colour).all() and (decode(encode_bmp(colour)) == colour).all() and encode_bmp(colour) == bmp(colour)
+
+
 def test_clashing_columns_and_no_rows(spark):
     frame = spark.createDataFrame([(1, bytearray(encode_pgm(np.zeros((2, 2), np.uint8))), "h", "w", 1.0, "n"), (1, None, "h", "w", 1.0, "n")], "id long, media binary, height string, Width string, dhash double, npy string")
     got = tiles(frame).collect()
