@@ -1,6 +1,7 @@
 """The SQL of the corpus queries that SQL can express."""
 
 import duckdb
+import pytest
 
 from tallyrack.llm.queries import oracle_sql, queries
 
@@ -13,3 +14,16 @@ def test_links(spark):
     want = con.execute(oracle_sql()["op7_covertree"]).fetchall()
     got = queries()["op7_covertree"](spark, SF).select("vec_id", "n_links", "component_id", "kept").collect()
     assert sorted(want) == sorted(tuple(r) for r in got)
+
+
+@pytest.mark.parametrize("name", ["mixture_targets", "media_payloads", "media_formats", "secrets_base", "lmscore_base"])
+def test_parts_of_results(spark, name):
+    """Columns of an operator's own result that SQL can compute."""
+    small = SF.replace("0.01", "0.001")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    found = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = queries()[name](spark, small)
+    assert set(got.columns) == set(columns)
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
