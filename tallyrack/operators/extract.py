@@ -39,6 +39,23 @@ def first(x: Column, pattern: str, group: int = 0) -> Column:
     return F.try_element_at(F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
+def resolved(u: Column, ref: Column) -> Column:
+    """An address that a reference was joined to, without dot segments where the reference has no host of its own."""
+    path = first(u, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+
+    def step(acc: Column, part: Column) -> Column:
+        return F.when(part == ".", acc).when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, part))
+
+    def whole(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        # a last dot segment names a folder
+        return F.array_join(F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    full = F.concat(first(u, r"^[^:/?#]+://[^/?#]*"), F.lit("/"), whole(parts), F.coalesce(first(u, r"[?#].*$"), F.lit("")))
+    return F.when(~ref.rlike(r"(?i)^([a-z][a-z0-9+.-]*:|//)") & path.rlike(r"/\.{1,2}(/|$)"), full).otherwise(u)
+
+
 def product_title(x: Column) -> Column:
     """X2."""
     t = squeeze(x)
@@ -110,7 +127,8 @@ def boxes(parsed: DataFrame) -> DataFrame:
     href = F.trim(F.col("link.href"))
     sign = F.concat_ws("|", "tag", "cls", F.array_join("kids", "-"), F.concat(F.lit("a"), F.size("links")), F.concat(F.lit("h"), F.col("n_headings")))
     out = good.select("*", href.alias("href"), _title().alias("title"), price.alias("price"), rating.alias("rating"), count.alias("review_count"), state(F.coalesce(hinted(STATE_CLASS, STATE, 1), first(F.col("text"), STATE, 1), F.lit(""))).alias("availability"), entity("seller|sold by").alias("seller"), entity("company|by").alias("company"), F.col("text").alias("raw_text"), sign.alias("signature"))
-    return out.withColumn("product_url", F.when(F.coalesce("href", F.lit("")) == "", F.lit("")).otherwise(F.expr(U.join(SPARK, "url", "href"))))
+    out = out.withColumn("product_url", F.when(F.coalesce("href", F.lit("")) == "", F.lit("")).otherwise(F.expr(U.join(SPARK, "url", "href"))))
+    return out.withColumn("product_url", resolved(F.col("product_url"), F.coalesce("href", F.lit(""))))
 
 
 def _group_score() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.dialect import SPARK
 from ..plans.lineage import settle
+from .extract import resolved
 
 
 def _absolute(ref: str) -> Column:
@@ -31,7 +32,8 @@ def next_pages(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     way = F.when(F.col("rel_next").isNotNull(), "rel_next").when(F.col("link_rel_next").isNotNull(), "link_rel_next").when(F.col("m").isNotNull(), F.col("m.mode")).when(F.col("data").isNotNull(), "data").when(F.col("bumped").isNotNull(), "increment")
     ref = F.coalesce("rel_next", "link_rel_next", "m.href", "data", "bumped")
     out = out.select("page_id", "url", way.alias("mode"), ref.alias("ref"))
-    return out.select("page_id", "url", F.when(F.col("ref").isNotNull(), _absolute("ref")).alias("next_url"), "mode")
+    out = out.withColumn("next_url", F.when(F.col("ref").isNotNull(), _absolute("ref")))
+    return out.select("page_id", "url", resolved(F.col("next_url"), F.col("ref")).alias("next_url"), "mode")
 
 
 #: What each way of finding the next page is reported as.

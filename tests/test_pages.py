@@ -170,3 +170,17 @@ def test_template_values_past_the_tenth_container(spark):
     html = "".join(f"<article><h1>t{i}</h1><p>x</p></article>" for i in range(30))
     pages = spark.createDataFrame([(1, "https://a.com", html)], "page_id long, url string, html string")
     assert sorted(r.idx for r in T.template_rows(pages, T.Template("article", {"title": "h1", "first": "p"}), 5000).collect()) == list(range(30))
+
+
+def test_dot_segments(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from tallyrack.functions import urls as U
+    from tallyrack.functions.dialect import SPARK
+
+    base = "https://a.com/x/y?z"
+    refs = ["../b", "./c", "/p/./q/../r", "..", ".", "../../../k", "d/..", "e/../f?g=../h", "https://a.com/i/../j", "//b.com/k/../l", "m..n", ""]
+    df = spark.createDataFrame([(i, base, r) for i, r in enumerate(refs)], "i int, url string, ref string").withColumn("u", F.expr(U.join(SPARK, "url", "ref")))
+    assert [r.v for r in df.select("i", X.resolved(F.col("u"), F.col("ref")).alias("v")).orderBy("i").collect()] == [urljoin(base, r) for r in refs]
