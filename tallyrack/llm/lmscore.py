@@ -69,8 +69,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return documents(docs, "text").mapInArrow(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list:
-    """The most frequent keys, `most` of them or somewhat fewer: those above a count that a small histogram of counts
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """(key, c) of the most frequent keys, `most` of them or somewhat fewer: those above a count that a small histogram of counts
     gives, so that no partition sends more than belongs to them."""
     step = F.floor(F.log("c") * 16).cast("int")
     left, least = most, None
@@ -79,7 +79,7 @@ def most_frequent(counts: DataFrame, most: int) -> list:
         if left < 0:
             break
         least = r.step
-    return [] if least is None else counts.filter(step >= least).collect()
+    return counts.filter(F.lit(False) if least is None else step >= least).select("key", "c").toArrow()
 
 
 # ---- windows -------------------------------------------------------------------------------------------------------
@@ -112,8 +112,8 @@ def targets(starts: np.ndarray, real: np.ndarray) -> np.ndarray:
 # ---- sums over partitions ------------------------------------------------------------------------------------------
 
 
-def summed(rows: DataFrame, parts: int, kind: str = "<f8") -> dict[int, np.ndarray]:
-    """(block, who, at, x) rows -> the sum of each block; at: the cells (32 bits) of a sparse x, else null.  Rows are
+def summed(rows: DataFrame, parts: int, kind: str = "<f8") -> Iterator[tuple[int, np.ndarray]]:
+    """(block, who, at, x) rows -> (block, its sum), a partition at a time; at: the cells (32 bits) of a sparse x, else null.  Rows are
     added up FAN_IN at a time before the next exchange, so that no task reads what all partitions send.  What the
     driver gets is of `kind`."""
 
@@ -146,7 +146,7 @@ def summed(rows: DataFrame, parts: int, kind: str = "<f8") -> dict[int, np.ndarr
         dealt = rows.withColumn("part", F.col("who")).withColumn("who", F.pmod("who", F.lit(max(1, parts)))).repartition("block", "who").sortWithinPartitions("block", "who", "part").select("block", "who", "at", "x")
         rows = dealt.mapInArrow(add, "block int, who int, at binary, x binary")
         if last:
-            return {r.block: np.frombuffer(r.x, kind) for r in rows.collect()}
+            return ((r.block, np.frombuffer(r.x, kind)) for r in rows.toLocalIterator())
 
 
 def counted(coded: DataFrame, cells: int, of) -> np.ndarray:
@@ -168,7 +168,7 @@ def counted(coded: DataFrame, cells: int, of) -> np.ndarray:
                 yield pa.record_batch({"block": pa.array([block], pa.int32()), "who": pa.array([who], pa.int32()), "at": pa.array([there.astype("<u4").tobytes()], pa.binary()), "x": pa.array([own[there].astype(float).tobytes()], pa.binary())})
 
     out = np.zeros(-(-cells // BLOCK) * BLOCK, np.float32)
-    for block, x in summed(coded.mapInArrow(run, "block int, who int, at binary, x binary"), coded.rdd.getNumPartitions(), "<f4").items():
+    for block, x in summed(coded.mapInArrow(run, "block int, who int, at binary, x binary"), coded.rdd.getNumPartitions(), "<f4"):
         out[block * BLOCK : block * BLOCK + BLOCK] = x
     return out[:cells]
 
@@ -299,7 +299,7 @@ class _Classes:
 
 def train(coded: DataFrame) -> tuple[AttentionModel, Broadcast]:
     """The model of some coded texts: classes, then values, then attention, each from all of them.  Its tables, which no
-    longer change, are sent to the executors once."""
+    longer change, are sent to the executors once; the driver keeps the rest."""
     context = coded.sparkSession.sparkContext
     sides = counted(coded, 2 * IDS * BUCKETS, beside).reshape(2, -1)
     model = AttentionModel(classes(sides[0]), classes(sides[1]))
@@ -307,6 +307,7 @@ def train(coded: DataFrame) -> tuple[AttentionModel, Broadcast]:
     model.tables(counted(coded, 3 * IDS * CLASSES, lambda flat, places: AttentionModel.cells(known.value, flat, places)))
     known.destroy()
     shared = context.broadcast(model)
+    del model.near, model.far, model.within
     for k, rate in enumerate(RATES):
         learn(coded.filter(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(len(RATES))) == k), model, shared, rate)
     return model, shared
@@ -332,7 +333,7 @@ def learn(coded: DataFrame, model: AttentionModel, shared: Broadcast, rate: floa
         if seen:
             yield pa.record_batch({"block": pa.array([0], pa.int32()), "who": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.nulls(1, pa.binary()), "x": pa.array([change.tobytes()], pa.binary())})
 
-    for x in summed(coded.mapInArrow(run, "block int, who int, at binary, x binary"), coded.rdd.getNumPartitions()).values():
+    for _, x in summed(coded.mapInArrow(run, "block int, who int, at binary, x binary"), coded.rdd.getNumPartitions()):
         at = 0
         for k in names:
             size = model.p[k].size
@@ -345,10 +346,10 @@ def learn(coded: DataFrame, model: AttentionModel, shared: Broadcast, rate: floa
 _CODED = "rid long, key binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids binary"
 
 
-def coded_texts(docs: DataFrame, head: list, end: int, under: int, tokenizer: str) -> DataFrame:
+def coded_texts(docs: DataFrame, head: pa.Table, end: int, under: int, tokenizer: str) -> DataFrame:
     """Two kinds of rows, written to the shared folder: a document's, with its subword ids and the base score of its
     words among `head`, and one for each of its other words, with the word's key."""
-    common = docs.sparkSession.sparkContext.broadcast((pa.array([bytes(r.key) for r in head], pa.binary()), np.array([r.c for r in head] + [0], np.int64)))
+    common = docs.sparkSession.sparkContext.broadcast((pa.concat_arrays(head.column("key").chunks) if len(head) else pa.array([], pa.binary()), np.append(head.column("c").to_numpy(), 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (frequent, counts), coder = common.value, word_ids(tokenizer, most=300_000, most_bytes=28 << 20)
