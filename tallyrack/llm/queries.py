@@ -19,6 +19,7 @@ QUERIES = {
     "op8_lmscore": "lmscore",
     "op9_simhash": "simhash",
     "op10_quality": "quality",
+    "op12_prefixtrie": "prefixtrie",
 }
 
 
@@ -105,6 +106,23 @@ s AS (SELECT t.rid, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coal
 SELECT d.doc_id, d.held_out, s.n_tokens, s.n_known, CAST(a.n AS BIGINT) AS train_tokens, round(s.base_score, 4) AS base_score FROM d JOIN s USING (rid) CROSS JOIN a
 """
 
+#: Prefixes as joined digests of their turns; subtrees by comparing all prefixes.
+PREFIXES_SQL = rf"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, md5(length(role) || ':' || role || text) AS digest, length(text) AS size, turn FROM o),
+r AS (SELECT c, digest, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) - 1 AS i FROM t),
+n AS (SELECT c, count(*) AS n FROM r GROUP BY c),
+h AS (SELECT a.c, a.c - a.c % 100 AS base, {crc32_sql("CAST(a.c AS VARCHAR)")} % 6 AS h, coalesce(b.n, 0) AS base_n FROM n a LEFT JOIN n b ON b.c = a.c - a.c % 100),
+p AS (SELECT h.c, i + 1 AS d, digest, size FROM h JOIN r ON r.c = h.base AND i < h UNION ALL SELECT c, least(h, base_n) + i - h + 1, digest, size FROM h JOIN r USING (c) WHERE i >= h),
+k AS (SELECT c, d, size, string_agg(digest, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM p UNION ALL SELECT c, 0, 0, '' FROM h),
+e AS (SELECT key, sha256(string_agg(c, ',' ORDER BY c)) AS sha FROM (SELECT c, arg_max(key, d) AS key FROM k GROUP BY c) GROUP BY key),
+v AS (SELECT key, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM k GROUP BY key),
+u AS (SELECT key[: 32 * (d - 1)] AS up, count(*) AS n FROM v WHERE d > 0 GROUP BY up),
+x AS (SELECT a.key, count(*) FILTER (u.n IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved FROM v a JOIN v b ON starts_with(b.key, a.key) LEFT JOIN u ON u.up = b.key GROUP BY a.key)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, w.conv_id AS parent_conv_id, v.n_convs, coalesce(u.n, 0) AS n_children, x.n_leaves, CAST(x.saved AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM v JOIN x USING (key) LEFT JOIN e USING (key) LEFT JOIN u ON u.up = v.key LEFT JOIN v w ON v.d > 0 AND w.key = v.key[: 32 * (v.d - 1)]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "media_formats": FORMATS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}
+    return {"op12_prefixtrie": PREFIXES_SQL, "op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "media_formats": FORMATS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}

@@ -16,6 +16,16 @@ def test_links(spark):
     assert sorted(want) == sorted(tuple(r) for r in got)
 
 
+def test_prefixes(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    found = con.execute(oracle_sql()["op12_prefixtrie"])
+    columns = [c[0] for c in found.description]
+    got = queries()["op12_prefixtrie"](spark, SF)
+    assert set(got.columns) == set(columns)
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
+
+
 @pytest.mark.parametrize("name", ["mixture_targets", "media_payloads", "media_formats", "secrets_base", "lmscore_base"])
 def test_parts_of_results(spark, name):
     """Columns of an operator's own result that SQL can compute."""
