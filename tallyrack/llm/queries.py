@@ -19,6 +19,7 @@ QUERIES = {
     "op8_lmscore": "lmscore",
     "op9_simhash": "simhash",
     "op10_quality": "quality",
+    "op11_alignment": "alignment",
     "op12_prefixtrie": "prefixtrie",
 }
 
