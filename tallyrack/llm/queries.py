@@ -21,6 +21,7 @@ QUERIES = {
     "op10_quality": "quality",
     "op11_alignment": "alignment",
     "op12_prefixtrie": "prefixtrie",
+    "op13_repeats": "repeats",
 }
 
 
