@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, documents, table, texts, tokenizer_path
 
 #: Bytes of text that share a row of packed ids, and tokens of A that are stabbed at a time.
-BATCH, CHUNK = 16 << 20, 1 << 20
+BATCH, CHUNK = 4 << 20, 1 << 20
 #: Words a coder remembers, and their bytes.
 WORDS, WORD_BYTES = 400_000, 48 << 20
 #: A pair of ids is a << SHIFT | b.
@@ -71,16 +71,48 @@ class Coder:
         return any(c not in _BYTE_LETTERS for c in self.a.id_to_token(i))
 
     def _learn(self, words: list[str]) -> None:
-        quick = [self.fast is not None and _LATIN(w) is not None for w in words]
-        slow = iter(self.a.encode_batch_fast([" " + w for w, q in zip(words, quick, strict=True) if not q], add_special_tokens=False))
-        for w, q, b in zip(words, quick, self.b.encode(words, num_threads=1), strict=True):
-            a = self.fast.encode_ordinary(" " + w) if q else next(slow).ids
-            self.known[w] = pair = np.array(a, np.uint16).tobytes(), np.array(b, np.uint16).tobytes()
-            self.held += 4 * len(w) + len(pair[0]) + len(pair[1])
+        """Words without white space at their ends share a string, as they could in a text; where tokens end with a
+        word, by their lengths, is where ids are cut."""
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        quick = [w for w in plain if self.fast is not None and _LATIN(w)]
+        rest = [w for w in plain if self.fast is None or not _LATIN(w)]
+        alone = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        for group, fast in ((quick, True), (rest, False)):
+            for i in range(0, len(group), 1 << 14):
+                part = group[i : i + (1 << 14)]
+                if not self._shared(part, fast):
+                    alone += part
+        for w, a, b in zip(alone, self.a.encode_batch_fast([" " + w for w in alone], add_special_tokens=False), self.b.encode(alone, num_threads=1), strict=True):
+            self._keep(w, np.array(a.ids, np.uint16).tobytes(), np.array(b, np.uint16).tobytes())
             raw = b" " + w.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            if b"".join(map(self.a_bytes.__getitem__, a.ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
                 self.odd.add(w)
 
+    def _keep(self, w: str, a: bytes, b: bytes) -> None:
+        self.known[w] = a, b
+        self.held += 4 * len(w) + len(a) + len(b)
+
+    def _shared(self, words: list[str], fast: bool) -> bool:
+        """Whether the words, coded in one string, give its bytes, with a token's end at each word's end."""
+        text = " ".join(words)
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        a = self.fast.encode_ordinary(" " + text) if fast else self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+        cuts = []
+        for ids, sizes, letters in ((a, self.a_len, self.a_bytes), (b, self.b_len, self.b_bytes)):
+            if b"".join(map(letters.__getitem__, ids)) != raw:
+                return False
+            stops = np.cumsum(sizes[np.array(ids, np.uint16)])
+            at = np.searchsorted(stops, ends)
+            if (stops[at] != ends).any():
+                return False
+            cuts.append((np.array(ids, np.uint16).tobytes(), (2 * (at + 1)).tolist()))
+        (one, one_to), (two, two_to) = cuts
+        for w, i, j, k, m in zip(words, [0, *one_to], one_to, [0, *two_to], two_to, strict=False):
+            self._keep(w, one[i:j], two[k:m])
+        return True
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Both lists of ids, 16 bits each; none where the tokens' bytes aren't those of space + text."""
         own, at, odd = [], 0, False
@@ -131,10 +163,8 @@ def stab(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     a_start = np.concatenate([[0], a_end[:-1]])
     first = np.searchsorted(b_end, a_start, "right")
     last = np.searchsorted(b_end, a_end, "left")
-    spans = np.zeros(len(b_end) + 1, np.int32)
-    np.add.at(spans, first, 1)
-    np.add.at(spans, last, -1)
-    whole = np.cumsum(spans)[:-1] == 0  # no A token goes on over the gap after this B token
+    spans = np.bincount(first, minlength=len(b_end)) - np.bincount(last, minlength=len(b_end))
+    whole = np.cumsum(spans) == 0  # no A token goes on over the gap after this B token
     return first, last, np.cumsum(whole) - whole
 
 
@@ -224,8 +254,9 @@ def _results(ids: list, na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.nda
         ends = lambda g: np.append(g[1:] != g[:-1], True)  # noqa: E731  whether a token is its group's last
         # A group's A tokens, then its B tokens: places in the written order.
         n_a, n_b = len(a_group), len(group)
-        a_place = np.arange(n_a) + np.searchsorted(group, a_group, "left")
-        b_place = np.arange(n_b) + np.searchsorted(a_group, group, "right")
+        in_a, in_b = np.bincount(a_group), np.bincount(group)
+        a_place = np.arange(n_a) + (np.cumsum(in_b) - in_b)[a_group]
+        b_place = np.arange(n_b) + np.cumsum(in_a)[group]
         code = np.empty(n_a + n_b, np.int64)
         code[a_place] = a[at] + steps[ends(a_group).astype(int)]
         code[b_place] = b[to] + steps[2 + ends(group).astype(int)]
