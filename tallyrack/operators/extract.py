@@ -229,15 +229,8 @@ def with_rendered(http: DataFrame, rendered: DataFrame, shells: DataFrame) -> Da
 
 
 def fingerprint(parsed: DataFrame) -> DataFrame:
-    """A hash of each page's twenty most frequent tags and classes and its counts; ties by name."""
-
-    def top(column: str) -> DataFrame:
-        counts = parsed.select("page_id", F.explode(column).alias("v")).groupBy("page_id", "v").count()
-        pairs = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "v")))
-        return counts.groupBy("page_id").agg(F.slice(pairs, 1, 20).alias(f"top_{column}"))
-
-    out = parsed.select("page_id", "n_anchors", "n_headings", "n_forms").join(top("tags"), "page_id", "left").join(top("classes"), "page_id", "left")
-    return out.select("page_id", F.sha1(F.to_json(F.struct("top_tags", "top_classes", "n_anchors", "n_headings", "n_forms"))).alias("fingerprint"))
+    """D21, as the DOM pass has it."""
+    return parsed.select("page_id", "fingerprint")
 
 
 def placeholders(pages: DataFrame, count: int, fields: list[str], page: int = 1) -> DataFrame:

@@ -57,16 +57,18 @@ def template_next_pages(found: DataFrame, by_template: DataFrame) -> DataFrame:
 
 def chains(starts: DataFrame, edges: DataFrame, max_pages: int) -> DataFrame:
     """starts (job_id, url), edges (url, next_url) -> (job_id, url, page_no): the pages a crawl reaches, in order.  A
-    page that was visited ends it.  One join a step, written each time; jobs that ended aren't carried on."""
-    known = settle(edges.select(F.col("url").alias("_from"), "next_url").filter("next_url IS NOT NULL").groupBy("_from").agg(F.min("next_url").alias("next_url")))
-    step = settle(starts.select("job_id", "url", F.lit(1).alias("page_no"), F.array("url").alias("seen")))
-    out = step.select("job_id", "url", "page_no")
+    page that was visited ends it.  One join a step, written each time; jobs that ended aren't carried on.  Where starts
+    and edges have a `via` (a template), a job goes by the edges of its own."""
+    via = ["via"] if "via" in starts.columns else []
+    known = settle(edges.select(F.col("url").alias("_from"), *via, "next_url").filter("next_url IS NOT NULL").groupBy("_from", *via).agg(F.min("next_url").alias("next_url")))
+    step = settle(starts.select("job_id", *via, "url", F.lit(1).alias("page_no"), F.array("url").alias("seen")))
+    out = step.select("job_id", *via, "url", "page_no")
     for _ in range(max_pages - 1):
-        onward = step.join(known, step["url"] == known["_from"]).filter(~F.array_contains("seen", F.col("next_url")))
-        step = settle(onward.select("job_id", F.col("next_url").alias("url"), (F.col("page_no") + 1).alias("page_no"), F.array_append("seen", F.col("next_url")).alias("seen")))
+        onward = step.withColumnRenamed("url", "_from").join(known, ["_from", *via]).filter(~F.array_contains("seen", F.col("next_url")))
+        step = settle(onward.select("job_id", *via, F.col("next_url").alias("url"), (F.col("page_no") + 1).alias("page_no"), F.array_append("seen", F.col("next_url")).alias("seen")))
         if step.isEmpty():
             break
-        out = out.unionByName(step.select("job_id", "url", "page_no"))
+        out = out.unionByName(step.select("job_id", *via, "url", "page_no"))
     return out
 
 

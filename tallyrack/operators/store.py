@@ -76,6 +76,24 @@ def match_templates(pages: DataFrame, templates: DataFrame, page_type: str | Non
     return out.select("page_id", "domain", found.alias("template_id"), sure.alias("exact"))
 
 
+def template_candidates(templates: DataFrame) -> DataFrame:
+    """(domain, template_id) of the templates that match_templates() can give a page it isn't asked one for: the best of
+    each fingerprint and of each domain."""
+    good = templates.filter("NOT invalidated")
+    best = F.max_by("template_id", F.struct("success_rate", "version", "updated_at", "template_id")).alias("template_id")
+    exact = good.filter("page_fingerprint IS NOT NULL").groupBy("domain", "page_fingerprint").agg(best).select("domain", "template_id")
+    return exact.unionByName(good.groupBy("domain").agg(best)).distinct()
+
+
+def due(jobs: DataFrame) -> DataFrame:
+    """Jobs to run.  One that has succeeded or was cancelled is delivered again in vain, unless it is forced; a job
+    that was delivered several times runs once."""
+    known = set(jobs.columns)
+    over = F.coalesce(F.col("status").isin("success", "partial_success", "cancelled"), F.lit(False)) if "status" in known else F.lit(False)
+    forced = F.coalesce("force", F.lit(False)) if "force" in known else F.lit(False)
+    return jobs.filter(~over | forced).dropDuplicates(["job_id"])
+
+
 def version_templates(templates: DataFrame, order: str) -> DataFrame:
     """Version and parent within (domain, page_type, fingerprint), nulls equal, in the order saved.  A version that
     was given is kept if it is above the next one: v(k) = max(given(k), v(k-1) + 1), in closed form the running maximum

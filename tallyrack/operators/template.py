@@ -1,4 +1,7 @@
-"""Rows and next pages by a template's selectors (D23-D25, X38, U2): one DOM pass, then native columns."""
+"""Rows and next pages by templates' selectors (D23-D25, X38, U2): one DOM pass, then native columns.
+
+Templates are rows: a page comes with the selectors of all those that may read it, whatever their fields.
+"""
 
 from __future__ import annotations
 
@@ -43,42 +46,61 @@ def field_infos(template: Template) -> list[tuple[str, str, float]]:
     return [(name, kind, 0.9 if kind == "text" else 0.95) for name, kind in kinds.items()]
 
 
-def field_value(name: str, value: Column) -> Column:
+def _named(name: Column, words: tuple[str, ...]) -> Column:
+    return F.lower(name).rlike("|".join(words))
+
+
+def field_value(name: Column, value: Column) -> Column:
     """By its field's name an address as it is, a sum of money or a rating where there is one, else the text."""
-    text, low = squeeze(F.coalesce(value, F.lit(""))), name.lower()
-    if any(w in low for w in URL_NAMES):
-        return text
-    if any(w in low for w in PRICE_NAMES):
-        return F.coalesce(first(text, PRICE_VALUE), text)
-    if any(w in low for w in RATING_NAMES):
-        return F.coalesce(F.regexp_replace(first(text, RATING_VALUE, 1), ",", "."), text)
-    return text
+    text = squeeze(F.coalesce(value, F.lit("")))
+    rating = F.regexp_replace(first(text, RATING_VALUE, 1), ",", ".")
+    return F.when(_named(name, URL_NAMES), text).when(_named(name, PRICE_NAMES), F.coalesce(first(text, PRICE_VALUE), text)).when(_named(name, RATING_NAMES), F.coalesce(rating, text)).otherwise(text)
+
+
+def programs(template: Template) -> Column:
+    """One template's selectors for every page."""
+    fields = F.create_map(*(F.lit(x) for kv in template.fields.items() for x in kv)) if template.fields else F.lit(None).cast("map<string,string>")
+    return F.array(F.struct(F.lit(template.template_id).alias("template_id"), F.lit(template.container).cast("string").alias("container"), fields.alias("fields"), F.lit(template.next_selector).cast("string").alias("next")))
+
+
+def found_rows(read: DataFrame, max_rows: int) -> DataFrame:
+    """Pages that templates have read (dom.read_pages(pages, 2 * max_rows)) -> (page_id, template_id, idx, values
+    map, warning).  Of a page's first 2 * max_rows containers those with a value count, max_rows of them at most, repeats
+    once; a page without rows has one row with a warning.  The caps are the request's own limit on a page."""
+    each = read.select("page_id", F.explode("by_template").alias("t")).select("page_id", "t.template_id", "t.warning", "t.rows")
+    found = each.select("page_id", "template_id", F.posexplode("rows").alias("idx", "raw"))
+    found = settle(found.withColumn("values", F.transform_values("raw", field_value)).drop("raw"))
+    found = found.filter(F.exists(F.map_values("values"), lambda v: v != ""))
+    nth = Window.partitionBy("page_id", "template_id").orderBy("idx")
+    found = found.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= max_rows)
+    sign = F.array_sort(F.transform(F.map_entries("values"), lambda e: F.struct(e["key"].alias("k"), F.lower(F.trim(e["value"])).alias("v"))))
+    same = Window.partitionBy("page_id", "template_id", "_s").orderBy("idx")
+    rows = settle(found.withColumn("_s", sign).withColumn("_n", F.row_number().over(same)).filter("_n = 1").select("page_id", "template_id", "idx", "values", F.lit(None).cast("string").alias("warning")))
+    bare = each.join(rows.select("page_id", "template_id").distinct(), ["page_id", "template_id"], "left_anti")
+    return rows.unionByName(bare.select("page_id", "template_id", F.coalesce("warning", F.lit("template_rows_empty")).alias("warning")), allowMissingColumns=True)
+
+
+def found_next(read: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """(page_id, template_id, next_url, warning): the address of the pagination selector's first node.  `kinds`
+    (template_id, next_type) names each template's pagination."""
+    out = read.select("page_id", F.explode("by_template").alias("t")).select("page_id", "t.template_id", "t.next_url", F.col("t.next_warning").alias("warning"))
+    if kinds is None:
+        return out
+    kind = F.lower(F.trim(F.coalesce("next_type", F.lit(""))))
+    used = F.when(F.col("next_url").isNotNull(), F.when(kind != "", F.concat(F.lit("template_pagination_"), kind, F.lit("_used")))).otherwise(F.col("warning"))
+    return out.join(kinds.select("template_id", "next_type"), "template_id", "left").select("page_id", "template_id", "next_url", used.alias("warning"))
 
 
 def template_rows(pages: DataFrame, template: Template, max_rows: int) -> DataFrame:
-    """Pages (page_id, url, html) -> (page_id, idx, values map, warning).  Of a page's first 2 * max_rows containers
-    those with a value count, max_rows of them at most, repeats once; a page without rows has one row with a warning.
-    The caps are the request's own limit on a page."""
-    if template.container is None or not template.fields:
-        return pages.select("page_id", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("map<string,string>").alias("values"), F.lit("template_invalid_structure").alias("warning"))
-    raw = settle(dom.template_values(pages, template.container, template.fields, 2 * max_rows))
-    names = list(template.fields)
-    found = raw.filter("idx IS NOT NULL").select("page_id", "idx", *(field_value(n, F.col("values")[n]).alias(f"_{k}") for k, n in enumerate(names)))
-    columns = [f"_{k}" for k in range(len(names))]
-    found = found.filter(F.exists(F.array(*columns), lambda v: v != ""))
-    nth = Window.partitionBy("page_id").orderBy("idx")
-    found = found.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= max_rows)
-    same = Window.partitionBy("page_id", *(F.lower(F.trim(F.col(c))) for c in columns)).orderBy("idx")
-    rows = settle(found.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select("page_id", "idx", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*columns)).alias("values"), F.lit(None).cast("string").alias("warning")))
-    bare = raw.join(rows.select("page_id"), "page_id", "left_anti").groupBy("page_id").agg(F.coalesce(F.max("warning"), F.lit("template_rows_empty")).alias("warning"))
-    return rows.unionByName(bare, allowMissingColumns=True)
+    """found_rows() of one template on pages (page_id, url, html)."""
+    read = settle(dom.read_pages(pages.select("page_id", "url", "html").withColumn("programs", programs(template)), 2 * max_rows, False))
+    return found_rows(read, max_rows).drop("template_id")
 
 
 def template_next(pages: DataFrame, template: Template) -> DataFrame:
-    """(page_id, next_url, warning): the address of the pagination selector's first node."""
-    if not template.next_selector:
-        return pages.select("page_id", F.lit(None).cast("string").alias("next_url"), F.lit(None).cast("string").alias("warning"))
-    kind = template.next_type.lower()
-    used = F.lit(f"template_pagination_{kind}_used") if kind else F.lit(None).cast("string")
-    found = dom.template_links(pages, template.next_selector)
-    return found.select("page_id", "next_url", F.when(F.col("next_url").isNotNull(), used).otherwise(F.col("warning")).alias("warning"))
+    """found_next() of one template: (page_id, next_url, warning); pages (page_id, url, html), or as it has read them."""
+    read = pages
+    if "by_template" not in pages.columns:
+        read = dom.read_pages(pages.select("page_id", "url", "html").withColumn("programs", programs(template)), 0, False)
+    kinds = read.sparkSession.createDataFrame([(template.template_id, template.next_type)], "template_id string, next_type string")
+    return found_next(read, kinds).drop("template_id")

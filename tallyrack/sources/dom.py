@@ -1,18 +1,26 @@
 """HTML into relational features: one Arrow-batched pass that builds a tree with the standard parser.
 
-A page becomes one row: counts, links with where they stand, containers with what later steps read of them.  All
-decisions (scores, fields, filters) are native columns over these rows.
+A page becomes one row: counts, links with where they stand, containers with what later steps read of them, and what the
+selectors of templates that come with it find.  All decisions (scores, fields, filters) are native columns over these
+rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .selectors import Page, select
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style", "template"}
@@ -102,61 +110,9 @@ def classes(node: Node) -> list[str]:
     return node.attrs.get("class", "").split()
 
 
-def select(tree: Tree, scope: Node, selector: str) -> list[Node]:
-    """CSS: tag, .class, #id, [attr], [attr=value], *, descendant and child combinators, commas; document order."""
-    found: dict[int, Node] = {}
-    for one in selector.split(","):
-        steps = re.findall(r">|[^\s>]+", one.strip())
-        if not steps or steps[-1] == ">" or not all(s == ">" or _STEP.fullmatch(s) for s in steps):
-            raise ValueError(f"bad selector: {selector!r}")
-        for node in tree.under(scope) if scope.tag else tree.nodes:
-            if _matches(node, steps, scope):
-                found[node.order] = node
-    return [found[k] for k in sorted(found)]
-
-
-def _matches(node: Node, steps: list[str], scope: Node) -> bool:
-    if not _simple(node, steps[-1]):
-        return False
-    rest = steps[:-1]
-    if not rest:
-        return True
-    if rest[-1] == ">":
-        return bool(len(rest) > 1 and node.parent is not None and node.parent.tag and _matches(node.parent, rest[:-1], scope))
-    return any(_matches(up, rest, scope) for up in ancestors(node))
-
-
-_PART = re.compile(r"""([.#]?[\w-]+|\*)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*["']?([^"'\]]*)["']?\s*)?\]""")
-
-_STEP = re.compile(f"(?:{_PART.pattern})+")
-
-
-def _simple(node: Node, step: str) -> bool:
-    at = 0
-    while at < len(step):
-        m = _PART.match(step, at)
-        if not m:
-            raise ValueError(f"bad selector: {step!r}")
-        at, name = m.end(), m[1]
-        if m[2]:
-            value = node.attrs.get(m[2])
-            tests = {"=": lambda v, w: v == w, "~=": lambda v, w: w in v.split(), "^=": lambda v, w: v.startswith(w), "$=": lambda v, w: v.endswith(w), "*=": lambda v, w: w in v, "|=": lambda v, w: v == w or v.startswith(w + "-")}
-            if value is None or (m[3] and not tests[m[3]](value, m[4])):
-                return False
-        elif name[0] == ".":
-            if name[1:] not in classes(node):
-                return False
-        elif name[0] == "#":
-            if node.attrs.get("id") != name[1:]:
-                return False
-        elif name not in ("*", node.tag):
-            return False
-    return True
-
-
 LINK = "struct<ord:int,href:string,text:string,heading:boolean,hints:string,area:string,parent:int>"
 BOX = f"struct<ord:int,parent:int,parent_tag:string,tag:string,cls:string,kids:array<string>,nav:boolean,text:string,links:array<{LINK}>,n_headings:int,headings:array<string>,blocks:array<string>,hinted:array<struct<cls:string,txt:string>>>"
-PAGE = f"page_id long, url string, n_scripts int, n_anchors int, n_forms int, n_headings int, text string, tags array<string>, classes array<string>, rel_next string, link_rel_next string, links array<{LINK}>, data_next string, script_next string, boxes array<{BOX}>"
+PAGE = f"page_id long, url string, n_scripts int, n_anchors int, n_forms int, n_headings int, text string, fingerprint string, rel_next string, link_rel_next string, links array<{LINK}>, data_next string, script_next string, boxes array<{BOX}>"
 
 
 def _link(tree: Tree, a: Node, boxes: dict[int, int] | None = None) -> dict:
@@ -166,8 +122,17 @@ def _link(tree: Tree, a: Node, boxes: dict[int, int] | None = None) -> dict:
     return {"ord": a.order, "href": a.attrs["href"], "text": text(a), "heading": any(x.tag in HEADINGS for x in tree.under(a)), "hints": hints, "area": area, "parent": parent}
 
 
-def page_row(page_id: int, url: str, html: str) -> dict:
-    tree = Tree(html or "")
+def fingerprint(tree: Tree) -> str:
+    """A hash of the twenty most frequent tags and classes, ties by name, and three counts.  The text that is hashed
+    is a fixed format."""
+    top = lambda names: sorted(Counter(names).items(), key=lambda x: (-x[1], x[0]))[:20]
+    tags = top(n.tag for n in tree.nodes[:400])
+    named = top(c for n in tree.nodes[:300] for c in classes(n)[:2])
+    counts = {"anchors": sum(n.tag == "a" and "href" in n.attrs for n in tree.nodes), "headings": sum(n.tag in HEADINGS for n in tree.nodes), "forms": sum(n.tag == "form" for n in tree.nodes)}
+    return hashlib.sha1(repr({"top_tags": tags, "top_classes": named} | counts).encode()).hexdigest()
+
+
+def page_row(tree: Tree, page_id: int, url: str) -> dict:
     anchors = [n for n in tree.nodes if n.tag == "a" and "href" in n.attrs]
     links = {a.order: _link(tree, a) for a in anchors}
     headings = [n for n in tree.nodes if n.tag in HEADINGS]
@@ -191,31 +156,23 @@ def page_row(page_id: int, url: str, html: str) -> dict:
     script = next((m for m in (re.search(NEXT_SCRIPT, s) for s in scripts) if m), None)
     return {
         "page_id": page_id, "url": url, "n_scripts": sum(n.tag == "script" for n in tree.nodes), "n_anchors": len([n for n in tree.nodes if n.tag == "a"]), "n_forms": sum(n.tag == "form" for n in tree.nodes), "n_headings": len(headings), "text": text(tree.root),
-        "tags": [n.tag for n in tree.nodes[:400]], "classes": [c for n in tree.nodes[:300] for c in classes(n)[:2]], "rel_next": rel("a"), "link_rel_next": rel("link"), "links": list(links.values()), "data_next": data, "script_next": script[1] if script else None, "boxes": boxes,
+        "rel_next": rel("a"), "link_rel_next": rel("link"), "links": list(links.values()), "data_next": data, "script_next": script[1] if script else None, "boxes": boxes, "fingerprint": fingerprint(tree),
     }
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> PAGE.  Null HTML is an empty page."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 64):
-                part = frame.iloc[at : at + 64]
-                yield pd.DataFrame([page_row(*r) for r in zip(part.page_id, part.url, part.html, strict=True)])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
-
+#: A template's selectors, and what they find on a page.
+PROGRAM = "template_id string, container string, fields map<string,string>, next string"
+FOUND = "template_id string, warning string, rows array<map<string,string>>, next_url string, next_warning string"
 
 #: Attributes that hold a list, which reads as a list's text.
 LISTS = ("class", "rel", "rev", "accept-charset", "headers", "accesskey")
 
 
-def _selected(tree: Tree, node: Node, expression: str, base: str) -> str | None:
+def _selected(page: Page, node: Node, expression: str, base: str) -> str | None:
     """`sel`, `sel@attr` or `@attr`; an `@href` is joined to the page's address."""
     css, _, attr = expression.strip().rpartition("@") if "@" in expression else (expression.strip(), "", "")
     try:
-        found = (select(tree, node, css) or [None])[0] if css.strip() else node
+        found = (select(page, node, css, 1) or [None])[0] if css.strip() else node
     except ValueError:
         return None
     attr = attr.strip()
@@ -225,42 +182,59 @@ def _selected(tree: Tree, node: Node, expression: str, base: str) -> str | None:
     return urljoin(base or "", value) if attr == "href" else value
 
 
-def template_values(pages: DataFrame, container: str, fields: dict[str, str], most: int) -> DataFrame:
-    """(page_id, url, html) -> (page_id, idx, values map, warning): one row for each of a page's first `most`
-    containers; a page without any gives one row with a warning."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page_id, url, html in zip(frame.page_id, frame.url, frame.html, strict=True):
-                tree = Tree(html or "")
-                try:
-                    boxes = select(tree, tree.root, container)[:most]
-                    out += [(page_id, k, {f: _selected(tree, b, e, url) for f, e in fields.items()}, None) for k, b in enumerate(boxes)] or [(page_id, None, None, "template_container_not_found")]
-                except ValueError:
-                    out.append((page_id, None, None, "template_selector_invalid"))
-            yield pd.DataFrame(out, columns=["page_id", "idx", "values", "warning"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, idx int, values map<string,string>, warning string")
-
-
-def template_links(pages: DataFrame, selector: str) -> DataFrame:
-    """(page_id, url, html) -> (page_id, next_url, warning): where the selector's first node leads."""
-
-    def one(url: str, html: str) -> tuple[str | None, str | None]:
-        tree = Tree(html or "")
-        try:
-            found = select(tree, tree.root, selector)
-        except ValueError:
-            return None, "template_pagination_selector_invalid"
-        if not found:
-            return None, "template_pagination_not_found"
-        ref = next((v for k in ("href", "data-next-url", "data-url", "data-href") if (v := found[0].attrs.get(k, "").strip())), None)
-        return (urljoin(url or "", ref), None) if ref else (None, "template_pagination_no_url")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(i, *one(u, h)) for i, u, h in zip(frame.page_id, frame.url, frame.html, strict=True)]
-            yield pd.DataFrame(out, columns=["page_id", "next_url", "warning"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, next_url string, warning string")
+def _rows(page: Page, url: str, container: str | None, fields: dict[str, str], most: int) -> tuple[list[dict], str | None]:
+    """Raw values of the first `most` containers, or why there are none."""
+    if not (container and container.strip()) or not fields:
+        return [], "template_invalid_structure"
+    try:
+        boxes = select(page, page.tree.root, container, most)
+    except ValueError:
+        return [], "template_selector_invalid"
+    return [{f: _selected(page, b, e, url) for f, e in fields.items()} for b in boxes], None if boxes else "template_container_not_found"
+
+
+def _onward(page: Page, url: str, selector: str | None) -> tuple[str | None, str | None]:
+    """Where the pagination selector's first node leads, or why nowhere."""
+    if not selector:
+        return None, None
+    try:
+        found = select(page, page.tree.root, selector, 1)
+    except ValueError:
+        return None, "template_pagination_selector_invalid"
+    if not found:
+        return None, "template_pagination_not_found"
+    ref = next((v for k in ("href", "data-next-url", "data-url", "data-href") if (v := found[0].attrs.get(k, "").strip())), None)
+    return (urljoin(url or "", ref), None) if ref else (None, "template_pagination_no_url")
+
+
+def read_pages(pages: DataFrame, most: int = 0, features: bool = True) -> DataFrame:
+    """pages (page_id, url, html; programs array<struct<PROGRAM>> where templates are to read them) -> PAGE and
+    by_template array<struct<FOUND>>.  A page is parsed once, for its features, its fingerprint and every program; of a
+    program's containers the first `most` are read.  Null HTML is an empty page.  Without features only page_id, url and
+    by_template are filled."""
+    programs = "programs" in pages.columns
+    columns = [*pages.select("page_id", "url", "html").schema.fields]
+    kind = f"page_id {columns[0].dataType.simpleString()}, " + PAGE.partition(", ")[2] + f", by_template array<struct<{FOUND}>>"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def one(row: dict) -> dict:
+        tree = Tree(row["html"] or "")
+        out = page_row(tree, row["page_id"], row["url"]) if features else {"page_id": row["page_id"], "url": row["url"]}
+        page, found = Page(tree) if row.get("programs") else None, []
+        for p in row.get("programs") or []:
+            rows, warning = _rows(page, row["url"], p["container"], dict(p["fields"] or []), most)
+            onward, lost = _onward(page, row["url"], p["next"])
+            found.append({"template_id": p["template_id"], "warning": warning, "rows": [list(r.items()) for r in rows], "next_url": onward, "next_warning": lost})
+        return out | {"by_template": found}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(at, 64).to_pylist()], schema)
+
+    return pages.select("page_id", "url", "html", *(["programs"] if programs else [])).mapInArrow(run, kind)
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) -> PAGE."""
+    return read_pages(pages.select("page_id", "url", F.col("html"))).drop("by_template")

@@ -4,6 +4,7 @@ from tallyrack.operators import extract as X
 from tallyrack.operators import paginate as P
 from tallyrack.operators import template as T
 from tallyrack.sources import dom
+from tallyrack.sources.selectors import Page, select
 
 CARD = '<article class="card"><h2><a href="/p/{0}">Fine Desk Lamp {0}</a></h2><span class="price">$1,{0}9.99</span><div class="stars">Rated 4.{0}/5</div><p>12 reviews. In stock now</p></article>'
 
@@ -17,7 +18,7 @@ def test_tree():
     div = tree.nodes[0]
     assert dom.text(div) == "one two three" and dom.text(tree.root) == "one two three four"
     for css, n in (("div p", 2), ("div > p", 1), ("#a.x b", 1), ("[class~=y]", 1), ("b, br", 2), ("p > p", 1), ("*", 5 + 1), (".z", 0)):
-        assert len(dom.select(tree, tree.root, css)) == n, css
+        assert len(select(Page(tree), tree.root, css)) == n, css
 
 
 def test_listings(spark):
