@@ -137,7 +137,28 @@ def _crawl_jobs(template: T.Template | None) -> Query:
 
 
 def _fingerprints(pages: DataFrame, parsed: DataFrame) -> DataFrame:
-    return X.fingerprint(parsed).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page")).drop("fingerprint")
+    return X.fingerprint(parsed).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's pages."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+
+
+#: A template of the driver's pages: their menu but for its first item.
+MENU = T.Template("nav li:not(:first-child)", {"word": "a", "link": "a[href]@href"})
+
+
+def _menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.template_rows(_given(spark, sf_dir), MENU, 5000)
+    return rows.select("page_id", "idx", *(F.col("values")[f].alias(f) for f in MENU.fields))
+
+
+def _dispatched(then: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return then(N.dispatch_jobs(L.store_jobs(spark, sf_dir), L.store_pages(spark, sf_dir), L.templates(spark), "title, price and link", N.Limits(5000, 100)))
+
+    return run
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +194,16 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "variant_merge": (_merged, I.merge_oracle(PRICED, "idx", MERGED)),
         "structured_catalog": (lambda spark, sf_dir: G.catalog(_listing(spark, sf_dir), "idx", stamp="2024-01-01T00:00:00Z"), None),
         "structured_rows": (lambda spark, sf_dir: G.catalog_rows(_listing(spark, sf_dir), "idx", stamp="2024-01-01T00:00:00Z"), None),
-        "js_shell_flags": (_pages(X.js_shell, L.shell_pages), L.SHELLS),
-        "next_page_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages)), L.NEXT),
-        "page_fingerprint_groups": (_pages(_fingerprints), L.FINGERPRINTS),
+        "js_shell_flags": (_pages(X.js_shell, _given), L.GIVEN_SHELLS),
+        "next_page_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages), _given), L.given_next(U.join(DUCK, "url", "href"), U.next_page(DUCK, "url"))),
+        "page_fingerprint_groups": (_pages(_fingerprints, _given), L.GIVEN_FINGERPRINTS),
+        "page_menus": (_menus, L.GIVEN_VALUES),
+        "listing_shell_flags": (_pages(X.js_shell, L.shell_pages), L.SHELLS),
+        "listing_next_url": (_pages(lambda pages, parsed: P.next_pages(parsed, pages)), L.NEXT),
+        "listing_fingerprint_groups": (_pages(lambda pages, parsed: _fingerprints(pages, parsed).drop("fingerprint")), L.FINGERPRINTS),
+        "template_dispatch": (_dispatched(lambda done: done.select("job_id", "status", "template_id", "by_template", F.size("rows").alias("rows"), "pages", F.array_join("warnings", ",").alias("warnings"))), L.DISPATCHED),
+        "template_dispatch_rows": (_dispatched(lambda done: done.select("job_id", F.posexplode("rows").alias("k", "row")).select("job_id", (F.col("k") + 1).alias("row_index"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row")))).alias("json"))), L.DISPATCHED_ROWS),
+        "template_outcomes": (_dispatched(lambda done: S.template_health(N.template_outcomes(done), "template_id", "job_id")), L.OUTCOMES),
         "listing_rows": (_pages(lambda pages, parsed: X.listing_rows(parsed).drop("seller", "company", "raw_text")), L.LISTED),
         "template_values": (_values, L.VALUES),
         "crawl_rows": (_crawled, L.CRAWLED),
