@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Step, in_batch, in_stream, rows_of
+
 
 class SlidingLog:
     """Allowed hits of the last `window` seconds; blocked ones are not kept."""
@@ -78,19 +80,29 @@ def decide(hits: DataFrame, kind: type, limit: int, window: float, key: str = "k
     return sorted_rows.mapInPandas(run, f"{key} string, {time} double, {order} long, allowed boolean, remaining long, reset_seconds long")
 
 
-def decide_stream(hits: DataFrame, kind: type, limit: int, window: float) -> DataFrame:
-    """The same over a stream (key, ts, id); state is forgotten when a key has been silent for a window's processing time."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def _limiter(kind: type, limit: int, window: float) -> Step:
+    def step(state: list | None, at: int, row: dict) -> tuple[list | None, list[dict], list]:
+        if row.get("forget"):  # nothing that the state holds counts any longer
+            return (None if state is None or at >= state[1] + int(2 * window * 1e6) else state), [], []
+        limiter = kind(limit, window, list(state[0]) if state else None)
+        allowed, remaining, reset = limiter.hit(at / 1e6)
+        made = {"id": row["id"], "allowed": allowed, "remaining": remaining, "reset_seconds": reset}
+        return [limiter.state(), at], [made], [(at + int(2 * window * 1e6), {"forget": True})]
+
+    return step
+
+
+_DECISION = "id long, allowed boolean, remaining long, reset_seconds long"
+
+
+def decide_in_order(hits: DataFrame, kind: type, limit: int, window: float) -> DataFrame:
+    """hits (key, ts timestamp, id) -> (key, at micros, id, allowed, remaining, reset_seconds): decide(), by the fold that
+    streams use too.  A hit without a key or a time isn't decided."""
+    return in_batch(rows_of(hits, "key", "ts", "id", ["id"]), _limiter(kind, limit, window), _DECISION)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        limiter = kind(limit, window, list(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        out = [limiter.hit(t) for t in rows.ts]
-        state.update((limiter.state(),))
-        state.setTimeoutDuration(int(window * 1000))
-        yield pd.DataFrame({"key": key[0], "id": rows.id.to_numpy(), "allowed": [o[0] for o in out], "remaining": [o[1] for o in out], "reset_seconds": [o[2] for o in out]})
 
-    return hits.groupBy("key").applyInPandasWithState(step, "key string, id long, allowed boolean, remaining long, reset_seconds long", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def decide_stream(hits: DataFrame, kind: type, limit: int, window: float, delay: str = "10 seconds") -> DataFrame:
+    """decide_in_order() of a stream.  Hits wait until the watermark, `delay` behind the latest hit, has passed them, and
+    are decided in the order of their times whatever order they came in; two windows after a key's last hit, by the
+    watermark, its state goes."""
+    return in_stream(rows_of(hits, "key", "ts", "id", ["id"]), _limiter(kind, limit, window), _DECISION, delay)
