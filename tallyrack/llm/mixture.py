@@ -20,6 +20,9 @@ BRANCHES = 64
 CHUNK = 65_536
 #: A source gives each document at most this many times.
 MOST_COPIES = 3
+#: Classes of document sizes that a source is rounded in, at most, and how many times the words of a class's largest
+#: document its smaller ones must be able to give and to take.
+CLASSES, ROOM = 4, 2.0
 #: A fraction this close to an integer is one: sums of doubles.
 EPSILON = 1e-9
 
@@ -52,7 +55,7 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
 def _trade(rows: DataFrame, level: int) -> DataFrame:
     """Round the fractions of each block: adds `won` (rounded up here) and `open` (the block's residual, with its new fraction in `part`).
 
-    A block is folded in falling size, so that its residual tends to be a small document.  The fold's state is the
+    A block is folded in falling size, so its residual tends to be its largest document.  The fold's state is the
     residual's place, size and fraction, and the places of those that were rounded up.
     """
     names = [c for c in rows.columns if c not in ("source", "block")]
@@ -101,6 +104,54 @@ def numbered(sizes: DataFrame) -> DataFrame:
     return few.unionByName(many.select(*sizes.columns, F.explode(F.sequence(F.col("chunk") * CHUNK + 1, last)).alias("nth")))
 
 
+def outsized(rows: DataFrame) -> DataFrame:
+    """(source, size, part) of open documents -> (source, above, part_too): documents of a source with more than `above`
+    words are too large to be drawn, and `part_too` is the part of the others that makes up for them.
+
+    A document that holds more than one ROOM-th of what all smaller ones can give or take would put its source off its
+    target whether it is drawn or not; it gets the nearest number of copies.  Sources without such have no row, nor have
+    those whose other documents can't make up for them.
+    """
+    step = F.floor(2 * F.log2("size")).cast("int").alias("step")
+    sums = rows.groupBy("source", step).agg(F.sum("size").alias("words"), F.max("size").alias("most"), F.max("part").alias("part"))
+    under = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("source")
+    steps = sums.select("source", "step", "most", F.coalesce(F.sum("words").over(under), F.lit(0)).alias("below"), "words", F.sum("words").over(everything).alias("all"), F.max("step").over(everything).alias("last"), F.max("part").over(everything).alias("part"))
+    share = F.col("all") / (F.col("below") + F.col("words"))  # the drawn documents hold the fractional words of all
+    part = F.when(F.col("part") < 0.5, F.col("part") * share).otherwise(1 - (1 - F.col("part")) * share)
+    steps = steps.withColumn("part_too", part).filter((F.col("part_too") > EPSILON) & (F.col("part_too") < 1 - EPSILON))
+    fits = F.col("most") <= F.col("below") * F.least(F.col("part_too"), 1 - F.col("part_too")) / ROOM
+    top = F.max_by(F.struct("most", "part_too"), "step").alias("top")
+    return steps.filter(fits).groupBy("source").agg(top, F.max("step").alias("step"), F.max("last").alias("last")).filter("step < last").select("source", F.col("top.most").alias("above"), F.col("top.part_too").alias("part_too"))
+
+
+def ladder(rows: DataFrame) -> DataFrame:
+    """(source, size, part) of open documents -> (source, c, n, most, rest): of each class of a source, from the largest
+    documents down, the number of documents, the largest size, and the words of all smaller classes.
+
+    A class goes down to the size below which documents can still give and take ROOM times the words of its largest one.
+    Sizes are summed by half powers of two, so a source has some sixty rows at most.
+    """
+    step = F.floor(2 * F.log2("size")).cast("int").alias("step")
+    sums = checkpoint(rows.groupBy("source", step).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.max(F.least(F.col("part"), 1 - F.col("part"))).alias("share")))
+    upto = sums.withColumn("below", F.sum("words").over(Window.partitionBy("source").orderBy("step")))
+    steps = checkpoint(upto.withColumn("room", F.col("below") * F.col("share") / ROOM))
+    own = F.col("t.source").eqNullSafe(F.col("u.source"))
+    tops = steps.groupBy("source").agg(F.max("step").alias("top"), F.max("most").alias("most")).withColumn("c", F.lit(0))
+    found = [tops.select("source", "c", "top")]
+    for c in range(1, CLASSES):
+        fits = tops.alias("t").join(steps.alias("u"), own & (F.col("u.step") < F.col("t.top")) & (F.col("u.room") >= F.col("t.most")))
+        tops = checkpoint(fits.groupBy(F.col("t.source").alias("source")).agg(F.min("u.step").alias("top"), F.min_by("u.most", "u.step").alias("most")).withColumn("c", F.lit(c)))
+        found.append(tops.select("source", "c", "top"))
+    bounds = found[0]
+    for more in found[1:]:
+        bounds = bounds.unionByName(more)
+    classed = steps.alias("u").join(bounds.alias("t"), own & (F.col("u.step") <= F.col("t.top"))).groupBy(F.col("u.source").alias("source"), F.col("u.step").alias("step")).agg(F.max("t.c").alias("c"), F.first("u.words").alias("words"), F.first("u.n").alias("n"), F.first("u.most").alias("most"))
+    each = classed.groupBy("source", "c").agg(F.sum("words").alias("words"), F.sum("n").alias("n"), F.max("most").alias("most"))
+    smaller = Window.partitionBy("source").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    return checkpoint(each.select("source", "c", "n", "most", F.coalesce(F.sum("words").over(smaller), F.lit(0)).alias("rest")))
+
+
 def mix(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     """documents -> (doc_id, source, size, source_size, target, copies, row): how often the mix takes each document.
     `row` names a binary column that tells rows apart; without it, their texts do.
@@ -113,29 +164,44 @@ def mix(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     told = F.col(f"`{row}`") if row else F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     sizes = numbered(sized(own).select("doc_id", "source", "size", told.alias("row")))
     plan = checkpoint(targets(sizes))
-    most = plan.agg(F.max("n")).first()[0] or 1
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    rows = sizes.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s", "n")
     rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.floor(wanted + EPSILON)).otherwise(0).cast("int"))
     rows = rows.withColumn("part", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), wanted - F.col("whole"))).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("hash", F.xxhash64("doc_id", "size", "row", "nth", F.lit(seed)))
+    rows = checkpoint(rows.withColumn("hash", F.xxhash64("doc_id", "size", "row", "nth", F.lit(seed))).drop("nth"))
     kept = ["doc_id", "source", "size", "row", "source_size", "target", "whole"]
-    settled = [rows.filter(F.col("part") <= EPSILON).select(*kept, F.lit(False).alias("won"))]
-    leaves = F.ceil(F.col("n") / BRANCHES)
-    live = rows.filter(F.col("part") > EPSILON).withColumn("block", F.pmod(F.col("hash"), leaves).cast("long")).drop("n", "nth")
-    level, width = 0, -(-most // BRANCHES)
-    while True:
-        done = checkpoint(_trade(live, level))
-        settled.append(done.filter("not open").select(*kept, "won"))
-        live = done.filter("open").drop("won", "open")
-        if width <= 1:
-            break
-        level, width = level + 1, -(-width // BRANCHES)
-        live = live.withColumn("block", F.floor(F.col("block") / BRANCHES).cast("long"))
-    settled.append(live.select(*kept, (uniform(F.col("hash"), seed, -1) < F.col("part")).alias("won")))
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
+    out = rows.filter(F.col("part") <= EPSILON).select(*kept, F.lit(False).alias("won"))
+    rows = rows.filter(F.col("part") > EPSILON)
+    odd = checkpoint(outsized(rows)).withColumnRenamed("source", "s")
+    rows = checkpoint(rows.join(odd, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("large", F.coalesce(F.col("size") > F.col("above"), F.lit(False))))
+    out = out.unionByName(rows.filter("large").select(*kept, (F.col("part") >= 0.5).alias("won")))
+    rows = rows.filter("not large").withColumn("part", F.coalesce("part_too", "part")).drop("s", "above", "part_too", "large")
+    classes = ladder(rows)
+    lower = classes.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("n", "most", "rest")))).alias("classes"))
+    shift = classes.select("source").distinct().select("source", F.lit(0.0).alias("moved"))
+    widest = {r.c: r.n for r in classes.groupBy("c").agg(F.max("n").alias("n")).collect()}
+    # The least class whose largest document is as large: classes don't overlap.
+    which = F.array_max(F.filter(F.map_keys("classes"), lambda c: F.col("size") <= F.col("classes")[c]["most"]))
+    rows = rows.withColumnRenamed("source", "s").join(lower, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("c", which).withColumn("n", F.col("classes")[F.col("c")]["n"]).drop("classes")
+    rows = checkpoint(rows)
+    for c in sorted(widest):
+        live = rows.filter(F.col("c") == c).withColumnRenamed("source", "s").join(shift, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+        live = live.withColumn("part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part") - F.col("moved"))))
+        live = live.withColumn("block", F.pmod(F.col("hash"), F.ceil(F.col("n") / BRANCHES)).cast("long")).drop("n", "c", "moved")
+        level, width = 0, -(-widest[c] // BRANCHES)
+        while True:
+            done = checkpoint(_trade(live, level))
+            out = out.unionByName(done.filter("not open").select(*kept, "won"))
+            live = done.filter("open").drop("won", "open")
+            if width <= 1:
+                break
+            level, width = level + 1, -(-width // BRANCHES)
+            live = live.withColumn("block", F.floor(F.col("block") / BRANCHES).cast("long"))
+        last = checkpoint(live.withColumn("won", uniform(F.col("hash"), seed, -1) < F.col("part")))
+        out = out.unionByName(last.select(*kept, "won"))
+        gained = last.select("source", ((F.col("won").cast("int") - F.col("part")) * F.col("size")).alias("gained")).alias("g")
+        given = gained.join(classes.filter(F.col("c") == c).alias("k"), F.col("g.source").eqNullSafe(F.col("k.source"))).filter("rest > 0").select(F.col("g.source").alias("source"), (F.col("gained") / F.col("rest")).alias("moved"))
+        shift = checkpoint(shift.unionByName(given).groupBy("source").agg(F.sum("moved").alias("moved")))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("won").cast("int")).alias("copies"), "row")
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyrack.llm.mixture import mix, targets
@@ -88,3 +89,22 @@ def test_repeated_rows_are_numbered_apart(spark, monkeypatch):
         assert abs(sum(g.size * g.copies for g in own) - own[0].target) <= 9
     own = mixture.numbered(mixture.sized(frame).select("doc_id", "source", "size").withColumn("row", F.lit(b"x")))
     assert own.filter("doc_id IS NULL AND size = 2").agg(F.count_distinct("nth")).first()[0] == 502
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_sources_end_near_their_targets(spark, sf):
+    """No further off than the larger of the median document and three thousandths of the target; where a source has some
+    fifty documents only, than two such documents."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    found = mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.median("size").alias("median"), F.count(F.lit(1)).alias("n"), F.max("copies").alias("most"))
+    for g in found.collect():
+        assert abs(g.taken - g.target) <= max(g.median * (2 if g.n < 100 else 1), 0.003 * g.target) and g.most <= 3, g
+
+
+def test_large_documents_are_made_up_for(spark):
+    """A source of small documents and a few huge ones is as near its target as the small ones allow."""
+    rows = [(i, "a", "w " * (i % 7 + 1)) for i in range(3000)] + [(5000 + i, "a", "w " * 4000) for i in range(2)] + [(i, "b", "w " * 9) for i in range(9000, 9300)] + [(9999, "c", "w " * 77)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)).collect()
+    for source, most in (("a", 7), ("b", 9), ("c", 77)):
+        own = [g for g in got if g.source == source]
+        assert abs(sum(g.size * g.copies for g in own) - own[0].target) <= most
