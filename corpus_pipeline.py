@@ -53,13 +53,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; documents all stay, those without a text and repeated ones too."""
-    return secrets.redact(docs, secrets.train(checkpoint(secrets.findings(docs))))
+    """Replaces every secret by a mark; documents all stay, those without a text and repeated ones too.  An empty table
+    gives an empty one."""
+    return secrets.redact(docs, secrets.train(secrets.findings(docs)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or one to three rows.  Rows are told apart by a digest
-    of all their columns; of rows that repeat, together as many stay as the mix takes.  Texts without a word go."""
+    of all their columns; of rows that repeat, together as many stay as the mix takes.  Texts without a word go.  An empty
+    table gives an empty one."""
     digest, taken, copies, n, copy = unused(docs, "row_digest", "taken", "copies", "n", "copy")
     keyed = docs.withColumn(digest, row_digest(docs))
     found = mixture.mix(keyed, row=digest).groupBy(F.col("row").alias(taken)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n))

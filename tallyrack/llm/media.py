@@ -110,22 +110,26 @@ def decode(data: bytes) -> np.ndarray:
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over each target cell's area, from an integral image; cells may end inside pixels.  Doubles."""
-    grey = pixels.astype(np.float64) if pixels.ndim == 3 else pixels.astype(np.float64)[:, :, None]
+    grey = pixels if pixels.ndim == 3 else pixels[:, :, None]
     h, w, _ = grey.shape
-    # rows first: the integral over rows is read at fractional places and only those rows are summed across
-    down = np.zeros((h + 1, *grey.shape[1:]))
-    np.cumsum(grey, axis=0, out=down[1:])
     ys, xs = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
 
-    def at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
-        low = np.minimum(np.floor(places).astype(np.int64), len(table) - 2)
+    def at(table: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The integral at fractional places, from its values at the whole ones beside them."""
+        low = np.minimum(np.floor(places).astype(np.int64), known[-1] - 1)
         part = (places - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    bands = np.diff(at(down, ys), axis=0)
+        return table[np.searchsorted(known, low)] * (1 - part) + table[np.searchsorted(known, low + 1)] * part
+
+    # The integral over rows is kept only at the rows that are read; each stretch between two is summed as it is stored.
+    low = np.minimum(np.floor(ys).astype(np.int64), h - 1)
+    rows = np.unique(np.concatenate([[0, h], low, low + 1]))
+    down = np.zeros((len(rows), *grey.shape[1:]))
+    for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False), 1):
+        down[i] = down[i - 1] + grey[a:b].sum(axis=0, dtype=np.float64)
+    bands = np.diff(at(down, ys, rows), axis=0)
     across = np.zeros((w + 1, height, bands.shape[2]))
     np.cumsum(bands.transpose(1, 0, 2), axis=0, out=across[1:])
-    cells = np.diff(at(across, xs), axis=0).transpose(1, 0, 2)
+    cells = np.diff(at(across, xs, np.arange(w + 1)), axis=0).transpose(1, 0, 2)
     out = cells * (height * width / (h * w))
     return out if pixels.ndim == 3 else out[:, :, 0]
 
