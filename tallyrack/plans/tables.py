@@ -28,6 +28,10 @@ TABLES = {
     ),
     "template_pages": ("SELECT c_custkey AS page_id, 'd' || cast(c_nationkey AS varchar(10)) AS domain, 'f' || cast(c_custkey % 4 AS varchar(10)) AS fingerprint FROM customer", ("customer",)),
     "outcomes": ("SELECT user_id AS template_id, event_type <> 'error' AS success, event_id FROM events", ("events",)),
+    "objects": (
+        """SELECT user_id AS job_id, event_id AS row_index, CASE event_id % 4 WHEN 0 THEN '{"kind": "' || event_type || '", "k": ' || cast(event_id % 90 AS varchar(9)) || '}' WHEN 1 THEN '{"note": "a, ' || chr(92) || '"' || event_type || chr(92) || '"", "kind": "x", "none": null}' WHEN 2 THEN '{"' || event_type || '": "' || cast(event_id AS varchar(20)) || '", "deep": ""}' ELSE props END AS data FROM events""",
+        ("events",),
+    ),
     "labelled": ("SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE ' ' END AS label FROM labels", ("labels",)),
     "catalog": (
         """SELECT p_partkey AS idx, CASE p_partkey % 4 WHEN 0 THEN 'Apple' WHEN 1 THEN 'Lenovo' WHEN 2 THEN ' samsung ' ELSE NULL END AS brand, CASE p_partkey % 3 WHEN 0 THEN 'laptop' WHEN 1 THEN 'smartphone' ELSE NULL END AS category,
@@ -44,6 +48,7 @@ TABLES = {
 
 def query(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
     """SQL over the driver's tables; their names mean nothing outside it."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})

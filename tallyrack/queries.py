@@ -173,6 +173,19 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.array_of(E.json_rows(rows, "job_id", "row_index"), "job_id", "row_index")
 
 
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, "objects")
+    return E.csv_lines(rows, "job_id", "row_index", "data").withColumn("row_index", F.coalesce("row_index", F.lit(-1)))
+
+
+#: Lines of each job's file: columns in first-seen order, quotes where they are needed.
+CSV_LINES = f"""WITH o AS (SELECT * FROM {sql_of('objects')}), e AS (SELECT job_id, row_index, generate_subscripts(json_keys(data), 1) AS pos, unnest(json_keys(data)) AS name FROM o),
+c AS (SELECT job_id, name, min(row_index * 100 + pos) AS seen FROM e GROUP BY job_id, name), h AS (SELECT job_id, list(name ORDER BY seen) AS columns FROM c GROUP BY job_id),
+v AS (SELECT job_id, -1 AS row_index, columns AS cells FROM h UNION ALL SELECT o.job_id, o.row_index, list_transform(h.columns, lambda n: json_extract_string(o.data, '$.' || n)) FROM o JOIN h USING (job_id)),
+q AS (SELECT job_id, row_index, len(cells) AS n, array_to_string(list_transform(cells, lambda x: CASE WHEN regexp_matches(x, '[",\\r\\n]') THEN '"' || replace(x, '"', '""') || '"' ELSE coalesce(x, '') END), ',') AS line FROM v)
+SELECT job_id, row_index, CASE WHEN n = 1 AND line = '' THEN '""' ELSE line END AS line FROM q"""
+
+
 #: Hits of each key in order.
 HITS = f"WITH RECURSIVE h AS (SELECT id, user_key AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_key ORDER BY ts, id) AS k FROM {sql_of('request_log')})"
 
@@ -273,6 +286,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
             _export,
             f"WITH x AS (SELECT job_id, row_index, '{{\"flag\":\"' || flag || '\",\"part\":' || part || '}}' AS j FROM {sql_of('job_rows')}) SELECT job_id, '[' || string_agg(j, ',' ORDER BY row_index, j) || ']' AS json FROM x GROUP BY job_id",
         ),
+        "export_csv_lines": (_csv, CSV_LINES),
         "rate_limit_log": (
             _limited(limits.SlidingLog),
             f"{HITS}, r AS (SELECT id, key, t, k, [t] AS log, true AS allowed, 2 AS remaining, 36000 AS reset FROM h WHERE k = 1 UNION ALL SELECT id, key, t, k, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, greatest(0, 2 - len(live)), CASE WHEN len(live) < 3 THEN 36000 ELSE greatest(1, cast(round_even(live[1] + 36000 - t, 0) AS bigint)) END FROM (SELECT h.id, h.key, h.t, h.k, list_filter(r.log, lambda x: x > h.t - 36000) AS live FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1)) SELECT id, key, allowed, remaining, reset AS reset_seconds FROM r",

@@ -203,3 +203,25 @@ def test_plans_lines_and_links(spark):
         E.export_path("/e", "j", "x", "xml")
     url = E.signed_url("https://a.org/", "x y", "s", 100, 5)
     assert url == f"https://a.org/api/v1/exports/x%20y/download?expires=160&token={E.sign('x y', 160, 's')}"
+
+
+def test_export_files(spark, tmp_path):
+    """Exact files at their places, written again without a trace of the first run, and nothing from a run that fails."""
+    rows = [("j1", 2, '{"b": 2.5, "a": "x, \\"y\\"", "deep": {"n": [1, true]}}'), ("j1", 1, '{"a": "é\\nz", "b": null}'), ("j2", 1, '{"on": true}'), ("j3", 1, "{}"), ("j4", 1, '{"gone": 1}')]
+    frame = spark.createDataFrame(rows, "job_id string, row_index long, data string").repartition(3)
+    exports = spark.createDataFrame([("j1", "e1", None), ("j1", "e2", ["b", " ", "nope"]), ("j2", "e3", []), ("j3", "e4", None), ("nowhere", "e5", None)], "job_id string, export_id string, columns array<string>")
+    root = tmp_path / "out"
+    want = {
+        "csv": {"j1/e1.csv": 'a,b,deep\r\n"é\nz",,\r\n"x, ""y""",2.5,"{""n"": [1, true]}"\r\n', "j1/e2.csv": "b,nope\r\n,\r\n2.5,\r\n", "j2/e3.csv": "on\r\nTrue\r\n", "j3/e4.csv": "\r\n\r\n"},
+        "json": {"j1/e1.json": '[{"a":"é\\nz","b":null,"deep":null},{"a":"x, \\"y\\"","b":2.5,"deep":"{\\"n\\": [1, true]}"}]', "j1/e2.json": '[{"b":null,"nope":null},{"b":2.5,"nope":null}]', "j2/e3.json": '[{"on":true}]', "j3/e4.json": "[{}]"},
+    }
+    for kind in ("csv", "json", "csv"):
+        E.export_jobs(frame, exports, str(root), kind)
+        assert {str(p.relative_to(root)): p.read_bytes().decode() for p in root.rglob(f"*.{kind}")} == want[kind]
+    assert not list(root.glob(".staging*"))
+    broken = frame.unionByName(spark.createDataFrame([("../j9", 1, "{}")], frame.schema))
+    with pytest.raises(Exception, match="no file name"):
+        E.export_jobs(broken, spark.createDataFrame([("j4", "e9"), ("../j9", "e8")], "job_id string, export_id string"), str(root), "json")
+    assert not list(root.rglob("e9.json")) and not list(root.glob(".staging*"))
+    with pytest.raises(Exception, match="unsupported"):
+        E.export_jobs(frame, exports, str(root), "xml")
