@@ -32,6 +32,11 @@ TABLES = {
         """SELECT user_id AS job_id, event_id AS row_index, CASE event_id % 4 WHEN 0 THEN '{"kind": "' || event_type || '", "k": ' || cast(event_id % 90 AS varchar(9)) || '}' WHEN 1 THEN '{"note": "a, ' || chr(92) || '"' || event_type || chr(92) || '"", "kind": "x", "none": null}' WHEN 2 THEN '{"' || event_type || '": "' || cast(event_id AS varchar(20)) || '", "deep": ""}' ELSE props END AS data FROM events""",
         ("events",),
     ),
+    "dumped": (
+        """SELECT 'https://d.example.com/' || cast(page_id AS varchar(20)) AS url, CASE WHEN page_id % 5 = 0 THEN 301 WHEN page_id % 5 = 1 THEN 404 WHEN page_id % 5 = 3 THEN 302 WHEN page_id % 100 BETWEEN 40 AND 60 THEN 307 ELSE 200 END AS status,
+        CASE WHEN page_id % 100 = 44 THEN 'https://d.example.com/42' ELSE 'https://d.example.com/' || cast(page_id + CASE WHEN page_id % 100 BETWEEN 40 AND 60 THEN 2 ELSE 1 END AS varchar(20)) END AS location, html FROM pages""",
+        ("pages",),
+    ),
     "labelled": ("SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE ' ' END AS label FROM labels", ("labels",)),
     "catalog": (
         """SELECT p_partkey AS idx, CASE p_partkey % 4 WHEN 0 THEN 'Apple' WHEN 1 THEN 'Lenovo' WHEN 2 THEN ' samsung ' ELSE NULL END AS brand, CASE p_partkey % 3 WHEN 0 THEN 'laptop' WHEN 1 THEN 'smartphone' ELSE NULL END AS category,

@@ -26,6 +26,7 @@ from .plans import runs as N
 from .plans.lineage import settle
 from .plans.tables import derived, sql_of
 from .sources import dom
+from .sources import warc as W
 from .streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,19 @@ q AS (SELECT job_id, row_index, len(cells) AS n, array_to_string(list_transform(
 SELECT job_id, row_index, CASE WHEN n = 1 AND line = '' THEN '""' ELSE line END AS line FROM q"""
 
 
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = derived(spark, sf_dir, "dumped")
+    return W.fetched(pages.select("url"), pages, 8).select("url", "final_url", "status", F.md5("html").alias("digest"), "error")
+
+
+#: Redirects followed by recursion, eight hops at most.
+FETCHED = f"""WITH RECURSIVE p AS (SELECT * FROM {sql_of('dumped')}),
+h AS (SELECT url, url AS final_url, 0 AS hops FROM p UNION ALL SELECT h.url, p.location, h.hops + 1 FROM h JOIN p ON p.url = h.final_url AND p.status BETWEEN 300 AND 399 AND h.hops < 8),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY hops DESC) AS k FROM h) WHERE k = 1),
+e AS (SELECT l.url, l.final_url, p.status, p.html, CASE WHEN l.hops = 8 THEN 'too_many_redirects' WHEN p.status IS NULL THEN 'page_load_failed' WHEN p.status >= 400 THEN 'http_' || p.status END AS error FROM l LEFT JOIN p ON p.url = l.final_url)
+SELECT url, final_url, status, CASE WHEN error IS NULL THEN md5(html) END AS digest, error FROM e"""
+
+
 #: Hits of each key in order.
 HITS = f"WITH RECURSIVE h AS (SELECT id, user_key AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_key ORDER BY ts, id) AS k FROM {sql_of('request_log')})"
 
@@ -287,6 +301,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
             f"WITH x AS (SELECT job_id, row_index, '{{\"flag\":\"' || flag || '\",\"part\":' || part || '}}' AS j FROM {sql_of('job_rows')}) SELECT job_id, '[' || string_agg(j, ',' ORDER BY row_index, j) || ']' AS json FROM x GROUP BY job_id",
         ),
         "export_csv_lines": (_csv, CSV_LINES),
+        "fetched_pages": (_fetched, FETCHED),
         "rate_limit_log": (
             _limited(limits.SlidingLog),
             f"{HITS}, r AS (SELECT id, key, t, k, [t] AS log, true AS allowed, 2 AS remaining, 36000 AS reset FROM h WHERE k = 1 UNION ALL SELECT id, key, t, k, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, greatest(0, 2 - len(live)), CASE WHEN len(live) < 3 THEN 36000 ELSE greatest(1, cast(round_even(live[1] + 36000 - t, 0) AS bigint)) END FROM (SELECT h.id, h.key, h.t, h.k, list_filter(r.log, lambda x: x > h.t - 36000) AS live FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1)) SELECT id, key, allowed, remaining, reset AS reset_seconds FROM r",
