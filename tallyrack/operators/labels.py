@@ -60,21 +60,22 @@ def fit_budget(rows: DataFrame, key: str, order: str, budget: int) -> DataFrame:
     return rows.withColumn("_s", F.sum(size).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_s") <= budget).drop("_s")
 
 
-def validate_labels(fields: DataFrame, labels: DataFrame) -> DataFrame:
-    """A3: fields (source, position) and labels (source, position, name, kind, confidence): of each known source the
-    first label, its kind whitelisted or inferred, confidence .75 by default; sources without one at .65."""
-    first = labels.filter("trim(name) <> ''").groupBy("source").agg(F.min_by(F.struct("name", "kind", "confidence"), "position").alias("l"))
-    out = fields.join(first, "source", "left")
+def validate_labels(fields: DataFrame, labels: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """A3: fields (source, position) and labels (source, position, name, kind, confidence), each of a job where `key`
+    names it: of each known source the first label, its kind whitelisted or inferred, confidence .75 by default; sources
+    without one at .65."""
+    first = labels.filter("trim(name) <> ''").groupBy(*key, "source").agg(F.min_by(F.struct("name", "kind", "confidence"), F.struct("position", "name", "kind", "confidence")).alias("l"))
+    out = fields.join(first, [*key, "source"], "left")
     name = field_name(F.coalesce(F.col("l.name"), F.col("source")))
     kind = F.when(F.lower("l.kind").isin(*KINDS), F.lower("l.kind")).otherwise(kind_of(name))
     confidence = F.when(F.col("l").isNull(), F.lit(0.65)).otherwise(clamp(F.coalesce("l.confidence", F.lit(0.75))))
-    return out.select("source", "position", name.alias("name"), kind.alias("kind"), confidence.alias("confidence"))
+    return out.select(*key, "source", "position", name.alias("name"), kind.alias("kind"), confidence.alias("confidence"))
 
 
-def rename_map(validated: DataFrame) -> DataFrame:
-    """A4: source -> target; later sources of one target get _2, _3 and so on."""
-    k = F.row_number().over(Window.partitionBy("name").orderBy("position"))
-    return validated.select("source", "position", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), k)).alias("target"))
+def rename_map(validated: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """A4: source -> target; later sources of one target get _2, _3 and so on, within a job."""
+    k = F.row_number().over(Window.partitionBy(*key, "name").orderBy("position", "source"))
+    return validated.select(*key, "source", "position", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), k)).alias("target"))
 
 
 def apply_rename(rows: DataFrame, targets: dict[str, str]) -> DataFrame:

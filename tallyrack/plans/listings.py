@@ -127,4 +127,4 @@ FINGERPRINTS = f"SELECT count(*) AS pages, min(page) AS first_page FROM (SELECT
 VALUES = f"SELECT page AS page_id, k, title AS name, {URL} || '/item/' || k AS link, price, rated AS rating, '' AS none FROM ({CARDS})"
 CRAWLED = f"WITH c AS (SELECT *, cast(floor(page / {CHAIN}) AS bigint) AS job_id FROM ({CARDS})), j AS (SELECT job_id, count(DISTINCT page) AS pages FROM c GROUP BY job_id) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY k) AS row_index, title, price, {URL} || '/item/' || k AS product_url, pages, pages < {CHAIN} AS partial, CASE WHEN pages < {CHAIN} THEN 'page_load_failed' ELSE 'no_next_page' END AS stop FROM c JOIN j USING (job_id)"
 JOBS = f"WITH c AS (SELECT *, cast(floor(page / {CHAIN}) AS bigint) AS job_id FROM ({CARDS})) SELECT job_id, count(*) AS rows, count(DISTINCT page) AS pages, count(DISTINCT page) < {CHAIN} AS partial, 'pagination_next_detected' || CASE WHEN count(DISTINCT page) < {CHAIN} THEN ',page_load_failed' ELSE '' END AS warnings FROM c GROUP BY job_id"
-TEMPLATE_JOBS = f"WITH c AS (SELECT *, cast(floor(page / {CHAIN}) AS bigint) AS job_id FROM ({CARDS})) SELECT job_id, count(*) AS rows, count(DISTINCT page) AS pages, count(DISTINCT page) < {CHAIN} AS partial, CASE WHEN count(DISTINCT page) < {CHAIN} THEN 'page_load_failed' ELSE 'template_pagination_not_found' END AS last_warning FROM c GROUP BY job_id"
+TEMPLATE_JOBS = f"WITH c AS (SELECT *, cast(floor(page / {CHAIN}) AS bigint) AS job_id FROM ({CARDS})), j AS (SELECT job_id, count(*) AS rows, count(DISTINCT page) AS pages FROM c GROUP BY job_id) SELECT job_id, rows, pages, pages < {CHAIN} AS partial, array_to_string(list_transform(range(CASE WHEN pages < {CHAIN} THEN pages ELSE pages - 1 END), lambda i: 'template_pagination_next_used') || [CASE WHEN pages < {CHAIN} THEN 'page_load_failed' ELSE 'template_pagination_not_found' END], ',') AS warnings FROM j"

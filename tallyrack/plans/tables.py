@@ -37,6 +37,15 @@ TABLES = {
         CASE WHEN page_id % 100 = 44 THEN 'https://d.example.com/42' ELSE 'https://d.example.com/' || cast(page_id + CASE WHEN page_id % 100 BETWEEN 40 AND 60 THEN 2 ELSE 1 END AS varchar(20)) END AS location, html FROM pages""",
         ("pages",),
     ),
+    "label_fields": (
+        "SELECT l_orderkey AS job_id, CASE l_partkey % 7 WHEN 0 THEN 'title' WHEN 1 THEN 'Price text' WHEN 2 THEN 'Stars' WHEN 3 THEN 'Product  Link' WHEN 4 THEN 'e-mail' WHEN 5 THEN 'created at' ELSE '?' END AS source, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2",
+        ("lineitem",),
+    ),
+    "label_answers": (
+        """SELECT l_orderkey AS job_id, CASE l_suppkey % 8 WHEN 0 THEN 'title' WHEN 1 THEN 'Price text' WHEN 2 THEN 'Stars' WHEN 3 THEN 'Product  Link' WHEN 4 THEN 'e-mail' WHEN 5 THEN 'created at' WHEN 6 THEN '?' ELSE 'unknown' END AS source, l_linenumber AS position,
+        CASE l_partkey % 5 WHEN 0 THEN 'Product Name!' WHEN 1 THEN '  ' WHEN 2 THEN NULL WHEN 3 THEN 'MRP (INR)' ELSE 'Contact' END AS name, CASE l_partkey % 4 WHEN 0 THEN 'MONEY' WHEN 1 THEN 'nonsense' WHEN 2 THEN NULL ELSE 'text' END AS kind, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE cast(l_discount * 12 AS double) END AS confidence FROM lineitem""",
+        ("lineitem",),
+    ),
     "labelled": ("SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE ' ' END AS label FROM labels", ("labels",)),
     "catalog": (
         """SELECT p_partkey AS idx, CASE p_partkey % 4 WHEN 0 THEN 'Apple' WHEN 1 THEN 'Lenovo' WHEN 2 THEN ' samsung ' ELSE NULL END AS brand, CASE p_partkey % 3 WHEN 0 THEN 'laptop' WHEN 1 THEN 'smartphone' ELSE NULL END AS category,

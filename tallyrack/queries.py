@@ -131,8 +131,7 @@ def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _crawl_jobs(template: T.Template | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         jobs = N.run_jobs(L.crawl_starts(spark, sf_dir), L.listing_pages(spark, sf_dir), "title, price and link", N.Limits(5000, 100), template)
-        said = F.element_at("warnings", -1).alias("last_warning") if template else F.array_join("warnings", ",").alias("warnings")
-        return jobs.select("job_id", F.size("rows").alias("rows"), "pages", "partial", said)
+        return jobs.select("job_id", F.size("rows").alias("rows"), "pages", "partial", F.array_join("warnings", ",").alias("warnings"))
 
     return run
 
@@ -163,10 +162,18 @@ def _dispatched(then: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = spark.sql("SELECT * FROM VALUES ('title', 1), ('price text', 2), ('Stars', 3), ('link', 4) AS t(source, position)")
-    labels = spark.sql("SELECT * FROM VALUES ('title', 1, 'Product Name', 'text', 0.9D), ('title', 2, 'other', 'url', 0.1D), ('Stars', 3, 'Product name', 'nonsense', 4.0D), ('nowhere', 4, 'x', 'text', 1.0D) AS t(source, position, name, kind, confidence)")
-    done = A.validate_labels(fields, labels)
-    return done.join(A.rename_map(done).select("source", "target"), "source")
+    done = settle(A.validate_labels(derived(spark, sf_dir, "label_fields"), derived(spark, sf_dir, "label_answers"), ("job_id",)))
+    named = A.rename_map(done, ("job_id",)).select("job_id", "source", "target")
+    return done.join(named, ["job_id", "source"]).withColumn("confidence", F.round("confidence", 4))
+
+
+#: Field names, kinds and targets worked out anew.
+VALIDATED = f"""WITH f AS (SELECT * FROM {sql_of('label_fields')}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, source ORDER BY position, name, kind NULLS FIRST, confidence NULLS FIRST) AS k FROM {sql_of('label_answers')} WHERE trim(name) <> '') WHERE k = 1),
+j AS (SELECT f.job_id, f.source, f.position, coalesce(nullif(left(trim(regexp_replace(lower(trim(coalesce(l.name, f.source))), '[^a-z0-9]+', '_', 'g'), '_'), 64), ''), 'field') AS name, lower(l.kind) AS given, l.k IS NOT NULL AS there, l.confidence AS sure FROM f LEFT JOIN l USING (job_id, source)),
+v AS (SELECT job_id, source, position, name, CASE WHEN given IN ('text', 'money', 'rating', 'url', 'number', 'date', 'email', 'phone', 'boolean') THEN given WHEN regexp_matches(name, 'url|link|href|website') THEN 'url' WHEN regexp_matches(name, 'price|amount|cost|mrp') THEN 'money' WHEN regexp_matches(name, 'rating|score|stars|review') THEN 'rating'
+  WHEN regexp_matches(name, 'date|time|published|created') THEN 'date' WHEN regexp_matches(name, 'email|mail') THEN 'email' WHEN regexp_matches(name, 'phone|mobile|contact') THEN 'phone' ELSE 'text' END AS kind, round(CASE WHEN there THEN greatest(0.0, least(1.0, coalesce(sure, 0.75::DOUBLE))) ELSE 0.65 END, 4)::DOUBLE AS confidence FROM j),
+t AS (SELECT *, row_number() OVER (PARTITION BY job_id, name ORDER BY position, source) AS k FROM v)
+SELECT job_id, source, position, name, kind, confidence, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS target FROM t"""
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,10 +299,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
             f"SELECT 'http_requests_total{{method=\"' || method || '\",path=\"' || path || '\",status=\"' || status || '\"}} ' || count(*) AS line FROM {sql_of('request_log')} GROUP BY method, path, status",
         ),
         "label_counts": (of("labelled", M.label_counts), f"SELECT coalesce(nullif(trim(label), ''), 'unclassified') AS label, count(*) AS n FROM {sql_of('labelled')} GROUP BY 1"),
-        "label_validate": (
-            _validated,
-            "SELECT * FROM (VALUES ('title', 1, 'product_name', 'text', 0.9, 'product_name'), ('price text', 2, 'price_text', 'money', 0.65, 'price_text'), ('Stars', 3, 'product_name', 'text', 1.0, 'product_name_2'), ('link', 4, 'link', 'url', 0.65, 'link')) t(source, position, name, kind, confidence, target)",
-        ),
+        "label_validate": (_validated, VALIDATED),
         "export_json_rows": (
             _export,
             f"WITH x AS (SELECT job_id, row_index, '{{\"flag\":\"' || flag || '\",\"part\":' || part || '}}' AS j FROM {sql_of('job_rows')}) SELECT job_id, '[' || string_agg(j, ',' ORDER BY row_index, j) || ']' AS json FROM x GROUP BY job_id",

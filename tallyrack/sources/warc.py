@@ -126,8 +126,9 @@ class DumpReader(DataSourceReader):
     def partitions(self) -> list[DumpFile]:
         return [DumpFile(f) for f in _files(self.path)]
 
-    def read(self, partition: DumpFile) -> Iterator[tuple]:
-        yield from _read(self.path, partition.file, self.wanted)
+    def read(self, partition: DumpFile | None) -> Iterator[tuple]:
+        if partition is not None:  # no file, no partition
+            yield from _read(self.path, partition.file, self.wanted)
 
 
 class DumpStream(DataSourceStreamReader):
