@@ -124,3 +124,49 @@ def test_random_queues(rocks, tmp_path):
     r.shuffle(rows)
     got = replay(rocks, tmp_path, [rows[:100], rows[100:], flush], EVENT, lambda s: Q.run_queue_stream(s, delay="2 hours"))
     assert told(got) == told(Q.run_queue(rocks.createDataFrame(rows, EVENT)))
+
+
+JOB = "job_id long, nth long, status string"
+LINE = "job_id long, row_index int, title string"
+
+
+def test_upserts_survive_repeated_and_broken_batches(spark, tmp_path):
+    from tallyrack.streaming.ledger import JobStore
+
+    store = JobStore(spark, str(tmp_path / "s"))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    state = lambda: (sorted(map(tuple, store.jobs().collect())), sorted(map(tuple, store.rows().collect())))
+    first = frame([(1, 0, "queued"), (1, 1, "success"), (2, 0, "failed")], JOB), frame([(1, 0, "a"), (1, 1, "b"), (2, 0, "z")], LINE)
+    for _ in range(2):
+        store.upsert(*first, 0)
+        assert state() == ([(1, 1, "success"), (2, 0, "failed")], [(1, 0, "a"), (1, 1, "b"), (2, 0, "z")])
+    second = frame([(2, 5, "success"), (3, 5, "success")], JOB), frame([(2, 0, "new")], LINE)
+    second[0].write.parquet(str(tmp_path / "s/jobs/batch=1"))  # a batch that was cut short
+    assert [r[2] for r in state()[0]] == ["success", "failed"]
+    store.upsert(*second, 1)
+    want = [(1, 1, "success"), (2, 5, "success"), (3, 5, "success")], [(1, 0, "a"), (1, 1, "b"), (2, 0, "new")]
+    assert state() == want
+    store.compact()
+    assert state() == want
+    store.upsert(*second, 1)  # repeated after compaction
+    assert state() == want
+    store.upsert(frame([(1, 9, "success")], JOB), frame([], LINE), 2)
+    want = [(1, 9, "success"), *want[0][1:]], [(2, 0, "new")]
+    assert state() == want
+    store.compact()
+    assert state() == want
+    with pytest.raises(ValueError):
+        store.upsert(*first, -1)
+
+
+def test_upserts_of_a_stream(spark, tmp_path):
+    from tallyrack.streaming.ledger import JobStore, upsert_stream
+
+    schema = "job_id long, nth long, status string, url string, rows array<struct<title:string>>"
+    store = JobStore(spark, str(tmp_path / "s"))
+    for rows in ([(1, 0, "success", "u", [("a",), ("b",)]), (1, -1, "queued", "u", [("no",)])], [(1, 1, "success", "u", [("c",)]), (2, 0, "failed", "v", [])]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"))
+        assert run.awaitTermination(120)
+    assert sorted((r.job_id, r.status, r.nth) for r in store.jobs().collect()) == [(1, "success", 1), (2, "failed", 0)]
+    assert [tuple(r) for r in store.rows().collect()] == [(1, 0, "c")]
