@@ -17,17 +17,17 @@ BOUNDS = {"laptop": (15_000, 700_000), "smartphone": (3_000, 300_000), "audio":
 ANY_BOUNDS = (100, 2_000_000)
 
 
-def sku_overrides(parts: DataFrame, order: str) -> DataFrame:
+def sku_overrides(parts: DataFrame, order: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Sku -> (o_family, o_model) of the row that says most, the first of equals.  Aggregated before the shuffle."""
     best = F.max_by(F.struct("k_product_family", "k_model"), F.struct(F.expr(I.override_score()), -F.col(order))).alias("best")
-    return parts.filter("k_strong").groupBy("k_sku").agg(best).select("k_sku", F.col("best.k_product_family").alias("o_family"), F.col("best.k_model").alias("o_model"))
+    return parts.filter("k_strong").groupBy(*within, "k_sku").agg(best).select(*within, "k_sku", F.col("best.k_product_family").alias("o_family"), F.col("best.k_model").alias("o_model"))
 
 
-def catalog_entities(df: DataFrame, order: str) -> DataFrame:
-    """Rows with their ids and confidences.  The overrides are joined by key; the planner broadcasts them only
-    when their size allows it."""
+def catalog_entities(df: DataFrame, order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their ids and confidences, each job (`within`) by itself where there are several.  The overrides
+    are joined by key; the planner broadcasts them only when their size allows it."""
     parts = df.select("*", *(F.expr(sql).alias(c) for c, sql in I.parts(SPARK).items()))
-    out = parts.join(sku_overrides(parts, order), "k_sku", "left")
+    out = parts.join(sku_overrides(parts, order, within), [*within, "k_sku"], "left")
     out = out.withColumn("o_family", F.when(F.col("k_strong"), F.col("o_family"))).withColumn("o_model", F.when(F.col("k_strong"), F.col("o_model")))
     for step in I.key_steps(SPARK):
         out = out.select("*", *(F.expr(sql).alias(c) for c, sql in step.items()))
@@ -82,8 +82,8 @@ def reconciled(row: Column, names: list[str]) -> Column:
     return _let(row, lambda x: _let(_let(_let(filled(x), bounded), agreed), lambda p: whole(x, p)))
 
 
-def merge_variants(df: DataFrame, order: str) -> DataFrame:
-    """Rows of one variant folded in their order: first values that aren't blank, the greatest sku confidence,
+def merge_variants(df: DataFrame, order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one variant (of one job, where `within` names it) folded in their order: first values that aren't blank, the greatest sku confidence,
     canonical if any is; prices reconciled after every merge (rows on their own are left as they are).
 
     The fold depends on its order, so a variant's rows meet in one array.  Repeats of equal rows are merged beforehand,
@@ -92,7 +92,7 @@ def merge_variants(df: DataFrame, order: str) -> DataFrame:
     names = [c for c in df.columns if c != order]
     kinds = dict(df.dtypes)
     once = df.groupBy(*names).agg(F.min(order).alias(order), F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    key = [F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(f"_{c}") for c in VARIANT]
+    key = [*within, *(F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(f"_{c}") for c in VARIANT)]
     row = F.struct(F.col(order).alias("at"), F.struct(*names).alias("row"))
     groups = once.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("rows"), F.sum("_n").alias("_n"), F.min(order).alias(order))
 

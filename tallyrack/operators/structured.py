@@ -346,3 +346,22 @@ def catalog(rows: DataFrame, order: str, stamp: str | None = None) -> DataFrame:
 
     merged = settle(I.merge_variants(settle(catalog_rows(rows, order, stamp=stamp)), order))
     return I.catalog_entities(merged, order).select(order, *COLUMNS)
+
+
+#: What a job is told of its transformation.
+APPLIED, DEDUPED = "structured_product_schema_applied", "structured_product_rows_deduped"
+
+
+def catalog_jobs(rows: DataFrame, job: str, order: str, stamp: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """G13, job by job: listing rows with their job and an `order` within it -> (the catalog of each: job, order and 36
+    columns, and for each job that had rows its warnings).  Variants and skus meet within a job only."""
+    from ..plans.lineage import settle
+
+    key = F.struct(F.col(job), F.col(order))
+    made = settle(catalog_rows(rows.withColumn("_key", key).drop(job, order), "_key", stamp=stamp))
+    made = made.select(F.col(f"_key.{job}").alias(job), F.col(f"_key.{order}").alias(order), *(c for c in made.columns if c != "_key"))
+    merged = settle(I.merge_variants(made, order, (job,)))
+    before, after = (df.groupBy(job).agg(F.count(F.lit(1)).alias(n)) for df, n in ((made, "_before"), (merged, "_after")))
+    counts = rows.select(job).distinct().join(before, job, "left").join(after, job, "left")
+    told = F.when(F.col("_after") < F.col("_before"), F.array(F.lit(APPLIED), F.lit(DEDUPED))).otherwise(F.array(F.lit(APPLIED)))
+    return I.catalog_entities(merged, order, (job,)).select(job, order, *COLUMNS), counts.select(job, told.alias("warnings"))

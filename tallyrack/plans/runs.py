@@ -162,6 +162,20 @@ def dispatch_jobs(jobs: DataFrame, pages: DataFrame, templates: DataFrame, promp
     return both.select("job_id", F.when(F.col("partial"), "partial_success").otherwise("success").alias("status"), "template_id", "by_template", "rows", "pages", "partial", "stop", "warnings")
 
 
+def catalog_of(done: DataFrame, prompt: str, stamp: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What dispatch_jobs() has found -> (rows, jobs).  If the prompt asks for the catalog's columns, each job's rows
+    become its catalog (job_id, row_index and 36 columns) and its warnings end with what was done; else rows are the maps
+    as they are (job_id, row_index, row)."""
+    flat = done.select("job_id", F.posexplode("rows").alias("_k", "row")).select("job_id", (F.col("_k") + 1).alias("row_index"), "row")
+    if not S.wants_catalog(prompt):
+        return flat, done.drop("rows")
+    names = ("title", "price", "rating", "review_count", "availability", "product_url", "raw_text", "url")
+    rows = flat.select("job_id", "row_index", *(F.try_element_at("row", F.lit(n)).alias(n) for n in names))
+    found, told = S.catalog_jobs(rows, "job_id", "row_index", stamp)
+    jobs = done.drop("rows").join(told.withColumnRenamed("warnings", "_told"), "job_id", "left").withColumn("warnings", F.concat("warnings", F.coalesce("_told", F.array().cast("array<string>")))).drop("_told")
+    return found, jobs
+
+
 def template_outcomes(done: DataFrame) -> DataFrame:
     """What dispatch_jobs() tells of its templates, for store.template_health(): (template_id, success, job_id)."""
     return done.filter("template_id IS NOT NULL").select("template_id", F.col("by_template").alias("success"), "job_id")

@@ -2,6 +2,7 @@
 
 from tallyrack.operators import extract as X
 from tallyrack.operators import paginate as P
+from tallyrack.operators import store
 from tallyrack.operators import template as T
 from tallyrack.sources import dom
 from tallyrack.sources.selectors import Page, select
@@ -185,3 +186,53 @@ def test_dot_segments(spark):
     refs = ["../b", "./c", "/p/./q/../r", "..", ".", "../../../k", "d/..", "e/../f?g=../h", "https://a.com/i/../j", "//b.com/k/../l", "m..n", ""]
     df = spark.createDataFrame([(i, base, r) for i, r in enumerate(refs)], "i int, url string, ref string").withColumn("u", F.expr(U.join(SPARK, "url", "ref")))
     assert [r.v for r in df.select("i", X.resolved(F.col("u"), F.col("ref")).alias("v")).orderBy("i").collect()] == [urljoin(base, r) for r in refs]
+
+
+def test_dispatch_by_data(spark):
+    """Jobs of two templates and none, a crawl that leaves its domain, a template that was asked for, jobs that are over,
+    and a template that finds nothing."""
+    from tallyrack.plans import runs as N
+
+    def shop(n, tail):
+        return f'<ul>{"".join(f"<li class=it><b>Thing {k}</b><i>${k}.50</i></li>" for k in n)}</ul>{tail}'
+
+    pages = [
+        (1, "https://a.example.com/1", shop([1, 2], '<a id=more href="https://b.example.com/2">go</a>')), (2, "https://b.example.com/2", shop([2, 3], "")),
+        (3, "https://c.example.com/1", page([1, 2], '<a class="more" href="/2">Load more</a>')), (4, "https://c.example.com/2", page([3, 4])), (5, "https://d.example.com/1", page([7, 8])),
+    ]
+    templates = [
+        ("ta", 2, "a.example.com", None, "listing", 0.5, 1, False, "li.it", {"name": "b", "price": "i"}, "#more", "Next"), ("tc", 1, "c.example.com", "other", "listing", 0.5, 1, True, "li", {"name": "b"}, None, ""),
+        ("td", 5, "d.example.com", None, "listing", 0.5, 1, False, "table", {"name": "b"}, None, ""), ("tx", 1, "x.example.com", None, "listing", 0.5, 1, False, "article.card", {"title": "h2", "price": ".price"}, "a.more", ""),
+    ]
+    kind = "template_id string, version int, domain string, page_fingerprint string, page_type string, success_rate double, updated_at int, invalidated boolean, container string, fields map<string,string>, next string, next_type string"
+    jobs = [("j1", pages[0][1], None, "queued", False), ("j2", pages[2][1], None, None, None), ("j3", pages[2][1], "tx", "failed", False), ("j4", pages[4][1], None, "queued", False), ("j5", pages[0][1], None, "success", False), ("j6", pages[0][1], None, "cancelled", True), ("j7", "https://e.example.com/", None, "queued", False)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    done = N.dispatch_jobs(spark.createDataFrame(jobs, "job_id string, url string, template_id string, status string, force boolean"), frame, spark.createDataFrame(templates, kind), "title and price", N.Limits(50, 5))
+    got = {r.job_id: r for r in done.collect()}
+    assert got.keys() == {"j1", "j2", "j3", "j4", "j6", "j7"}
+    lamp = lambda *n: [{"title": f"Fine Desk Lamp {k}", "price": f"$1,{k}9.99"} for k in n]
+    assert [dict(r) for r in got["j1"].rows] == [{"name": f"Thing {k}", "price": f"${k}.50"} for k in (1, 2, 3)] and got["j1"].by_template and got["j1"].status == "success" and got["j1"].pages == 2
+    assert got["j1"].warnings == got["j6"].warnings == ["template_matched:ta", "template_version:2", "template_pagination_next_used", "template_pagination_not_found"]
+    assert [{k: r[k] for k in ("title", "price")} for r in got["j2"].rows] == lamp(1, 2, 3, 4) and got["j2"].template_id is None and got["j2"].warnings == ["pagination_load_more_detected"]
+    assert [dict(r) for r in got["j3"].rows] == lamp(1, 2, 3, 4) and got["j3"].template_id == "tx" and got["j3"].warnings == ["template_matched:tx", "template_version:1", "template_pagination_not_found"]
+    assert [{k: r[k] for k in ("title", "price")} for r in got["j4"].rows] == lamp(7, 8) and not got["j4"].by_template
+    assert got["j4"].warnings == ["template_matched:td", "template_version:5", "template_container_not_found", "page_yield_low", "template_rows_empty"]
+    assert got["j7"].rows == [] and got["j7"].warnings == ["page_load_failed"] and not got["j7"].partial
+    health = {r.template_id: (r.success_count, r.failure_count) for r in store.template_health(N.template_outcomes(done), "template_id", "job_id").collect()}
+    assert health == {"ta": (2, 0), "tx": (1, 0), "td": (0, 1)}
+
+
+def test_catalog_of_jobs(spark):
+    """Each job's rows become its own catalog, with what was done among its warnings."""
+    from tallyrack.plans import runs as N
+
+    offer = lambda n, price: {"title": f"Apple MacBook Air M{n} (8 GB/256 GB SSD)", "price": price, "product_url": f"https://s.example.com/apple-macbook-air/p/itm{n}"}
+    rows = [("a", [offer(2, "₹99,990"), offer(2, "₹98,000"), offer(3, "₹120,000")], ["x"]), ("b", [offer(2, "₹97,000")], []), ("c", [], ["extraction_empty"])]
+    done = spark.createDataFrame(rows, "job_id string, rows array<map<string,string>>, warnings array<string>")
+    prompt = "brand, category, model, ram, storage, price_inr and product_url"
+    found, jobs = N.catalog_of(done, prompt, "2024-01-01T00:00:00Z")
+    assert {r.job_id: r.warnings for r in jobs.collect()} == {"a": ["x", "structured_product_schema_applied", "structured_product_rows_deduped"], "b": ["structured_product_schema_applied"], "c": ["extraction_empty"]}
+    got = sorted((r.job_id, r.row_index, r.model, r.ram, r.storage, r.price_inr) for r in found.collect())
+    assert [g[:2] for g in got] == [("a", 1), ("a", 3), ("b", 1)] and [g[5] for g in got] == [99990, 120000, 97000] and all(g[3:5] == ("8 GB", "256 GB SSD") for g in got), got
+    plain, _ = N.catalog_of(done, "title, price", None)
+    assert plain.count() == 4
