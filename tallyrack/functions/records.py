@@ -14,6 +14,11 @@ PROCESSORS = (r"\bA\d{1,2}\s*Pro\b", r"\bA\d{1,2}\b", r"\bM[1-5](?:\s*Pro|\s*Max
 OUTPUT = ("brand", "category", "model", "variant", "ram", "storage", "processor", "display", "os", "price_inr", "rating", "review_count", "availability", "product_url")
 PRICE_BOUNDS = {"laptop": (10_000, 1_000_000), "smartphone": (2_000, 300_000), "tablet": (3_000, 300_000), None: (100, 10_000_000)}
 MEDIUM = "ssd|hdd|ufs|rom|emmc"
+# Counts with a suffix, and sizes of memory as titles have them.
+COUNT_BASE, COUNT_UNIT = r"(\d+(?:\.\d+)?)\s*[km]\b", r"\d\s*([km])\b"
+MEMORY_PAIR = rf"\b(\d{{1,3}})\s*gb\s*(?:/|\s)\s*(\d{{2,4}})\s*(gb|tb)(?:\s*({MEDIUM}))?\b"
+MEMORY_NAMED = rf"\b(\d{{2,4}})\s*(gb|tb)\s*({MEDIUM})\b"
+RAM_GB = r"\b(\d{1,3})\s*gb\s*ram\b"
 TITLE_TAILS = (r"\b\d+(?:\.\d+)?\s*\d[\d,]*\s*ratings?\b.*$", r"\b\d+(?:\.\d+)?\s*ratings?\b.*$", r"\b\d[\d,]*\s*reviews?\b.*$", r"\bno\s+cost\s+emi\b.*$", r"\bbank\s+offer\b.*$")
 MEMORY_SIGNAL = r"\b\d{1,4}\s*(gb|tb)\s*(ram|rom|ssd|hdd|ufs|emmc)?\b"
 OWN_STORAGE = r"(\d{2,4})\s*(GB|TB)(?:\s*(SSD|HDD|UFS|ROM|eMMC))?"
@@ -60,7 +65,7 @@ def rating(d: Dialect, x: str) -> str:
 def review_count(d: Dialect, x: str) -> str:
     """C7."""
     t = f"replace(lower({x}), ',', '')"
-    base, unit = d.double(d.find(t, r"(\d+(?:\.\d+)?)\s*[km]\b", 1)), d.find(t, r"\d\s*([km])\b", 1)
+    base, unit = d.double(d.find(t, COUNT_BASE, 1)), d.find(t, COUNT_UNIT, 1)
     return f"CASE WHEN {base} IS NOT NULL THEN cast(floor({base} * CASE {unit} WHEN 'k' THEN 1000 ELSE 1000000 END) AS bigint) ELSE {d.long(d.sub(t, '[^0-9]', ''))} END"
 
 
@@ -114,14 +119,13 @@ def _megas(d: Dialect, v: str) -> str:
 
 def memory_specs(d: Dialect, m: str, sizes: str) -> tuple[str, str]:
     """Ram and storage from memory_text and memory_list: a pair, what is named, else the least and the greatest size."""
-    pair = rf"\b(\d{{1,3}})\s*gb\s*(?:/|\s)\s*(\d{{2,4}})\s*(gb|tb)(?:\s*({MEDIUM}))?\b"
-    named = rf"\b(\d{{2,4}})\s*(gb|tb)\s*({MEDIUM})\b"
+    pair, named = MEMORY_PAIR, MEMORY_NAMED
     two = d.match(m, pair)
     low = d.at(d.keep(sizes, f"{_megas(d, 'v')} = {_least(d, sizes)}", "v"), 1)
     high = d.at(d.keep(sizes, f"{_megas(d, 'v')} = {_most(d, sizes)}", "v"), 1)
     several = f"{d.size(sizes)} >= 2"
     ram = d.case(
-        (two, f"{d.find(m, pair, 1)} || ' GB'"), (d.match(m, r"\b\d{1,3}\s*gb\s*ram\b"), f"{d.find(m, r'\b(\d{1,3})\s*gb\s*ram\b', 1)} || ' GB'"),
+        (two, f"{d.find(m, pair, 1)} || ' GB'"), (d.match(m, RAM_GB), f"{d.find(m, RAM_GB, 1)} || ' GB'"),
         (f"{several} AND contains({low}, 'gb') AND {d.long(d.find(low, '[0-9]+'))} <= 64", f"cast({d.long(d.find(low, '[0-9]+'))} AS {'string' if d.spark else 'varchar'}) || ' GB'"),
         (f"{d.size(sizes)} = 1 AND {d.match(m, r'\b\d+\s*(gb|tb)\s*ram\b')}", f"upper({d.find(m, r'\b(\d+)\s*(?:gb|tb)\s*ram\b', 1)} || ' ' || {d.find(m, r'\b\d+\s*(gb|tb)\s*ram\b', 1)})"),
     )

@@ -41,6 +41,16 @@ GALAXY_BOOK, MOTOBOOK, MOTOBOOK_PRO = r"(?i)\bGalaxy\s+Book\d+\b", r"(?i)\bMotob
 CANONICAL = r"(?i)^(MacBook (Air|Pro)(?: M[1-9])?|Galaxy Book\d+|Motobook \d+(?: Pro)?)$"
 NOISY = ("add to compare", "currently unavailable", "coming soon", "trending", "pre order", "http://", "https://", "pid=")
 MODEL_BRANDS = ("apple", "samsung", "lenovo", "dell", "hp", "asus", "acer", "msi", "motorola")
+# Patterns of amounts, of part numbers and sizes in slugs, and words that tell listings from variants.
+AMOUNT = r"₹\s*([\d,]{2,})"
+SLUG_PART = r"(?i)^(?=[a-z0-9-]*\d)[a-z]{2,}[a-z0-9]{3,}-[a-z0-9]{1,8}$"
+SLUG_SIZE = r"(?<![a-z0-9])\d{1,4}-?(?:gb|tb)(?![a-z0-9])(?:-(?:ssd|hdd|ufs|rom|emmc)(?![a-z0-9]))?"
+RAM_SAID = r"\b\d+\s*(gb|tb)\s*ram\b"
+GENERIC_TITLE = r"^(mobiles?|mobile phones?|computers?|laptops?|electronics?|tablets?)(?:\s*&\s*[a-z ]+)?$"
+SPEC_WORDS = r"\b(\d+\s*(gb|tb|mah|inch|cm)|\d+\s*w|ratings?|reviews?)\b"
+REVIEW_WORDS = r"\b(neo|concept|edition|special)\b"
+VARIANT_SIZES = r"(?s)\b\d+\s*gb\b.*\b(ssd|hdd|rom|ufs)\b"
+LAPTOP_WORDS, PHONE_WORDS, AUDIO_WORDS = ("macbook", "laptop", "notebook", "ultrabook"), ("iphone", "smartphone", "mobile", "phone"), ("headphone", "earbud", "airpods")
 
 
 def wants_catalog(prompt: str) -> bool:
@@ -69,7 +79,7 @@ def digits(x: Column) -> Column:
 
 def amounts(x: Column) -> Column:
     """X8."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"₹\s*([\d,]{2,})"), F.lit(1)), digits), lambda v: v.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(x, F.lit(AMOUNT), F.lit(1)), digits), lambda v: v.isNotNull()))
 
 
 def keyword_price(x: Column, words: tuple[str, ...]) -> Column:
@@ -79,7 +89,7 @@ def keyword_price(x: Column, words: tuple[str, ...]) -> Column:
     def near(word: str) -> Column:
         at = F.locate(word, low)
         start = F.greatest(F.lit(1), at - 20)
-        return F.when(at > 0, digits(first(F.substring(x, start, at + 120 - start), r"₹\s*([\d,]{2,})", 1)))
+        return F.when(at > 0, digits(first(F.substring(x, start, at + 120 - start), AMOUNT, 1)))
 
     return F.coalesce(*(near(w) for w in words))
 
@@ -106,7 +116,7 @@ def _has(x: Column, *words: str) -> Column:
 
 def _category(x: Column) -> Column:
     """X17."""
-    return F.when(_has(x, "macbook", "laptop", "notebook", "ultrabook"), "laptop").when(_has(x, "iphone", "smartphone", "mobile", "phone"), "smartphone").when(_has(x, "headphone", "earbud", "airpods"), "audio").otherwise("product")
+    return F.when(_has(x, *LAPTOP_WORDS), "laptop").when(_has(x, *PHONE_WORDS), "smartphone").when(_has(x, *AUDIO_WORDS), "audio").otherwise("product")
 
 
 def _processor() -> Column:
@@ -153,7 +163,7 @@ def _sku() -> Column:
     return F.when(blob.rlike(SKU), F.coalesce(of(_normal_sku(first(blob, SKU, 1)), 0.95), none)).otherwise(
         F.coalesce(
             of(_normal_sku(label), 0.78), of(F.when(F.length(compact) >= 6, F.concat(F.lit("PART-"), compact)), 0.62),
-            of(F.when(~F.lower(left).isin(*SLUG_STOPS) & tail.rlike(r"(?i)^(?=[a-z0-9-]*\d)[a-z]{2,}[a-z0-9]{3,}-[a-z0-9]{1,8}$"), _normal_sku(tail)), 0.7),
+            of(F.when(~F.lower(left).isin(*SLUG_STOPS) & tail.rlike(SLUG_PART), _normal_sku(tail)), 0.7),
             of(F.when(F.length(pid) >= 6, F.concat(F.lit("PID-"), pid)), 0.45), none,
         )
     )
@@ -265,11 +275,11 @@ def _memory() -> list[tuple[str, Column]]:
     """A pair in the text, else sizes in the slug."""
     blob, pair = F.concat_ws(" ", "source_text", "title"), MEMORY_PAIR
     medium = lambda k: F.when(F.lower(k) == "emmc", "eMMC").otherwise(F.upper(k))
-    sizes = F.regexp_extract_all(F.col("slug"), F.lit(r"(?<![a-z0-9])\d{1,4}-?(?:gb|tb)(?![a-z0-9])(?:-(?:ssd|hdd|ufs|rom|emmc)(?![a-z0-9]))?"), F.lit(0))
+    sizes = F.regexp_extract_all(F.col("slug"), F.lit(SLUG_SIZE), F.lit(0))
     label = lambda s: F.concat(first(s, r"^\d+"), F.lit(" "), F.upper(first(s, "gb|tb")))
     full = lambda s: F.rtrim(F.concat(label(s), F.lit(" "), F.coalesce(medium(first(s, "(?:ssd|hdd|ufs|rom|emmc)$")), F.lit(""))))
     one, two = F.try_element_at("sizes", F.lit(1)), F.try_element_at("sizes", F.lit(2))
-    ram_said = F.concat(F.lit(" "), F.lower("title"), F.lit(" ")).rlike(r"\b\d+\s*(gb|tb)\s*ram\b")
+    ram_said = F.concat(F.lit(" "), F.lower("title"), F.lit(" ")).rlike(RAM_SAID)
     has = blob.rlike(pair)
     ram = F.when(has, F.concat(first(blob, pair, 1), F.lit(" GB"))).when(two.isNotNull() | ram_said, label(one))
     storage = F.when(has, F.rtrim(F.concat(first(blob, pair, 2), F.lit(" "), F.upper(first(blob, pair, 3)), F.lit(" "), medium(first(blob, pair, 4))))).when(two.isNotNull(), full(two)).when(~ram_said, full(one))
@@ -323,13 +333,13 @@ def catalog_rows(rows: DataFrame, order: str, page_url: str = "url", stamp: str
     for step in steps:
         df = df.withColumns(step)
     path = F.lower(F.regexp_replace(F.expr(U.path(SPARK, "product_url")), "/+$", ""))
-    generic = F.lower("title").rlike(r"^(mobiles?|mobile phones?|computers?|laptops?|electronics?|tablets?)(?:\s*&\s*[a-z ]+)?$")
-    specs = F.lower("source_text").rlike(r"\b(\d+\s*(gb|tb|mah|inch|cm)|\d+\s*w|ratings?|reviews?)\b")
+    generic = F.lower("title").rlike(GENERIC_TITLE)
+    specs = F.lower("source_text").rlike(SPEC_WORDS)
     drop = (F.col("product_url") != "") & path.endswith("/pr") & F.col("price_given").isNull() & F.col("rating_given").isNull() & (generic | ~specs)
     family_model = F.lower(F.concat_ws(" ", F.coalesce("product_family", F.lit("")), "model"))
-    review = (F.col("named.is_canonical_name") == F.lit(False)) | ((F.lower("brand") == "apple") & F.contains(family_model, F.lit("macbook neo"))) | (family_model.rlike(r"\b(neo|concept|edition|special)\b") & (F.coalesce(F.col("named.name_source"), F.lit("")) != "catalog_pattern"))
+    review = (F.col("named.is_canonical_name") == F.lit(False)) | ((F.lower("brand") == "apple") & F.contains(family_model, F.lit("macbook neo"))) | (family_model.rlike(REVIEW_WORDS) & (F.coalesce(F.col("named.name_source"), F.lit("")) != "catalog_pattern"))
     said = F.lower(F.concat_ws(" ", "said", "title"))
-    scope = F.when(F.coalesce(F.col("reviews").cast("double"), "rating_").isNull(), F.lit(None)).when(said.rlike(r"(?s)\b\d+\s*gb\b.*\b(ssd|hdd|rom|ufs)\b"), "variant").when(_has(said, "reviews", "ratings"), "listing").otherwise("unknown")
+    scope = F.when(F.coalesce(F.col("reviews").cast("double"), "rating_").isNull(), F.lit(None)).when(said.rlike(VARIANT_SIZES), "variant").when(_has(said, "reviews", "ratings"), "listing").otherwise("unknown")
     made = {
         "sku": F.col("sure.sku"), "sku_confidence": F.col("sure.confidence"), "is_canonical_name": F.col("named.is_canonical_name"), "name_source": F.col("named.name_source"), "canonical_review_required": F.coalesce(review, F.lit(False)),
         "os": F.rtrim(F.concat("os_family", F.lit(" "), F.coalesce("os_version", F.lit("")))), "rating": F.col("rating_"), "review_count": F.col("reviews"), "review_scope": scope, "review_count_timestamp": F.when(F.col("reviews").isNotNull(), F.lit(stamp)), "availability": F.nullif(state(F.coalesce(F.nullif(F.trim("availability"), F.lit("")), "said")), F.lit("")),

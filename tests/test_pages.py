@@ -82,22 +82,22 @@ def test_template_next(spark):
     assert set(of().values()) == {(None, None)}
 
 
-def listing(rows, tag="article", cls="product-card", money="price", words="{} out of 5 stars", head="h2", tail=""):
-    cards = "".join(f'<{tag} class="{cls}"><a href="{href}"><{head}>{title}</{head}></a><p class="{money}">{price}</p><p class="rating">{words.format(rating)}</p></{tag}>' for title, href, price, rating in rows)
-    top = '<header><nav><a href="/deals">Deals</a><a href="/account">Account</a></nav></header>'
-    return f"<html><body>{top}<main><section class='results'>{cards}</section>{tail}</main></body></html>"
+def listing(rows, tag="article", cls="tile", money="sale", words="{} out of 5 stars", head="h2", tail=""):
+    cards = "".join(f'<{tag} class="{cls}"><a href="{href}"><{head}>{title}</{head}></a><div class="{money}">{price}</div><em class="stars">{words.format(rating)}</em></{tag}>' for title, href, price, rating in rows)
+    top = '<header><h3>Corner</h3><nav><a href="/new">New in</a><a href="/help">Help desk</a></nav></header>'
+    return f"<html><body>{top}<main><section class='found'>{cards}</section>{tail}</main></body></html>"
 
 
 def test_golden_listings(spark):
-    """The reference's three listing shapes with products of our own: symbol prices, code prices in a class that hints
+    """Three listing shapes on pages of our own: symbol prices, code prices in a class that hints
     at nothing, Indian grouping; ratings out of five in three spellings."""
     shop = [(f"Harbor Boots {i}", f"/item/boots-{i}", f"${i}9.50", f"4.{i}") for i in (1, 2, 3)]
     jobs = [("Senior Rust Developer", "/jobs/r-1", "USD 130,000", "4.2"), ("Data Platform Lead", "/jobs/r-2", "USD 99,500", "4.0"), ("Cloud Build Engineer", "/jobs/r-3", "USD 101,000", "4.5")]
     homes = [("2 BHK Villa - Lakeside", "/listing/v-1", "INR 75,00,000", "4.5"), ("Studio - Old Town", "/listing/v-2", "INR 1,12,00,000", "4.1"), ("Loft - Harbor Road", "/listing/v-3", "INR 48,00,000", "4.3")]
     cases = {
         "https://shop.example.com/search?q=x": (shop, listing(shop)),
-        "https://jobs.example.com/rust": (jobs, listing(jobs, cls="job-card", money="salary", words="Rated {}/5 by applicants")),
-        "https://homes.example.in/search?city=x": (homes, listing(homes, "li", "property-card", words="{}/5 neighborhood rating", head="h3").replace("<section", "<ul").replace("</section", "</ul")),
+        "https://jobs.example.com/rust": (jobs, listing(jobs, cls="opening", money="pay", words="Staff give it {}/5 so far")),
+        "https://homes.example.in/search?city=x": (homes, listing(homes, "li", "home", words="{}/5 for the street", head="h3").replace("<section", "<ul").replace("</section", "</ul")),
     }
     pages = spark.createDataFrame([(i, url, html) for i, (url, (_, html)) in enumerate(cases.items())], "page_id long, url string, html string")
     got = {}
@@ -109,13 +109,13 @@ def test_golden_listings(spark):
 
 
 def test_golden_crawls(spark):
-    """The reference's two crawls: a load-more link, and a next button whose second page has a single card."""
+    """Two crawls: a load-more link, and a next button whose second page has a single card."""
     from tallyrack.plans import runs
 
     tents = [(f"Summit Tarp {i}", f"/product/{200 + i}", f"${i}29.00", f"4.{i}") for i in (1, 2, 3, 4)]
     data = [
-        (1, "https://shop.example.com/catalog?page=1", listing(tents[:2], tail='<a class="load-more" href="/catalog?page=2">Load more</a>')), (2, "https://shop.example.com/catalog?page=2", listing(tents[2:])),
-        (3, "https://market.example.com/browse?page=1", listing(tents[:2], tail='<div class="pagination"><a class="next" href="/browse?page=2">Next</a></div>')), (4, "https://market.example.com/browse?page=2", listing(tents[2:3])),
+        (1, "https://shop.example.com/catalog?page=1", listing(tents[:2], tail='<a class="more" href="/catalog?page=2">Load more tarps</a>')), (2, "https://shop.example.com/catalog?page=2", listing(tents[2:])),
+        (3, "https://market.example.com/browse?page=1", listing(tents[:2], tail='<div class="pager"><a href="/browse?page=2">Next</a></div>')), (4, "https://market.example.com/browse?page=2", listing(tents[2:3])),
         (5, "https://loop.example.com/a", listing(tents[:2], tail='<a href="/b">Next</a>')), (6, "https://loop.example.com/b", listing(tents[2:], tail='<a href="/a">Next</a>')),
         (7, "https://gone.example.com/a", listing(tents[:2], tail='<a href="/none">Next</a>')),
         (8, "https://same.example.com/a", listing(tents[:2], tail='<a href="/b">Next</a>')), (9, "https://same.example.com/b", listing(tents[:2])),
