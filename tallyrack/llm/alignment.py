@@ -196,7 +196,7 @@ def _pack(ids: list, na: list, nb: list, a: list, b: list, known: Coder) -> pa.R
         counts.append(c)
     p, at = np.unique(np.concatenate(pairs), return_inverse=True) if pairs else (np.zeros(0, np.int64), None)
     c = np.bincount(at, np.concatenate(counts)).astype(np.int64) if pairs else p
-    squeeze = pa.Codec("zstd").compress
+    squeeze = pa.Codec("zstd", 3).compress
     lists = lambda x, t=pa.int64(): pa.array([x], pa.list_(t))
     return pa.record_batch({"ids": lists(ids), "na": lists(na), "nb": lists(nb), "a": pa.array([squeeze(one, asbytes=True)], pa.binary()), "b": pa.array([squeeze(two, asbytes=True)], pa.binary()), "pairs": lists(p), "counts": lists(c)})
 
