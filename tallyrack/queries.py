@@ -27,7 +27,7 @@ from .plans.lineage import settle
 from .plans.tables import derived, sql_of
 from .sources import dom
 from .sources import warc as W
-from .streaming import limits
+from .streaming import limits, queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG = ["idx", "brand", "category", "product_family", "model", "sku"]
@@ -89,6 +89,17 @@ def _limited(kind: type) -> Query:
     return run
 
 
+def _limited_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived(spark, sf_dir, "request_log").select(F.col("user_key").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "id")
+    return limits.decide_in_order(log, limits.SlidingLog, 3, 36_000.0).select("id", "key", "allowed", "remaining", "reset_seconds")
+
+
+def _queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request as a delivery of its user's job, under leases of ten hours that nobody gives back."""
+    log = derived(spark, sf_dir, "request_log").select(F.col("user_key").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("id").alias("nth"), F.lit("deliver").alias("kind"), F.lit(0).alias("attempt"), F.lit(3).alias("max_attempts"), F.lit(None).cast("long").alias("available_at"), F.col("id").cast("string").alias("payload"), F.lit(None).cast("string").alias("owner"))
+    return queue.run_queue(log, queue.QueueRules(lease_seconds=36_000)).select("job_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "event", "payload")
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of the clean path merged by variant (rows alone keep their prices as they are)."""
     cat = derived(spark, sf_dir, "catalog").withColumn("sku_confidence", F.col("sku_confidence").cast("double")).withColumn("list_price_inr", F.col("price_inr") + F.col("idx") % 9 * 1000).withColumn("effective_price_inr", F.when(F.col("idx") % 3 > 0, F.col("price_inr"))).withColumn("discount_percent", F.lit(None).cast("double"))
@@ -310,6 +321,14 @@ def _table() -> dict[str, tuple[Query, str | None]]:
             _limited(limits.SlidingLog),
             f"{HITS}, r AS (SELECT id, key, t, k, [t] AS log, true AS allowed, 2 AS remaining, 36000 AS reset FROM h WHERE k = 1 UNION ALL SELECT id, key, t, k, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, greatest(0, 2 - len(live)), CASE WHEN len(live) < 3 THEN 36000 ELSE greatest(1, cast(round_even(live[1] + 36000 - t, 0) AS bigint)) END FROM (SELECT h.id, h.key, h.t, h.k, list_filter(r.log, lambda x: x > h.t - 36000) AS live FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1)) SELECT id, key, allowed, remaining, reset AS reset_seconds FROM r",
         ),
+        "rate_limit_in_order": (
+            _limited_in_order,
+            f"{HITS}, r AS (SELECT id, key, t, k, [t] AS log, true AS allowed, 2 AS remaining, 36000 AS reset FROM h WHERE k = 1 UNION ALL SELECT id, key, t, k, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, greatest(0, 2 - len(live)), CASE WHEN len(live) < 3 THEN 36000 ELSE greatest(1, cast(round_even(live[1] + 36000 - t, 0) AS bigint)) END FROM (SELECT h.id, h.key, h.t, h.k, list_filter(r.log, lambda x: x > h.t - 36000) AS live FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1)) SELECT id, key, allowed, remaining, reset AS reset_seconds FROM r",
+        ),
+        "queue_leases": (
+            _queued,
+            f"WITH RECURSIVE h AS (SELECT id, user_key AS key, ts, row_number() OVER (PARTITION BY user_key ORDER BY ts, id) AS k FROM {sql_of('request_log')}), r AS (SELECT id, key, ts, k, ts AS since, true AS held FROM h WHERE k = 1 UNION ALL SELECT h.id, h.key, h.ts, h.k, CASE WHEN h.ts >= r.since + INTERVAL 10 HOUR THEN h.ts ELSE r.since END, h.ts >= r.since + INTERVAL 10 HOUR FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1) SELECT key AS job_id, ts AS at, CASE WHEN held THEN 'dispatched' ELSE 'duplicate_skipped' END AS event, CAST(id AS VARCHAR) AS payload FROM r UNION ALL SELECT key, ts + INTERVAL 10 HOUR, 'lease_expired', CAST(id AS VARCHAR) FROM r WHERE held",
+        ),
         "rate_limit_fixed": (
             _limited(limits.FixedWindow),
             f"{HITS}, r AS (SELECT id, key, t, k, t AS s, 1 AS n FROM h WHERE k = 1 UNION ALL SELECT h.id, h.key, h.t, h.k, CASE WHEN floor(r.s + 36000 - h.t + 0.5) <= 0 THEN h.t ELSE r.s END, CASE WHEN h.t >= r.s + 36000 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.key = r.key AND h.k = r.k + 1) SELECT id, key, n <= 3 AS allowed, greatest(0, 3 - n) AS remaining, cast(floor(s + 36000 - t + 0.5) AS bigint) AS reset_seconds FROM r",
