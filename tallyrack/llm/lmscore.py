@@ -44,6 +44,10 @@ IDS = END + 1
 RATES, BATCH = (0.1, 0.03), 1024
 #: How many sightings a class's distribution counts for beside an id's own, and cells of a summed block.
 BACKOFF, BLOCK, FAN_IN = 8.0, 1 << 18, 64
+#: Pairs of ids that every task is sent, at most, and the part of a sighting that each leaves to the model.
+PAIRS, DISCOUNT = 1 << 20, 0.75
+#: Ids of coded text for each bucket of pairs, about, and steps of the histogram of their counts.
+PAIR_IDS, STEPS = 1 << 22, 512
 
 
 def _key(word: bytes) -> bytes:
@@ -173,6 +177,76 @@ def counted(coded: DataFrame, cells: int, of) -> np.ndarray:
     return out[:cells]
 
 
+# ---- pairs ---------------------------------------------------------------------------------------------------------
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their summed counts, sorted."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def frequent_pairs(coded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id before * IDS + id, count) of the most frequent pairs of all coded texts, `most` of them or somewhat fewer.
+    Partitions send each bucket their sums; buckets send the driver a histogram, then what is above its threshold."""
+    buckets = max(1, (coded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 2) // PAIR_IDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for part in slices(batches, "ids", 4 << 20, 1 << 20):
+            flat, starts, real = laid_out(*id_lists(part.column("ids")))
+            places = targets(starts, real)
+            key, count = np.unique(flat[places - 1] * IDS + flat[places], return_counts=True)
+            keys.append(key)
+            counts.append(count.astype(np.int64))
+            if sum(map(len, keys)) > 4 << 20:
+                key, count = _added(keys, counts)
+                keys, counts = [key], [count]
+        if keys:
+            key, count = _added(keys, counts)
+            bucket_of = key % buckets
+            order = np.argsort(bucket_of, kind="stable")
+            cuts = np.cumsum(np.bincount(bucket_of, minlength=buckets))
+            for b, (i, j) in enumerate(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)):
+                if i < j:
+                    own = order[i:j]
+                    yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "keys": pa.array([key[own].tobytes()], pa.binary()), "counts": pa.array([count[own].astype("<u4").tobytes()], pa.binary())})
+
+    def merge(own: pa.Table) -> pa.Table:
+        key, count = _added([np.frombuffer(x, np.int64) for x in own.column("keys").to_pylist()], [np.frombuffer(x, "<u4").astype(np.int64) for x in own.column("counts").to_pylist()])
+        steps = np.bincount(_step(count), minlength=STEPS)
+        return pa.table({"bucket": own.column("bucket").slice(0, 1), "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([count.tobytes()], pa.binary()), "steps": pa.array([steps], pa.list_(pa.int64()))})
+
+    merged = checkpoint(coded.select("ids").mapInArrow(run, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, counts binary, steps array<long>"))
+    total = merged.select(F.posexplode("steps").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).filter("n > 0").collect()
+    left, least = most, STEPS
+    for r in sorted(total, key=lambda r: -r.step):
+        left -= r.n
+        if left < 0:
+            break
+        least = r.step
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                key, count = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                good = _step(count) >= least
+                yield pa.record_batch({"key": pa.array(key[good]), "count": pa.array(count[good])})
+
+    found = merged.select("keys", "counts").mapInArrow(above, "key long, count long").toArrow()
+    key, count = found.column("key").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def _step(count: np.ndarray) -> np.ndarray:
+    return np.minimum(STEPS - 1, np.floor(np.log2(count) * 16)).astype(np.int64)
+
+
 # ---- the model -----------------------------------------------------------------------------------------------------
 
 
@@ -228,6 +302,7 @@ class AttentionModel:
         near, far, within = counts.astype(np.float32, copy=False).reshape(3, -1)
         near, far, within = near.reshape(IDS, CLASSES), far.reshape(IDS, CLASSES), within.reshape(CLASSES, IDS)
         seen = within.sum(axis=0, dtype=float) + 0.1
+        self.sizes = near.sum(axis=1, dtype=float)
         mass = np.bincount(self.target, seen, CLASSES)
         prior = (mass + 1e-3) / (mass + 1e-3).sum()
         for of in (near, far):
@@ -241,8 +316,23 @@ class AttentionModel:
             after = np.bincount(self.target, within[c], CLASSES) + BACKOFF
             within[c] = np.log((within[c] + alone) / after[self.target])
         self.near, self.far, self.within = near, far, within
+        return self.know(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def know(self, keys: np.ndarray, counts: np.ndarray) -> AttentionModel:
+        """Pairs that are known by themselves (sorted keys), and what they leave of each id before."""
+        before = keys // IDS
+        self.keys, self.share = keys, ((counts - DISCOUNT) / np.maximum(self.sizes[before], 1)).astype(np.float32)
+        self.left = (1 - np.bincount(before, self.share, IDS)).astype(np.float32)
         return self
 
+    def known(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What is counted of each pair, as a share of its first id."""
+        if not len(self.keys):
+            return np.zeros(before.shape, np.float32)
+        key = before * IDS + own
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys.take(at) == key, self.share.take(at), np.float32(0))
+
     def mix(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs (n, WINDOW) and targets (n, STEP): pairs of classes, attention and values by (window, target, input),
         and the probability of each target's class.  The mask takes what comes after; exponents are bounded, so that no
@@ -283,7 +373,9 @@ class AttentionModel:
         for at in range(0, len(starts), 256):
             w = flat[starts[at : at + 256, None] + np.arange(WINDOW + 1)]
             x, y = w[:, :WINDOW], w[:, OVERLAP + 1 :]
-            logs = np.log(self.mix(x, y)[3]) + self.within.take(self.context[x[:, OVERLAP:]] * IDS + y)
+            before = x[:, OVERLAP:]
+            p = self.mix(x, y)[3] * np.exp(self.within.take(self.context[before] * IDS + y))
+            logs = np.log(self.known(before, y) + self.left.take(before) * p)
             logs *= np.arange(STEP) < real[at : at + 256, None]
             sums[at : at + 256] = logs.sum(axis=1, dtype=float) / ten
         windows = -(-(lengths + 1) // STEP)
@@ -306,8 +398,9 @@ def train(coded: DataFrame) -> tuple[AttentionModel, Broadcast]:
     known = context.broadcast(_Classes(model.context, model.target))
     model.tables(counted(coded, 3 * IDS * CLASSES, lambda flat, places: AttentionModel.cells(known.value, flat, places)))
     known.destroy()
+    model.know(*frequent_pairs(coded, PAIRS))
     shared = context.broadcast(model)
-    del model.near, model.far, model.within
+    del model.near, model.far, model.within, model.keys, model.share, model.left
     for k, rate in enumerate(RATES):
         learn(coded.filter(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(len(RATES))) == k), model, shared, rate)
     return model, shared

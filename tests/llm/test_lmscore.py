@@ -181,3 +181,65 @@ def test_the_end_is_counted_whatever_the_head(spark):
             own = lists[g.doc_id]
             assert g.n_tokens == len(own) and g.n_known == sum(count[w] > 0 for w in own)
             assert abs(g.base_score - sum(log10((count[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
+
+
+def test_frequent_pairs_are_counted(spark, monkeypatch):
+    """All pairs of many partitions and buckets, and the most frequent alone, against a plain loop."""
+    from tallyrack.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "PAIR_IDS", 300)
+    r = np.random.default_rng(5)
+    items = [r.integers(0, 12, n) ** 2 for n in r.integers(0, 30, 150)]
+    coded = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in items], "ids binary").repartition(9)
+    want = Counter((int(a), int(b)) for x in items for a, b in zip([END, *x], [*x, END], strict=True))
+    key, count = lmscore.frequent_pairs(coded, 1 << 20)
+    assert {(int(k) // IDS, int(k) % IDS): int(c) for k, c in zip(key, count, strict=True)} == dict(want) and (np.diff(key) > 0).all()
+    key, count = lmscore.frequent_pairs(coded, 20)
+    assert len(key) <= 20 and all(want[int(k) // IDS, int(k) % IDS] == c for k, c in zip(key, count, strict=True))
+    assert len(lmscore.frequent_pairs(coded.filter("false"), 5)[0]) == 0
+
+
+def test_known_pairs_leave_a_distribution():
+    """The probabilities of all ids after an id add up to one, with pairs known or not."""
+    model = small()
+    model.sizes = np.full(IDS, 40.0)
+    before = np.array([3, 3, 3, 9])
+    model.know(before * IDS + np.array([1, 2, 7, 4]), np.array([10, 5, 1, 40]))
+    x = np.full((1, WINDOW), 3)
+    total = 0.0
+    for at in range(0, IDS, STEP):
+        y = np.minimum(at + np.arange(STEP), IDS - 1)[None]
+        p = model.mix(np.repeat(x, 1, 0), y)[3][:, -1:] * 0
+        for k in range(STEP):
+            if at + k < IDS:
+                one = np.full((1, STEP), at + k)
+                p = model.mix(x, one)[3][0, -1] * np.exp(model.within[model.context[3] * IDS + at + k] if model.within.ndim == 1 else model.within[model.context[3], at + k])
+                total += float(model.known(np.array([3]), np.array([at + k]))[0] + model.left[3] * p) if at < 600 else 0.0
+        if at >= 600:
+            break
+    assert 0 < total < 1.001 and abs(model.left[3] - (1 - (9.25 + 4.25 + 0.25) / 40)) < 1e-6 and abs(model.left[9] - (1 - 39.25 / 40)) < 1e-6
+
+
+def test_held_out_documents_against_pairs_and_words(spark):
+    """Better by a tenth a token than an add-one bigram of ids, and near the base, which knows whole words, where all
+    words are known."""
+    from tallyrack.llm import lmscore
+    from tallyrack.llm.common import tokenizer_path, word_ids
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in lmscore.score(docs).collect()}
+    coder = word_ids(tokenizer_path("word_bpe_49k.json"))
+    ids = {r.doc_id: np.frombuffer(coder.encode([coder.split((r.text or "").encode())])[0], "<u4").tolist() for r in docs.select("doc_id", "text").collect()}
+    pairs, firsts = Counter(), Counter()
+    for d, x in ids.items():
+        if not got[d].held_out:
+            pairs.update(zip([END, *x], [*x, END], strict=True))
+            firsts.update([END, *x])
+    model = bigram = n = 0.0
+    for d, x in ids.items():
+        if got[d].held_out:
+            bigram += sum(log10((pairs[a, b] + 1) / (firsts[a] + IDS)) for a, b in zip([END, *x], [*x, END], strict=True))
+            model, n = model + got[d].score, n + len(x) + 1
+    assert model / n > 0.9 * bigram / n, (model / n, bigram / n)
+    known = [r for r in got.values() if r.held_out and r.n_known == r.n_tokens]
+    assert sum(r.score for r in known) > 1.1 * sum(r.base_score for r in known)
