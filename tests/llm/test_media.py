@@ -93,3 +93,18 @@ def test_clashing_columns_and_no_rows(spark):
     assert nothing.collect() == [] and read_back(nothing).collect() == []
     twice = read_back(store(spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, text string"))).collect()
     assert len(twice) == 3 and len({bytes(g.tile) for g in twice}) == 1 and np.load(io.BytesIO(bytes(twice[0].tile))).shape == (16, 16)
+
+
+def test_formats_of_odd_texts(spark, tmp_path):
+    """Null, empty and odd lengths in all three formats come back as they were stored."""
+    from tallyrack.llm.media import media_formats
+
+    texts = [None, "", "a", "ab", "abc", "é" * 95, "x" * 191, "x" * 192, "x" * 193, "y" * 200_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in media_formats(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        unit = 64 if len(raw) % 3 == 0 else 192
+        size = max(unit, -(-len(raw) // unit) * unit)
+        assert got[i].format == ("pgm", "ppm", "bmp")[len(raw) % 3] and got[i].payload_bytes == size and got[i].payload_sha256 == hashlib.sha256(raw.ljust(size, b"\0")).hexdigest() and got[i].dhash_there

@@ -91,3 +91,17 @@ def test_the_mixture_takes_repeated_rows_together(spark):
     again = corpus_pipeline.mixed(spark, docs.repartition(2), SF).collect()
     key = lambda g: (str(g.doc_id), g.text)
     assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_run_with_very_long_texts(spark, tmp_path):
+    """Whole texts go through all stages: a text of some megabytes leaves as pieces without gaps."""
+    words = [w.text for w in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' AND n_chars > 300").dropDuplicates(["text"]).orderBy("doc_id").limit(6).collect()]
+    long = " ".join(" ".join(words[i % 6 :]) + f" part {i}" for i in range(300))
+    rows = [(i, t, "en", "a") for i, t in enumerate([*words, long, None, ""])]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {0, 1, 2, 3, 4, 5, 6} and 6 in {r.doc_id for r in out}
+    by_copy = {}
+    for r in sorted((r for r in out if r.doc_id == 6), key=lambda r: (r.piece, r.sequence_id)):
+        by_copy.setdefault(r.piece, []).append((r.start, r.length))
+    assert all(len(set(v)) == 1 and v[0][0] == 4096 * k for k, v in by_copy.items()) and sum(v[0][1] for v in by_copy.values()) > len(long) / 8
