@@ -126,5 +126,21 @@ FROM v JOIN x USING (key) LEFT JOIN e USING (key) LEFT JOIN u ON u.up = v.key LE
 """
 
 
+#: Every string of fifty bytes (a hundred hexadecimal digits) beside the least document that has it; runs by their gaps.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d),
+k AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM w),
+m AS (SELECT g, min(doc_id) AS least FROM k GROUP BY g),
+r AS (SELECT k.rid, k.i, lag(k.i) OVER (PARTITION BY k.rid ORDER BY k.i) AS p FROM k JOIN m USING (g) WHERE m.least < k.doc_id),
+t AS (SELECT rid, i, sum(CASE WHEN i <= p + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS n FROM r),
+u AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM t GROUP BY rid, n),
+v AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM u GROUP BY rid),
+p AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS lo, a AS hi FROM u UNION ALL SELECT rid, last, NULL FROM v),
+q AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, length(h) // 2) - lo)), '' ORDER BY lo, hi) AS kept FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN v USING (rid) LEFT JOIN q USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_prefixtrie": PREFIXES_SQL, "op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "media_formats": FORMATS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}
+    return {"op12_prefixtrie": PREFIXES_SQL, "op13_repeats": REPEATS_SQL, "op7_covertree": LINKED_SQL, "mixture_targets": TARGETS_SQL, "media_payloads": PAYLOADS_SQL, "media_formats": FORMATS_SQL, "secrets_base": SECRETS_SQL, "lmscore_base": LMSCORE_SQL}

@@ -26,7 +26,7 @@ def test_prefixes(spark):
     assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
 
 
-@pytest.mark.parametrize("name", ["mixture_targets", "media_payloads", "media_formats", "secrets_base", "lmscore_base"])
+@pytest.mark.parametrize("name", ["op13_repeats", "mixture_targets", "media_payloads", "media_formats", "secrets_base", "lmscore_base"])
 def test_parts_of_results(spark, name):
     """Columns of an operator's own result that SQL can compute."""
     small = SF.replace("0.01", "0.001")
