@@ -183,39 +183,6 @@ def test_the_end_is_counted_whatever_the_head(spark):
             assert abs(g.base_score - sum(log10((count[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
 
 
-def test_frequent_pairs_are_counted(spark, monkeypatch):
-    """All pairs of many partitions and buckets, and the most frequent alone, against a plain loop."""
-    from tallyrack.llm import lmscore
-
-    monkeypatch.setattr(lmscore, "PAIR_IDS", 300)
-    r = np.random.default_rng(5)
-    items = [r.integers(0, 12, n) ** 2 for n in r.integers(0, 30, 150)]
-    coded = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in items], "ids binary").repartition(9)
-    want = Counter((int(a), int(b)) for x in items for a, b in zip([END, *x], [*x, END], strict=True))
-    key, count = lmscore.frequent_pairs(coded, 1 << 20)
-    assert {(int(k) // IDS, int(k) % IDS): int(c) for k, c in zip(key, count, strict=True)} == dict(want) and (np.diff(key) > 0).all()
-    key, count = lmscore.frequent_pairs(coded, 20)
-    assert len(key) <= 20 and all(want[int(k) // IDS, int(k) % IDS] == c for k, c in zip(key, count, strict=True))
-    assert len(lmscore.frequent_pairs(coded.filter("false"), 5)[0]) == 0
-
-
-def test_known_pairs_leave_a_distribution():
-    """The probabilities of all ids after an id add up to one, with pairs known or not."""
-    model = small()
-    model.sizes = np.full(IDS, 40.0)
-    before = np.array([3, 3, 3, 9])
-    model.know(before * IDS + np.array([1, 2, 7, 4]), np.array([10, 5, 1, 40]))
-    assert abs(model.left[3] - (1 - (9.25 + 4.25 + 0.25) / 40)) < 1e-6 and abs(model.left[9] - (1 - 39.25 / 40)) < 1e-6
-    for last in (3, 9, 100):
-        total = 0.0
-        for at in range(0, IDS, 2048):
-            own = np.arange(at, min(IDS, at + 2048))
-            x, y = np.full((len(own), WINDOW), last), np.repeat(own[:, None], STEP, 1)
-            p = model.mix(x, y)[3][:, -1] * np.exp(model.within.reshape(-1)[model.context[last] * IDS + own])
-            total += (model.known(np.full(len(own), last), own) + model.left[last] * p).sum(dtype=float)
-        assert abs(total - 1) < 1e-3
-
-
 def test_held_out_documents_against_pairs_and_words(spark):
     """Better by a tenth a token than an add-one bigram of ids, and near the base, which knows whole words, where all
     words are known."""
