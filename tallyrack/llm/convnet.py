@@ -6,7 +6,32 @@ is applied with tables of 256 rows and no matrix of shifted inputs.
 
 from __future__ import annotations
 
+import copy
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
+
+from .lmscore import summed
+
+#: Rows that a partition takes its steps over at a time.
+LOCAL = 4096
+
+
+class Adam:
+    """Running means of gradients and of their squares."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.m, self.s, self.n = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+
+    def step(self, p: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.s[k] += 0.01 * (g * g - self.s[k])
+            p[k] -= (rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.s[k] / (1 - 0.99**self.n)) + 1e-6)).astype(np.float32)
 
 
 class ByteConvNet:
@@ -60,23 +85,16 @@ class ByteConvNet:
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2) -> ByteConvNet:
         """windows: (n, length + ahead) bytes.  Adam on the cross-entropy; the same seed gives the same network."""
-        r, step = np.random.default_rng(seed), 0
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        r, step, adam = np.random.default_rng(seed), 0, Adam(self.p)
         total = max(1, epochs * -(-len(labels) // batch))
         for _ in range(epochs):
             order = r.permutation(len(labels))
             for at in range(0, len(order), batch):
                 pick, step = order[at : at + batch], step + 1
-                grads = self._gradients(windows[pick], labels[pick])
-                lr = rate * (1 - (step - 1) / total)
-                for k, g in grads.items():
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                adam.step(self.p, self._gradients(windows[pick], labels[pick]), rate * (1 - (step - 1) / total))
         return self
 
-    def _gradients(self, windows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> dict[str, np.ndarray]:
         n, tables = len(labels), self.tables()
         pools, wheres = [], []
         for w in self.widths:
@@ -90,7 +108,7 @@ class ByteConvNet:
         hidden = np.maximum(pool, 0)
         d = self._softmax(hidden @ self.p["V"] + self.p["b"])
         d[np.arange(n), labels] -= 1
-        d /= n
+        d *= 1 / n if weights is None else (weights / weights.sum()).astype(np.float32)[:, None]
         grads = {"V": hidden.T @ d, "b": d.sum(axis=0), "E": np.zeros_like(self.p["E"])}
         back = (d @ self.p["V"].T) * (pool > 0)
         for j, w in enumerate(self.widths):
@@ -101,3 +119,45 @@ class ByteConvNet:
                 grads[f"W{w}"][k] = np.einsum("nfd,nf->df", self.p["E"][under], mine)
                 np.add.at(grads["E"], under, mine[:, :, None] * self.p[f"W{w}"][k].T[None])
         return grads
+
+
+def learn(rows: DataFrame, net: ByteConvNet, rates: tuple[float, ...], beside: tuple[np.ndarray, np.ndarray] | None = None, batch: int = 64) -> int:
+    """rows (label int, weight double, window binary of length + ahead bytes) -> how many there are; the network has then
+    taken steps over every one of them.  A round for each rate: each partition goes on from the same network, LOCAL rows
+    at a time in random order, and the networks are averaged by their rows.  A third of each step's windows are the
+    partition's and two thirds of `beside` (windows, labels), if it is given."""
+    size, names, seen = net.length + net.ahead, sorted(net.p), 0
+    context, parts = rows.sparkSession.sparkContext, rows.rdd.getNumPartitions()
+    for rate in rates:
+        shared = context.broadcast((net, beside))
+
+        def run(batches: Iterator[pa.RecordBatch], rate: float = rate, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            start, more = shared.value
+            own, r, n = copy.copy(start), np.random.default_rng(8), 0
+            own.p = {k: v.copy() for k, v in start.p.items()}
+            adam = Adam(own.p)
+            for part in (b.slice(at, LOCAL) for b in batches for at in range(0, b.num_rows, LOCAL)):
+                x = np.frombuffer(b"".join(v.as_py() for v in part.column("window")), np.uint8).reshape(-1, size)
+                y, weight = part.column("label").to_numpy(), part.column("weight").to_numpy()
+                order = r.permutation(len(y))
+                for at in range(0, len(order), batch):
+                    pick = order[at : at + batch]
+                    xs, ys, ws = x[pick], y[pick], weight[pick]
+                    if more is not None:
+                        extra = r.integers(0, len(more[1]), 2 * len(pick))
+                        xs, ys = np.concatenate([xs, more[0][extra]]), np.concatenate([ys, more[1][extra]])
+                        ws = np.concatenate([ws * (len(pick) / ws.sum()), np.ones(len(extra))])
+                    # a partition's last rows count by how many they are
+                    adam.step(own.p, own._gradients(xs, ys, ws), rate * len(pick) / batch)
+                n += len(y)
+            change = np.concatenate([*(((own.p[k].astype(float) - start.p[k]) * n).reshape(-1) for k in names), [float(n)]])
+            if n:
+                yield pa.record_batch({"block": pa.array([0], pa.int32()), "who": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.nulls(1, pa.binary()), "x": pa.array([change.tobytes()], pa.binary())})
+
+        for _, x in summed(rows.select("label", "weight", "window").mapInArrow(run, "block int, who int, at binary, x binary"), parts):
+            at, seen = 0, int(x[-1])
+            for k in names:
+                net.p[k] = net.p[k] + (x[at : at + net.p[k].size] / x[-1]).reshape(net.p[k].shape).astype(np.float32)
+                at += net.p[k].size
+        shared.unpersist()
+    return seen

@@ -3,9 +3,10 @@
 The patterns' findings always stay.  Candidates are runs of key characters outside of these that mix letters, digits or
 capitals, are long and various, or stand where an address has a password; digits alone of up to 19, as cards and accounts
 have them, are numbers and no keys.  The network reads each candidate with the text around it.  It is trained on labelled
-findings: what the patterns find and what is plainly an address, a host or a number in a bounded sample, and generated
-keys and harmless strings.  Its scores are calibrated on a part of them that it didn't learn from, and the threshold is
-the greatest that keeps the recall asked for.
+findings: what the patterns find and what is plainly an address, a host or a number in all texts, and generated keys and
+harmless strings.  It starts from the generated ones; then partitions take steps over all findings of the corpus and
+their networks are averaged.  Its scores are calibrated on a quarter of both that it didn't learn from, and the threshold
+is the greatest that keeps the recall asked for.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import hashlib
 import random
 import re
 import string
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, documents, slices, table, texts
-from .convnet import ByteConvNet
+from .common import checkpoint, documents, slices, table, texts
+from .convnet import ByteConvNet, learn
 
 KINDS = ("assign", "access", "hex", "model")
 #: The contract's patterns; on bytes, letters ignore case for ASCII alone.
@@ -45,8 +45,12 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of context on either side, and of a candidate under one window; longer ones have several, half overlapping.
 CONTEXT, BODY = 16, 64
 LENGTH = BODY + 2 * CONTEXT
-#: At most so many labelled findings of the corpus, least by hash; twice as many are generated.
-SAMPLE = 4000
+#: So many findings are generated.  In steps and in calibration the corpus's count half as much as they do, at most.
+GENERATED = 8000
+#: Rates of the rounds over the corpus's findings.
+RATES = (0.003, 0.001)
+#: Scores' logits are counted by this part of one.
+STEP = 1 / 256
 RECALL = 0.99
 #: Labels.
 HARMLESS, KEY = range(2)
@@ -144,27 +148,27 @@ def _labelled(text: bytes) -> Iterator[tuple[int, int, int]]:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, start, label, window), one row for each labelled finding; of a long one's windows a
-    repeatable one.  Null and empty texts, and an empty table, have none."""
+    """documents -> (doc_id, start, label, weight, window), one row for each window of a labelled finding, which together
+    weigh one.  Null and empty texts, and an empty table, have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "label", "window"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "label", "weight", "window"])
 
         for part in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), texts(part.column("text")), strict=True):
                 for a, b, label in _labelled(text):
                     w = windows(text, a, b)
-                    nth = zlib.crc32(f"{doc}:{a}".encode()) % (len(w) // LENGTH) * LENGTH
-                    rows.append((doc, a, label, w[nth : nth + LENGTH]))
-                    if len(rows) >= 1 << 14:
-                        yield out(rows)
-                        rows = []
+                    for i in range(0, len(w), LENGTH):
+                        rows.append((doc, a, label, LENGTH / len(w), w[i : i + LENGTH]))
+                        if len(rows) >= 1 << 14:
+                            yield out(rows)
+                            rows = []
             yield out(rows)
 
-    return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, start long, label int, window binary")
+    return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, start long, label int, weight double, window binary")
 
 
 def _places(text: bytes, offsets: list[int]) -> dict[int, int]:
@@ -217,6 +221,8 @@ def generated(n: int, seed: int = 11) -> list[tuple[bytes, int]]:
 class SecretModel:
     def __init__(self, net: ByteConvNet, slope: float, shift: float, threshold: float) -> None:
         self.net, self.slope, self.shift, self.threshold, self.tables = net, slope, shift, threshold, net.tables()
+        #: Windows of the corpus that it has learned from.
+        self.learned = 0
 
     def _raw(self, data: bytes) -> np.ndarray:
         n = len(data) // LENGTH
@@ -240,34 +246,71 @@ class SecretModel:
         return 1 / (1 + np.exp(-(self.slope * raw + self.shift)))
 
 
-def fit(pairs: list[tuple[bytes, int]], recall: float = RECALL, seed: int = 5) -> SecretModel:
-    """pairs: windows and labels.  A quarter of them calibrates and sets the threshold."""
-    r = np.random.default_rng(seed)
+def _started(pairs: list[tuple[bytes, int]], seed: int) -> tuple[ByteConvNet, np.ndarray, np.ndarray, np.ndarray]:
+    """A network that has learned from three quarters of some windows; windows, labels, and which it didn't learn from."""
     x = np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, LENGTH)
     y = np.array([k for _, k in pairs])
-    order = r.permutation(len(y))
-    held, own = order[::4], np.delete(order, np.s_[::4])
+    held = np.zeros(len(y), bool)
+    order = np.random.default_rng(seed).permutation(len(y))
+    held[order[::4]] = True
+    own = np.delete(order, np.s_[::4])
     net = ByteConvNet(2, LENGTH, widths=(2, 3, 5), filters=24, seed=6)
     net.fit(np.pad(x[own], ((0, 0), (0, net.ahead))), y[own], epochs=8)
-    model = SecretModel(net, 1.0, 0.0, 0.5)
-    z, t = model._raw(x[held].tobytes()), (y[held] == KEY).astype(int)
+    return net, x, y, held
+
+
+def _calibrated(model: SecretModel, z: np.ndarray, t: np.ndarray, weight: np.ndarray, recall: float) -> SecretModel:
+    """Slope, shift and threshold by logits of windows it didn't learn from, their labels and weights."""
+    n = weight.sum()
     for _ in range(50):  # Newton steps of a logistic fit in one variable
         p = 1 / (1 + np.exp(-(model.slope * z + model.shift)))
-        g = np.array([((p - t) * z).mean() + 1e-3 * (model.slope - 1), (p - t).mean()])
-        v = p * (1 - p)
-        h = np.array([[(v * z * z).mean() + 1e-3, (v * z).mean()], [(v * z).mean(), v.mean() + 1e-6]])
+        g = np.array([((p - t) * z * weight).sum() / n + 1e-3 * (model.slope - 1), ((p - t) * weight).sum() / n])
+        v = p * (1 - p) * weight / n
+        h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         model.slope, model.shift = model.slope - float(np.clip(step[0], -1, 1)), model.shift - float(np.clip(step[1], -1, 1))
-    good = np.sort(1 / (1 + np.exp(-(model.slope * z[t == 1] + model.shift))))
-    model.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 1.0
+    score, own = 1 / (1 + np.exp(-(model.slope * z[t == 1] + model.shift))), weight[t == 1]
+    order = np.argsort(score, kind="stable")
+    reached = np.cumsum(own[order])
+    model.threshold = float(score[order][np.searchsorted(reached, (1 - recall) * reached[-1], side="right")]) if len(score) else 1.0
     return model
 
 
+def fit(pairs: list[tuple[bytes, int]], recall: float = RECALL, seed: int = 5) -> SecretModel:
+    """pairs: windows and labels.  A quarter of them calibrates and sets the threshold."""
+    net, x, y, held = _started(pairs, seed)
+    model = SecretModel(net, 1.0, 0.0, 0.5)
+    return _calibrated(model, model._raw(x[held].tobytes()), (y[held] == KEY).astype(int), np.ones(held.sum()), recall)
+
+
+def logits(held: DataFrame, model: SecretModel) -> DataFrame:
+    """findings -> (label, step, weight): how much the windows weigh whose logit is `step` whole STEPs, over all of them."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, GROUP) for b in batches for at in range(0, b.num_rows, GROUP)):
+            z = shared.value._raw(b"".join(v.as_py() for v in part.column("window")))
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(np.floor(z / STEP).astype(np.int32)), part.column("weight")], names=["label", "step", "weight"])
+
+    return held.mapInArrow(run, "label int, step int, weight double").groupBy("label", "step").agg(F.sum("weight").alias("weight"))
+
+
 def train(found: DataFrame, recall: float = RECALL) -> SecretModel:
-    """Learns from a bounded sample of the labelled findings and twice as many generated ones."""
-    found = checkpoint(found)
-    rows = bounded_sample(found, found.count(), SAMPLE, "doc_id", "start")
-    return fit([(bytes(r.window), r.label) for r in rows] + generated(2 * SAMPLE), recall)
+    """Learns from all labelled findings and GENERATED ones.  What the driver gets is a sum of networks, and how many of
+    the held findings' windows each STEP of logits has."""
+    found = checkpoint(found.withColumn("held", F.pmod(F.xxhash64("doc_id", "start", F.lit("held")), F.lit(4)) == 0))
+    net, x, y, held = _started(generated(GENERATED), 5)
+    padded = np.pad(x[~held], ((0, 0), (0, net.ahead)))
+    rows = found.filter(~F.col("held")).select("label", "weight", F.concat("window", F.lit(bytes(net.ahead))).alias("window"))
+    learned = learn(rows, net, RATES, (padded, y[~held]))
+    model = SecretModel(net, 1.0, 0.0, 0.5)
+    model.learned = learned
+    counts = logits(found.filter("held"), model).orderBy("label", "step").collect()
+    total = sum(r.weight for r in counts)
+    share = min(1.0, held.sum() / 2 / total) if total else 1.0
+    z = np.concatenate([model._raw(x[held].tobytes()), [r.step * STEP for r in counts]])
+    t = np.concatenate([y[held] == KEY, [r.label == KEY for r in counts]]).astype(int)
+    return _calibrated(model, z, t, np.concatenate([np.ones(held.sum()), [r.weight * share for r in counts]]), recall)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -112,3 +112,19 @@ def test_many_candidates_in_one_text(spark, monkeypatch):
     whole = secrets._keys([text, b"", text[:500]], [[], [], []], model)
     monkeypatch.setattr(secrets, "GROUP", 37)
     assert secrets._keys([text, b"", text[:500]], [[], [], []], model) == whole and whole[1] == []
+
+
+def test_every_finding_of_the_corpus_is_learned_from(spark):
+    """No finding, and no window of a long one, is left out of training or calibration, however many there are."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(21)
+    texts = ["token=" + "".join(r.choices("abcdefghijklmnop0123456789", k=r.choice([12, 400]))) + f" joe.{i}@mail{i}.example.com" for i in range(6000)]
+    found = findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).cache()
+    assert found.count() > 12_000 and abs(found.agg(F.sum("weight")).first()[0] - found.select("doc_id", "start", "label").distinct().count()) < 1e-6
+    held = found.filter(F.pmod(F.xxhash64("doc_id", "start", F.lit("held")), F.lit(4)) == 0).count()
+    model = train(found)
+    assert held > 2000 and model.learned == found.count() - held
+    odd = generated(2000, seed=78)
+    assert np.mean([p >= model.threshold for p in model.scores([w for w, y in odd if y == KEY])]) >= 0.96
+    assert np.mean([p >= model.threshold for p in model.scores([w for w, y in odd if y != KEY])]) <= 0.05
