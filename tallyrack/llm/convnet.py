@@ -98,9 +98,9 @@ class ByteConvNet:
         n, tables = len(labels), self.tables()
         pools, wheres = [], []
         for w in self.widths:
-            out = tables[w][0][windows[:, : self.length]]
+            out = tables[w][0].take(windows[:, : self.length], axis=0)
             for k in range(1, w):
-                out += tables[w][k][windows[:, k : k + self.length]]
+                out += tables[w][k].take(windows[:, k : k + self.length], axis=0)
             at = out.argmax(axis=1)
             wheres.append(at)
             pools.append(np.take_along_axis(out, at[:, None], 1)[:, 0] + self.p[f"c{w}"])

@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import documents, held_out, slices, table, texts, uniform, without
-from .convnet import ByteConvNet
+from .convnet import ByteConvNet, learn
 
-#: The network learns from at most this many labelled documents, shared among the languages, least by hash, and this
+#: The network starts from at most this many labelled documents, shared among the languages, least by hash, and this
 #: many windows of each; a language has LEAST_DOCS at least, and LANGUAGES of them are learned, the most frequent.
 SAMPLE_DOCS, SAMPLE_WINDOWS, LENGTH = 3000, 3, 128
 LEAST_DOCS, LANGUAGES = 50, 256
+#: Rates of the rounds over all labelled documents.  A step's windows of rare languages weigh up to RARE times as much.
+RATES, RARE = (0.001,), 10.0
 UNDETERMINED = "und"
 
 
 class LanguageModel:
     def __init__(self, languages: list[str], net: ByteConvNet) -> None:
         self.languages, self.net, self.tables = languages, net, net.tables()
+        #: Windows of the corpus that it has learned from, after those that it started from.
+        self.learned = 0
 
     def predict(self, items: list[bytes]) -> list[tuple[str, float]]:
         """Every whole text in fixed-length windows, the last one padded with zeros and followed by an empty one, so that
@@ -56,12 +60,37 @@ def has_letter(text: bytes) -> bool:
     return text.upper() != text.lower()
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+
+
+def all_windows(docs: DataFrame, languages: list[str], size: int) -> DataFrame:
+    """(label, weight, window) of every labelled document, in whole windows of its whole text, those of the languages that
+    are known.  A document's windows weigh one together, and more where its language is rare."""
+    counts = {r.lang: r["count"] for r in _labelled(docs).groupBy("lang").count().filter(F.col("lang").isin(languages)).collect()}
+    usual = sum(counts.values()) / max(1, len(counts))
+    label = {x: k for k, x in enumerate(languages)}
+    weight = [min(RARE, usual / counts[x]) if x in counts else 1.0 for x in languages]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most_bytes=1 << 19):
+            labels, weights, rows = [], [], []
+            for lang, text in zip(part.column("lang").to_pylist(), texts(part.column("text")), strict=True):
+                own = [w for w in (text[at : at + LENGTH] for at in range(0, len(text), LENGTH)) if has_letter(w)] if lang in label else []
+                labels += [label[lang]] * len(own) if own else []
+                weights += [weight[label[lang]] / len(own)] * len(own) if own else []
+                rows += [w.ljust(size, b"\0") for w in own]
+            yield pa.record_batch({"label": pa.array(labels, pa.int32()), "weight": pa.array(weights, pa.float64()), "window": pa.array(rows, pa.binary())})
+
+    return _labelled(docs).select("lang", "text").mapInArrow(run, "label int, weight double, window binary")
+
+
 def training_windows(docs: DataFrame) -> list:
-    """(lang, pieces): texts cut at repeatable places anywhere in the whole text, of a bounded sample: as many documents
+    """(lang, pieces) that the network starts from: texts cut at repeatable places anywhere in the whole text, of a bounded sample: as many documents
     of each language, so that a rare one is learned too; of very many languages, the most frequent."""
     spread = F.greatest(F.length("text") - LENGTH, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), spread).cast("int") + 1 for k in range(SAMPLE_WINDOWS)]
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+    labelled = _labelled(docs)
     known = labelled.filter(F.col("text").isNotNull() & (F.trim("text") != ""))
     pieces = known.select("lang", "doc_id", F.array(*(F.substring(F.col("text"), p, F.lit(LENGTH)) for p in places)).alias("pieces"))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -75,8 +104,10 @@ def training_windows(docs: DataFrame) -> list:
 
 
 def train(docs: DataFrame) -> LanguageModel:
-    """Learns from text and lang of the documents that aren't held out; without any, it knows no language."""
-    rows = training_windows(documents(docs, "doc_id", "text", "lang"))
+    """Learns from text and lang of the documents that aren't held out; without any, it knows no language.  The network
+    starts from a few windows of some; then partitions take steps over every window of all of them and are averaged."""
+    docs = documents(docs, "doc_id", "text", "lang")
+    rows = training_windows(docs)
     languages = sorted({r.lang for r in rows})
     net = ByteConvNet(max(1, len(languages)), LENGTH)
     pairs = [(languages.index(r.lang), p.encode()) for r in rows for p in r.pieces if has_letter(p.encode())]
@@ -91,6 +122,10 @@ def train(docs: DataFrame) -> LanguageModel:
             short[i, n:] = 0
         labels = np.array([k for k, _ in pairs])
         net.fit(np.concatenate([windows, short]), np.concatenate([labels, labels[::4]]))
+        learned = learn(all_windows(docs, languages, size), net, RATES)
+        model = LanguageModel(languages, net)
+        model.learned = learned
+        return model
     return LanguageModel(languages, net)
 
 

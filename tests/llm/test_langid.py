@@ -100,3 +100,15 @@ def test_the_network_against_plain_loops():
         down = loss()
         net.p[name][at] = keep
         assert np.isclose((up - down) / (2 * h), grads[name][at], rtol=1e-3, atol=1e-7), name
+
+
+def test_every_window_of_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """Far more documents and windows than the network starts from; held-out ones and those without a language aren't read."""
+    from tallyrack.llm import langid
+
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 40)
+    words = {"en": "the and of that with from ", "de": "und der nicht ist auch wir "}
+    rows = [(i, words[lang] * (1 + i % 17), lang) for i in range(400) for lang in [["en", "de"][i % 2]]] + [(9001, "x " * 300, None), (9002, None, "en"), (9003, "12 " * 100, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    own = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).filter("text rlike '[a-z]'").collect()
+    assert train(docs).learned == sum(-(-len(r.text) // 128) for r in own) > 500
