@@ -13,14 +13,19 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 #: A row of a fold, in micros and in order; woken rows (rank 0) come before those of the table or stream (rank 1).
 ROW = "at long, rank int, nth long, body string"
 
+#: Rows that a task of a batch puts out at a time.
+OUT = 1 << 13
+
 #: (state, micros, row) -> (new state, rows to put out, (micros, row) to be woken with).  State and rows are plain JSON.
 Step = Callable[[Any, int, dict], tuple[Any, list[dict], list[tuple[int, dict]]]]
 
@@ -50,29 +55,46 @@ def _frame(key: str, out: list[dict], schema: StructType) -> pd.DataFrame:
 
 def in_batch(rows: DataFrame, step: Step, out: str) -> DataFrame:
     """rows_of() of a table -> (key, at, out columns).  The exchange sorts a key's rows and a task reads them as a stream of
-    batches, so a hot key never has to fit into one; only its state and its woken rows are held."""
+    batches, so a hot key never has to fit into one; only its state and its woken rows are held.  The number of
+    partitions is the session's, given by name: the fold takes long for few bytes, so that partitions put together by
+    their bytes would leave cores idle."""
     schema = StructType.fromDDL(f"key string, at long, {out}")
+    kinds, names = to_arrow_schema(schema), [f.name for f in schema.fields[1:]]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, heap = None, None, []
-        for frame in frames:
-            made: list[pd.DataFrame] = []
-            for key, at, rank, nth, body in zip(frame.key, frame["at"], frame["rank"], frame.nth, frame.body, strict=True):
+        keys: list[str] = []
+        made: list[dict] = []
+
+        def batch() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(keys, kinds.types[0]), *(pa.array([m.get(n) for m in made], k) for n, k in zip(names, kinds.types[1:], strict=True))], schema=kinds)
+            keys.clear()
+            made.clear()
+            return found
+
+        for part in batches:
+            for key, at, rank, nth, body in zip(*(part.column(n).to_pylist() for n in ("key", "at", "rank", "nth", "body")), strict=True):
                 if key != last:
                     if last is not None:
-                        made.append(_frame(last, _fold(step, state, heap, float("inf"))[1], schema))
+                        more = _fold(step, state, heap, float("inf"))[1]
+                        keys += [last] * len(more)
+                        made += more
                     last, state, heap = key, None, []
-                heapq.heappush(heap, (int(at), int(rank), int(nth), body))
+                heapq.heappush(heap, (at, rank, nth, body))
                 # All earlier rows are there; those of the same time come before this one only by rank.
-                state, out_rows, _ = _fold(step, state, heap, int(at))
-                if out_rows:
-                    made.append(_frame(key, out_rows, schema))
-            if made:
-                yield pd.concat(made)
+                state, more, _ = _fold(step, state, heap, at)
+                keys += [key] * len(more)
+                made += more
+                if len(made) >= OUT:
+                    yield batch()
         if last is not None:
-            yield _frame(last, _fold(step, state, heap, float("inf"))[1], schema)
+            more = _fold(step, state, heap, float("inf"))[1]
+            keys += [last] * len(more)
+            made += more
+        yield batch()
 
-    return rows.drop("time").filter("key IS NOT NULL AND at IS NOT NULL").repartition("key").sortWithinPartitions("key", "at", "rank", "nth").mapInPandas(run, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.drop("time").filter("key IS NOT NULL AND at IS NOT NULL").repartition(parts, "key").sortWithinPartitions("key", "at", "rank", "nth").mapInArrow(run, schema)
 
 
 class _InOrder(StatefulProcessor):

@@ -170,3 +170,13 @@ def test_upserts_of_a_stream(spark, tmp_path):
         assert run.awaitTermination(120)
     assert sorted((r.job_id, r.status, r.nth) for r in store.jobs().collect()) == [(1, "success", 1), (2, "failed", 0)]
     assert [tuple(r) for r in store.rows().collect()] == [(1, 0, "c")]
+
+
+def test_a_batch_fold_keeps_the_sessions_partitions(spark):
+    """Few bytes aren't put together into one task, and rows are put out many at a time."""
+    rows = spark.createDataFrame([(f"k{i % 50}", datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=i * 7), i) for i in range(3000)], "key string, ts timestamp, id long")
+    got = T.decide_in_order(rows, T.SlidingLog, 3, 900.0)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    plain = T.decide(rows.withColumn("ts", F.unix_micros("ts") / 1e6), T.SlidingLog, 3, 900.0)
+    names = ["key", "id", "allowed", "remaining", "reset_seconds"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
