@@ -180,3 +180,15 @@ def test_a_batch_fold_keeps_the_sessions_partitions(spark):
     plain = T.decide(rows.withColumn("ts", F.unix_micros("ts") / 1e6), T.SlidingLog, 3, 900.0)
     names = ["key", "id", "allowed", "remaining", "reset_seconds"]
     assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+
+
+def test_a_batch_of_queues_goes_out_many_rows_at_a_time(spark, monkeypatch):
+    """However few rows are put out at a time, also in the middle of a job's, all are there with their types."""
+    from tallyrack.streaming import ordered
+
+    rows = [event(f"j{i % 3}", i * 97 % 5000, i, ["deliver", "failed", "done"][i % 5 % 3], i % 3, 3, [None, 0, 400][i % 3]) for i in range(200)]
+    whole = Q.run_queue(spark.createDataFrame(rows, EVENT))
+    want = told(whole)
+    monkeypatch.setattr(ordered, "OUT", 7)
+    assert told(Q.run_queue(spark.createDataFrame(rows, EVENT))) == want and len(want) > 200
+    assert whole.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
