@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.dialect import SPARK
-from ..plans.lineage import settle
+from ..plans.lineage import settle, spread
 from .extract import resolved
 
 
@@ -139,7 +139,7 @@ def crawl_jobs(visits: DataFrame, rows: DataFrame, fields: list[str], max_rows:
         return pd.DataFrame([{"job_id": key[0], "rows": values, "pages": pages, "partial": partial, "stop": stop, "warnings": list(dict.fromkeys(said)) if not by_template else said}])
 
     kind = ", ".join(f"`{f}`: string" for f in fields)
-    return joined.groupBy("job_id").applyInPandas(fold, f"job_id {known['job_id']}, rows array<struct<{kind}>>, pages int, partial boolean, stop string, warnings array<string>")
+    return spread(joined, "job_id").groupBy("job_id").applyInPandas(fold, f"job_id {known['job_id']}, rows array<struct<{kind}>>, pages int, partial boolean, stop string, warnings array<string>")
 
 
 def crawl(visits: DataFrame, rows: DataFrame, fields: list[str], max_rows: int, **limits) -> DataFrame:

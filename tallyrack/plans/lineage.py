@@ -20,3 +20,12 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """The table by key in four partitions a core, but no more than the session's number, before work in Python that takes
+    long for few bytes: the planner puts partitions together by their bytes, which leaves cores idle, unless their number
+    is given."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, 4 * spark.sparkContext.defaultParallelism)), *key)

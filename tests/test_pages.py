@@ -236,3 +236,14 @@ def test_catalog_of_jobs(spark):
     assert [g[:2] for g in got] == [("a", 1), ("a", 3), ("b", 1)] and [g[5] for g in got] == [99990, 120000, 97000] and all(g[3:5] == ("8 GB", "256 GB SSD") for g in got), got
     plain, _ = N.catalog_of(done, "title, price", None)
     assert plain.count() == 4
+
+
+def test_few_pages_are_parsed_on_all_partitions(spark):
+    """Pages that come in one partition, as small tables do, are spread before they are parsed; jobs before they are folded."""
+    from tallyrack.plans.lineage import spread
+    from tallyrack.sources import dom
+
+    pages = spark.createDataFrame([(i, f"https://e.example.com/{i}", f"<p>{i}</p>") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    read = dom.read_pages(pages)
+    assert read.rdd.getNumPartitions() == spread(pages, "page_id").rdd.getNumPartitions() > 1
+    assert sorted((r.page_id, r.text) for r in read.collect()) == [(i, str(i)) for i in range(40)]
