@@ -7,7 +7,7 @@ is applied with tables of 256 rows and no matrix of shifted inputs.
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from .lmscore import summed
 
 #: Rows that a partition takes its steps over at a time.
 LOCAL = 4096
+#: Bytes that are looked at in a pass: their responses stay in a core's cache.
+PASS = 1 << 13
 
 
 class Adam:
@@ -53,21 +55,21 @@ class ByteConvNet:
     def tables(self) -> dict[int, list[np.ndarray]]:
         return {w: [np.ascontiguousarray(self.p["E"] @ self.p[f"W{w}"][k]) for k in range(w)] for w in self.widths}
 
-    def _pooled(self, data: np.ndarray, count: int, tables: dict, places: bool = False):
-        """data: count * length bytes and `ahead` more.  The largest response of each filter in each window."""
-        n, pools, wheres = count * self.length, [], []
+    def _pooled(self, data: np.ndarray, count: int, tables: dict) -> np.ndarray:
+        """data: count * length bytes and `ahead` more.  The largest response of each filter in each window: halves of the
+        places are compared with each other, which numpy does far quicker than a maximum along an inner axis."""
+        n, pools = count * self.length, []
         for w in self.widths:
             out = tables[w][0].take(data[:n], axis=0)
             for k in range(1, w):
                 out += tables[w][k].take(data[k : k + n], axis=0)
-            out = out.reshape(count, self.length, self.filters)
-            if places:
-                at = out.argmax(axis=1)
-                wheres.append(at)
-                pools.append(np.take_along_axis(out, at[:, None], 1)[:, 0] + self.p[f"c{w}"])
-            else:
-                pools.append(out.max(axis=1) + self.p[f"c{w}"])
-        return np.concatenate(pools, axis=1), wheres
+            out, left = out.reshape(count, self.length, self.filters), self.length
+            while left > 1:
+                half = left // 2
+                np.maximum(out[:, :half], out[:, left - half : left], out=out[:, :half])
+                left -= half
+            pools.append(out[:, 0] + self.p[f"c{w}"])
+        return np.concatenate(pools, axis=1)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -76,10 +78,10 @@ class ByteConvNet:
 
     def predict(self, data: np.ndarray, count: int, tables: dict | None = None) -> np.ndarray:
         """Class probabilities of `count` windows that lie one after another in data; bounded memory."""
-        tables, step, out = tables or self.tables(), max(1, (1 << 17) // self.length), []
+        tables, step, out = tables or self.tables(), max(1, PASS // self.length), []
         for at in range(0, count, step):
             here = min(step, count - at)
-            pool, _ = self._pooled(data[at * self.length : (at + here) * self.length + self.ahead], here, tables)
+            pool = self._pooled(data[at * self.length : (at + here) * self.length + self.ahead], here, tables)
             out.append(self._softmax(np.maximum(pool, 0) @ self.p["V"] + self.p["b"]))
         return np.concatenate(out) if out else np.zeros((0, self.classes), np.float32)
 
@@ -111,19 +113,22 @@ class ByteConvNet:
         d *= 1 / n if weights is None else (weights / weights.sum()).astype(np.float32)[:, None]
         grads = {"V": hidden.T @ d, "b": d.sum(axis=0), "E": np.zeros_like(self.p["E"])}
         back = (d @ self.p["V"].T) * (pool > 0)
+        row, column = np.arange(n)[:, None], np.arange(self.filters)
         for j, w in enumerate(self.widths):
             mine = back[:, j * self.filters : (j + 1) * self.filters]
             grads[f"c{w}"], grads[f"W{w}"] = mine.sum(axis=0), np.zeros_like(self.p[f"W{w}"])
             for k in range(w):
-                under = windows[np.arange(n)[:, None], wheres[j] + k]
-                grads[f"W{w}"][k] = np.einsum("nfd,nf->df", self.p["E"][under], mine)
-                np.add.at(grads["E"], under, mine[:, :, None] * self.p[f"W{w}"][k].T[None])
+                # the gradient of the table is summed by byte and filter; the embedding's and the filter's follow from it
+                under = windows[row, wheres[j] + k].astype(np.int64) * self.filters + column
+                table = np.bincount(under.reshape(-1), mine.reshape(-1), 256 * self.filters).reshape(256, self.filters).astype(mine.dtype)
+                grads[f"W{w}"][k] = self.p["E"].T @ table
+                grads["E"] += table @ self.p[f"W{w}"][k].T
         return grads
 
 
-def learn(rows: DataFrame, net: ByteConvNet, rates: tuple[float, ...], beside: tuple[np.ndarray, np.ndarray] | None = None, batch: int = 64) -> int:
-    """rows (label int, weight double, window binary of length + ahead bytes) -> how many there are; the network has then
-    taken steps over every one of them.  A round for each rate: each partition goes on from the same network, LOCAL rows
+def learn(rows: DataFrame, net: ByteConvNet, rates: tuple[float, ...], beside: tuple[np.ndarray, np.ndarray] | None = None, batch: int = 64, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> int:
+    """rows (label int, weight double, window binary of length + ahead bytes), or what `cut` makes such rows of in the same
+    Python worker -> how many there are; the network has then taken steps over every one of them.  A round for each rate: each partition goes on from the same network, LOCAL rows
     at a time in random order, and the networks are averaged by their rows.  A third of each step's windows are the
     partition's and two thirds of `beside` (windows, labels), if it is given."""
     size, names, seen = net.length + net.ahead, sorted(net.p), 0
@@ -136,7 +141,7 @@ def learn(rows: DataFrame, net: ByteConvNet, rates: tuple[float, ...], beside: t
             own, r, n = copy.copy(start), np.random.default_rng(8), 0
             own.p = {k: v.copy() for k, v in start.p.items()}
             adam = Adam(own.p)
-            for part in (b.slice(at, LOCAL) for b in batches for at in range(0, b.num_rows, LOCAL)):
+            for part in (b.slice(at, LOCAL) for b in cut(batches) for at in range(0, b.num_rows, LOCAL)):
                 x = np.frombuffer(b"".join(v.as_py() for v in part.column("window")), np.uint8).reshape(-1, size)
                 y, weight = part.column("label").to_numpy(), part.column("weight").to_numpy()
                 order = r.permutation(len(y))
@@ -154,7 +159,7 @@ def learn(rows: DataFrame, net: ByteConvNet, rates: tuple[float, ...], beside: t
             if n:
                 yield pa.record_batch({"block": pa.array([0], pa.int32()), "who": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.nulls(1, pa.binary()), "x": pa.array([change.tobytes()], pa.binary())})
 
-        for _, x in summed(rows.select("label", "weight", "window").mapInArrow(run, "block int, who int, at binary, x binary"), parts):
+        for _, x in summed(rows.mapInArrow(run, "block int, who int, at binary, x binary"), parts):
             at, seen = 0, int(x[-1])
             for k in names:
                 net.p[k] = net.p[k] + (x[at : at + net.p[k].size] / x[-1]).reshape(net.p[k].shape).astype(np.float32)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +64,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
 
 
-def all_windows(docs: DataFrame, languages: list[str], size: int) -> DataFrame:
-    """(label, weight, window) of every labelled document, in whole windows of its whole text, those of the languages that
-    are known.  A document's windows weigh one together, and more where its language is rare."""
+def all_windows(docs: DataFrame, languages: list[str], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes (label, weight, window) of (lang, text) rows of labelled documents: whole windows of a whole text, those
+    of the languages that are known.  A document's windows weigh one together, and more where its language is rare."""
     counts = {r.lang: r["count"] for r in _labelled(docs).groupBy("lang").count().filter(F.col("lang").isin(languages)).collect()}
     usual = sum(counts.values()) / max(1, len(counts))
     label = {x: k for k, x in enumerate(languages)}
@@ -82,7 +82,7 @@ def all_windows(docs: DataFrame, languages: list[str], size: int) -> DataFrame:
                 rows += [w.ljust(size, b"\0") for w in own]
             yield pa.record_batch({"label": pa.array(labels, pa.int32()), "weight": pa.array(weights, pa.float64()), "window": pa.array(rows, pa.binary())})
 
-    return _labelled(docs).select("lang", "text").mapInArrow(run, "label int, weight double, window binary")
+    return run
 
 
 def training_windows(docs: DataFrame) -> list:
@@ -122,7 +122,7 @@ def train(docs: DataFrame) -> LanguageModel:
             short[i, n:] = 0
         labels = np.array([k for k, _ in pairs])
         net.fit(np.concatenate([windows, short]), np.concatenate([labels, labels[::4]]))
-        learned = learn(all_windows(docs, languages, size), net, RATES)
+        learned = learn(_labelled(docs).select("lang", "text"), net, RATES, cut=all_windows(docs, languages, size))
         model = LanguageModel(languages, net)
         model.learned = learned
         return model

@@ -112,3 +112,29 @@ def test_every_window_of_every_labelled_document_is_learned_from(spark, monkeypa
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     own = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).filter("text rlike '[a-z]'").collect()
     assert train(docs).learned == sum(-(-len(r.text) // 128) for r in own) > 500
+
+
+def test_windows_are_cut_in_the_worker_that_learns_from_them(spark, monkeypatch):
+    """No second Python worker a task, and no window goes through the JVM: what learn() reads is the texts themselves."""
+    from tallyrack.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid, "learn", lambda rows, net, rates, **more: seen.append((rows, more["cut"])) or 0)
+    docs = spark.createDataFrame([(i, "the and of " * 40, ["en", "de"][i % 2]) for i in range(80)], "doc_id long, text string, lang string")
+    train(docs)
+    (rows, cut), = seen
+    assert rows.columns == ["lang", "text"] and "MapInArrow" not in rows._jdf.queryExecution().toString()
+    windows = [w for b in cut(iter(rows.toArrow().to_batches())) for w in b.column("window").to_pylist()]
+    assert len(windows) == 4 * rows.count() and {len(w) for w in windows} == {131}
+
+
+def test_the_largest_response_of_windows_of_any_length():
+    import numpy as np
+
+    from tallyrack.llm.convnet import ByteConvNet
+
+    for length in (1, 2, 7, 24, 128):
+        net = ByteConvNet(3, length)
+        data, tables = np.random.default_rng(length).integers(0, 256, 5 * length + net.ahead).astype(np.uint8), net.tables()
+        plain = [np.stack([sum(tables[w][k][data[at + k]] for k in range(w)) for at in range(5 * length)]).reshape(5, length, -1).max(axis=1) for w in net.widths]
+        assert np.allclose(net._pooled(data, 5, tables), np.concatenate(plain, axis=1))
