@@ -49,6 +49,13 @@ def _fold(step: Step, state: Any, heap: list[tuple], until: float) -> tuple[Any,
     return state, out, nth
 
 
+class _Woken(dict):
+    """A woken row as batches hold it: not as text, and put in order by its text only where two are due at once."""
+
+    def __lt__(self, other: dict) -> bool:
+        return json.dumps(self) < json.dumps(other)
+
+
 def _frame(key: str, out: list[dict], schema: StructType) -> pd.DataFrame:
     return pd.DataFrame([{"key": key} | o for o in out], columns=[f.name for f in schema.fields])
 
@@ -59,42 +66,56 @@ def in_batch(rows: DataFrame, step: Step, out: str) -> DataFrame:
     partitions is the session's, given by name: the fold takes long for few bytes, so that partitions put together by
     their bytes would leave cores idle."""
     schema = StructType.fromDDL(f"key string, at long, {out}")
-    kinds, names = to_arrow_schema(schema), [f.name for f in schema.fields[1:]]
+    kinds, names = to_arrow_schema(schema), [f.name for f in schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, heap = None, None, []
         keys: list[str] = []
+        times: list[int] = []
         made: list[dict] = []
 
         def batch() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(keys, kinds.types[0]), *(pa.array([m.get(n) for m in made], k) for n, k in zip(names, kinds.types[1:], strict=True))], schema=kinds)
+            found = pa.RecordBatch.from_arrays([pa.array(keys, kinds.types[0]), pa.array(times, kinds.types[1]), *(pa.array([m.get(n) for m in made], k) for n, k in zip(names, kinds.types[2:], strict=True))], schema=kinds)
             keys.clear()
+            times.clear()
             made.clear()
             return found
 
+        def fold(until: float, row: dict | None) -> None:
+            """What is woken by then, the row, and what that wakes at once; _fold() of the heap with the row in it."""
+            nonlocal state
+            nth = 0
+            while row is not None or (heap and heap[0][0] <= until):
+                if heap and heap[0][0] <= until:
+                    at, _, _, body = heapq.heappop(heap)
+                else:
+                    at, body, row = until, row, None
+                state, new, later = step(state, at, body)
+                for m in new:
+                    keys.append(last)
+                    times.append(at)
+                    made.append(m)
+                for when, woken in later:
+                    nth += 1
+                    heapq.heappush(heap, (max(when, at), 0, at * 8 + nth % 8, _Woken(woken)))
+
         for part in batches:
-            for key, at, rank, nth, body in zip(*(part.column(n).to_pylist() for n in ("key", "at", "rank", "nth", "body")), strict=True):
+            # All earlier rows are there; those of the same time come before a row only by rank.
+            bodies = json.loads(f"[{','.join(part.column('body').to_pylist())}]")
+            for key, at, body in zip(part.column("key").to_pylist(), part.column("at").to_pylist(), bodies, strict=True):
                 if key != last:
-                    if last is not None:
-                        more = _fold(step, state, heap, float("inf"))[1]
-                        keys += [last] * len(more)
-                        made += more
+                    if heap:
+                        fold(float("inf"), None)
                     last, state, heap = key, None, []
-                heapq.heappush(heap, (at, rank, nth, body))
-                # All earlier rows are there; those of the same time come before this one only by rank.
-                state, more, _ = _fold(step, state, heap, at)
-                keys += [key] * len(more)
-                made += more
+                fold(at, body)
                 if len(made) >= OUT:
                     yield batch()
-        if last is not None:
-            more = _fold(step, state, heap, float("inf"))[1]
-            keys += [last] * len(more)
-            made += more
+        fold(float("inf"), None)
         yield batch()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.drop("time").filter("key IS NOT NULL AND at IS NOT NULL").repartition(parts, "key").sortWithinPartitions("key", "at", "rank", "nth").mapInArrow(run, schema)
+    dealt = rows.drop("time").filter("key IS NOT NULL AND at IS NOT NULL").repartition(parts, "key").sortWithinPartitions("key", "at", "rank", "nth")
+    return dealt.select("key", "at", "body").mapInArrow(run, schema)
 
 
 class _InOrder(StatefulProcessor):

@@ -101,6 +101,18 @@ def test_queue(spark):
     assert log == [("bad", "run.dead_lettered", '{"job_id":"bad","attempt":2}'), ("bad", "run.failed", '{"job_id":"bad","status":"failed","final_attempt":2}'), ("bad", "run.retry_scheduled", '{"job_id":"bad","attempt":1,"delay_seconds":2}'), ("bad", "run.retry_scheduled", '{"job_id":"bad","attempt":2,"delay_seconds":4}'), ("none", "run.dead_lettered", '{"job_id":"none","attempt":0}'), ("none", "run.failed", '{"job_id":"none","status":"failed","final_attempt":0}')]
 
 
+def test_a_batch_sends_python_no_more_than_it_folds(spark):
+    """Keys, times and bodies, in order already; woken rows that are due at once come as they were asked for."""
+    said = Q.run_queue(spark.createDataFrame(EVENTS, EVENT).repartition(4))
+    before = said._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1]
+    assert before.split("Project [")[1].split("]")[0].count(",") == 2
+    told_at_once = lambda state, at, row: (None, [{"event": row["kind"], "payload": row.get("payload")}], [(at, {"kind": k}) for k in "ba"] if "payload" in row else [])
+    from tallyrack.streaming.ordered import in_batch
+
+    got = in_batch(Q._events(spark.createDataFrame([event("x", 0, n, "deliver") for n in (2, 1)], EVENT)), told_at_once, Q.SAID)
+    assert [r.event for r in got.collect()] == ["deliver", "b", "a", "deliver", "b", "a"]
+
+
 def test_queue_as_a_stream_that_is_stopped(rocks, tmp_path):
     """Shuffled within the watermark and stopped between batches, with timers pending, a stream says what the batch says."""
     early = [e for e in EVENTS if e[1] < START + timedelta(seconds=15)]
