@@ -66,16 +66,23 @@ def validate_labels(fields: DataFrame, labels: DataFrame, key: tuple[str, ...] =
     without one at .65."""
     first = labels.filter("trim(name) <> ''").groupBy(*key, "source").agg(F.min_by(F.struct("name", "kind", "confidence"), F.struct("position", "name", "kind", "confidence")).alias("l"))
     out = fields.join(first, [*key, "source"], "left")
-    name = field_name(F.coalesce(F.col("l.name"), F.col("source")))
+    # The name is a column of its own before its kind is told: else each word looked for works it out again.
+    out = out.select(*key, "source", "position", "l", field_name(F.coalesce(F.col("l.name"), F.col("source"))).alias("name"))
+    name = F.col("name")
     kind = F.when(F.lower("l.kind").isin(*KINDS), F.lower("l.kind")).otherwise(kind_of(name))
     confidence = F.when(F.col("l").isNull(), F.lit(0.65)).otherwise(clamp(F.coalesce("l.confidence", F.lit(0.75))))
-    return out.select(*key, "source", "position", name.alias("name"), kind.alias("kind"), confidence.alias("confidence"))
+    return out.select(*key, "source", "position", "name", kind.alias("kind"), confidence.alias("confidence"))
 
 
-def rename_map(validated: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
-    """A4: source -> target; later sources of one target get _2, _3 and so on, within a job."""
+def rename_target(key: tuple[str, ...] = ()) -> Column:
+    """A4: a source's target; later sources of one target get _2, _3 and so on, within a job."""
     k = F.row_number().over(Window.partitionBy(*key, "name").orderBy("position", "source"))
-    return validated.select(*key, "source", "position", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), k)).alias("target"))
+    return F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), k))
+
+
+def rename_map(validated: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """A4: source -> target."""
+    return validated.select(*key, "source", "position", rename_target(key).alias("target"))
 
 
 def apply_rename(rows: DataFrame, targets: dict[str, str]) -> DataFrame:

@@ -173,9 +173,8 @@ def _dispatched(then: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = settle(A.validate_labels(derived(spark, sf_dir, "label_fields"), derived(spark, sf_dir, "label_answers"), ("job_id",)))
-    named = A.rename_map(done, ("job_id",)).select("job_id", "source", "target")
-    return done.join(named, ["job_id", "source"]).withColumn("confidence", F.round("confidence", 4))
+    done = A.validate_labels(derived(spark, sf_dir, "label_fields"), derived(spark, sf_dir, "label_answers"), ("job_id",))
+    return done.withColumn("target", A.rename_target(("job_id",))).withColumn("confidence", F.round("confidence", 4))
 
 
 #: Field names, kinds and targets worked out anew.

@@ -225,3 +225,11 @@ def test_export_files(spark, tmp_path):
     assert not list(root.rglob("e9.json")) and not list(root.glob(".staging*"))
     with pytest.raises(Exception, match="unsupported"):
         E.export_jobs(frame, exports, str(root), "xml")
+
+
+def test_labels_are_validated_without_working_names_out_again(spark):
+    """A name's expression is there once, and targets come of a window and not of a second join."""
+    from tallyrack.queries import queries
+
+    plan = queries()["label_validate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 1 and plan.count("Join ") == 1 and "Window" in plan
