@@ -161,22 +161,21 @@ def tiles(media: DataFrame, column: str = "media", size: int = 16) -> DataFrame:
     """
     media = without(media, "height", "width", "dhash", "npy")
     schema = StructType(list(media.schema)).add("height", IntegerType()).add("width", IntegerType()).add("dhash", StringType()).add("npy", BinaryType())
-    names = media.columns
+    return media.mapInArrow(lambda batches: _tiled(batches, column, size), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
-            found: list[tuple] = []
-            for data in texts(part.column(column)):
-                try:
-                    pixels = decode(data)
-                except (ValueError, struct.error, IndexError):
-                    found.append((None, None, None, None))
-                else:
-                    found.append((pixels.shape[0], pixels.shape[1], difference_hash(pixels), tile(pixels, size)))
-            more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "height", "width", "dhash", "npy"])
 
-    return media.mapInArrow(run, schema)
+def _tiled(batches: Iterator[pa.RecordBatch], column: str = "media", size: int = 16) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, column):
+        found: list[tuple] = []
+        for data in texts(part.column(column)):
+            try:
+                pixels = decode(data)
+            except (ValueError, struct.error, IndexError):
+                found.append((None, None, None, None))
+            else:
+                found.append((pixels.shape[0], pixels.shape[1], difference_hash(pixels), tile(pixels, size)))
+        more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "height", "width", "dhash", "npy"])
 
 
 def payload(text: bytes, unit: int = WIDTH) -> bytes:
@@ -224,31 +223,32 @@ FORMATS = ("pgm", "ppm", "bmp")
 def store_formats(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, format, media): whole texts as grey PGM, colour PPM or BMP pictures, by what the number of
     their bytes leaves of three.  Null is empty; repeated rows stay."""
+    return documents(docs, "doc_id", "text").mapInArrow(_stored, "doc_id long, format string, media binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            items = list(texts(part.column("text")))
-            kinds = [FORMATS[len(x) % 3] for x in items]
-            grey = lambda x: encode_pgm(np.frombuffer(payload(x), np.uint8).reshape(-1, WIDTH))
-            colour = lambda x: np.frombuffer(payload(x, 3 * WIDTH), np.uint8).reshape(-1, WIDTH, 3)
-            media = [grey(x) if k == "pgm" else encode_ppm(colour(x)) if k == "ppm" else encode_bmp(colour(x)) for x, k in zip(items, kinds, strict=True)]
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "format": pa.array(kinds, pa.string()), "media": pa.array(media, pa.binary())})
 
-    return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, format string, media binary")
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        items = list(texts(part.column("text")))
+        kinds = [FORMATS[len(x) % 3] for x in items]
+        grey = lambda x: encode_pgm(np.frombuffer(payload(x), np.uint8).reshape(-1, WIDTH))
+        colour = lambda x: np.frombuffer(payload(x, 3 * WIDTH), np.uint8).reshape(-1, WIDTH, 3)
+        media = [grey(x) if k == "pgm" else encode_ppm(colour(x)) if k == "ppm" else encode_bmp(colour(x)) for x, k in zip(items, kinds, strict=True)]
+        yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "format": pa.array(kinds, pa.string()), "media": pa.array(media, pa.binary())})
 
 
 def media_formats(spark, sf_dir: str) -> DataFrame:
-    """Every text in one of three formats, read back: (doc_id, format, height, payload_bytes, payload_sha256, dhash_there)."""
+    """Every text in one of three formats, read back: (doc_id, format, height, payload_bytes, payload_sha256, dhash_there).
+    A task's one Python worker stores, tiles and reads back a slice before the next; media don't pass the JVM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "media"):
+        for part in _tiled(_stored(batches)):
             raw = [decode(x).tobytes() for x in texts(part.column("media"))]
-            more = {"payload_bytes": pa.array(list(map(len, raw)), pa.int64()), "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())}
-            yield pa.record_batch({c: part.column(c) for c in ("doc_id", "format", "height", "dhash_there")} | more)
+            there = [None if d is None else len(d) == 16 and len(t) == (384 if f == "pgm" else 896) for f, d, t in zip(*(part.column(c).to_pylist() for c in ("format", "dhash", "npy")), strict=True)]
+            more = {"dhash_there": pa.array(there, pa.bool_()), "payload_bytes": pa.array(list(map(len, raw)), pa.int64()), "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())}
+            yield pa.record_batch({c: part.column(c) for c in ("doc_id", "format", "height")} | more)
 
-    seen = tiles(store_formats(table(spark, sf_dir, "documents")))
-    seen = seen.selectExpr("doc_id", "format", "height", "length(dhash) = 16 AND length(npy) = CASE format WHEN 'pgm' THEN 384 ELSE 896 END AS dhash_there", "media")
-    return seen.mapInArrow(run, "doc_id long, format string, height int, dhash_there boolean, payload_bytes long, payload_sha256 string")
+    docs = documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return docs.mapInArrow(run, "doc_id long, format string, height int, dhash_there boolean, payload_bytes long, payload_sha256 string")
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:

@@ -108,3 +108,12 @@ def test_formats_of_odd_texts(spark, tmp_path):
         unit = 64 if len(raw) % 3 == 0 else 192
         size = max(unit, -(-len(raw) // unit) * unit)
         assert got[i].format == ("pgm", "ppm", "bmp")[len(raw) % 3] and got[i].payload_bytes == size and got[i].payload_sha256 == hashlib.sha256(raw.ljust(size, b"\0")).hexdigest() and got[i].dhash_there
+
+
+def test_the_formats_take_one_python_worker_a_task(spark):
+    from tallyrack.llm.media import media_formats
+
+    found = media_formats(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    rows = found.collect()
+    assert {r.format for r in rows} == {"pgm", "ppm", "bmp"} and all(r.dhash_there for r in rows)
