@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -168,7 +169,9 @@ class WordIds:
     def _shared(self, words: list[bytes], tokenizer, join: bytes) -> list[np.ndarray]:
         """Ids of up to 256 words at a time that share a string."""
         strings = [join.join(words[i : i + 256]).decode("utf-8", "replace") for i in range(0, len(words), 256)]
-        return [np.array(c.ids, np.uint32) for c in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        # a few at a time: an encoding holds far more than its ids
+        coded = (tokenizer.encode_batch_fast(strings[i : i + 32], add_special_tokens=False) for i in range(0, len(strings), 32))
+        return [np.array(c.ids, np.uint32) for some in coded for c in some]
 
     def _code(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word.  Words of small Latin letters alone need no normalising and are one piece for the model:
@@ -249,7 +252,14 @@ def release() -> None:
     """Gives back what the worker holds of earlier tasks: coders, and memory that Arrow keeps for the next batch."""
     _word_ids.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives back memory that Arrow and the C library keep for the next batch; elsewhere than under glibc, Arrow's alone."""
     pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
 
 
 def tokenizer_path(name: str) -> str:

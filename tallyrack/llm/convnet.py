@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 
+from .common import release
 from .lmscore import summed
 
 #: Rows that a partition takes its steps over at a time.
@@ -137,6 +138,7 @@ def learn(rows: DataFrame, net: ByteConvNet, rates: tuple[float, ...], beside: t
         shared = context.broadcast((net, beside))
 
         def run(batches: Iterator[pa.RecordBatch], rate: float = rate, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            release()
             start, more = shared.value
             own, r, n = copy.copy(start), np.random.default_rng(8), 0
             own.p = {k: v.copy() for k, v in start.p.items()}

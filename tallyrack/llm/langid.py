@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import documents, held_out, slices, table, texts, uniform, without
+from .common import documents, held_out, release, slices, table, texts, uniform, without
 from .convnet import ByteConvNet, learn
 
 #: The network starts from at most this many labelled documents, shared among the languages, least by hash, and this
@@ -138,6 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             found = model.predict(list(texts(part.column("text"))))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, lang, score])

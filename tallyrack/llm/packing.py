@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import checkpoint, documents, slices, table, texts, tokenizer_path, unused, without, word_ids
+from .common import checkpoint, documents, slices, table, texts, tokenizer_path, trim, unused, without, word_ids
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, size = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
-        for part in slices(batches):
+        for part in slices(batches, most_bytes=1 << 20):
             rows = []
             coded_all = coder.encode([coder.split(x) for x in texts(part.column("text"))])
             for doc, coded in zip(part.column("doc_id").to_pylist(), coded_all, strict=True):
@@ -47,6 +47,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * ids)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+            rows = coded_all = coded = one = None
+            trim()
 
     return documents(docs, "doc_id", "text").mapInArrow(run, schema)
 

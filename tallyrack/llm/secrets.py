@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, slices, table, texts
+from .common import checkpoint, documents, release, slices, table, texts
 from .convnet import ByteConvNet, learn
 
 KINDS = ("assign", "access", "hex", "model")
@@ -156,6 +156,7 @@ def findings(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "label", "weight", "window"])
 
+        release()
         for part in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), texts(part.column("text")), strict=True):
@@ -323,6 +324,7 @@ def spans(docs: DataFrame, model: SecretModel) -> DataFrame:
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             items = list(texts(part.column("text")))
             base = [base_spans(x) for x in items]
@@ -377,6 +379,7 @@ def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]") -> DataF
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             items = list(texts(part.column("text")))
             base = [base_spans(x) for x in items]

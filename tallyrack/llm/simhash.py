@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, slices, table, texts
+from .common import checkpoint, documents, release, slices, table, texts
 from .components import components
 
 #: A signature with more fingerprints than this is verified in pairs of blocks, each a group of its own.
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             found = np.array([fingerprint(x) for x in texts(part.column("text"))], dtype=np.uint64)
             yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": pa.array(found.view(np.int64)), **{c: part.column(c).cast(pa.binary()) for c in more}})

@@ -105,3 +105,37 @@ def test_run_with_very_long_texts(spark, tmp_path):
     for r in sorted((r for r in out if r.doc_id == 6), key=lambda r: (r.piece, r.sequence_id)):
         by_copy.setdefault(r.piece, []).append((r.start, r.length))
     assert all(len(set(v)) == 1 and v[0][0] == 4096 * k for k, v in by_copy.items()) and sum(v[0][1] for v in by_copy.values()) > len(long) / 8
+
+
+def test_stages_give_back_the_coder(spark, monkeypatch):
+    """Workers serve one stage after another; what packing holds must not lie beside what the others need."""
+    from tallyrack.llm import common, langid, secrets, simhash
+
+    docs = spark.createDataFrame([(1, "some words", "en"), (2, "des mots", "fr")], "doc_id long, text string, lang string")
+    steps, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *more: (steps.append(f), whole(self, f, schema, *more))[1])
+    net = secrets.ByteConvNet(2, secrets.LENGTH)
+    model = secrets.SecretModel(net, 1.0, 0.0, 0.5)
+    simhash.fingerprints(docs), secrets.findings(docs), secrets.spans(docs, model), secrets.redact(docs, model)
+    langid.identify(docs, langid.LanguageModel(["en", "fr"], langid.ByteConvNet(2)))
+    assert len(steps) == 5
+    for step in steps:
+        monkeypatch.setitem(common._word_ids, "held", object())
+        assert list(step(iter(()))) == [] and not common._word_ids
+
+
+def test_coder_is_sent_few_strings_at_a_time():
+    from tallyrack.llm.common import WordIds, tokenizer_path
+
+    coder = WordIds(tokenizer_path("word_bpe_49k.json"))
+    sizes, bare = [], coder.bare
+
+    class Recorded:
+        def encode_batch_fast(self, strings, **options):
+            sizes.append(len(strings))
+            return bare.encode_batch_fast(strings, **options)
+
+    words = [b"".join(bytes([97 + i // 26**k % 26]) for k in range(4)) for i in range(20_000)]
+    plain = coder._code(words)
+    coder.bare = Recorded()
+    assert coder._code(words) == plain and max(sizes) <= 32 and sum(sizes) == -(-len(words) // 256)
