@@ -134,6 +134,16 @@ def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.cast(pa.binary()), np.bincount(owner.to_numpy(), minlength=len(column)).astype(np.int64)
 
 
+def values(column: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls, cut from its buffer at once."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    if not len(column):
+        return []
+    cuts = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw, cuts = memoryview(data)[cuts[0] : cuts[-1]].tobytes() if data else b"", (cuts - cuts[0]).tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class WordIds:
     """Ids of the public word-BPE tokenizer as unsigned 32-bit bytes (of a little-endian machine), remembered by word.
 
@@ -228,12 +238,10 @@ class WordIds:
 
     def pieces(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct words."""
-        out = list(map(self.known.get, words))
-        new = [w for w, ids in zip(words, out, strict=True) if ids is None]
-        if new:
+        known = self.known
+        if new := [w for w in words if w not in known]:
             self._learn(new)
-            rest = map(self.known.__getitem__, new)
-            out = [next(rest) if ids is None else ids for ids in out]
+        out = list(map(known.__getitem__, words))
         self._bound()
         return out
 

@@ -28,7 +28,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, held_out, release, shared_folder, slices, table, tokenizer_path, word_ids, word_lists
+from .common import checkpoint, documents, held_out, release, shared_folder, slices, table, tokenizer_path, values, word_ids, word_lists
 
 #: Words that every task is sent.  A key has LONG bytes at most: longer words are counted by their digest.
 HEAD, LONG = 131_072, 64
@@ -40,7 +40,7 @@ STEP = WINDOW - OVERLAP
 CLASSES, BUCKETS = 64, 32
 END = 49407
 IDS = END + 1
-#: Each training document is learned from in one of the rounds; a round's rate, and windows a step.
+#: Each training document is learned from in one of the rounds; a round's rate, and windows a step (or scored at a time).
 RATES, BATCH = (0.1, 0.03), 1024
 #: How many sightings a class's distribution counts for beside an id's own, and cells of a summed block.
 BACKOFF, BLOCK, FAN_IN = 8.0, 1 << 18, 64
@@ -280,12 +280,12 @@ class AttentionModel:
         """log10 of the probability of each text and its end."""
         flat, starts, real = laid_out(ids, lengths)
         sums, ten = np.zeros(len(starts)), np.log(10)
-        for at in range(0, len(starts), 256):
-            w = flat[starts[at : at + 256, None] + np.arange(WINDOW + 1)]
+        for at in range(0, len(starts), BATCH):
+            w = flat[starts[at : at + BATCH, None] + np.arange(WINDOW + 1)]
             x, y = w[:, :WINDOW], w[:, OVERLAP + 1 :]
             logs = np.log(self.mix(x, y)[3]) + self.within.take(self.context[x[:, OVERLAP:]] * IDS + y)
-            logs *= np.arange(STEP) < real[at : at + 256, None]
-            sums[at : at + 256] = logs.sum(axis=1, dtype=float) / ten
+            logs *= np.arange(STEP) < real[at : at + BATCH, None]
+            sums[at : at + BATCH] = logs.sum(axis=1, dtype=float) / ten
         windows = -(-(lengths + 1) // STEP)
         return np.add.reduceat(sums, np.cumsum(windows) - windows) if len(windows) else np.zeros(0)
 
@@ -364,7 +364,7 @@ def coded_texts(docs: DataFrame, head: pa.Table, end: int, under: int, tokenizer
             found = pc.fill_null(pc.index_in(keys, value_set=frequent), len(frequent)).to_numpy(zero_copy_only=False)[which] if len(keys) else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(m), have)
             known, base = np.bincount(owner, found < len(frequent), m).astype(np.int64) + (end > 0), np.bincount(owner, logs[found], m) + np.log10((end + 1) / under)
-            parts = coder.pieces(different.dictionary.to_pylist())
+            parts = coder.pieces(values(different.dictionary))
             size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             flat, begin = np.frombuffer(b"".join(parts), "<u4").astype("<u2"), np.cumsum(size) - size
             each = size[which]

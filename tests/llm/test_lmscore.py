@@ -6,6 +6,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 
 from tallyrack.llm.lmscore import CLASSES, END, IDS, OVERLAP, STEP, WINDOW, AttentionModel, counted, laid_out, score, targets
 
@@ -206,3 +207,28 @@ def test_held_out_documents_against_pairs_and_words(spark):
     assert model / n > 0.9 * bigram / n, (model / n, bigram / n)
     known = [r for r in got.values() if r.held_out and r.n_known == r.n_tokens]
     assert sum(r.score for r in known) > 1.1 * sum(r.base_score for r in known)
+
+
+def test_windows_are_scored_many_at_a_time(monkeypatch):
+    from tallyrack.llm import lmscore
+
+    r = np.random.default_rng(4)
+    model = lmscore.AttentionModel(r.integers(0, lmscore.CLASSES, lmscore.IDS), r.integers(0, lmscore.CLASSES, lmscore.IDS))
+    model.near, model.far = r.random((2, lmscore.IDS, lmscore.CLASSES), dtype=np.float32) + 0.01
+    model.within = -r.random((lmscore.CLASSES, lmscore.IDS), dtype=np.float32)
+    lengths = np.array([0, 5, 3000, 7, 6000])
+    ids = r.integers(0, lmscore.IDS, lengths.sum())
+    passes, mix = [], model.mix
+    monkeypatch.setattr(model, "mix", lambda x, y: (passes.append(len(x)), mix(x, y))[1])
+    scores = model.score(ids, lengths)
+    assert len(passes) == 2 and sum(passes) == int((-(-(lengths + 1) // lmscore.STEP)).sum())
+    cuts = np.cumsum(lengths)
+    alone = [model.score(ids[b - n : b], np.array([n]))[0] for b, n in zip(cuts, lengths, strict=True)]
+    assert np.array_equal(scores, alone)
+
+
+def test_values_of_slices():
+    from tallyrack.llm.common import values
+
+    x = pa.array([b"ab", b"", b"\xc3\xa9", b"z" * 100], pa.binary())
+    assert values(x) == x.to_pylist() and values(x[1:3]) == [b"", b"\xc3\xa9"] and values(x[:0]) == [] and values(pa.array([b""], pa.binary())) == [b""]
