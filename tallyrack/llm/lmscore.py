@@ -37,6 +37,9 @@ _END_KEY, _LONG = b"\n", b"\t"
 #: Inputs of a window, those before its first target, width of queries and keys.
 WINDOW, OVERLAP, DIM = 9, 3, 16
 STEP = WINDOW - OVERLAP
+#: What a target sees, one row for each input: the first of its rows and the last, the input right before it; how far each is.
+ROWS = [(s * (OVERLAP + 1) + s * (s - 1) // 2, (s + 1) * (OVERLAP + 1) + (s + 1) * s // 2 - 1) for s in range(STEP)]
+DISTANCE = np.concatenate([np.arange(OVERLAP + s, -1, -1) for s in range(STEP)])
 CLASSES, BUCKETS = 64, 32
 END = 49407
 IDS = END + 1
@@ -44,6 +47,10 @@ IDS = END + 1
 RATES, BATCH = (0.1, 0.03), 1024
 #: How many sightings a class's distribution counts for beside an id's own, and cells of a summed block.
 BACKOFF, BLOCK, FAN_IN = 8.0, 1 << 18, 64
+#: Words that a worker's coder remembers, and their bytes.
+CODER = {"most": 300_000, "most_bytes": 28 << 20}
+#: Targets counted at a time, few enough that their numbers stay in the cache.
+PLACES = 8192
 
 
 def _key(word: bytes) -> bytes:
@@ -69,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return documents(docs, "text").mapInArrow(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """(key, c) of the most frequent keys, `most` of them or somewhat fewer: those above a count that a small histogram of counts
     gives, so that no partition sends more than belongs to them."""
     step = F.floor(F.log("c") * 16).cast("int")
@@ -79,16 +86,30 @@ def most_frequent(counts: DataFrame, most: int) -> pa.Table:
         if left < 0:
             break
         least = r.step
-    return counts.filter(F.lit(False) if least is None else step >= least).select("key", "c").toArrow()
+    return counts.filter(F.lit(False) if least is None else step >= least).select("key", "c")
+
+
+def with_ids(frequent: DataFrame, tokenizer: str) -> DataFrame:
+    """(key, c) -> (key, c, ids): the words' subword ids, so that no task codes them again; null where the key is a digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = word_ids(tokenizer, **CODER)
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            coded = iter(coder.pieces([k for k in keys if not k.startswith(_LONG)]))
+            ids = [None if k.startswith(_LONG) else np.frombuffer(next(coded), "<u4").astype("<u2").tobytes() for k in keys]
+            yield pa.record_batch({"key": batch.column("key"), "c": batch.column("c"), "ids": pa.array(ids, pa.binary())})
+
+    return frequent.mapInArrow(run, "key binary, c long, ids binary")
 
 
 # ---- windows -------------------------------------------------------------------------------------------------------
 
 
-def id_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Coded texts (unsigned 16-bit ids) one after another, and how many ids each has."""
+def id_lists(column: pa.Array, kind: str = "<i8") -> tuple[np.ndarray, np.ndarray]:
+    """Coded texts (unsigned 16-bit ids) one after another, as numbers of `kind`, and how many ids each has."""
     data = column.cast(pa.binary())
-    return np.frombuffer(b"".join(data.to_pylist()), "<u2").astype(np.int64), pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    return np.frombuffer(b"".join(data.to_pylist()), "<u2").astype(kind), pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 2
 
 
 def laid_out(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +130,11 @@ def targets(starts: np.ndarray, real: np.ndarray) -> np.ndarray:
     return places[np.arange(STEP) < real[:, None]]
 
 
+def windows_of(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Inputs and targets of some windows, (n, WINDOW + 1); a place's ids of all windows lie side by side."""
+    return flat.take(np.arange(WINDOW + 1)[:, None] + starts).T
+
+
 # ---- sums over partitions ------------------------------------------------------------------------------------------
 
 
@@ -154,12 +180,13 @@ def counted(coded: DataFrame, cells: int, of) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        total = np.zeros(cells, np.int32)
+        total, one = np.zeros(cells, np.int32), np.int32(1)
         for part in slices(batches, "ids", 2 << 20, 1 << 20):
             flat, starts, real = laid_out(*id_lists(part.column("ids")))
             places = targets(starts, real)
-            for first, size, found in of(flat, places):
-                np.add(total[first : first + size], np.bincount(found, minlength=size), out=total[first : first + size], casting="unsafe")
+            for at in range(0, len(places), PLACES):
+                for first, size, found in of(flat, places[at : at + PLACES]):
+                    np.add.at(total[first : first + size], found, one)
         who = TaskContext.get().partitionId()
         for block, first in enumerate(range(0, cells, BLOCK)):
             own = total[first : first + BLOCK]
@@ -212,7 +239,7 @@ class AttentionModel:
         self.context, self.target = context.astype(np.int64), target.astype(np.int64)
         self.p = {"Q": r.normal(0, 0.3, (CLASSES, DIM)), "K": r.normal(0, 0.3, (CLASSES, DIM)), "R": -0.7 * np.arange(WINDOW)}
         self.g2 = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
-        self.distance = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        self.room: list[np.ndarray] | None = None
 
     def cells(self, flat: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """What is counted: classes after an id, classes two to four places after it, ids after a class."""
@@ -244,20 +271,36 @@ class AttentionModel:
         return self
 
     def mix(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (n, WINDOW) and targets (n, STEP): pairs of classes, attention and values by (window, target, input),
-        and the probability of each target's class.  The mask takes what comes after; exponents are bounded, so that no
-        weight or sum of weights leaves the range of its type."""
+        """Inputs (n, WINDOW) and targets (n, STEP): pairs of classes, attention and values by (what a target sees, window),
+        and the probability of each target's class.  A target sees the inputs before it alone, in rows of their own (ROWS):
+        what follows it is never computed.  Exponents are bounded, so that no weight or sum of weights leaves the range of
+        its type.  The first three lie in room that the next call uses again: new pages cost more than the sums in them."""
         weights = np.exp(np.clip(self.p["Q"] @ self.p["K"].T / np.sqrt(DIM), -25, 25)).astype(np.float32)
-        bias = np.where(self.distance >= 0, np.exp(np.clip(self.p["R"], -25, 25)[np.maximum(self.distance, 0)]), 0).astype(np.float32)
-        c, t = self.context.take(x), self.target.take(y)
-        pairs = (c[:, OVERLAP:] * CLASSES)[:, :, None] + c[:, None, :]
-        a = weights.take(pairs)
+        bias = np.exp(np.clip(self.p["R"], -25, 25)).astype(np.float32)[DISTANCE, None]
+        x = x.T * CLASSES
+        c, t = self.context.take(x // CLASSES), self.target.take(y.T)
+        n = x.shape[1]
+        if self.room is None or self.room[0].shape[1] != n:
+            self.room = [np.empty((len(DISTANCE), n), kind) for kind in (np.int64, np.float32, np.float32)]
+        pairs, a, v = self.room
+        for s, (at, own) in enumerate(ROWS):
+            np.add(c[OVERLAP + s] * CLASSES, c[: OVERLAP + s + 1], out=pairs[at : own + 1])
+            v[at:own] = self.far.take(x[: OVERLAP + s] + t[s])
+            v[own] = self.near.take(x[OVERLAP + s] + t[s])
+        weights.take(pairs, out=a, mode="clip")
         a *= bias
-        a /= a.sum(axis=2, keepdims=True)
-        v = self.far.take((x * CLASSES)[:, None, :] + t[:, :, None])
-        own = np.arange(STEP)
-        v[:, own, own + OVERLAP] = self.near.take(x[:, OVERLAP:] * CLASSES + t)
-        return pairs, a, v, np.einsum("nst,nst->ns", a, v)
+        p = np.empty((STEP, n), np.float32)
+        for s, (at, own) in enumerate(ROWS):
+            # row by row, so that a window's sums are the same whatever stands beside it
+            total = a[at].copy()
+            for row in range(at + 1, own + 1):
+                total += a[row]
+            a[at : own + 1] /= total
+            each = a[at : own + 1] * v[at : own + 1]
+            p[s] = each[0]
+            for row in each[1:]:
+                p[s] += row
+        return pairs, a, v, p.T
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, rate: float) -> None:
         """A gradient step (by Adagrad) on some windows."""
@@ -268,12 +311,16 @@ class AttentionModel:
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean of -log P(class): a score's is a (1 - v / P)."""
         pairs, a, v, p = self.mix(x, y)
-        v /= p[:, :, None]
-        np.subtract(1, v, out=v)
-        v *= a
-        v *= (real / np.float32(max(1, real.sum())))[:, :, None]
-        by_class = np.bincount(pairs.reshape(-1), v.reshape(-1), CLASSES * CLASSES).reshape(CLASSES, CLASSES) / np.sqrt(DIM)
-        by_place = np.bincount(np.maximum(self.distance, 0).reshape(-1), (v.sum(axis=0) * (self.distance >= 0)).reshape(-1), WINDOW)
+        share, by_class = np.float32(1) / np.float32(max(1, real.sum())), np.zeros(CLASSES * CLASSES)
+        for s, (at, own) in enumerate(ROWS):
+            g = v[at : own + 1]
+            g /= p[:, s]
+            np.subtract(1, g, out=g)
+            g *= a[at : own + 1]
+            g *= real[:, s] * share
+            by_class += np.bincount(pairs[at : own + 1].reshape(-1), g.reshape(-1), CLASSES * CLASSES)
+        by_class = by_class.reshape(CLASSES, CLASSES) / np.sqrt(DIM)
+        by_place = np.bincount(DISTANCE, v.sum(axis=1), WINDOW)
         return {"Q": by_class @ self.p["K"], "K": by_class.T @ self.p["Q"], "R": by_place}
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -281,11 +328,12 @@ class AttentionModel:
         flat, starts, real = laid_out(ids, lengths)
         sums, ten = np.zeros(len(starts)), np.log(10)
         for at in range(0, len(starts), BATCH):
-            w = flat[starts[at : at + BATCH, None] + np.arange(WINDOW + 1)]
+            w = windows_of(flat, starts[at : at + BATCH])
             x, y = w[:, :WINDOW], w[:, OVERLAP + 1 :]
-            logs = np.log(self.mix(x, y)[3]) + self.within.take(self.context[x[:, OVERLAP:]] * IDS + y)
-            logs *= np.arange(STEP) < real[at : at + BATCH, None]
-            sums[at : at + BATCH] = logs.sum(axis=1, dtype=float) / ten
+            logs = np.log(self.mix(x, y)[3].T) + self.within.take(self.context.take(x.T[OVERLAP:]) * IDS + y.T)
+            for s in range(STEP):
+                sums[at : at + BATCH] += np.where(s < real[at : at + BATCH], logs[s], 0)
+        sums /= ten
         windows = -(-(lengths + 1) // STEP)
         return np.add.reduceat(sums, np.cumsum(windows) - windows) if len(windows) else np.zeros(0)
 
@@ -326,7 +374,7 @@ def learn(coded: DataFrame, model: AttentionModel, shared: Broadcast, rate: floa
             order = r.permutation(len(starts))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
-                w = flat[starts[pick, None] + np.arange(WINDOW + 1)]
+                w = windows_of(flat, starts[pick])
                 own.step(w[:, :WINDOW], w[:, OVERLAP + 1 :], np.arange(STEP) < real[pick, None], rate)
             seen += len(starts)
         change = np.concatenate([*((own.p[k] - start[k]).reshape(-1) * seen for k in names), [float(seen)]])
@@ -348,11 +396,18 @@ _CODED = "rid long, key binary, doc_id long, held_out boolean, n_tokens long, n_
 
 def coded_texts(docs: DataFrame, head: pa.Table, end: int, under: int, tokenizer: str) -> DataFrame:
     """Two kinds of rows, written to the shared folder: a document's, with its subword ids and the base score of its
-    words among `head`, and one for each of its other words, with the word's key."""
-    common = docs.sparkSession.sparkContext.broadcast((pa.concat_arrays(head.column("key").chunks) if len(head) else pa.array([], pa.binary()), np.append(head.column("c").to_numpy(), 0)))
+    words among `head`, and one for each of its other words, with the word's key.  Words of the head come with their ids;
+    a slice's other words are coded."""
+    keys, known = (pa.concat_arrays(head.column(n).chunks) if len(head) else pa.array([], pa.binary()) for n in ("key", "ids"))
+    common = docs.sparkSession.sparkContext.broadcast((keys, np.append(head.column("c").to_numpy(), 0), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (frequent, counts), coder = common.value, word_ids(tokenizer, most=300_000, most_bytes=28 << 20)
+        (frequent, counts, ready), coder = common.value, word_ids(tokenizer, **CODER)
+        # the last place is that of words outside the head
+        uncoded = np.append(ready.is_null().to_numpy(zero_copy_only=False), True)
+        ready, sizes = id_lists(pc.fill_null(ready, b""), "<u2")
+        sizes = np.append(sizes, 0)
+        begins = np.cumsum(sizes) - sizes
         logs = np.log10((counts + 1) / under)
         logs[-1] = 0
         for part in slices(batches, most_bytes=2 << 20):
@@ -361,12 +416,16 @@ def coded_texts(docs: DataFrame, head: pa.Table, end: int, under: int, tokenizer
             different = words.dictionary_encode()
             which = different.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             keys = _keys(different.dictionary)
-            found = pc.fill_null(pc.index_in(keys, value_set=frequent), len(frequent)).to_numpy(zero_copy_only=False)[which] if len(keys) else np.zeros(0, np.int64)
+            at = pc.fill_null(pc.index_in(keys, value_set=frequent), len(frequent)).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0, np.int64)
+            found = at[which]
             owner = np.repeat(np.arange(m), have)
             known, base = np.bincount(owner, found < len(frequent), m).astype(np.int64) + (end > 0), np.bincount(owner, logs[found], m) + np.log10((end + 1) / under)
-            parts = coder.pieces(values(different.dictionary))
-            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            flat, begin = np.frombuffer(b"".join(parts), "<u4").astype("<u2"), np.cumsum(size) - size
+            others = np.flatnonzero(uncoded[at])
+            parts = coder.pieces(values(different.dictionary.take(pa.array(others))))
+            own = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            size, begin = sizes[at], begins[at]
+            size[others], begin[others] = own, len(ready) + np.cumsum(own) - own
+            flat = np.concatenate([ready, np.frombuffer(b"".join(parts), "<u4").astype("<u2")])
             each = size[which]
             ids = flat[np.arange(int(each.sum())) + np.repeat(begin[which] - (np.cumsum(each) - each), each)]
             to = np.cumsum(np.bincount(owner, each, m).astype(np.int64)) * 2
@@ -401,7 +460,7 @@ def score(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> Da
     end = counts.filter(F.col("key") == F.lit(_END_KEY)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     under = n + 1 * (v + 1)
     words = counts.filter(F.col("key") != F.lit(_END_KEY))
-    rows = coded_texts(own, most_frequent(words, head), end, under, tokenizer)
+    rows = coded_texts(own, with_ids(most_frequent(words, head), tokenizer).toArrow(), end, under, tokenizer)
     texts = rows.filter(F.col("ids").isNotNull())
     model, shared = train(texts.filter("not held_out").select("doc_id", "n_tokens", "ids"))
     weights = model.p

@@ -232,3 +232,44 @@ def test_values_of_slices():
 
     x = pa.array([b"ab", b"", b"\xc3\xa9", b"z" * 100], pa.binary())
     assert values(x) == x.to_pylist() and values(x[1:3]) == [b"", b"\xc3\xa9"] and values(x[:0]) == [] and values(pa.array([b""], pa.binary())) == [b""]
+
+
+def test_targets_see_only_what_stands_before_them():
+    """No row is computed of inputs after a target; a window scores the same whatever stands beside it."""
+    r, model = np.random.default_rng(8), small(9)
+    x, y = r.integers(0, END, (5, WINDOW)), r.integers(0, END, (5, STEP))
+    pairs, a, v, p = model.mix(x, y)
+    assert pairs.shape == a.shape == v.shape == (sum(range(OVERLAP + 1, WINDOW + 1)), 5) and p.shape == (5, STEP)
+    whole = p.copy()
+    for n in range(5):
+        assert np.array_equal(model.mix(x[n : n + 1], y[n : n + 1])[3][0], whole[n])
+
+
+def test_counts_take_few_targets_at_a_time(spark):
+    """A long text's targets come in blocks, all of them once."""
+    from tallyrack.llm.lmscore import PLACES
+
+    coded = spark.createDataFrame([(np.zeros(20_000, "<u2").tobytes(),)], "ids binary").repartition(1)
+    got = counted(coded, 30_000, lambda flat, places: iter([(0, 30_000, np.array([len(places)]))]))
+    there = np.flatnonzero(got)
+    assert there.max() <= PLACES and int((got[there] * there).sum()) == 20_001
+
+
+def test_words_of_the_head_come_with_their_ids(spark):
+    """They are coded once, and tasks take the ids they are sent; words whose keys are digests are coded where the texts are."""
+    from tallyrack.llm.common import tokenizer_path, word_ids
+    from tallyrack.llm.lmscore import _key, coded_texts, with_ids
+
+    path, long = tokenizer_path("word_bpe_49k.json"), b"ab" * 400
+    coder = word_ids(path)
+    wanted = lambda *words: np.concatenate([np.frombuffer(x, "<u4") for x in coder.encode([list(words)])]).tolist()
+    words = [b"the", b"caf\xc3\xa9s!!", b"\xe2\x82\xac5", _key(long)]
+    head = with_ids(spark.createDataFrame([(w, 9) for w in words], "key binary, c long"), path).toArrow()
+    ids = dict(zip(head["key"].to_pylist(), head["ids"].to_pylist(), strict=True))
+    assert ids[_key(long)] is None and head["c"].to_pylist() == [9] * 4
+    assert all(np.frombuffer(ids[w], "<u2").tolist() == wanted(w) for w in words[:3])
+    docs = spark.createDataFrame([(1, f"Rare the {long.decode()} cafés!! the €5 zq"), (2, None)], "doc_id long, text string")
+    told = lambda head: {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in coded_texts(docs, head, 1, 50, path).collect() if r.ids is not None}
+    assert told(head) == {1: wanted(b"rare", b"the", long, "cafés!!".encode(), b"the", "€5".encode(), b"zq"), 2: []}
+    sent = head.set_column(2, "ids", pa.array([np.array([7, 8], "<u2").tobytes() if w == b"the" else ids[w] for w in head["key"].to_pylist()], pa.binary()))
+    assert told(sent)[1] == [*wanted(b"rare"), 7, 8, *wanted(long, "cafés!!".encode()), 7, 8, *wanted("€5".encode(), b"zq")]
